@@ -25,7 +25,7 @@ RULES = (
     ("n_words", None, "<", 10, 0),
     ("word_chars", "n_words", ">", 40.0, 0),
     ("n_symbols", "word_chars", ">", 0.15, 0),
-    ("n_stop", "n_words", "<", 0.01, 100),
+    ("n_stop", "n_words", "<", 0.05, 60),
     ("n_dup_lines", "n_lines", ">", 0.5, 50),
 )
 
