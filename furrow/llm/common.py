@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,23 @@ WS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context; they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_furrow_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    handle, name = tempfile.mkstemp(prefix="furrow-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(name)
+    sc._furrow_sent = True
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

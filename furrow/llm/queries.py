@@ -7,26 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import exact_dedup, oracles, quality_rules, secrets
+from furrow.llm import bpe, exact_dedup, oracles, packing, quality_rules, secrets, substring_dedup, token_counts
 from furrow.llm.common import documents
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(documents(spark, sf_dir)))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(exact_dedup.fingerprints(documents(spark, sf_dir)))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op7_quality_rules, op9_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_substring_dedup, op2_secret_scan, op3_token_counts, op6_best_fit_packing, op7_quality_rules, op8_bpe_round_trip, op9_exact_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": oracles.op2(), "op7_quality_rules": oracles.op7(), "op9_exact_dedup": oracles.OP9}
+    return {"op1_substring_dedup": oracles.OP1, "op2_secret_scan": oracles.op2(), "op7_quality_rules": oracles.op7(), "op9_exact_dedup": oracles.OP9}

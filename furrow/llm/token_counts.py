@@ -48,13 +48,10 @@ class Counter:
         memo, whole, units = self.memo, {}, {}
         for i, text in enumerate(texts):
             data = text.encode()
-            if b"  " in data or data[-1:] == b" " or any(s in data for s in self.special):
+            if b"  " in data or b"\0" in data or data[-1:] == b" " or any(s in data for s in self.special):
                 whole[i] = text
             else:
-                units[i] = data.replace(b" ", b"\0 ").split(b"\0") if b"\0" not in data else None
-                if units[i] is None:
-                    del units[i]
-                    whole[i] = text
+                units[i] = data.replace(b" ", b"\0 ").split(b"\0")
         new = [u for u in set().union(*units.values()) if u not in memo] if units else []
         for at in range(0, len(new), _BATCH):
             part = new[at : at + _BATCH]
