@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, exact_dedup, oracles, packing, quality_rules, secrets, substring_dedup, token_counts
+from furrow.llm import bpe, exact_dedup, near_dup, oracles, packing, quality_rules, secrets, substring_dedup, token_counts
 from furrow.llm.common import documents
 
 
@@ -23,6 +23,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir)))
 
@@ -42,9 +46,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_secret_scan, op3_token_counts, op6_best_fit_packing, op7_quality_rules, op8_bpe_round_trip, op9_exact_dedup,
+        op1_substring_dedup, op2_secret_scan, op3_token_counts, op4_minhash_near_dup, op6_best_fit_packing, op7_quality_rules, op8_bpe_round_trip, op9_exact_dedup,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.OP1, "op2_secret_scan": oracles.op2(), "op7_quality_rules": oracles.op7(), "op9_exact_dedup": oracles.OP9}
+    return {"op1_substring_dedup": oracles.OP1, "op2_secret_scan": oracles.op2(), "op4_minhash_near_dup": oracles.OP4, "op7_quality_rules": oracles.op7(), "op9_exact_dedup": oracles.OP9}
