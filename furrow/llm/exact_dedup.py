@@ -87,10 +87,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids = exact_dedup(fingerprints(docs, id_col, text_col))
     gone = stage_table(ids.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "copies")
     again = stage_table(ids.where(F.col("kept") & F.col("doc_id").isNotNull()).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), "repeated")
-    marked = docs.withColumn("_i", F.col(id_col).cast("long")).withColumn("_s", F.unhex(F.sha2(normalised(text_of(text_col)), 256)))
-    same = marked["_i"].eqNullSafe(gone["_id"]) & (marked["_s"] == gone["_sha"])
+    marked = docs.withColumn("__furrow_i", F.col(id_col).cast("long")).withColumn("__furrow_s", F.unhex(F.sha2(normalised(text_of(text_col)), 256)))
+    same = marked["__furrow_i"].eqNullSafe(gone["_id"]) & (marked["__furrow_s"] == gone["_sha"])
     kept = marked.join(gone, same, "left_anti")
     if not again.isEmpty():
-        both = marked["_i"].eqNullSafe(again["_id"]) & (marked["_s"] == again["_sha"])
-        kept = kept.unionByName(marked.join(again, both, "left_semi").dropDuplicates(["_i", "_s"]))
-    return kept.drop("_i", "_s")
+        both = marked["__furrow_i"].eqNullSafe(again["_id"]) & (marked["__furrow_s"] == again["_sha"])
+        kept = kept.unionByName(marked.join(again, both, "left_semi").dropDuplicates(["__furrow_i", "__furrow_s"]))
+    return kept.drop("__furrow_i", "__furrow_s")

@@ -216,3 +216,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     return full.select("did", "n_shingles", "root").unionByName(empty).select(
         back("did").alias("doc_id"), "n_shingles", back("root").alias("component_id"), (F.col("did") == F.col("root")).alias("kept")
     )
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose group has a smaller doc_id. Rows that repeat a kept doc_id stay."""
+    found = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__furrow_id")).distinct()
+    gone = stage_table(gone, "near-copies")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__furrow_id")), "left_anti")

@@ -95,3 +95,21 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b F
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) m USING (doc_id)
 """
+
+
+OP5 = r"""
+WITH RECURSIVE l AS (
+  SELECT conv_id, turn, x AS line, length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+    lower(trim(regexp_replace(regexp_replace(x, '^(?:[ \t]*>)+', ''), '[\x20\x09-\x0D]+', ' ', 'g'))) AS h
+  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM conversations)),
+said AS (SELECT conv_id, h, min(turn) AS origin FROM l WHERE level = 0 AND h <> '' GROUP BY ALL),
+met AS (SELECT conv_id, turn, origin, count(*) AS n, count(*) FILTER (level = 1) AS near FROM l JOIN said USING (conv_id, h) WHERE level > 0 AND h <> '' AND origin < turn GROUP BY ALL),
+link AS (SELECT conv_id, turn, sum(n)::BIGINT AS n_linked, (max(CASE WHEN near > 0 THEN {'near': near, 'origin': origin} END)).origin AS reply_to FROM met GROUP BY ALL),
+up AS (SELECT conv_id, turn, reply_to AS up, 1::BIGINT AS depth FROM link WHERE reply_to IS NOT NULL
+  UNION ALL SELECT u.conv_id, u.turn, k.reply_to, u.depth + 1 FROM up u JOIN link k ON k.conv_id = u.conv_id AND k.turn = u.up WHERE k.reply_to IS NOT NULL),
+top AS (SELECT conv_id, turn, min(up) AS up, max(depth) AS depth FROM up GROUP BY ALL)
+SELECT c.conv_id, c.turn, c.role, k.reply_to, coalesce(top.up, c.turn) AS thread, coalesce(top.depth, 0) AS depth,
+  len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^(?:[ \t]*>)+')))::BIGINT AS n_quoted, coalesce(k.n_linked, 0) AS n_linked,
+  array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)) AS own_text
+FROM conversations c LEFT JOIN link k USING (conv_id, turn) LEFT JOIN top USING (conv_id, turn)
+"""

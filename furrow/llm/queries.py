@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, exact_dedup, near_dup, oracles, packing, quality_rules, secrets, substring_dedup, token_counts
+from furrow.llm import bpe, exact_dedup, mil, near_dup, oracles, packing, quality_rules, quotes, secrets, substring_dedup, token_counts
 from furrow.llm.common import documents
 
 
@@ -27,6 +27,10 @@ def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(documents(spark, sf_dir, "conversations"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir)))
 
@@ -44,11 +48,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_secret_scan, op3_token_counts, op4_minhash_near_dup, op6_best_fit_packing, op7_quality_rules, op8_bpe_round_trip, op9_exact_dedup,
-    )}
+        op1_substring_dedup, op2_secret_scan, op3_token_counts, op4_minhash_near_dup, op5_quotation_linking,
+        op6_best_fit_packing, op7_quality_rules, op8_bpe_round_trip, op9_exact_dedup, op10_quality_classifier,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.OP1, "op2_secret_scan": oracles.op2(), "op4_minhash_near_dup": oracles.OP4, "op7_quality_rules": oracles.op7(), "op9_exact_dedup": oracles.OP9}
+    return {"op1_substring_dedup": oracles.OP1, "op2_secret_scan": oracles.op2(), "op4_minhash_near_dup": oracles.OP4, "op5_quotation_linking": oracles.OP5, "op7_quality_rules": oracles.op7(), "op9_exact_dedup": oracles.OP9}

@@ -123,13 +123,13 @@ def secret_scan(df: DataFrame, scope: int = 200) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = 200) -> DataFrame:
     """``docs`` with each secret span of ``text`` replaced by ``mask`` and ``n_chars``, if there, counted anew."""
-    spans = find_secrets(docs, scope=scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("dig").alias("_dig"), F.col("spans").alias("_spans"))
-    spans = stage_table(spans.dropDuplicates(["_id", "_dig"]), "redactions")
-    marked = docs.withColumn("_d", F.xxhash64(text_of()))
-    held = marked.join(spans, marked["doc_id"].eqNullSafe(spans["_id"]) & (marked["_d"] == spans["_dig"]), "left")
+    spans = find_secrets(docs, scope=scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("__furrow_id"), F.col("dig").alias("__furrow_dig"), F.col("spans").alias("__furrow_spans"))
+    spans = stage_table(spans.dropDuplicates(["__furrow_id", "__furrow_dig"]), "redactions")
+    marked = docs.withColumn("__furrow_d", F.xxhash64(text_of()))
+    held = marked.join(spans, marked["doc_id"].eqNullSafe(spans["__furrow_id"]) & (marked["__furrow_d"] == spans["__furrow_dig"]), "left")
     text = F.col("text")
     masked = F.aggregate(
-        "_spans",
+        "__furrow_spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
@@ -137,7 +137,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", scope: int = 200) -> DataFra
         ),
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
     )
-    held = held.withColumn("text", F.when(F.col("_spans").isNotNull(), masked).otherwise(text))
+    held = held.withColumn("text", F.when(F.col("__furrow_spans").isNotNull(), masked).otherwise(text))
     if "n_chars" in docs.columns:
-        held = held.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        held = held.withColumn("n_chars", F.when(F.col("__furrow_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return held.select(*docs.columns)

@@ -57,6 +57,14 @@ def word_hashes(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np
     return hashes, np.diff(np.searchsorted(starts, first))
 
 
+def word_hashes_at(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the number of the text each is in and its first byte there."""
+    hashes, starts = _block(b"\n".join(texts))
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    text = np.searchsorted(first, starts, "right") - 1
+    return hashes, text, starts - first[text]
+
+
 def windows(hashes: np.ndarray, length: int, base: int = OVER_WORDS) -> np.ndarray:
     """The hash of each ``length`` words in a row, texts' borders not heeded."""
     n = len(hashes) - length + 1
