@@ -164,6 +164,7 @@ def _nodes(reps: DataFrame, threshold: float, trees: int, limit: int, depth: int
     rows = reps.select("did", F.explode(F.array(*[path(t) for t in range(trees)])).alias("node"))
     done = []
     for level in range(2, depth + 1):
+        rows = stage_table(rows, "paths")
         sizes = stage_table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
         rows = stage_table(hot_join(rows, sizes, "node", "n"), "nodes")
         done.append(rows.where(F.col("n") <= limit).select("did", "node"))
@@ -187,7 +188,7 @@ def _nodes(reps: DataFrame, threshold: float, trees: int, limit: int, depth: int
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999, limit: int = 1000, depth: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999, limit: int = 1000, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     A null text, or one without words, has the empty set and is linked with nothing. A null doc_id counts as the smallest and
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     reps = stage_table(reps.select("did", "sketch"), "representatives")
     nodes = _nodes(reps, threshold, trees_for(threshold, recall), limit, depth)
     member = stage_table(nodes.groupBy("did").agg(F.collect_set("node").alias("nodes")), "membership")
-    sets = texts.join(member, "did").select("did", "text", "nodes").mapInArrow(_sets(words), "node long, did long, shingles binary")
+    sets = texts.join(member.hint("shuffle_hash"), "did").select("did", "text", "nodes").mapInArrow(_sets(words), "node long, did long, shingles binary")
     dealt = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
     links = dealt.mapInArrow(_compare(percent), "a long, b long")
     roots = connected_components(links)
