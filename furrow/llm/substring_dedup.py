@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from furrow.llm.common import text_of
-from furrow.llm.windows import OVER_WORDS_2, groups, inside, mix, windows, word_hashes
+from furrow.llm.windows import OVER_WORDS_2, groups, inside, windows, word_hashes
 
 _LEAST = -(2**63)
 _ROW = "key long, did long, at long, until int"
@@ -71,12 +71,12 @@ def _rows(key: np.ndarray, did: np.ndarray, at: np.ndarray, until: np.ndarray |
 
 
 def _runs(did: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Settled places as rows (any key, did, first, last) of places in a row."""
+    """Settled places as rows (did as key, did, first, last) of places in a row; a document's rows stay together."""
     order = np.lexsort((at, did))
     did, at = did[order], at[order]
     breaks = np.flatnonzero((did[1:] != did[:-1]) | (at[1:] > at[:-1] + 1)) + 1
     first, last = np.concatenate([[0], breaks]), np.concatenate([breaks - 1, [len(did) - 1]])
-    return _rows(mix(did[first].view(np.uint64) + at[first].astype(np.uint64)), did[first], at[first], at[last])
+    return _rows(did[first].view(np.uint64), did[first], at[first], at[last])
 
 
 def _anchors(length: int):
@@ -101,7 +101,7 @@ def _anchors(length: int):
 
 
 def _runs_of_points(did: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return _rows(mix(did.view(np.uint64) ^ (at.astype(np.uint64) << np.uint64(20))), did, at, at)
+    return _rows(did.view(np.uint64), did, at, at)
 
 
 def _extended(length: int):
@@ -148,9 +148,9 @@ def _kept(length: int):
                 if ranges:
                     step = np.zeros(n + 1, np.int32)
                     for r in ranges:
-                        if r["at"] < n:
-                            step[r["at"]] += 1
-                            step[min(n, r["until"] + length)] -= 1
+                        if (at := r >> 32) < n:
+                            step[at] += 1
+                            step[min(n, (r & 0xFFFFFFFF) + length)] -= 1
                     covered = np.cumsum(step[:n]) > 0
                     gone = int(covered.sum())
                     words = [words[i] for i in np.flatnonzero(~covered)]
@@ -162,7 +162,7 @@ def _kept(length: int):
 
 
 def repeated_ranges(texts: DataFrame, dealt: DataFrame, length: int = 20) -> DataFrame:
-    """(did, doc_id, text), as read and dealt out by did, to (did, ranges): first and last start of windows whose words also start earlier."""
+    """(did, doc_id, text), as read and dealt out by did, to (did, ranges): first start << 32 | last start of windows whose words also start earlier."""
     rows = texts.mapInArrow(_anchors(length), _ROW)
     twice = F.count(F.lit(1)).over(W.partitionBy("key")) > 1
     places = rows.withColumn("twice", twice).where(F.col("twice") | F.col("until").isNotNull())
@@ -172,7 +172,7 @@ def repeated_ranges(texts: DataFrame, dealt: DataFrame, length: int = 20) -> Dat
     rows = rows.select("key", "did", "until", F.when(F.col("until").isNull(), second).otherwise(F.lit(-1)).alias("second"), place.alias("place"))
     later = F.rank().over(W.partitionBy("key", "second").orderBy("did", "place")) > 1
     marked = rows.withColumn("later", later).where(F.col("later") | F.col("until").isNotNull())
-    span = F.struct(F.col("place").cast("int").alias("at"), F.coalesce("until", F.col("place").cast("int")).alias("until"))
+    span = F.shiftleft(F.col("place"), 32).bitwiseOR(F.coalesce("until", F.col("place")))
     return marked.groupBy("did").agg(F.collect_list(span).alias("ranges"))
 
 
