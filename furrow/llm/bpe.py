@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words kept in a worker's memo; beyond it the memo starts anew.
-MEMO = 400_000
-#: Characters that need no normalisation but lower-casing.
-_PLAIN = regex.compile(r"[\x21-\x7eÀ-ÿ]+")
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+from furrow.llm.memo import PARTS, PLAIN, Memo
+
+#: Words in each generation of a worker's memo.
+MEMO = 250_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -48,7 +47,7 @@ class Codec:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.alphabet = byte_alphabet()
-        self.memo: dict[bytes, tuple[int, bytes, str]] = {}
+        self.memo, self.parts = Memo(MEMO), Memo(MEMO)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge until no pair has a rank. The queue holds (rank, place, left, right); an entry whose symbols have changed is stale."""
@@ -71,32 +70,36 @@ class Codec:
                 heapq.heappush(queue, (merges[p][0], h, *p))
         return [s for s in symbols if s >= 0]
 
-    def _pieces(self, word: str) -> list[str]:
-        """The word's parts in the byte alphabet."""
-        if _PLAIN.fullmatch(word):
-            return ["".join(self.alphabet[b] for b in x.encode()) for x in _SPLIT.findall(word.lower())]
-        return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
+    def _part(self, part: str) -> list[int]:
+        """Ids of a part in the byte alphabet."""
+        return self.merge([self.ids[s] for s in (*part[:-1], part[-1] + self.suffix)])
 
     def encode_word(self, word: str) -> list[int]:
         found: list[int] = []
-        for part in self.specials.split(word) if self.specials and "<|" in word else [word]:
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            for p in PARTS.findall(word.lower()):
+                if (ids := self.parts.get(p) or self.parts.old.get(p)) is None:
+                    ids = self._part("".join(map(self.alphabet.__getitem__, p.encode())))
+                self.parts[p] = ids
+                found += ids
+            return found
+        for part in self.specials.split(word) if self.specials else [word]:
             if part in self.special:
                 found.append(self.special[part])
-                continue
-            for piece in self._pieces(part) if part else ():
-                symbols = [*piece[:-1], piece[-1] + self.suffix]
-                found += self.merge([self.ids[s] for s in symbols])
+            elif part:
+                for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                    found += self._part(p)
         return found
 
     def words(self, text: str) -> list[tuple[int, bytes, str]]:
         """For each word: number of ids, the ids in decimal, their strings."""
         words, memo = text.encode().split(), self.memo
-        for w in {*words}.difference(memo):
+        for w in memo.missing({*words}):
             ids = self.encode_word(w.decode())
-            memo[w] = len(ids), b" ".join(b"%d" % i for i in ids), self.decode(ids)
-        found = [x for w in words if (x := memo[w])[0]]
-        if len(memo) > MEMO:
-            memo.clear()
+            memo[w] = len(ids), b" ".join([b"%d" % i for i in ids]), self.decode(ids)
+        found = [x for x in map(memo.__getitem__, words) if x[0]]
+        memo.turn()
+        self.parts.turn()
         return found
 
     def encode(self, text: str) -> list[int]:

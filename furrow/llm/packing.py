@@ -21,36 +21,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
+from furrow.llm.bpe import byte_alphabet
 from furrow.llm.common import stage_table
+from furrow.llm.memo import PARTS, PLAIN, Memo, groups
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-MEMO = 400_000
+MEMO = 500_000
 _BATCH = 20_000
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes; words are independent under the vocabulary and memoised."""
+    """Ids as little-endian unsigned 32-bit bytes. Words are independent under the vocabulary, and so are their parts; both are memoised."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.memo: dict[bytes, bytes] = {}
+        self.words, self.parts = Memo(MEMO), Memo(MEMO // 2)
+        #: The bare model over ready parts, one behind another: a part ends with an id whose string has the word's end.
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        self.alphabet = byte_alphabet()
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for s, i in vocabulary.items() if s.endswith(self.library.model.end_of_word_suffix)]] = True
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), _BATCH):
+            some = parts[at : at + _BATCH]
+            ready = " ".join("".join(map(self.alphabet.__getitem__, p.encode())) for p in some)
+            ids = np.array(self.bare.encode(ready, add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            data, first = ids.tobytes(), 0
+            for p, last in zip(some, (4 * cuts).tolist(), strict=True):
+                self.parts[p] = data[first:last]
+                first = last
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, odd = {}, []
+        for w in words:
+            word = w.decode()
+            if PLAIN.fullmatch(word) and "<|" not in word:
+                plain[w] = PARTS.findall(word.lower())
+            else:
+                odd.append(w)
+        self._learn_parts(self.parts.missing(set().union(*plain.values())))
+        get = self.parts.__getitem__
+        for w, parts in plain.items():
+            self.words[w] = b"".join(map(get, parts)) if len(parts) > 1 else get(parts[0])
+        self.parts.turn()
+        for w, e in zip(odd, self.library.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        memo = self.memo
         split = [t.encode().split() for t in texts]
-        new = [w for w in set().union(*split) if w not in memo] if split else []
-        for at in range(0, len(new), _BATCH):
-            part = new[at : at + _BATCH]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+        if new := self.words.missing(set().union(*split)):
+            self._learn(new)
+        get = self.words.__getitem__
         for words in split:
-            yield b"".join(map(memo.__getitem__, words))
-        if len(memo) > MEMO:
-            memo.clear()
+            yield b"".join(map(get, words))
+        self.words.turn()
 
 
 @lru_cache(maxsize=4)
@@ -58,18 +91,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _groups(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
-    held, size = [], 0
-    for text in texts:
-        if held and size + len(text) > most:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield held
-
-
 def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids with ``end`` behind them, cut after every ``size`` ids. Null texts give the one id ``end``."""
     last, step = np.array([end], "<u4").tobytes(), 4 * size
@@ -79,7 +100,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = 4
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            encoded = (x for group in _groups(texts) for x in e.encode(group))
+            encoded = (x for group in groups(texts) for x in e.encode(group))
             rows = []
             for doc, data in zip(ids, encoded, strict=True):
                 data += last

@@ -21,9 +21,10 @@ from pyspark.sql.utils import AnalysisException
 from tokenizers import Tokenizer
 
 from furrow.llm.common import hot_join, scratch_root, stage_table, text_of
+from furrow.llm.memo import Memo, groups
 
 CACHE = "dig binary, tokenizer string, n_tokens long"
-MEMO = 400_000
+MEMO = 500_000
 _BATCH = 20_000
 
 
@@ -39,7 +40,7 @@ class Counter:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, int] = {b"": 0}
+        self.memo = Memo(MEMO)
 
     def _library(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -52,15 +53,13 @@ class Counter:
                 whole[i] = text
             else:
                 units[i] = data.replace(b" ", b"\0 ").split(b"\0")
-        new = [u for u in set().union(*units.values()) if u not in memo] if units else []
+        new = memo.missing(set().union(*units.values()))
         for at in range(0, len(new), _BATCH):
             part = new[at : at + _BATCH]
             memo.update(zip(part, self._library([u.decode() for u in part]), strict=True))
         found = dict(zip(whole, (self._library([t])[0] for t in whole.values()), strict=True))
         found |= {i: sum(map(memo.__getitem__, us)) for i, us in units.items()}
-        if len(memo) > MEMO:
-            memo.clear()
-            memo[b""] = 0
+        memo.turn()
         return [found[i] for i in range(len(texts))]
 
 
@@ -74,25 +73,13 @@ def version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def _groups(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
-    held, size = [], 0
-    for text in texts:
-        if held and size + len(text) > most:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield held
-
-
 def encode_counts(texts: DataFrame, vocabulary: str, tokenizer: str) -> DataFrame:
     """(dig, text) to rows of the cache."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(public_tokenizers.path(vocabulary))
         for batch in batches:
-            counts = [n for group in _groups(batch.column(1).to_pylist()) for n in c.count(group)]
+            counts = [n for group in groups(batch.column(1).to_pylist()) for n in c.count(group)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokenizer] * len(counts), pa.string()), pa.array(counts, pa.int64())], ["dig", "tokenizer", "n_tokens"])
 
     return texts.mapInArrow(run, CACHE)
