@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = 4
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            encoded = (x for group in groups(texts) for x in e.encode(group))
+            encoded = (x for group in groups(texts, 4_000_000) for x in e.encode(group))
             rows = []
             for doc, data in zip(ids, encoded, strict=True):
                 data += last

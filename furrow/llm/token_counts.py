@@ -79,7 +79,7 @@ def encode_counts(texts: DataFrame, vocabulary: str, tokenizer: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(public_tokenizers.path(vocabulary))
         for batch in batches:
-            counts = [n for group in groups(batch.column(1).to_pylist()) for n in c.count(group)]
+            counts = [n for group in groups(batch.column(1).to_pylist(), 4_000_000) for n in c.count(group)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokenizer] * len(counts), pa.string()), pa.array(counts, pa.int64())], ["dig", "tokenizer", "n_tokens"])
 
     return texts.mapInArrow(run, CACHE)
