@@ -1,15 +1,6 @@
 """All queries of the library itself."""
 
-from __future__ import annotations
+from furrow.plans import detection, gaps, spatial, statistics, streams, telemetry, text  # noqa: F401  they register their queries
+from furrow.plans.base import oracle_sql, queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
