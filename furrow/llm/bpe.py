@@ -78,9 +78,9 @@ class Codec:
         found: list[int] = []
         if PLAIN.fullmatch(word) and "<|" not in word:
             for p in PARTS.findall(word.lower()):
-                if (ids := self.parts.get(p) or self.parts.old.get(p)) is None:
+                if (ids := self.parts.young.get(p) or self.parts.old.get(p)) is None:
                     ids = self._part("".join(map(self.alphabet.__getitem__, p.encode())))
-                self.parts[p] = ids
+                self.parts.young[p] = ids
                 found += ids
             return found
         for part in self.specials.split(word) if self.specials else [word]:
@@ -93,12 +93,12 @@ class Codec:
 
     def words(self, text: str) -> list[tuple[int, bytes, str]]:
         """For each word: number of ids, the ids in decimal, their strings."""
-        words, memo = text.encode().split(), self.memo
-        for w in memo.missing({*words}):
+        words, memo = text.encode().split(), self.memo.young
+        for w in self.memo.missing({*words}):
             ids = self.encode_word(w.decode())
             memo[w] = len(ids), b" ".join([b"%d" % i for i in ids]), self.decode(ids)
         found = [x for x in map(memo.__getitem__, words) if x[0]]
-        memo.turn()
+        self.memo.turn()
         self.parts.turn()
         return found
 

@@ -17,7 +17,9 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context; they need no copy of their own."""
+    """Send this package to the executors, once for each context, and keep Arrow batches of long texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     sc = spark.sparkContext
     if getattr(sc, "_furrow_sent", False):
         return

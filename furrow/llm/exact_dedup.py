@@ -53,19 +53,21 @@ def _probe(df: DataFrame, pages: DataFrame, which: int, bits: int) -> DataFrame:
     return held.withColumn("_byte", byte).withColumn(f"_seen{which}", F.coalesce(bit == 1, F.lit(False))).drop("_byte", "bits", f"_at{which}")
 
 
-def exact_dedup(narrow: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
-    """Rows (doc_id, sha) to (doc_id, keep_id, group_size, kept, sha), one for each input row.
-
-    Of equal texts the smallest doc_id stays; a null doc_id counts as the largest. Of rows that repeat both
-    doc_id and text one is kept. An empty table gives no rows.
-    """
-    narrow = stage_table(narrow, "fingerprints")
+def repeated(narrow: DataFrame, max_bits: int = 1 << 27) -> tuple[DataFrame, int]:
+    """Pass 1: the filter's pages for rows with ``sha``, and its bits."""
     bits = min(max_bits, 1 << max(16, (16 * narrow.count()).bit_length()))
-    pages = stage_table(_filter_bits(narrow, bits), "bloom")
-    held = _probe(_probe(narrow, pages, 0, bits), pages, 1, bits)
+    return stage_table(_filter_bits(narrow, bits), "bloom"), bits
+
+
+def split(df: DataFrame, pages: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Pass 2: rows whose ``sha`` no other row has, and rows that may be repeated. Neither side shuffles."""
+    held = _probe(_probe(df, pages, 0, bits), pages, 1, bits)
     again = F.col("_seen0") & F.col("_seen1")
-    alone = held.where(~again).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    maybe = held.where(again).select("doc_id", "sha")
+    return held.where(~again).select(*df.columns), held.where(again).select(*df.columns)
+
+
+def _decided(maybe: DataFrame) -> DataFrame:
+    """Exact groups of the rows that may be repeated."""
     groups = stage_table(
         maybe.groupBy("sha", "doc_id").count()
         .groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.sum("count").alias("group_size"), F.min_by("count", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("ties")),
@@ -76,21 +78,40 @@ def exact_dedup(narrow: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
     tied = rows.where(first & (F.col("ties") > 1))
     tied = tied.withColumn("kept", F.row_number().over(W.partitionBy("sha").orderBy("doc_id")) == 1)
     plain = rows.where(~(first & (F.col("ties") > 1))).withColumn("kept", first)
-    return alone.unionByName(plain.unionByName(tied).select(*alone.columns))
+    return plain.unionByName(tied)
+
+
+def exact_dedup(narrow: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
+    """Rows (doc_id, sha) to (doc_id, keep_id, group_size, kept, sha), one for each input row.
+
+    Of equal texts the smallest doc_id stays; a null doc_id counts as the largest. Of rows that repeat both
+    doc_id and text one is kept. An empty table gives no rows.
+    """
+    narrow = stage_table(narrow, "fingerprints")
+    alone, maybe = split(narrow, *repeated(narrow, max_bits))
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    return alone.unionByName(_decided(maybe).select(*alone.columns))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 27) -> DataFrame:
     """The rows of ``docs`` whose text no row of smaller id has; all columns stay as they are.
 
-    Rows that repeat id and text are dealt with as one document and give one row.
+    Whole rows shuffle only if the filter holds their text for repeated; the others pass straight through. Rows that repeat id
+    and text are one document and give one row.
     """
-    ids = exact_dedup(fingerprints(docs, id_col, text_col))
-    gone = stage_table(ids.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "copies")
-    again = stage_table(ids.where(F.col("kept") & F.col("doc_id").isNotNull()).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")), "repeated")
-    marked = docs.withColumn("__furrow_i", F.col(id_col).cast("long")).withColumn("__furrow_s", F.unhex(F.sha2(normalised(text_of(text_col)), 256)))
-    same = marked["__furrow_i"].eqNullSafe(gone["_id"]) & (marked["__furrow_s"] == gone["_sha"])
-    kept = marked.join(gone, same, "left_anti")
-    if not again.isEmpty():
-        both = marked["__furrow_i"].eqNullSafe(again["_id"]) & (marked["__furrow_s"] == again["_sha"])
-        kept = kept.unionByName(marked.join(again, both, "left_semi").dropDuplicates(["__furrow_i", "__furrow_s"]))
-    return kept.drop("__furrow_i", "__furrow_s")
+    narrow = stage_table(fingerprints(docs, id_col, text_col), "fingerprints")
+    pages, bits = repeated(narrow, max_bits)
+    ids = _decided(split(narrow, pages, bits)[1])
+    gone = ids.where(~F.col("kept")).select(F.col("doc_id").alias("__furrow_i"), F.col("sha").alias("__furrow_s")).distinct()
+    gone = stage_table(gone, "copies")
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text_of(text_col)), 256)).alias("sha"))
+    alone, maybe = split(held, pages, bits)
+    same = maybe["doc_id"].eqNullSafe(gone["__furrow_i"]) & (maybe["sha"] == gone["__furrow_s"])
+    kept = maybe.join(gone.hint("shuffle_hash"), same, "left_anti")
+    # a row kept beside identical ones that go has the same id and text as they have
+    ties = ids.where("kept").select("doc_id", "sha").intersect(ids.where("not kept").select("doc_id", "sha"))
+    ties = stage_table(ties.select(F.col("doc_id").alias("__furrow_i"), F.col("sha").alias("__furrow_s")), "repeated")
+    if not ties.isEmpty():
+        same = maybe["doc_id"].eqNullSafe(ties["__furrow_i"]) & (maybe["sha"] == ties["__furrow_s"])
+        kept = kept.unionByName(maybe.join(ties, same, "left_semi").dropDuplicates(["doc_id", "sha"]))
+    return alone.unionByName(kept).select("row.*")

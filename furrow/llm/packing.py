@@ -25,11 +25,11 @@ from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from furrow.llm.bpe import byte_alphabet
 from furrow.llm.common import stage_table
-from furrow.llm.memo import PARTS, PLAIN, Memo, groups
+from furrow.llm.memo import ODD, PARTS, PLAIN, Memo, groups
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-MEMO = 500_000
+MEMO = 400_000
 _BATCH = 20_000
 
 
@@ -52,35 +52,35 @@ class Encoder:
     def _learn_parts(self, parts: list[str]) -> None:
         for at in range(0, len(parts), _BATCH):
             some = parts[at : at + _BATCH]
-            ready = " ".join("".join(map(self.alphabet.__getitem__, p.encode())) for p in some)
+            ready = " ".join(["".join(map(self.alphabet.__getitem__, p.encode())) for p in some])
             ids = np.array(self.bare.encode(ready, add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             data, first = ids.tobytes(), 0
             for p, last in zip(some, (4 * cuts).tolist(), strict=True):
-                self.parts[p] = data[first:last]
+                self.parts.young[p] = data[first:last]
                 first = last
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, odd = {}, []
-        for w in words:
-            word = w.decode()
-            if PLAIN.fullmatch(word) and "<|" not in word:
-                plain[w] = PARTS.findall(word.lower())
-            else:
-                odd.append(w)
-        self._learn_parts(self.parts.missing(set().union(*plain.values())))
-        get = self.parts.__getitem__
-        for w, parts in plain.items():
-            self.words[w] = b"".join(map(get, parts)) if len(parts) > 1 else get(parts[0])
+        text, odd = b"\n".join(words).decode(), []
+        if ODD.search(text):
+            split = [(w, w.decode()) for w in words]
+            odd = [w for w, word in split if not PLAIN.fullmatch(word) or "<|" in word]
+            words = [w for w, word in split if PLAIN.fullmatch(word) and "<|" not in word]
+            text = b"\n".join(words).decode()
+        listed = [PARTS.findall(w) for w in text.lower().split("\n")] if words else []
+        self._learn_parts(self.parts.missing(set().union(*listed)))
+        get, young = self.parts.young.__getitem__, self.words.young
+        for w, parts in zip(words, listed, strict=True):
+            young[w] = b"".join(map(get, parts)) if len(parts) > 1 else get(parts[0])
         self.parts.turn()
         for w, e in zip(odd, self.library.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            young[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.encode().split() for t in texts]
         if new := self.words.missing(set().union(*split)):
             self._learn(new)
-        get = self.words.__getitem__
+        get = self.words.young.__getitem__
         for words in split:
             yield b"".join(map(get, words))
         self.words.turn()

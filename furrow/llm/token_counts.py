@@ -24,7 +24,7 @@ from furrow.llm.common import hot_join, scratch_root, stage_table, text_of
 from furrow.llm.memo import Memo, groups
 
 CACHE = "dig binary, tokenizer string, n_tokens long"
-MEMO = 500_000
+MEMO = 400_000
 _BATCH = 20_000
 
 
@@ -46,20 +46,20 @@ class Counter:
         return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def count(self, texts: list[str]) -> list[int]:
-        memo, whole, units = self.memo, {}, {}
+        memo, whole, units = self.memo.young, {}, {}
         for i, text in enumerate(texts):
             data = text.encode()
             if b"  " in data or b"\0" in data or data[-1:] == b" " or any(s in data for s in self.special):
                 whole[i] = text
             else:
                 units[i] = data.replace(b" ", b"\0 ").split(b"\0")
-        new = memo.missing(set().union(*units.values()))
+        new = self.memo.missing(set().union(*units.values()))
         for at in range(0, len(new), _BATCH):
             part = new[at : at + _BATCH]
             memo.update(zip(part, self._library([u.decode() for u in part]), strict=True))
         found = dict(zip(whole, (self._library([t])[0] for t in whole.values()), strict=True))
         found |= {i: sum(map(memo.__getitem__, us)) for i, us in units.items()}
-        memo.turn()
+        self.memo.turn()
         return [found[i] for i in range(len(texts))]
 
 
