@@ -79,6 +79,8 @@ def merge_tracks(tracks: DataFrame, observations: DataFrame, pairs: DataFrame) -
     """
     frames = observations.groupBy("segment_id", "track_id").agg(F.collect_set("frame_index").alias("frames"))
     left = tracks.select("segment_id", "track_id").join(frames, ["segment_id", "track_id"])
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides may come from the same table
+    left, pairs = fresh(left), fresh(pairs)
 
     def one(key, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         root = {t: t for t in nodes["track_id"]}

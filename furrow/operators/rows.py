@@ -24,7 +24,7 @@ def expected_slots(plants: DataFrame, spacing: DataFrame) -> DataFrame:
     held = plants.join(spacing.select("plot_id", "spacing"), "plot_id")
     held = held.select(*by, "plant_id", "along", "across", "spacing", F.lead("along").over(w).alias("_a"), F.lead("across").over(w).alias("_c"))
     n = F.greatest(F.lit(1), F.rint(F.hypot(F.col("_a") - F.col("along"), F.col("_c") - F.col("across")) / F.col("spacing")).cast("int"))
-    held = held.withColumn("_n", F.coalesce(n, F.lit(0)))
+    held = held.withColumn("_n", F.when(F.col("_a").isNotNull(), n).otherwise(0))
     run = F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
     held = held.withColumn("_from", run).withColumn("_first", F.row_number().over(w) == 1)
     k = F.explode(F.sequence(F.when(F.col("_first"), 0).otherwise(1), F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.when(F.col("_first"), 0).otherwise(1))))
@@ -170,7 +170,7 @@ def samples_between(plants: DataFrame, n: int = 21) -> DataFrame:
     """``n`` evenly spaced points on the step from each plant to the next of its row: (plot_id, row_id, plant_id, x, y)."""
     w = W.partitionBy("plot_id", "row_id").orderBy("along", "plant_id")
     held = plants.withColumn("_a", F.lead("along").over(w)).withColumn("_c", F.lead("across").over(w)).where(F.col("_a").isNotNull())
-    held = held.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))) / (n - 1))
+    held = held.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_p", F.col("_i") / (n - 1))
     return held.select("plot_id", "row_id", "plant_id", (F.col("along") + F.col("_p") * (F.col("_a") - F.col("along"))).alias("x"), (F.col("across") + F.col("_p") * (F.col("_c") - F.col("across"))).alias("y"))
 
 

@@ -12,6 +12,11 @@ from furrow.functions.geometry import crosses, segment_distance
 from furrow.storage import checkpointed
 
 
+def _distance() -> Column:
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def with_cells(df: DataFrame, size: float, x: str = "x", y: str = "y", ring: int = 0) -> DataFrame:
     """Add the cell (gx, gy); with ``ring``, one row for each cell up to ``ring`` away."""
     gx, gy = F.floor(F.col(x) / size), F.floor(F.col(y) / size)
@@ -28,7 +33,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, by: list[str]
     l = with_cells(left.select(*by, "id", "x", "y"), radius)
     r = with_cells(right.select(*by, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy")), radius, "ox", "oy", 1)
     pairs = l.join(r, [*by, "gx", "gy"])
-    return pairs.withColumn("distance", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).where(F.col("distance") <= radius).select(*by, "id", "other_id", "distance")
+    return pairs.withColumn("distance", _distance()).where(F.col("distance") <= radius).select(*by, "id", "other_id", "distance")
 
 
 def radius_pairs(points: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
@@ -54,7 +59,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, cell: float, by: list[str
         pairs = with_cells(todo, cell, ring=ring).join(r, [*by, "gx", "gy"])
         if not itself:
             pairs = pairs.where("id <> other_id")
-        pairs = pairs.withColumn("distance", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))
+        pairs = pairs.withColumn("distance", _distance())
         ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*by, "id").orderBy("distance", "other_id"))).where(F.col("rank") <= k)
         sure = ranked.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("distance"))).over(W.partitionBy(*by, "id")))
         covered = (F.col("_kth") <= ring * cell) | (F.col("_far") <= ring * cell)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from furrow.functions.boxes import finite
+from furrow.storage import checkpointed
 
 SUMMARY = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
 
@@ -81,7 +82,7 @@ def without_outliers(df: DataFrame, by: list[str], sx: str, sy: str, tx: str, ty
         mad = held.groupBy(*by).agg(F.median(F.abs(F.col("_r") - F.col("_m"))).alias("_mad"))
         held = held.join(mad, by)
         limit = F.greatest(F.lit(0.5), F.col("_m") + 3.5 * 1.4826 * F.col("_mad"))
-        df = held.where((F.col("_r") <= limit) | (F.col("n") < 3)).select(*df.columns)
+        df = checkpointed(held.where((F.col("_r") <= limit) | (F.col("n") < 3)).select(*df.columns))
     return df
 
 

@@ -84,5 +84,5 @@ def illegal_transitions(df: DataFrame, group: list[str], order: list[Column], st
     """Rows whose state may not follow the one before in their group; a first state is legal, a repeated one too."""
     legal = F.array(*[F.lit(f"{a}>{b}") for a, more in TRANSITIONS.items() for b in more])
     before = F.lag(state).over(W.partitionBy(*group).orderBy(*order))
-    step = F.concat(before, F.lit(">"), F.col(state))
+    step = F.concat(F.col("previous_state"), F.lit(">"), F.col(state))
     return df.withColumn("previous_state", before).where(F.col("previous_state").isNotNull() & (F.col("previous_state") != F.col(state)) & ~F.array_contains(legal, step))

@@ -18,7 +18,7 @@ _oracles: dict[str, str] = {}
 #: Boxes of 40 x 40 in frames of eight orders; the id numbers a frame's boxes in an order of all columns.
 DETECTIONS = """
 SELECT frame_index, class_id, confidence, x1, y1, x1 + 40 AS x2, y1 + 40 AS y2,
-  row_number() OVER (PARTITION BY frame_index ORDER BY k1, k2, k3, k4, k5, k6, k7, k8, k9) AS detection_id
+  CAST(row_number() OVER (PARTITION BY frame_index ORDER BY k1, k2, k3, k4, k5, k6, k7, k8, k9) AS BIGINT) AS detection_id
 FROM (SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS frame_index, CAST(l_linenumber % 2 AS INT) AS class_id, l_quantity / 50 AS confidence,
   CAST((l_partkey * 37 + l_suppkey * 11) % 360 AS DOUBLE) AS x1, CAST((l_partkey * 53 + l_linenumber * 29) % 160 AS DOUBLE) AS y1,
   l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4, l_extendedprice AS k5, l_discount AS k6, l_tax AS k7, l_shipdate AS k8, l_quantity AS k9

@@ -105,7 +105,7 @@ def local_to_global_boxes(d: DataFrame) -> DataFrame:
 
 
 def _display(mode: str) -> str:
-    r = "(400.0 / 200) / (16.0 / 9)"
+    r = "((400.0::DOUBLE / 200) / (16.0::DOUBLE / 9))"
     u, v = "x1 / 400.0", "y1 / 200.0"
     if mode == "contain":
         u, v = f"CASE WHEN {r} < 1 THEN ({u} - 0.5) * {r} + 0.5 ELSE {u} END", f"CASE WHEN {r} > 1 THEN ({v} - 0.5) / ({r}) + 0.5 ELSE {v} END"

@@ -36,7 +36,7 @@ _INSIDE = (
 )
 
 
-@query(f"SELECT g, id, other_id, round(distance, 6) AS distance, rank FROM (SELECT a.g, a.id, b.id AS other_id, {_DIST} AS distance, row_number() OVER (PARTITION BY a.g, a.id ORDER BY {_DIST}, b.id) AS rank FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id) WHERE rank <= 3", p=POINTS + " WHERE event_id < 4000")
+@query(f"SELECT g, id, other_id, round(distance, 6) AS distance, rank FROM (SELECT a.g, a.id, b.id AS other_id, {_DIST} AS distance, row_number() OVER (PARTITION BY a.g, a.id ORDER BY {_DIST}, b.id) AS rank FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id) WHERE rank <= 3", p=POINTS)
 def knn_self(p: DataFrame) -> DataFrame:
     """Exact three nearest others of each point in its group."""
     found = spatial.nearest(p, p, 3, 40.0, ["g"])
@@ -63,7 +63,7 @@ def nearest_with_tolerance(p: DataFrame) -> DataFrame:
     return mine.select("id").join(spatial.radius_join(mine, p.where("g = 1"), 14.0).select("id").distinct(), "id", "left_anti")
 
 
-@query(f"WITH d AS (SELECT {_DIST} AS distance FROM p a JOIN p b ON a.g = b.g AND a.id < b.id AND {_DIST} <= 12) SELECT f AS factor, count(*) FILTER (distance <= f * 9) AS links FROM d, (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.2::DOUBLE)) v(f) GROUP BY f", p=POINTS)
+@query(f"WITH d AS (SELECT {_DIST} AS distance FROM p a JOIN p b ON a.g = b.g AND a.id < b.id AND {_DIST} <= 12) SELECT f AS factor, count(*) FILTER (distance <= f * 9) AS links FROM (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.2::DOUBLE)) v(f) LEFT JOIN d ON true GROUP BY f", p=POINTS)
 def radius_sensitivity(p: DataFrame) -> DataFrame:
     return fusion.radius_sensitivity(spatial.radius_pairs(p, 12.0, ["g"]), 9.0)
 
@@ -149,14 +149,14 @@ def mask_overlap(p: DataFrame) -> DataFrame:
 
 
 @query(
-    """SELECT p.id AS plant_id, count(f.id) AS visibility_opportunity FROM p LEFT JOIN (SELECT id, x AS fx, y AS fy FROM p WHERE id % 40 = 0) f ON p.x - fx >= 0 AND p.x - fx < 120 AND p.y - fy >= 0 AND p.y - fy < 80 WHERE p.g = 1 GROUP BY p.id""",
+    """SELECT p.id AS plant_id, count(f.id) AS visibility_opportunity FROM p LEFT JOIN (SELECT id, x AS fx, y AS fy FROM p WHERE g <> 1) f ON p.x - fx >= 0 AND p.x - fx < 120 AND p.y - fy >= 0 AND p.y - fy < 80 WHERE p.g = 1 GROUP BY p.id""",
     p=POINTS,
 )
 def visibility_opportunity(p: DataFrame) -> DataFrame:
     """In how many frames each plant is inside the image; plants meet frames by cells of the footprints."""
     x, y = F.col("x"), F.col("y")
     inverse = F.array(F.lit(1.0), F.lit(0.0), -x, F.lit(0.0), F.lit(1.0), -y, F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    frames = p.where("id % 40 = 0").select(F.col("id").alias("frame_index"), x.alias("x0"), y.alias("y0"), (x + 120).alias("x1"), (y + 80).alias("y1"), inverse.alias("inverse"))
+    frames = p.where("g <> 1").select(F.col("id").alias("frame_index"), x.alias("x0"), y.alias("y0"), (x + 120).alias("x1"), (y + 80).alias("y1"), inverse.alias("inverse"))
     return fusion.visibility(p.where("g = 1").select(F.col("id").alias("plant_id"), "x", "y"), frames, 120.0, 80.0).select("plant_id", "visibility_opportunity")
 
 

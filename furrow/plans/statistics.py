@@ -119,7 +119,7 @@ def keyframe_fold(p: DataFrame) -> DataFrame:
 
 @query(
     """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY flight, segment ORDER BY frame_index) AS r FROM p),
-s AS (SELECT flight, segment, frame_index, r, 1 + y / 1000 AS a, 0.001 AS b, x / 100 AS c FROM r WHERE r = 1
+s AS (SELECT flight, segment, frame_index, r, 1 + y / 1000 AS a, 0.001::DOUBLE AS b, x / 100 AS c FROM r WHERE r = 1
   UNION ALL SELECT s.flight, s.segment, x.frame_index, x.r, s.a * (1 + x.y / 1000), s.a * 0.001 + s.b, s.a * (x.x / 100) + s.b * 1 + s.c FROM s JOIN r x ON x.flight = s.flight AND x.segment = s.segment AND x.r = s.r + 1)
 SELECT flight, segment, frame_index, round(a, 6) AS m0, round(b, 6) AS m1, round(c, 4) AS m2 FROM s""",
     p=_PATH,

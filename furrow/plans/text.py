@@ -10,6 +10,10 @@ from furrow.plans.base import query
 from furrow.sinks import files
 from furrow.sources import protocol, srt
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 _NOTES = "SELECT event_id, concat('Frame Cnt: ', event_id, ', ISO : ', event_id % 800, ' [Rel_Alt: ', CAST(event_id % 120 AS DOUBLE) / 4, '] Mode: ', event_type, ' x') AS note FROM {events}"
 
 
@@ -24,7 +28,7 @@ def kv_extract_normalise(n: DataFrame) -> DataFrame:
 
 
 @query(
-    "SELECT page_id, sha256(" + "replace(" * len(strings.ENTITIES) + "regexp_replace(html, '<[^>]*>', '', 'g')" + "".join(f", '{k}', '{v}')" for k, v in strings.ENTITIES.items()) + ") AS text_sha256 FROM h",
+    "SELECT page_id, sha256(" + "replace(" * len(strings.ENTITIES) + "regexp_replace(html, '<[^>]*>', '', 'g')" + "".join(f", '{k}', {_quoted(v)})" for k, v in strings.ENTITIES.items()) + ") AS text_sha256 FROM h",
     h="SELECT page_id, html FROM {pages}",
 )
 def html_strip(h: DataFrame) -> DataFrame:
