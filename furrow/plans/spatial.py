@@ -43,9 +43,9 @@ def knn_self(p: DataFrame) -> DataFrame:
     return ROUND(found, "distance").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"SELECT a.g, a.id, b.id AS other_id, round({_DIST}, 6) AS distance FROM p a JOIN p b ON a.g = b.g AND a.id < b.id AND {_DIST} <= 9", p=POINTS)
+@query(f"SELECT a.g, a.id, b.id AS other_id, round({_DIST}, 6) AS distance FROM p a JOIN p b ON a.g = b.g AND a.id < b.id AND {_DIST} <= 30", p=POINTS)
 def radius_pairs(p: DataFrame) -> DataFrame:
-    return ROUND(spatial.radius_pairs(p, 9.0, ["g"]), "distance")
+    return ROUND(spatial.radius_pairs(p, 30.0, ["g"]), "distance")
 
 
 @query(f"SELECT a.id, count(b.id) AS nearby FROM p a LEFT JOIN p b ON b.kind = 'click' AND {_DIST} <= 12 WHERE a.g = 0 GROUP BY a.id", p=POINTS)
@@ -63,9 +63,9 @@ def nearest_with_tolerance(p: DataFrame) -> DataFrame:
     return mine.select("id").join(spatial.radius_join(mine, p.where("g = 1"), 14.0).select("id").distinct(), "id", "left_anti")
 
 
-@query(f"WITH d AS (SELECT {_DIST} AS distance FROM p a JOIN p b ON a.g = b.g AND a.id < b.id AND {_DIST} <= 12) SELECT f AS factor, count(*) FILTER (distance <= f * 9) AS links FROM (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.2::DOUBLE)) v(f) LEFT JOIN d ON true GROUP BY f", p=POINTS)
+@query(f"WITH d AS (SELECT {_DIST} AS distance FROM p a JOIN p b ON a.g = b.g AND a.id < b.id AND {_DIST} <= 36) SELECT f AS factor, count(*) FILTER (distance <= f * 30) AS links FROM (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.2::DOUBLE)) v(f) LEFT JOIN d ON true GROUP BY f", p=POINTS)
 def radius_sensitivity(p: DataFrame) -> DataFrame:
-    return fusion.radius_sensitivity(spatial.radius_pairs(p, 12.0, ["g"]), 9.0)
+    return fusion.radius_sensitivity(spatial.radius_pairs(p, 36.0, ["g"]), 30.0)
 
 
 @query(

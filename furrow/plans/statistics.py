@@ -11,9 +11,10 @@ from furrow.plans.base import POINTS, query
 ROUND = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-@query("SELECT kind, " + ", ".join(f"quantile_cont(v, {p}) AS p{int(p * 100)}" for p in statistics.SUMMARY) + " FROM p GROUP BY kind", p=POINTS)
+@query("SELECT kind, " + ", ".join(f"round(quantile_cont(v, {p}), 6) AS p{int(p * 100)}" for p in statistics.SUMMARY) + " FROM p GROUP BY kind", p=POINTS)
 def robust_quantiles(p: DataFrame) -> DataFrame:
-    return statistics.quantile_summary(p, ["kind"], "v")
+    out = statistics.quantile_summary(p, ["kind"], "v")
+    return ROUND(out, *[c for c in out.columns if c != "kind"])
 
 
 @query(
