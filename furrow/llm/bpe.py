@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from furrow.llm.common import released
 from furrow.llm.memo import PARTS, PLAIN, Memo
 
 #: Words in each generation of a worker's memo.
-MEMO = 250_000
+MEMO = 150_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -124,7 +125,7 @@ def round_trip(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(public_tokenizers.path(vocabulary))
-        for batch in batches:
+        for batch in released(batches):
             counts, encoded, decoded = [], [], []
             for text in batch.column(1):
                 found = c.words(text.as_py() or "")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import ship, text_of
+from furrow.llm.common import released, ship, text_of
 from furrow.llm.windows import word_hashes_at
 
 PASSAGE = 512
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, text_col: str
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(known), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             data = []
             for text in batch.column(1):
                 x, _ = features([text.as_py().encode()])
@@ -158,7 +158,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             score = model.value.scores([(t or "").encode() for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -172,7 +172,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample
     model, at = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             score = model.value.scores([(t or "").encode() for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(score >= threshold))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import hot_join, stage_table, text_of
+from furrow.llm.common import hot_join, released, stage_table, text_of
 from furrow.llm.components import connected_components
 from furrow.llm.windows import groups, mix, windows, word_hashes
 
@@ -53,7 +53,7 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             sizes, prints, sketches = [], [], []
             for s in shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], words):
                 sizes.append(len(s))
@@ -77,7 +77,7 @@ def _sets(words: int):
     """(did, text, nodes) to one row with the full set for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             dids, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             rows, size = [], 0
             for did, nodes, s in zip(dids, places, shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], words), strict=True):
@@ -139,7 +139,7 @@ def _compare(percent: int):
                 found.extend(links_within([d for d, _ in held], [s for _, s in held], percent))
             held.clear()
 
-        for batch in batches:
+        for batch in released(batches):
             for node, did, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if node != at:
                     close()

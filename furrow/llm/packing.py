@@ -9,6 +9,7 @@ best-fit decreasing, piece by piece. Executors then give each piece its rank amo
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,13 +25,15 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from furrow.llm.bpe import byte_alphabet
-from furrow.llm.common import stage_table
-from furrow.llm.memo import ODD, PARTS, PLAIN, Memo, groups
+from furrow.llm.common import released, stage_table
+from furrow.llm.memo import ODD, PLAIN, Memo, groups
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-MEMO = 400_000
+MEMO = 200_000
 _BATCH = 20_000
+_SEPARATOR, _MARK = "\x01", b"\xff\xff\xff\xff"
+_PARTS = re.compile(_SEPARATOR + r"|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\x01]+")
 
 
 class Encoder:
@@ -40,38 +43,40 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.words, self.parts = Memo(MEMO), Memo(MEMO // 2)
-        #: The bare model over ready parts, one behind another: a part ends with an id whose string has the word's end.
+        self.words, self.parts = Memo(MEMO), Memo(MEMO)
+        #: The bare model over ready parts in the byte alphabet: a part ends with an id whose string has the word's end.
         self.bare = Tokenizer(self.library.model)
         self.bare.pre_tokenizer = WhitespaceSplit()
-        self.alphabet = byte_alphabet()
+        self.table = {b: c for b, c in byte_alphabet().items() if b != 32}
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for s, i in vocabulary.items() if s.endswith(self.library.model.end_of_word_suffix)]] = True
 
     def _learn_parts(self, parts: list[str]) -> None:
+        young = self.parts.young
         for at in range(0, len(parts), _BATCH):
             some = parts[at : at + _BATCH]
-            ready = " ".join(["".join(map(self.alphabet.__getitem__, p.encode())) for p in some])
+            ready = " ".join(some).encode().decode("latin-1").translate(self.table)
             ids = np.array(self.bare.encode(ready, add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
             data, first = ids.tobytes(), 0
-            for p, last in zip(some, (4 * cuts).tolist(), strict=True):
-                self.parts.young[p] = data[first:last]
+            for p, last in zip(some, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                young[p] = data[first:last]
                 first = last
 
     def _learn(self, words: list[bytes]) -> None:
-        text, odd = b"\n".join(words).decode(), []
-        if ODD.search(text):
+        odd, young = [], self.words.young
+        if ODD.search(b"\n".join(words).decode()):
             split = [(w, w.decode()) for w in words]
             odd = [w for w, word in split if not PLAIN.fullmatch(word) or "<|" in word]
             words = [w for w, word in split if PLAIN.fullmatch(word) and "<|" not in word]
-            text = b"\n".join(words).decode()
-        listed = [PARTS.findall(w) for w in text.lower().split("\n")] if words else []
-        self._learn_parts(self.parts.missing(set().union(*listed)))
-        get, young = self.parts.young.__getitem__, self.words.young
-        for w, parts in zip(words, listed, strict=True):
-            young[w] = b"".join(map(get, parts)) if len(parts) > 1 else get(parts[0])
+        flat = _PARTS.findall(_SEPARATOR.encode().join(words).decode().lower())
+        self._learn_parts(self.parts.missing({*flat} - {_SEPARATOR}))
+        self.parts.young[_SEPARATOR] = _MARK
+        data = b"".join(map(self.parts.young.__getitem__, flat))
+        cuts, first = np.flatnonzero(np.frombuffer(data, "<u4") == 0xFFFFFFFF), 0
+        for w, last in zip(words, [*(4 * cuts).tolist(), len(data)], strict=False):
+            young[w] = data[first:last]
+            first = last + 4
         self.parts.turn()
         for w, e in zip(odd, self.library.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
             young[w] = np.array(e.ids, "<u4").tobytes()
@@ -97,10 +102,10 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(public_tokenizers.path(vocabulary))
-        for batch in batches:
+        for batch in released(batches):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            encoded = (x for group in groups(texts, 4_000_000) for x in e.encode(group))
+            encoded = (x for group in groups(texts) for x in e.encode(group))
             rows = []
             for doc, data in zip(ids, encoded, strict=True):
                 data += last
@@ -204,7 +209,7 @@ def pack(cut: DataFrame, size: int = 4096, rows_per_salt: int = 200_000) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first_rank, first_bin, each, offset = known.value
-        for batch in batches:
+        for batch in released(batches):
             length, rank = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
             at = np.searchsorted(keys, length << 44 | rank, "right") - 1
             on = rank - first_rank[at]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from furrow.llm.common import text_of
+from furrow.llm.common import released, text_of
 from furrow.llm.windows import OVER_WORDS_2, groups, inside, windows, word_hashes
 
 _LEAST = -(2**63)
@@ -83,7 +83,7 @@ def _anchors(length: int):
     """Level 1: rows of half windows; those that the group repeats are settled, but for one row of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             dids, texts = batch.column(0).to_numpy(), _texts(batch, 2)
             for g in groups(texts):
                 level = Level(texts[g.start : g.stop], length)
@@ -108,7 +108,7 @@ def _extended(length: int):
     """Level 2: rows of the full windows for which a repeated half window stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             dids, texts, places = batch.column(0).to_numpy(), _texts(batch, 2), batch.column(3)
             for g in groups(texts):
                 level = Level(texts[g.start : g.stop], length)
@@ -140,7 +140,7 @@ def _extended(length: int):
 
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for doc, text, ranges in zip(batch.column(1).to_pylist(), _texts(batch, 2), batch.column(3).to_pylist(), strict=True):
                 words, gone = text.split(), 0

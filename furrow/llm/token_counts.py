@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 from tokenizers import Tokenizer
 
-from furrow.llm.common import hot_join, scratch_root, stage_table, text_of
+from furrow.llm.common import hot_join, released, scratch_root, stage_table, text_of
 from furrow.llm.memo import Memo, groups
 
 CACHE = "dig binary, tokenizer string, n_tokens long"
-MEMO = 400_000
+MEMO = 200_000
 _BATCH = 20_000
 
 
@@ -78,8 +78,8 @@ def encode_counts(texts: DataFrame, vocabulary: str, tokenizer: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(public_tokenizers.path(vocabulary))
-        for batch in batches:
-            counts = [n for group in groups(batch.column(1).to_pylist(), 4_000_000) for n in c.count(group)]
+        for batch in released(batches):
+            counts = [n for group in groups(batch.column(1).to_pylist()) for n in c.count(group)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokenizer] * len(counts), pa.string()), pa.array(counts, pa.int64())], ["dig", "tokenizer", "n_tokens"])
 
     return texts.mapInArrow(run, CACHE)
