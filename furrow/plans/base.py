@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from furrow.storage import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _queries: dict[str, Query] = {}
@@ -65,6 +67,7 @@ def query(oracle: str | None = None, **fixtures: str) -> Callable[[Callable[...,
         name = f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return f(**{k: made(spark, sf_dir, v) for k, v in fixtures.items()})
 
         _queries[name] = run

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.plans import telemetry
 from furrow.plans.base import _oracles, _queries, plain
-from furrow.storage import checkpoint_root
+from furrow.storage import checkpoint_root, ship
 from furrow.streaming import stateful
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -24,6 +24,7 @@ def _finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> D
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     raw = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.select("event_id", "user_id", "event_type", "value", (F.col("event_id").cast("double") * 37 / 10 + (F.col("event_id") * 17 % 11).cast("double") / 10).alias("t"))
 

@@ -1,8 +1,11 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Cutting lineage through the shared checkpoint folder, and sending the package to executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +23,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context; they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_furrow_sent", False):
+        return
+    top = Path(__file__).resolve().parent
+    handle, name = tempfile.mkstemp(prefix="furrow-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(name)
+    sc._furrow_sent = True
