@@ -4,37 +4,25 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow import storage
+
 #: White space of the word contracts: a word is a run of anything else.
 WS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context, and keep Arrow batches of long texts small."""
+    """Send the package to the executors, and keep Arrow batches of long texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    sc = spark.sparkContext
-    if getattr(sc, "_furrow_sent", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    handle, name = tempfile.mkstemp(prefix="furrow-", suffix=".zip")
-    os.close(handle)
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(name)
-    sc._furrow_sent = True
+    storage.ship(spark)
 
 
 def released(batches: Iterator) -> Iterator:
@@ -51,13 +39,7 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="furrow-")
-        sc.setCheckpointDir(root)
-    return root
+    return storage.checkpoint_root(spark)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
