@@ -1,14 +1,15 @@
 """Substring dedup by level-wise doubling.
 
-Level 1 looks at windows of half the length. Of the half windows inside a full window only the one with the smallest
-hash (the leftmost of equals) stands for it: equal full windows choose equal ones, so about a sixth of all
-places suffices. Half windows that are found once in the corpus end there. Level 2 extends those repeated to twice the length: the
-full windows they stand for are hashed (96 bits) and all occurrences but the earliest are marked. The ladder ends at
-the contract's length, as a repeat of any greater length is covered by its repeated full windows.
+The ladder doubles: 5, 10 and 20 words for the contract's windows of 20. At each lower level, of the short windows inside a
+full window only the one with the smallest hash (the leftmost of equals) stands for it: equal full windows choose equal
+ones, so an eighth (5 words) or a sixth (10) of all places suffices. Short windows found once in the corpus end there; the
+full windows for which a repeated one stands go on to the next level, at twice the length. At the top the full windows
+are hashed (96 bits) and all occurrences but the earliest are marked. The ladder ends there, as a repeat of any greater
+length is covered by its repeated full windows.
 
 Before a level's rows shuffle, each group of texts (about 1 MB) settles its own repeats and sends one row for each
 key, so a passage that a third of the corpus shares comes to a key's task once for each group and not once for each document.
-Texts shuffle once, by document, and both joins read that exchange.
+Texts shuffle once, by document; the joins of all levels read that exchange.
 """
 
 from __future__ import annotations
@@ -43,18 +44,27 @@ def _leftmost_smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Level:
-    """A group's windows: which are whole, and which half window stands for each."""
+    """A group's windows: which are whole, and which short windows stand for them."""
 
     def __init__(self, texts: list[bytes], length: int) -> None:
+        self.length = length
         self.hashes, self.counts = word_hashes(texts)
         self.first = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
         self.text = np.repeat(np.arange(len(texts)), self.counts)
         self.whole = np.flatnonzero(inside(self.counts, length))
-        self.half = windows(self.hashes, length // 2)
-        if len(self.whole):
-            self.stands = _leftmost_smallest(self.half, length - length // 2 + 1)[self.whole]
-        else:
-            self.stands = np.zeros(0, np.int64)
+
+    def short(self, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of ``part`` words, and for each whole window the place of the one that stands for it."""
+        hashes = windows(self.hashes, part)
+        return hashes, _leftmost_smallest(hashes, self.length - part + 1)[self.whole] if len(self.whole) else self.whole
+
+    def candidates(self, part: int, places: pa.Array) -> None:
+        """Keep the whole windows for which one of the places (word numbers, listed by text) stands."""
+        sizes = np.array([len(x) for x in places])
+        flat = np.asarray(places.flatten()).astype(np.int64) + np.repeat(self.first, sizes)
+        marked = np.zeros(len(self.hashes), bool)
+        marked[flat[flat < len(marked)]] = True
+        self.whole = self.whole[marked[self.short(part)[1]]]
 
     def place(self, at: np.ndarray) -> np.ndarray:
         """Word numbers in the text of word numbers in the group."""
@@ -79,61 +89,51 @@ def _runs(did: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     return _rows(did[first].view(np.uint64), did[first], at[first], at[last])
 
 
-def _anchors(length: int):
-    """Level 1: rows of half windows; those that the group repeats are settled, but for one row of each."""
+def _levels(batches: Iterator[pa.RecordBatch], length: int, before: int | None) -> Iterator[tuple[Level, np.ndarray]]:
+    """Groups of texts with their ids; with ``before``, only the windows that survived that level."""
+    for batch in released(batches):
+        dids, texts = batch.column(0).to_numpy(), _texts(batch, 2)
+        for g in groups(texts):
+            level = Level(texts[g.start : g.stop], length)
+            if before and len(level.whole):
+                level.candidates(before, batch.column(3).slice(g.start, len(g)))
+            if len(level.whole):
+                yield level, dids[g.start : g.stop]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in released(batches):
-            dids, texts = batch.column(0).to_numpy(), _texts(batch, 2)
-            for g in groups(texts):
-                level = Level(texts[g.start : g.stop], length)
-                if not len(level.stands):
-                    continue
-                at = level.stands[np.concatenate([[True], level.stands[1:] != level.stands[:-1]])]
-                key, did = level.half[at], dids[g.start : g.stop][level.text[at]]
-                _, first, group, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                at = level.place(at)
-                yield _rows(key[first], did[first], at[first])
-                if len(settled := np.flatnonzero(size[group] > 1)):
-                    yield _runs_of_points(did[settled], at[settled])
 
-    return run
+def _shorter(length: int, part: int, before: int | None):
+    """A lower level: rows of short windows; those that the group repeats are settled, but for one row of each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for level, dids in _levels(batches, length, before):
+            hashes, stands = level.short(part)
+            at = stands[np.concatenate([[True], stands[1:] != stands[:-1]])]
+            key, did, place = hashes[at], dids[level.text[at]], level.place(at)
+            _, first, group, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            yield _rows(key[first], did[first], place[first])
+            if len(settled := np.flatnonzero(size[group] > 1)):
+                yield _rows(did[settled].view(np.uint64), did[settled], place[settled], place[settled])
 
-def _runs_of_points(did: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return _rows(did.view(np.uint64), did, at, at)
+    return run
 
 
-def _extended(length: int):
-    """Level 2: rows of the full windows for which a repeated half window stands."""
+def _full(length: int, before: int):
+    """The top level: rows of the full windows; later ones of a group are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in released(batches):
-            dids, texts, places = batch.column(0).to_numpy(), _texts(batch, 2), batch.column(3)
-            for g in groups(texts):
-                level = Level(texts[g.start : g.stop], length)
-                if not len(level.stands):
-                    continue
-                listed = places.slice(g.start, len(g))
-                flat = np.asarray(listed.flatten()).astype(np.int64)
-                sizes = np.array([len(x) for x in listed])
-                marked = np.zeros(len(level.hashes), bool)
-                flat = flat + np.repeat(level.first, sizes)
-                marked[flat[flat < len(marked)]] = True
-                at = level.whole[marked[level.stands]]
-                if not len(at):
-                    continue
-                key = windows(level.hashes, length)[at]
-                second = windows(level.hashes, length, OVER_WORDS_2)[at] >> np.uint64(32)
-                did, place = dids[g.start : g.stop][level.text[at]], level.place(at)
-                order = np.lexsort((place, did, second, key))
-                key, second, did, place = key[order], second[order], did[order], place[order]
-                new = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])])
-                first = np.flatnonzero(new)[np.cumsum(new) - 1]
-                yield _rows(key[new], did[new], ((second << np.uint64(32)) | place.astype(np.uint64))[new].view(np.int64))
-                later = (did != did[first]) | (place != place[first])
-                if later.any():
-                    yield _runs(did[later], place[later])
+        for level, dids in _levels(batches, length, before):
+            at = level.whole
+            key = windows(level.hashes, length)[at]
+            second = windows(level.hashes, length, OVER_WORDS_2)[at] >> np.uint64(32)
+            did, place = dids[level.text[at]], level.place(at)
+            order = np.lexsort((place, did, second, key))
+            key, second, did, place = key[order], second[order], did[order], place[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            yield _rows(key[new], did[new], ((second << np.uint64(32)) | place.astype(np.uint64))[new].view(np.int64))
+            later = (did != did[first]) | (place != place[first])
+            if later.any():
+                yield _runs(did[later], place[later])
 
     return run
 
@@ -161,13 +161,21 @@ def _kept(length: int):
     return run
 
 
-def repeated_ranges(texts: DataFrame, dealt: DataFrame, length: int = 20) -> DataFrame:
+def repeated_ranges(texts: DataFrame, dealt: DataFrame, length: int = 20, lowest: int = 5) -> DataFrame:
     """(did, doc_id, text), as read and dealt out by did, to (did, ranges): first start << 32 | last start of windows whose words also start earlier."""
-    rows = texts.mapInArrow(_anchors(length), _ROW)
-    twice = F.count(F.lit(1)).over(W.partitionBy("key")) > 1
-    places = rows.withColumn("twice", twice).where(F.col("twice") | F.col("until").isNotNull())
-    places = places.groupBy("did").agg(F.collect_set(F.col("at").cast("int")).alias("places"))
-    rows = dealt.join(places.hint("shuffle_hash"), "did").select("did", "doc_id", "text", "places").mapInArrow(_extended(length), _ROW)
+    ladder = [length]
+    while ladder[0] // 2 >= lowest:
+        ladder.insert(0, ladder[0] // 2)
+    if len(ladder) == 1:
+        ladder.insert(0, max(1, length // 2))
+    source, before = texts, None
+    for part in ladder[:-1]:
+        rows = source.mapInArrow(_shorter(length, part, before), _ROW)
+        twice = F.count(F.lit(1)).over(W.partitionBy("key")) > 1
+        places = rows.withColumn("twice", twice).where(F.col("twice") | F.col("until").isNotNull())
+        places = places.groupBy("did").agg(F.collect_set(F.col("at").cast("int")).alias("places"))
+        source, before = dealt.join(places.hint("shuffle_hash"), "did").select("did", "doc_id", "text", "places"), part
+    rows = source.mapInArrow(_full(length, before), _ROW)
     second, place = F.shiftrightunsigned("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
     rows = rows.select("key", "did", "until", F.when(F.col("until").isNull(), second).otherwise(F.lit(-1)).alias("second"), place.alias("place"))
     later = F.rank().over(W.partitionBy("key", "second").orderBy("did", "place")) > 1
