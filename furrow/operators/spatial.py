@@ -40,35 +40,37 @@ def radius_pairs(points: DataFrame, radius: float, by: list[str] | None = None)
     return radius_join(points, points, radius, by).where("id < other_id")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, cell: float, by: list[str] | None = None, itself: bool = False, most_rings: int = 64) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, cell: float, by: list[str] | None = None, itself: bool = False) -> DataFrame:
     """Exact k nearest right points of each left point: (by, id, other_id, distance, rank).
 
-    Rings of cells widen until the k-th distance is inside the ring, which makes it certain; only points
-    that aren't certain yet go to the next ring. Points in groups with fewer than k others end with what there is
-    once the ring covers the group's extent.
+    Points meet those of the nine cells around them. A result is certain once the k-th distance is no larger than a cell, or the cells
+    cover the group's extent; points that aren't certain yet go on with cells of twice the size. A point
+    with fewer than k others gets those there are.
     """
     if not by:
-        alone = nearest(left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), k, cell, ["_all"], itself, most_rings)
+        alone = nearest(left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), k, cell, ["_all"], itself)
         return alone.drop("_all")
-    extent = right.groupBy(*by).agg((F.max("x") - F.min("x")).alias("_w"), (F.max("y") - F.min("y")).alias("_h"), F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
+    extent = right.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
     todo = left.select(*by, "id", "x", "y").join(extent, by)
-    todo = todo.withColumn("_far", F.greatest(F.abs(F.col("x") - F.col("_x0")), F.abs(F.col("x") - F.col("_x1")), F.abs(F.col("y") - F.col("_y0")), F.abs(F.col("y") - F.col("_y1")))).select(*by, "id", "x", "y", "_far")
-    r = with_cells(right.select(*by, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy")), cell, "ox", "oy")
-    done, ring = None, 1
+    far = F.greatest(F.abs(F.col("x") - F.col("_x0")), F.abs(F.col("x") - F.col("_x1")), F.abs(F.col("y") - F.col("_y0")), F.abs(F.col("y") - F.col("_y1")))
+    todo = todo.withColumn("_far", far).select(*by, "id", "x", "y", "_far")
+    others = right.select(*by, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    one = W.partitionBy(*by, "id")
+    done = None
     while True:
-        pairs = with_cells(todo, cell, ring=ring).join(r, [*by, "gx", "gy"])
+        pairs = with_cells(todo, cell, ring=1).join(with_cells(others, cell, "ox", "oy"), [*by, "gx", "gy"])
         if not itself:
             pairs = pairs.where("id <> other_id")
         pairs = pairs.withColumn("distance", _distance())
-        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*by, "id").orderBy("distance", "other_id"))).where(F.col("rank") <= k)
-        sure = ranked.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("distance"))).over(W.partitionBy(*by, "id")))
-        covered = (F.col("_kth") <= ring * cell) | (F.col("_far") <= ring * cell)
-        found = checkpointed(sure.where(covered).select(*by, "id", "other_id", "distance", "rank"))
+        ranked = pairs.withColumn("rank", F.row_number().over(one.orderBy("distance", "other_id"))).where(F.col("rank") <= k)
+        sure = ranked.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("distance"))).over(one))
+        sure = sure.where((F.col("_kth") <= cell) | (F.col("_far") <= cell))
+        found = checkpointed(sure.select(*by, "id", "other_id", "distance", "rank"))
         done = found if done is None else done.unionByName(found)
-        rest = checkpointed(todo.join(found.select(*by, "id").distinct(), [*by, "id"], "left_anti").where(F.col("_far") > ring * cell))
-        if ring >= most_rings or rest.isEmpty():
+        rest = todo.join(found.select(*by, "id").distinct(), [*by, "id"], "left_anti").where(F.col("_far") > cell)
+        todo, cell = checkpointed(rest), cell * 2
+        if todo.isEmpty():
             return done
-        todo, ring = rest, ring * 2
 
 
 def edges_of(rings: DataFrame, by: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 DETECTIONS = (
@@ -70,11 +70,17 @@ def missing_shards(wanted: DataFrame, present: DataFrame, key: str = "frame_inde
     return wanted.join(present.select(key).distinct(), key, "left_anti")
 
 
-def unsorted_rows(df: DataFrame, order: str, key: str) -> DataFrame:
-    """Rows whose key is smaller than that of the row before; an empty result means the stream is sorted."""
-    from pyspark.sql import Window as W
+def unsorted_rows(df: DataFrame, order: str, key: str, bucket: int = 100_000) -> DataFrame:
+    """Numbers of rows whose key is smaller than that of the row before; an empty result means the stream is sorted.
 
-    return df.withColumn("_before", F.lag(key).over(W.orderBy(order))).where(F.col(key) < F.col("_before")).drop("_before")
+    Rows are compared within buckets of row numbers, and the buckets' ends with one another, so no task sees all rows.
+    """
+    held = df.select(F.col(order).alias("at"), F.col(key).alias("key"), F.floor(F.col(order) / bucket).alias("b"))
+    before = F.lag("key").over(W.partitionBy("b").orderBy("at"))
+    inside = held.withColumn("before", before).where("key < before").select("at")
+    ends = held.groupBy("b").agg(F.min("at").alias("at"), F.min_by("key", "at").alias("first"), F.max_by("key", "at").alias("last"))
+    across = ends.join(ends.select((F.col("b") + 1).alias("b"), F.col("last").alias("before")), "b").where("first < before").select("at")
+    return inside.unionByName(across)
 
 
 def paired_media(videos: DataFrame, subtitles: DataFrame) -> DataFrame:

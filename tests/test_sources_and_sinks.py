@@ -89,6 +89,13 @@ def test_control_and_images(spark, tmp_path):
     assert [r["frame_index"] for r in readers.read_frame_images(spark, f"file://{tmp_path}").collect()] == [12]
 
 
+def test_unsorted_rows(spark):
+    keys = [1, 2, 2, 5, 4, 6, 3]
+    df = spark.createDataFrame([*enumerate(keys)], "row_id long, frame_index long")
+    for bucket in (2, 3, 100):
+        assert sorted(r["at"] for r in readers.unsorted_rows(df, "row_id", "frame_index", bucket).collect()) == [4, 6]
+
+
 def test_paired_media(spark):
     t = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
     assert readers.paired_media(t("/a/Flight1.MP4", "/a/b.mp4"), t("/a/flight1.srt", "/a/c.srt")).count() == 1
