@@ -111,3 +111,10 @@ def breaks(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """Rows whose number doesn't follow the one before by one: an empty result means a contiguous sequence."""
     was = F.lag(order).over(W.partitionBy(*by).orderBy(order))
     return df.withColumn("previous", was).where(F.col("previous").isNotNull() & (F.col(order) != F.col("previous") + 1))
+
+
+def looked_up(wanted: DataFrame, index: DataFrame, key: str, index_key: str) -> DataFrame:
+    """Each wanted key with its row of the index; reading a key that has no row raises an error."""
+    held = wanted.join(index.withColumn("_there", F.lit(True)), F.col(key) == F.col(index_key), "left")
+    checked = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no row for key "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
+    return held.where(checked).drop("_there", index_key)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions import gates
 from furrow.functions.boxes import iou
-from furrow.operators import reports
+from furrow.operators import fusion, reports
 from furrow.plans.base import DETECTIONS, FRAMES, POINTS, query
 from furrow.plans.statistics import ROUND
 from furrow.sinks import files
@@ -107,3 +108,63 @@ def geojson_round_trip(p: DataFrame) -> DataFrame:
     text = files.point_features(p.where("g = 2"), "x", "y", ["id", "kind"])
     parsed = text.select(F.from_json("value", "properties struct<id:long,kind:string>, geometry struct<coordinates:array<double>>").alias("f"))
     return parsed.select("f.properties.id", F.get("f.geometry.coordinates", F.lit(0)).alias("x"), F.get("f.geometry.coordinates", F.lit(1)).alias("y"), "f.properties.kind")
+
+
+_WARNED = "SELECT event_id, concat(event_type, CASE event_id % 6 WHEN 0 THEN ' CUDA error' WHEN 1 THEN ': Out of Memory' WHEN 2 THEN ' engine deserialization' ELSE ' slow frame' END) AS warning, CAST(event_id % 100 AS DOUBLE) AS width, CAST(event_id % 90 AS DOUBLE) AS cx FROM {events}"
+
+
+@query(
+    """SELECT event_id, regexp_matches(lower(warning), 'cuda|tensorrt|out of memory|engine deserial') AS fatal,
+CASE WHEN width >= 38 THEN 'main_planted_block' WHEN cx < 50 THEN 'left_side_planted_strip' ELSE 'right_side_planted_strip' END AS category FROM e""",
+    e=_WARNED,
+)
+def warning_and_component_predicates(e: DataFrame) -> DataFrame:
+    return e.select("event_id", gates.fatal_warning(F.col("warning")).alias("fatal"), gates.component_category(F.col("width"), F.col("cx"), F.lit(100.0)).alias("category"))
+
+
+@query("SELECT frame_index, round(avg(ms), 9) AS mean_ms, min(ms) AS min_ms, max(ms) AS max_ms FROM (SELECT frame_index, confidence * 100 AS ms FROM d) GROUP BY 1", d=DETECTIONS)
+def tile_timing(d: DataFrame) -> DataFrame:
+    ms = F.col("confidence") * 100
+    return d.groupBy("frame_index").agg(F.round(F.avg(ms), 9).alias("mean_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"))
+
+
+@query("SELECT wanted, price FROM (SELECT k AS wanted FROM f WHERE status = 'F') w JOIN (SELECT k, price FROM f) i ON k = wanted", f=FRAMES)
+def index_lookup(f: DataFrame) -> DataFrame:
+    """Rows looked up by number; a number without its row is an error."""
+    return reports.looked_up(f.where("status = 'F'").select(F.col("k").alias("wanted")), f.select("k", "price"), "wanted", "k")
+
+
+@query("SELECT CAST(floor(id / 7) AS BIGINT) AS plant, count(*) AS observations, median(x) AS local_x, median(y) AS local_y, max(w) AS max_confidence, round(avg(w), 9) AS mean_confidence, min(id % 50) AS first_frame, max(id % 50) AS last_frame FROM p GROUP BY 1", p=POINTS)
+def live_plant_aggregate(p: DataFrame) -> DataFrame:
+    """The streaming variant of plants: plain medians."""
+    return p.groupBy(F.floor(F.col("id") / 7).alias("plant")).agg(
+        F.count(F.lit(1)).alias("observations"), F.median("x").alias("local_x"), F.median("y").alias("local_y"), F.max("w").alias("max_confidence"), F.round(F.avg("w"), 9).alias("mean_confidence"),
+        F.min(F.col("id") % 50).alias("first_frame"), F.max(F.col("id") % 50).alias("last_frame"),
+    )
+
+
+@query(
+    """SELECT id, round(CASE WHEN valid THEN 40 + degrees((0.8 * x + 0.6 * y + 3) / 6378137) END, 9) AS latitude, round(CASE WHEN valid THEN 20 + degrees((0.6 * x - 0.8 * y + 5) / (6378137 * cos(radians(40)))) END, 9) AS longitude
+FROM (SELECT *, g <> 3 AS valid FROM p)""",
+    p=POINTS,
+)
+def georeferenced_plants(p: DataFrame) -> DataFrame:
+    """Positions from a group's similarity; groups whose gate failed get none."""
+    lit = F.lit
+    fit = p.select("g").distinct().select("g", lit(0.6).alias("a"), lit(0.8).alias("b"), lit(5.0).alias("shift_x"), lit(3.0).alias("shift_y"), lit(40.0).alias("lat0"), lit(20.0).alias("lon0"), (F.col("g") != 3).alias("geo_valid"))
+    out = fusion.georeferenced(p.select("id", "g", "x", "y"), fit, ["g"])
+    return out.select("id", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"))
+
+
+@query("SELECT frame_index, detection_id, round((x1 + x2) / 2 * 1.5 + 7, 6) AS local_x, round((y1 + y2) / 2 * 1.5 + frame_index, 6) AS local_y FROM d", d=DETECTIONS)
+def detections_to_local(d: DataFrame) -> DataFrame:
+    """Box centers through the transform of their frame."""
+    lit = F.lit
+    matrix = F.array(lit(1.5), lit(0.0), lit(7.0), lit(0.0), lit(1.5), F.col("frame_index").cast("double"), lit(0.0), lit(0.0), lit(1.0))
+    out = fusion.to_local(d, d.select("frame_index").distinct().withColumn("matrix", matrix))
+    return out.select("frame_index", "detection_id", F.round("local_x", 6).alias("local_x"), F.round("local_y", 6).alias("local_y"))
+
+
+@query("SELECT k, least(greatest(4.0, 0.35 * s, 3 * e), 0.45 * s) AS radius FROM t", t="SELECT o_orderkey AS k, CAST(o_orderkey % 60 AS DOUBLE) AS s, CAST(o_orderkey % 7 AS DOUBLE) AS e FROM {orders}")
+def association_radius(t: DataFrame) -> DataFrame:
+    return t.select("k", fusion.association_radius(F.col("s"), F.col("e")).alias("radius"))
