@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from furrow.llm.common import released
-from furrow.llm.memo import PARTS, PLAIN, Memo
+from furrow.llm.memo import PARTS, PLAIN, Memo, groups
 
 #: Words in each generation of a worker's memo.
 MEMO = 150_000
@@ -48,7 +48,7 @@ class Codec:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.alphabet = byte_alphabet()
-        self.memo, self.parts = Memo(MEMO), Memo(MEMO)
+        self.memo, self.parts, self.blanks = Memo(MEMO), Memo(2 * MEMO), False
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge until no pair has a rank. The queue holds (rank, place, left, right); an entry whose symbols have changed is stale."""
@@ -92,19 +92,24 @@ class Codec:
                     found += self._part(p)
         return found
 
-    def words(self, text: str) -> list[tuple[int, bytes, str]]:
-        """For each word: number of ids, the ids in decimal, their strings."""
-        words, memo = text.encode().split(), self.memo.young
-        for w in self.memo.missing({*words}):
+    def encoded(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        """For each text its ids in decimal and their strings, each joined by one space."""
+        split = [t.encode().split() for t in texts]
+        for w in self.memo.missing(set().union(*split)):
             ids = self.encode_word(w.decode())
-            memo[w] = len(ids), b" ".join([b"%d" % i for i in ids]), self.decode(ids)
-        found = [x for x in map(memo.__getitem__, words) if x[0]]
-        self.memo.turn()
+            self.memo.young[w] = b" ".join([b"%d" % i for i in ids]), self.decode(ids)
+            self.blanks |= not ids
         self.parts.turn()
-        return found
+        get = self.memo.young.__getitem__
+        for words in split:
+            found = [*map(get, words)]
+            if self.blanks:
+                found = [x for x in found if x[0]]
+            yield b" ".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        self.memo.turn()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.words(text) for i in ids.split()]
+        return [int(i) for ids, _ in self.encoded([text]) for i in ids.split()]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's strings, joined as the library does where no decoder is set: by one space."""
@@ -127,11 +132,11 @@ def round_trip(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: s
         c = codec(public_tokenizers.path(vocabulary))
         for batch in released(batches):
             counts, encoded, decoded = [], [], []
-            for text in batch.column(1):
-                found = c.words(text.as_py() or "")
-                counts.append(sum(n for n, _, _ in found))
-                encoded.append(hashlib.sha256(b" ".join([x for _, x, _ in found])).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([x for _, _, x in found]).encode()).hexdigest())
+            for group in groups([t or "" for t in batch.column(1).to_pylist()]):
+                for ids, text in c.encoded(group):
+                    counts.append(ids.count(b" ") + 1 if ids else 0)
+                    encoded.append(hashlib.sha256(ids).hexdigest())
+                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -4,7 +4,7 @@ The ladder doubles: 5, 10 and 20 words for the contract's windows of 20. At each
 full window only the one with the smallest hash (the leftmost of equals) stands for it: equal full windows choose equal
 ones, so an eighth (5 words) or a sixth (10) of all places suffices. Short windows found once in the corpus end there; the
 full windows for which a repeated one stands go on to the next level, at twice the length. At the top the full windows
-are hashed (96 bits) and all occurrences but the earliest are marked. The ladder ends there, as a repeat of any greater
+are hashed (95 bits) and all occurrences but the earliest are marked. The ladder ends there, as a repeat of any greater
 length is covered by its repeated full windows.
 
 Before a level's rows shuffle, each group of texts (about 1 MB) settles its own repeats and sends one row for each
@@ -27,7 +27,7 @@ from furrow.llm.common import released, text_of
 from furrow.llm.windows import OVER_WORDS_2, groups, inside, windows, word_hashes
 
 _LEAST = -(2**63)
-_ROW = "key long, did long, at long, until int"
+_ROW = "key long, did long, at long"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -75,18 +75,22 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [(t or "").encode() for t in batch.column(column).to_pylist()]
 
 
-def _rows(key: np.ndarray, did: np.ndarray, at: np.ndarray, until: np.ndarray | None = None) -> pa.RecordBatch:
-    until = pa.nulls(len(key), pa.int32()) if until is None else pa.array(until, pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(did), pa.array(at.astype(np.int64)), until], ["key", "did", "at", "until"])
+def _rows(key: np.ndarray, did: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(did), pa.array(at.astype(np.int64))], ["key", "did", "at"])
+
+
+def _settled(did: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Settled values as rows with a negative ``at``, did as key: a document's rows stay together."""
+    return _rows(did.view(np.uint64), did, ~at.astype(np.int64))
 
 
 def _runs(did: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Settled places as rows (did as key, did, first, last) of places in a row; a document's rows stay together."""
+    """Settled places as rows of first << 31 | last of places in a row."""
     order = np.lexsort((at, did))
     did, at = did[order], at[order]
     breaks = np.flatnonzero((did[1:] != did[:-1]) | (at[1:] > at[:-1] + 1)) + 1
     first, last = np.concatenate([[0], breaks]), np.concatenate([breaks - 1, [len(did) - 1]])
-    return _rows(did[first].view(np.uint64), did[first], at[first], at[last])
+    return _settled(did[first], at[first] << 31 | at[last])
 
 
 def _levels(batches: Iterator[pa.RecordBatch], length: int, before: int | None) -> Iterator[tuple[Level, np.ndarray]]:
@@ -112,7 +116,7 @@ def _shorter(length: int, part: int, before: int | None):
             _, first, group, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             yield _rows(key[first], did[first], place[first])
             if len(settled := np.flatnonzero(size[group] > 1)):
-                yield _rows(did[settled].view(np.uint64), did[settled], place[settled], place[settled])
+                yield _settled(did[settled], place[settled])
 
     return run
 
@@ -124,7 +128,7 @@ def _full(length: int, before: int):
         for level, dids in _levels(batches, length, before):
             at = level.whole
             key = windows(level.hashes, length)[at]
-            second = windows(level.hashes, length, OVER_WORDS_2)[at] >> np.uint64(32)
+            second = windows(level.hashes, length, OVER_WORDS_2)[at] >> np.uint64(33)
             did, place = dids[level.text[at]], level.place(at)
             order = np.lexsort((place, did, second, key))
             key, second, did, place = key[order], second[order], did[order], place[order]
@@ -172,15 +176,17 @@ def repeated_ranges(texts: DataFrame, dealt: DataFrame, length: int = 20, lowest
     for part in ladder[:-1]:
         rows = source.mapInArrow(_shorter(length, part, before), _ROW)
         twice = F.count(F.lit(1)).over(W.partitionBy("key")) > 1
-        places = rows.withColumn("twice", twice).where(F.col("twice") | F.col("until").isNotNull())
-        places = places.groupBy("did").agg(F.collect_set(F.col("at").cast("int")).alias("places"))
+        places = rows.withColumn("twice", twice).where(F.col("twice") | (F.col("at") < 0))
+        place = F.when(F.col("at") < 0, F.bitwise_not("at")).otherwise(F.col("at")).cast("int")
+        places = places.groupBy("did").agg(F.collect_set(place).alias("places"))
         source, before = dealt.join(places.hint("shuffle_hash"), "did").select("did", "doc_id", "text", "places"), part
     rows = source.mapInArrow(_full(length, before), _ROW)
-    second, place = F.shiftrightunsigned("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
-    rows = rows.select("key", "did", "until", F.when(F.col("until").isNull(), second).otherwise(F.lit(-1)).alias("second"), place.alias("place"))
-    later = F.rank().over(W.partitionBy("key", "second").orderBy("did", "place")) > 1
-    marked = rows.withColumn("later", later).where(F.col("later") | F.col("until").isNotNull())
-    span = F.shiftleft(F.col("place"), 32).bitwiseOR(F.coalesce("until", F.col("place")))
+    own, place = F.col("at") >= 0, F.col("at").bitwiseAND(0xFFFFFFFF)
+    rows = rows.select("key", "did", "at", F.when(own, F.shiftright("at", 32)).otherwise(F.lit(-1)).alias("second"))
+    later = F.rank().over(W.partitionBy("key", "second").orderBy("did", "at")) > 1
+    marked = rows.withColumn("later", later).where(F.col("later") | ~own)
+    run = F.bitwise_not("at")
+    span = F.when(own, F.shiftleft(place, 32).bitwiseOR(place)).otherwise(F.shiftleft(F.shiftright(run, 31), 32).bitwiseOR(run.bitwiseAND(0x7FFFFFFF)))
     return marked.groupBy("did").agg(F.collect_list(span).alias("ranges"))
 
 
