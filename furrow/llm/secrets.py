@@ -10,6 +10,8 @@ Positions come from the pieces between matches, so that one scan of a kind is en
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,23 +34,35 @@ def _none() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def _spans(text: Column, pattern: str, kind: str, number: int, good=None) -> Column:
-    """Spans of a kind's matches; good: of the match's text and, by place, of group 2 if there is one."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spans(text: Column, pattern: str, kind: str, number: int, good: Column | None = None) -> Column:
+    """Spans of a kind's matches; ``good`` says of each match, by place, whether it counts.
+
+    Places are running sums over the pieces between matches and the matches, in blocks, so that the work is nearly in
+    proportion to the number of matches.
+    """
+    block = 256
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    step = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("size"))
-    step = F.slice(step, 1, F.size(found))
-    placed = F.aggregate(
-        step,
-        F.struct(F.lit(0).alias("at"), _none().alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), F.lit(number).alias("no"), F.lit(kind).alias("kind"), (s["at"] + x["gap"] + x["size"]).alias("end")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    if good is not None:
-        placed = F.filter(placed, lambda _, i: F.element_at(good, i + 1))
+    gaps, sizes = F.transform(F.split(text, pattern, -1), F.length), F.transform(found, F.length)
+    ok = F.transform(found, lambda _: F.lit(True)) if good is None else good
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), ok.alias("ok")), lambda x: x["size"].isNotNull())
+    width = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+    before = lambda blocks: F.aggregate(F.transform(blocks, width), F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+
+    def place(b: Column, start: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            first = s["at"] + x["gap"]
+            span = F.struct(first.alias("start"), F.lit(number).alias("no"), F.lit(kind).alias("kind"), (first + x["size"]).alias("end"))
+            return F.struct((first + x["size"]).alias("at"), F.when(x["ok"], F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+
+        return F.aggregate(b, F.struct(start.alias("at"), _none().alias("out")), step, lambda s: s["out"])
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / block).cast("int")), lambda k: F.slice(all_, k * block + 1, F.lit(block)))
+    placed = _let(steps, lambda all_: _let(cut(all_), lambda blocks: _let(before(blocks), lambda starts: F.flatten(F.transform(blocks, lambda b, k: place(b, F.get(starts, k)))))))
     return F.when(F.size(found) == 0, _none()).otherwise(placed)
 
 
