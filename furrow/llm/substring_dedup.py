@@ -114,6 +114,7 @@ def _shorter(length: int, part: int, before: int | None):
             at = stands[np.concatenate([[True], stands[1:] != stands[:-1]])]
             key, did, place = hashes[at], dids[level.text[at]], level.place(at)
             _, first, group, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            first.sort()  # a text's rows behind one another compress better in the shuffle
             yield _rows(key[first], did[first], place[first])
             if len(settled := np.flatnonzero(size[group] > 1)):
                 yield _settled(did[settled], place[settled])
@@ -131,13 +132,14 @@ def _full(length: int, before: int):
             second = windows(level.hashes, length, OVER_WORDS_2)[at] >> np.uint64(33)
             did, place = dids[level.text[at]], level.place(at)
             order = np.lexsort((place, did, second, key))
-            key, second, did, place = key[order], second[order], did[order], place[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            yield _rows(key[new], did[new], ((second << np.uint64(32)) | place.astype(np.uint64))[new].view(np.int64))
-            later = (did != did[first]) | (place != place[first])
+            a, b = key[order], second[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            first = np.sort(order[new])  # a text's rows behind one another compress better in the shuffle
+            yield _rows(key[first], did[first], ((second << np.uint64(32)) | place.astype(np.uint64))[first].view(np.int64))
+            earliest = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            later = (did[order] != did[earliest]) | (place[order] != place[earliest])
             if later.any():
-                yield _runs(did[later], place[later])
+                yield _runs(did[order][later], place[order][later])
 
     return run
 
