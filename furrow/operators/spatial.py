@@ -40,17 +40,20 @@ def radius_pairs(points: DataFrame, radius: float, by: list[str] | None = None)
     return radius_join(points, points, radius, by).where("id < other_id")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, cell: float, by: list[str] | None = None, itself: bool = False) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, cell: float | None = None, by: list[str] | None = None, itself: bool = False) -> DataFrame:
     """Exact k nearest right points of each left point: (by, id, other_id, distance, rank).
 
     Points meet those of the nine cells around them. A result is certain once the k-th distance is no larger than a cell, or the cells
     cover the group's extent; points that aren't certain yet go on with cells of twice the size. A point
-    with fewer than k others gets those there are.
+    with fewer than k others gets those there are. Without a size to begin with, cells hold about k points on average.
     """
     if not by:
         alone = nearest(left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), k, cell, ["_all"], itself)
         return alone.drop("_all")
     extent = right.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
+    if cell is None:
+        area = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
+        cell = right.groupBy(*by).agg((area * k / F.count(F.lit(1))).alias("a")).where("a > 0").agg(F.sqrt(F.median("a"))).first()[0] or 1.0
     todo = left.select(*by, "id", "x", "y").join(extent, by)
     far = F.greatest(F.abs(F.col("x") - F.col("_x0")), F.abs(F.col("x") - F.col("_x1")), F.abs(F.col("y") - F.col("_y0")), F.abs(F.col("y") - F.col("_y1")))
     todo = todo.withColumn("_far", far).select(*by, "id", "x", "y", "_far")

@@ -39,7 +39,7 @@ _INSIDE = (
 @query(f"SELECT g, id, other_id, round(distance, 6) AS distance, rank FROM (SELECT a.g, a.id, b.id AS other_id, {_DIST} AS distance, row_number() OVER (PARTITION BY a.g, a.id ORDER BY {_DIST}, b.id) AS rank FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id) WHERE rank <= 3", p=POINTS)
 def knn_self(p: DataFrame) -> DataFrame:
     """Exact three nearest others of each point in its group."""
-    found = spatial.nearest(p, p, 3, 40.0, ["g"])
+    found = spatial.nearest(p, p, 3, by=["g"])
     return ROUND(found, "distance").withColumn("rank", F.col("rank").cast("long"))
 
 
