@@ -3,12 +3,11 @@
 Documents with equal shingle sets form a class, and one of each class goes on. In each of several independent trees a document
 follows the path of its minwise tokens at chosen coordinates of its sketch; two documents of similarity J take the same
 branch with probability J. The first two levels are taken by all. A node with more than ``limit`` documents
-branches on, by coordinates that its path chooses, on 1/threshold of them on average, so that
-a pair at the threshold isn't thinned out with depth. The other nodes are compared exhaustively on full sets; nodes
-that are still large at the last level are compared in blocks, so nothing is left out.
+branches on, by several coordinates that its path chooses. The other nodes are compared exhaustively on full sets; nodes
+that are still large at the last level, or that branching hardly divides, are compared in blocks, so nothing is left out.
 
-The number of trees follows from the target recall: 1 - (1 - threshold**2)**trees for a pair at the
-threshold exactly; more similar pairs, and groups with more than one link, are found with a higher one.
+The number of trees follows from the target recall for a pair at the threshold exactly whose nodes are over the limit at
+every level (``recall_of``), so it holds for any input; more similar pairs, and groups with more than one link, are found with a higher one.
 """
 
 from __future__ import annotations
@@ -31,8 +30,30 @@ COORDINATES = 64
 _MULTIPLIERS = np.random.default_rng(7_919).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def trees_for(threshold: float, recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**2)))
+def branches_for(threshold: float) -> int:
+    """Coordinates that a node over the limit branches on: at the threshold 1.6 shared ones or more on average, so that pairs don't die out."""
+    return max(2, math.ceil(round(1.6 / threshold, 6)))
+
+
+def recall_of(threshold: float, trees: int, branchings: int) -> float:
+    """Probability that a pair at the threshold shares a node after ``branchings`` in some tree. The trees share the deeper coordinates,
+    of which a pair has equal a binomial number."""
+    deeper, branches, missed = COORDINATES - 2 * trees, branches_for(threshold), 0.0
+    for equal in range(deeper + 1):
+        t, lost = equal / deeper, 0.0
+        for _ in range(branchings):
+            lost = (1 - t + t * lost) ** branches
+        missed += math.comb(deeper, equal) * threshold**equal * (1 - threshold) ** (deeper - equal) * (1 - threshold**2 * (1 - lost)) ** trees
+    return 1 - missed
+
+
+def trees_for(threshold: float, recall: float, depth: int) -> tuple[int, int]:
+    """The least number of trees, and their depth: ``depth``, or less where the coordinates don't suffice (larger nodes end in blocks)."""
+    for levels in range(depth, 1, -1):
+        for trees in range(1, COORDINATES // 2 - 4):
+            if recall_of(threshold, trees, levels - 2) >= recall:
+                return trees, levels
+    raise ValueError(f"{COORDINATES} coordinates are too few for a recall of {recall} at a threshold of {threshold}")
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -158,11 +179,11 @@ def _links(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _nodes(reps: DataFrame, threshold: float, trees: int, limit: int, depth: int) -> DataFrame:
-    """(did, sketch) to (did, node): the nodes of two to ``limit`` documents, and blocks of those still larger at the end."""
+def _nodes(reps: DataFrame, threshold: float, trees: int, depth: int, limit: int) -> DataFrame:
+    """(did, sketch) to (did, node): the nodes of two to ``limit`` documents, and blocks of those that don't become smaller."""
     path = lambda t: F.xxhash64(F.lit(t), F.col("sketch")[2 * t], F.col("sketch")[2 * t + 1])
-    rows = reps.select("did", F.explode(F.array(*[path(t) for t in range(trees)])).alias("node"))
-    done = []
+    rows = reps.select("did", F.explode(F.array(*[path(t) for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("parent_n"))
+    deeper, branches, done, large = COORDINATES - 2 * trees, branches_for(threshold), [], []
     for level in range(2, depth + 1):
         rows = stage_table(rows, "paths")
         sizes = stage_table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
@@ -170,18 +191,22 @@ def _nodes(reps: DataFrame, threshold: float, trees: int, limit: int, depth: int
         done.append(rows.where(F.col("n") <= limit).select("did", "node"))
         rows = rows.where(F.col("n") > limit)
         if level == depth or rows.isEmpty():
+            large.append(rows.select("did", "node", "n"))
             break
-        held = rows.join(reps, "did")
-        deeper = COORDINATES - 2 * trees
-        chosen = lambda k: F.get("sketch", (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(deeper)) + 2 * trees).cast("int"))  # noqa: E731,B023
-        second = F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1000)) < int(1000 * (1 / threshold - 1))
-        first = F.xxhash64("node", F.lit(1), chosen(1))
-        rows = held.select("did", F.explode(F.when(second, F.array(first, F.xxhash64("node", F.lit(2), chosen(2)))).otherwise(F.array(first))).alias("node"))
+        # blocks cost the square of a node; branching on pays only if the squares of the branches are less than that
+        size = F.col("n").cast("double")
+        dense = F.coalesce(size * size * branches > F.col("parent_n").cast("double") * F.col("parent_n"), F.lit(False))
+        large.append(rows.where(dense).select("did", "node", "n"))
+        held = rows.where(~dense).join(reps, "did")
+        start = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(deeper))
+        stride = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(deeper // branches)) + 1  # distinct coordinates
+        chosen = lambda k: F.get("sketch", (F.pmod(start + stride * k, F.lit(deeper)) + 2 * trees).cast("int"))  # noqa: E731,B023
+        rows = held.select("did", F.explode(F.array(*[F.xxhash64("node", F.lit(k), chosen(k)) for k in range(branches)])).alias("node"), F.col("n").alias("parent_n"))
     # blocks of limit / 2 documents: each meets each other block of its node in a node of their own
     blocks = F.ceil(F.col("n") / (limit // 2)).cast("long")
     own = F.pmod(F.xxhash64("did"), blocks)
     meet = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.xxhash64(F.lit("block"), F.col("node"), F.least(own, k), F.greatest(own, k)))
-    done.append(rows.select("did", F.explode(meet).alias("node")))
+    done += [rows.select("did", F.explode(meet).alias("node")) for rows in large]
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
@@ -204,7 +229,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     least = math.ceil(percent / (100 - percent))  # smaller sets can't link with a different one
     reps = some.where(F.col("n_shingles") >= least).join(classes.select("rep", F.col("print").alias("_print")), (F.col("did") == F.col("rep")) & (F.col("print") == F.col("_print")), "left_semi")
     reps = stage_table(reps.select("did", "sketch"), "representatives")
-    nodes = _nodes(reps, threshold, trees_for(threshold, recall), limit, depth)
+    nodes = _nodes(reps, threshold, *trees_for(threshold, recall, depth), limit)
     member = stage_table(nodes.groupBy("did").agg(F.collect_set("node").alias("nodes")), "membership")
     sets = texts.join(member.hint("shuffle_hash"), "did").select("did", "text", "nodes").mapInArrow(_sets(words), "node long, did long, shingles binary")
     dealt = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")

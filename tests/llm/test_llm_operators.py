@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -239,6 +240,18 @@ def test_near_duplicates_equal_brute_force(corpus, words, percent, limit):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.8])
+def test_pairs_at_the_threshold_survive_nodes_over_the_limit(spark, threshold):
+    """Sketches of 2000 pairs whose first nodes hold over 400 documents, which takes several branchings to get to 20."""
+    r, sketches = random.Random(5), []
+    for _ in range(2000):
+        one = [r.randrange(3) for _ in range(near_dup.COORDINATES)]
+        sketches += [one, [v if r.random() < threshold else (v + r.choice((1, 2))) % 3 for v in one]]
+    reps = spark.createDataFrame([*enumerate(sketches)], "did long, sketch array<int>")
+    found = near_dup._nodes(reps, threshold, *near_dup.trees_for(threshold, 0.9999, 8), 20).groupBy("node", F.floor(F.col("did") / 2).alias("pair")).agg(F.countDistinct("did").alias("n"))
+    assert 2000 - found.where("n = 2").select("pair").distinct().count() <= 2
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = near_dup.near_duplicates(odd, 3, 85).collect()
     assert len(rows) == len(odd_rows()) and near_dup.near_duplicates(empty).count() == 0
