@@ -26,13 +26,17 @@ from furrow.llm.memo import Memo, groups
 CACHE = "dig binary, tokenizer string, n_tokens long"
 MEMO = 200_000
 _BATCH = 20_000
+#: The memo's count of a unit that can't be counted alone: below any sum of counts.
+_WHOLE = -(1 << 60)
 
 
 class Counter:
     """Counts the tokens of whole texts.
 
-    A token never crosses the place before a single space, so a text is counted by its space-led units, which a bounded memo
-    holds. Where that doesn't hold (runs of spaces, a space at the end, special strings) the library gets the whole text.
+    A run of white space before other characters is split before its last place only. So a token never crosses the place before
+    a single space that starts or ends such a run, and a text is counted by its space-led units, which a bounded memo
+    holds. Where a unit has more white space after its space (NBSP and line ends included), and with runs of spaces, a
+    space at the end, or special strings, the library gets the whole text.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,9 +60,12 @@ class Counter:
         new = self.memo.missing(set().union(*units.values()))
         for at in range(0, len(new), _BATCH):
             part = new[at : at + _BATCH]
-            memo.update(zip(part, self._library([u.decode() for u in part]), strict=True))
-        found = dict(zip(whole, (self._library([t])[0] for t in whole.values()), strict=True))
-        found |= {i: sum(map(memo.__getitem__, us)) for i, us in units.items()}
+            held = [u.decode() for u in part]
+            counts = self._library(held)
+            memo.update((b, _WHOLE if u[:1] == " " and u[1:2].isspace() else n) for b, u, n in zip(part, held, counts, strict=True))
+        sums = {i: sum(map(memo.__getitem__, us)) for i, us in units.items()}
+        whole |= {i: texts[i] for i, n in sums.items() if n < 0}
+        found = sums | dict(zip(whole, (self._library([t])[0] for t in whole.values()), strict=True))
         self.memo.turn()
         return [found[i] for i in range(len(texts))]
 

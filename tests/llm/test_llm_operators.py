@@ -142,6 +142,14 @@ def test_token_counts_and_cache(spark, texts, tmp_path):
     assert held.count() == held.select("dig").distinct().count() == len({t or "" for _, t in rows})
 
 
+def test_token_counts_of_mixed_white_space():
+    t, c, r = library("byte_bpe_50k.json"), token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json")), random.Random(11)
+    mixed = ["a \u00a0 \u00a0 b", "a \n \n b", " \u00a0 \u00a0 b", "a \u00a0 \u00a0"]
+    mixed += ["".join(r.choice(["a", "the", "7", ".", "'s", " ", " ", " ", "\n", "\r", "\t", "\u00a0", "\u3000", "\x85", "\x1c", "\u200b", "é"]) for _ in range(r.randint(1, 24))) for _ in range(20_000)]
+    for text, n in zip(mixed, c.count(mixed), strict=True):
+        assert n == len(t.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_bpe_equals_library(texts):
     df, rows = texts
     t = library("word_bpe_49k.json")
