@@ -93,18 +93,29 @@ def sampled_windows(df: DataFrame, by: list[str], order: str, size: int) -> Data
 
 
 def nonadjacent_minimum(path: DataFrame, by: list[str], order: str, cell: float, apart: int = 30) -> DataFrame:
-    """Smallest distance between points of a path that lie ``apart`` or more places from one another, if it is within ``cell``; null otherwise.
+    """Smallest distance between points of a path that lie ``apart`` or more places from one another; null if there are none.
 
-    Points meet by cells, so a path that never comes near itself makes no pairs.
+    Points meet by cells, so a path that comes near itself makes few pairs. A path without a distance up to ``cell`` goes on
+    with cells of twice the size, until they cover its extent.
     """
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = path.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    b = path.select(*by, F.col(order).alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
-    b = b.withColumn("gx", F.floor(F.col("_x") / cell) + F.col("_i")).withColumn("gy", F.floor(F.col("_y") / cell) + F.col("_j"))
-    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
-    near = a.join(b, [*by, "gx", "gy"]).where(F.col("_o") >= F.col(order) + apart).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= cell)
-    found = near.groupBy(*by).agg(F.min("d").alias("min_distance"))
-    return path.select(*by).distinct().join(found, by, "left")
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    held = path.where(finite("x") & finite("y"))
+    span = F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    todo = held.groupBy(*by).agg(span.alias("_span"), (F.max(order) - F.min(order)).alias("_places")).where(F.col("_places") >= apart).select(*by, "_span")
+    todo, done = checkpointed(todo), None
+    while True:
+        left = held.join(todo.select(*by), by, "left_semi")
+        a = left.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+        b = left.select(*by, F.col(order).alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+        b = b.withColumn("gx", F.floor(F.col("_x") / cell) + F.col("_i")).withColumn("gy", F.floor(F.col("_y") / cell) + F.col("_j"))
+        dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+        near = a.join(b, [*by, "gx", "gy"]).where(F.col("_o") >= F.col(order) + apart).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= cell)
+        found = checkpointed(near.groupBy(*by).agg(F.min("d").alias("min_distance")))
+        done = found if done is None else done.unionByName(found)
+        todo, cell = checkpointed(todo.join(found, by, "left_anti").where(F.col("_span") > cell)), cell * 2
+        if todo.isEmpty():
+            return path.select(*by).distinct().join(done, by, "left")
 
 
 def breaks(df: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import boxes, gates, geometry, strings
-from furrow.operators import folds, fusion, rows, selection, spatial, statistics, sync
+from furrow.operators import folds, fusion, reports, rows, selection, spatial, statistics, sync
 
 BOX = "frame_index long, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double, detection_id long"
 
@@ -185,3 +185,11 @@ def test_strings(spark):
 def test_quantile_positions(spark):
     p = spark.range(101).select(F.col("id"), (F.col("id") * 37 % 101).alias("v"))
     assert sorted(r["v"] for r in selection.quantile_positions(p, ["v"], 5).collect()) == [0, 25, 50, 75, 100]
+
+
+def test_nonadjacent_minimum_of_sparse_paths(spark):
+    """Paths whose points lie farther apart than a cell, one near itself, and one too short."""
+    paths = {"wide": [(i, 1000.0 * i, 0.0) for i in range(8)], "near": [(i, float(i), 0.0) for i in range(8)], "one": [(0, 0.0, 0.0), (3, 9e5, 5e5), (4, None, 0.0)], "short": [(0, 0.0, 0.0), (1, 5.0, 0.0)]}
+    df = spark.createDataFrame([(g, *p) for g, ps in paths.items() for p in ps], "g string, id long, x double, y double")
+    got = {r["g"]: r["min_distance"] for r in reports.nonadjacent_minimum(df, ["g"], "id", 10.0, 3).collect()}
+    assert got == {"wide": 3000.0, "near": 3.0, "one": pytest.approx(math.hypot(9e5, 5e5)), "short": None}
