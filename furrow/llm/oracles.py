@@ -45,7 +45,7 @@ def op2(scope: int = 200) -> str:
     patterns = {"assign": S.ASSIGN, "access": S.ACCESS, "hex": S.HEX, "weak_id": S.WEAK_ID, "weak_secret": S.WEAK_SECRET.partition(")")[2], "endpoint": S.ENDPOINT}
     good = {
         "assign": "length(regexp_extract_all(t, p, 2)[i]) >= 6",
-        "weak_secret": "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Za-z]')",
+        "weak_secret": "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Za-z]') AND (NOT regexp_matches(m[i], '[/_-]') OR (regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[a-z]')))",
     }
     found = " UNION ALL ".join(
         f"""SELECT doc_id, '{kind}' AS kind, {no} AS no, '{part}' AS part, b, b + length(m[i]) AS e FROM (
@@ -55,16 +55,16 @@ def op2(scope: int = 200) -> str:
         WHERE {good.get(kind, "true")}"""
         for kind, no, part in S.KINDS
     )
+    over = lambda surer: f"EXISTS (SELECT 1 FROM {surer} y WHERE y.doc_id = x.doc_id AND y.b < x.e AND x.b < y.e)"
+    near = lambda part: f"EXISTS (SELECT 1 FROM live y WHERE y.doc_id = x.doc_id AND y.part = '{part}' AND y.b - x.e <= {scope} AND x.b - y.e <= {scope})"
     return f"""
-WITH found AS ({found}),
-c AS (SELECT *, coalesce(max(CASE WHEN no < 3 THEN e END) OVER ahead > b, false) OR coalesce(min(CASE WHEN no < 3 THEN b END) OVER behind < e, false) AS over
-  FROM found WINDOW ahead AS (PARTITION BY doc_id ORDER BY b, no, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-  behind AS (PARTITION BY doc_id ORDER BY b DESC, no DESC, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-live AS (SELECT * FROM c WHERE no < 3 OR NOT over),
-near AS (SELECT *, {", ".join(f"coalesce(b - max(CASE WHEN part = '{p}' THEN e END) OVER ahead <= {scope}, false) OR coalesce(min(CASE WHEN part = '{p}' THEN b END) OVER behind - e <= {scope}, false) AS near_{p}" for p in ("id", "secret", "endpoint"))}
-  FROM live WINDOW ahead AS (PARTITION BY doc_id ORDER BY b, no, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-  behind AS (PARTITION BY doc_id ORDER BY b DESC, no DESC, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-spans AS (SELECT * FROM near WHERE no < 3 OR CASE part WHEN 'id' THEN near_secret WHEN 'secret' THEN near_id OR near_endpoint ELSE near_id AND near_secret END)
+WITH found AS MATERIALIZED ({found}),
+sure AS MATERIALIZED (SELECT * FROM found WHERE no < 3),
+far AS MATERIALIZED (SELECT * FROM sure UNION ALL SELECT * FROM found x WHERE no = 5 AND NOT {over("sure")}),
+ids AS MATERIALIZED (SELECT * FROM far UNION ALL SELECT * FROM found x WHERE no = 3 AND NOT {over("far")}),
+live AS MATERIALIZED (SELECT * FROM ids UNION ALL SELECT * FROM found x WHERE no = 4 AND NOT {over("ids")}),
+spans AS (SELECT * FROM sure UNION ALL SELECT * FROM live x WHERE no = 3 AND {near("secret")} UNION ALL SELECT * FROM live x WHERE no = 4 AND ({near("id")} OR {near("endpoint")})
+  UNION ALL SELECT * FROM live x WHERE no = 5 AND {near("id")} AND {near("secret")})
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, no) FILTER (no < 3), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, no), '') AS spans, count(*) FILTER (no >= 3) AS n_linked

@@ -1,9 +1,12 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Base kinds (assign, access, hex) are certain by themselves. Weak parts -- identifiers, token-like strings and
-endpoints -- say little alone. Each is joined, by an interval join inside its document, with the nearest parts of the
-other classes before and behind it, and is reported only if a complementary part starts or ends within ``scope``
-code points. The join is a window over (document, start): one pass in each direction, no pairs.
+endpoints -- say little alone. Parts are first made disjoint: a weak part that overlaps a base span, an identifier that overlaps
+an endpoint and a token-like string that overlaps either of them is no part of its own, so nothing confirms itself. Each
+part that is left is joined, by an interval join inside its document, with the nearest parts of the other classes before and
+behind it, and is reported only if a complementary part starts or ends within ``scope`` code points: an identifier near
+a secret, a token-like string near an identifier or an endpoint, an endpoint near both others. The joins are windows over
+(document, start): one pass in each direction, no pairs.
 
 Positions come from the pieces between matches, so that one scan of a kind is enough for documents without matches.
 """
@@ -27,6 +30,8 @@ ENDPOINT = r"""(?:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\x20\x09-
 
 #: Name, order in ties, class of part.
 KINDS = (("assign", 0, "secret"), ("access", 1, "id"), ("hex", 2, "secret"), ("weak_id", 3, "id"), ("weak_secret", 4, "secret"), ("endpoint", 5, "endpoint"))
+#: Weak kinds in the order in which they claim their place; base spans come before them.
+RANKS = {"endpoint": 1, "weak_id": 2, "weak_secret": 3}
 SPAN = "struct<start:int,no:int,kind:string,end:int>"
 
 
@@ -70,7 +75,8 @@ def _scan(df: DataFrame) -> DataFrame:
     """Rows (doc_id, dig, base, weak): base spans, and weak spans that nothing has confirmed yet."""
     t = F.col("_t")
     long_enough = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= 6)
-    mixed = F.transform(F.regexp_extract_all(t, F.lit(WEAK_SECRET), F.lit(0)), lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+    # a digit and a letter; joined words in one case (paths, slugs, names) aren't token-like
+    mixed = F.transform(F.regexp_extract_all(t, F.lit(WEAK_SECRET), F.lit(0)), lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]") & (~x.rlike("[/_-]") | (x.rlike("[A-Z]") & x.rlike("[a-z]"))))
     base = F.concat(
         _spans(t, ASSIGN, "assign", 0, long_enough),
         F.when(t.contains("AKIA"), _spans(t, ACCESS, "access", 1)).otherwise(_none()),
@@ -89,11 +95,13 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
     classes = F.create_map(*[F.lit(x) for name, _, part in KINDS for x in (name, part)])
     parts = found.select("doc_id", "dig", F.explode(F.concat("base", "weak")).alias("s")).distinct()
     parts = parts.select("doc_id", "dig", "s", F.col("s.start").alias("b"), F.col("s.end").alias("e"), classes[F.col("s.kind")].alias("part"), (F.col("s.no") < 3).alias("base"))
-    ahead = W.partitionBy("doc_id", "dig").orderBy("b", "s.no", "e").rowsBetween(W.unboundedPreceding, -1)
-    behind = W.partitionBy("doc_id", "dig").orderBy(F.desc("b"), F.desc("s.no"), F.desc("e")).rowsBetween(W.unboundedPreceding, -1)
-    marked = parts.withColumn("covered", F.max(F.when(F.col("base"), F.col("e"))).over(ahead) > F.col("b"))
-    marked = marked.withColumn("covers", F.min(F.when(F.col("base"), F.col("b"))).over(behind) < F.col("e"))
-    live = marked.where(F.col("base") | ~(F.coalesce("covered", F.lit(False)) | F.coalesce("covers", F.lit(False))))
+    ahead = W.partitionBy("doc_id", "dig").orderBy("b", "rank", "s.no", "e").rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy("doc_id", "dig").orderBy(F.desc("b"), F.desc("rank"), F.desc("s.no"), F.desc("e")).rowsBetween(W.unboundedPreceding, -1)
+    live = parts.withColumn("rank", F.when(F.col("base"), 0).otherwise(F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])[F.col("s.kind")]))
+    for rank in RANKS.values():
+        surer = F.col("rank") < rank
+        over = (F.max(F.when(surer, F.col("e"))).over(ahead) > F.col("b")) | (F.min(F.when(surer, F.col("b"))).over(behind) < F.col("e"))
+        live = live.withColumn("_over", (F.col("rank") == rank) & F.coalesce(over, F.lit(False))).where(~F.col("_over")).drop("_over")
     for part in ("id", "secret", "endpoint"):
         before = F.max(F.when(F.col("part") == part, F.col("e"))).over(ahead)
         after = F.min(F.when(F.col("part") == part, F.col("b"))).over(behind)
