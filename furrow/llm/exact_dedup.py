@@ -1,16 +1,19 @@
 """Exact dedup: a two-pass Bloom filter finds possibly repeated texts; only those rows shuffle.
 
-Pass 1 sets, for every text, one counter in each of two filters and keeps as bits the counters that were
-hit twice or more. Pass 2 probes the bits by a broadcast of bounded size. A row whose two
-bits aren't both set has a text that no other row has; it goes straight to the result. The others,
-true repeats and the filter's false alarms, are grouped exactly by their SHA-256.
+Pass 1 counts the hits of each of 2**64 slots, kept sparsely: one slot of 8 bytes for each row, combined in each task before
+it shuffles. Slots hit twice or more are set in a Bloom filter of two hashes, whose size follows from their number.
+Pass 2 probes the filter. A row whose two bits aren't both set has a text that no other row has; it goes straight to the
+result. The others, true repeats and the filter's false alarms, are grouped exactly by their SHA-256.
 
-The bits are sized by the number of rows up to ``max_bits`` for each filter (2 x 16 MB broadcast by default).
-Beyond about 10 million rows for each 2**27 bits more rows are false alarms and shuffle; the result is the same.
+The filter is broadcast in parts of up to ``max_bits`` for each hash (2 x 16 MB by default). A larger one is cut into ranges of
+slots and probed range by range, each row once, so its share of false alarms is the same at any size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,21 +34,28 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text_of(text_col)), 256)).alias("sha"))
 
 
-def _slot(which: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64("sha", F.lit(which)), F.lit(bits)) + F.lit(which * bits)
+class Bloom(NamedTuple):
+    """Pages of a filter (segment, page, bits), the bits of each hash in a segment, and the number of segments."""
 
+    pages: DataFrame
+    bits: int
+    segments: int
 
-def _filter_bits(narrow: DataFrame, bits: int) -> DataFrame:
-    """Pages of bits: set where two rows or more came to the slot."""
-    slots = narrow.select(F.explode(F.array(_slot(0, bits), _slot(1, bits))).alias("slot"))
-    twice = slots.groupBy("slot").count().where("count > 1")
-    return twice.groupBy(F.floor(F.col("slot") / _PAGE).alias("page")).agg(
-        F.bitmap_construct_agg((F.col("slot") % _PAGE).cast("long")).alias("bits")
-    )
+
+def _print() -> Column:
+    return F.xxhash64("sha")
+
+
+def _segment(print_: Column, segments: int) -> Column:
+    return F.pmod(F.xxhash64(print_, F.lit("segment")), F.lit(segments))
+
+
+def _slot(print_: Column, which: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(print_, F.lit(which)), F.lit(bits)) + F.lit(which * bits)
 
 
 def _probe(df: DataFrame, pages: DataFrame, which: int, bits: int) -> DataFrame:
-    slot, at = _slot(which, bits), F.col(f"_at{which}")
+    slot, at = _slot(_print(), which, bits), F.col(f"_at{which}")
     held = df.withColumn("_page", F.floor(slot / _PAGE)).withColumn(f"_at{which}", (slot % _PAGE).cast("int"))
     held = held.join(F.broadcast(pages), held["_page"] == pages["page"], "left").drop("_page", "page")
     byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -53,17 +63,29 @@ def _probe(df: DataFrame, pages: DataFrame, which: int, bits: int) -> DataFrame:
     return held.withColumn("_byte", byte).withColumn(f"_seen{which}", F.coalesce(bit == 1, F.lit(False))).drop("_byte", "bits", f"_at{which}")
 
 
-def repeated(narrow: DataFrame, max_bits: int = 1 << 27) -> tuple[DataFrame, int]:
-    """Pass 1: the filter's pages for rows with ``sha``, and its bits."""
-    bits = min(max_bits, 1 << max(16, (16 * narrow.count()).bit_length()))
-    return stage_table(_filter_bits(narrow, bits), "bloom"), bits
+def repeated(narrow: DataFrame, max_bits: int = 1 << 27) -> Bloom:
+    """Pass 1: the filter of the slots that two rows or more with ``sha`` came to."""
+    twice = stage_table(narrow.groupBy(_print().alias("print")).count().where("count > 1").select("print"), "twice")
+    total = 1 << max(16, (16 * twice.count()).bit_length())
+    bits = min(total, max_bits)
+    segments = total // bits
+    slots = twice.select(_segment(F.col("print"), segments).alias("segment"), F.explode(F.array(*[_slot(F.col("print"), k, bits) for k in (0, 1)])).alias("slot"))
+    pages = slots.groupBy("segment", F.floor(F.col("slot") / _PAGE).alias("page")).agg(F.bitmap_construct_agg((F.col("slot") % _PAGE).cast("long")).alias("bits"))
+    return Bloom(stage_table(pages, "bloom"), bits, segments)
 
 
-def split(df: DataFrame, pages: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, bloom: Bloom) -> tuple[DataFrame, DataFrame]:
     """Pass 2: rows whose ``sha`` no other row has, and rows that may be repeated. Neither side shuffles."""
-    held = _probe(_probe(df, pages, 0, bits), pages, 1, bits)
-    again = F.col("_seen0") & F.col("_seen1")
-    return held.where(~again).select(*df.columns), held.where(again).select(*df.columns)
+    sides: list[list[DataFrame]] = [[], []]
+    for k in range(bloom.segments):
+        part = df if bloom.segments == 1 else df.where(_segment(_print(), bloom.segments) == k)
+        pages = bloom.pages.where(F.col("segment") == k).select("page", "bits")
+        held = _probe(_probe(part, pages, 0, bloom.bits), pages, 1, bloom.bits)
+        again = F.col("_seen0") & F.col("_seen1")
+        sides[0].append(held.where(~again).select(*df.columns))
+        sides[1].append(held.where(again).select(*df.columns))
+    alone, maybe = (reduce(DataFrame.unionByName, side) for side in sides)
+    return alone, maybe
 
 
 def _decided(maybe: DataFrame) -> DataFrame:
@@ -88,7 +110,7 @@ def exact_dedup(narrow: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
     doc_id and text one is kept. An empty table gives no rows.
     """
     narrow = stage_table(narrow, "fingerprints")
-    alone, maybe = split(narrow, *repeated(narrow, max_bits))
+    alone, maybe = split(narrow, repeated(narrow, max_bits))
     alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return alone.unionByName(_decided(maybe).select(*alone.columns))
 
@@ -100,12 +122,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text are one document and give one row.
     """
     narrow = stage_table(fingerprints(docs, id_col, text_col), "fingerprints")
-    pages, bits = repeated(narrow, max_bits)
-    ids = _decided(split(narrow, pages, bits)[1])
+    bloom = repeated(narrow, max_bits)
+    ids = _decided(split(narrow, bloom)[1])
     gone = ids.where(~F.col("kept")).select(F.col("doc_id").alias("__furrow_i"), F.col("sha").alias("__furrow_s")).distinct()
     gone = stage_table(gone, "copies")
     held = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text_of(text_col)), 256)).alias("sha"))
-    alone, maybe = split(held, pages, bits)
+    alone, maybe = split(held, bloom)
     same = maybe["doc_id"].eqNullSafe(gone["__furrow_i"]) & (maybe["sha"] == gone["__furrow_s"])
     kept = maybe.join(gone.hint("shuffle_hash"), same, "left_anti")
     # a row kept beside identical ones that go has the same id and text as they have

@@ -369,11 +369,21 @@ def test_exact_dedup_equals_brute_force(corpus):
     first, size = {}, Counter(key.values())
     for i in sorted(key):
         first.setdefault(key[i], i)
-    for bits in (1 << 27, 1 << 6):  # a filter that is full sends all rows the long way, to the same result
+    for bits in (1 << 27, 1 << 14):  # the smaller one cuts the filter into four segments
         got = exact_dedup.exact_dedup(exact_dedup.fingerprints(df), bits).collect()
         assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], bytes(r["sha"]).hex()) for r in got} == {i: (first[t], size[t], first[t] == i, sha(t)) for i, t in key.items()}
 
 
+def test_only_possibly_repeated_rows_go_on(corpus):
+    narrow = exact_dedup.fingerprints(corpus[0])
+    sizes = {r["sha"]: r["count"] for r in narrow.groupBy("sha").count().collect()}
+    for bits in (1 << 27, 1 << 14):
+        bloom = exact_dedup.repeated(narrow, bits)
+        alone, maybe = (side.collect() for side in exact_dedup.split(narrow, bloom))
+        assert len(alone) + len(maybe) == 600 and all(sizes[r["sha"]] == 1 for r in alone)
+        assert sum(sizes[r["sha"]] == 1 for r in maybe) <= 5 and bloom.segments == (1 << 16) // min(bits, 1 << 16)
+
+
 def test_exact_dedup_odd_rows(odd, empty):
     rows = exact_dedup.exact_dedup(exact_dedup.fingerprints(odd)).collect()
     assert len(rows) == len(odd_rows()) and exact_dedup.exact_dedup(exact_dedup.fingerprints(empty)).count() == 0
