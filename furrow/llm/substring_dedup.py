@@ -8,8 +8,10 @@ are hashed (95 bits) and all occurrences but the earliest are marked. The ladder
 length is covered by its repeated full windows.
 
 Before a level's rows shuffle, each group of texts (about 1 MB) settles its own repeats and sends one row for each
-key, so a passage that a third of the corpus shares comes to a key's task once for each group and not once for each document.
-Texts shuffle once, by document; the joins of all levels read that exchange.
+key. A task also remembers, in a table of fixed size, the keys it has sent: what it knows to be repeated is settled without
+another row. So a passage that a third of the corpus shares comes to a key's task about twice from each task, and not once from
+each document. Texts shuffle once, by document; the joins of all levels read that exchange, in an order of documents, so that a task that
+runs again settles the same rows.
 """
 
 from __future__ import annotations
@@ -71,6 +73,43 @@ class Level:
         return at - self.first[self.text[at]]
 
 
+class Sent:
+    """What a task has sent of a key: how often (up to 2), or the earliest place. Newer keys overwrite older ones; a key that is lost is sent again."""
+
+    SIZE = 1 << 18
+
+    def __init__(self, placed: bool = False) -> None:
+        self.keys, self.times = np.zeros(self.SIZE, np.uint64), np.zeros(self.SIZE, np.int8)
+        if placed:
+            self.seconds, self.did, self.at = np.zeros(self.SIZE, np.uint64), np.zeros(self.SIZE, np.int64), np.zeros(self.SIZE, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys % np.uint64(self.SIZE)).astype(np.int64)
+
+    def times_of(self, keys: np.ndarray) -> np.ndarray:
+        slots = self._slots(keys)
+        return np.where(self.keys[slots] == keys, self.times[slots], 0)
+
+    def put(self, keys: np.ndarray, times: np.ndarray) -> None:
+        slots = self._slots(keys)
+        self.keys[slots] = keys
+        own = self.keys[slots] == keys
+        self.times[slots[own]] = times[own]
+
+    def earlier(self, keys: np.ndarray, seconds: np.ndarray, did: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether an earlier place than the given one was sent; the others' places are kept."""
+        slots = self._slots(keys)
+        same = (self.times[slots] > 0) & (self.keys[slots] == keys) & (self.seconds[slots] == seconds)
+        known = same & ((self.did[slots] < did) | ((self.did[slots] == did) & (self.at[slots] < at)))
+        new = np.flatnonzero(~known)
+        last = np.full(self.SIZE, -1)
+        last[slots[new]] = new
+        new = last[last >= 0]  # one key for each slot
+        slots = slots[new]
+        self.keys[slots], self.seconds[slots], self.did[slots], self.at[slots], self.times[slots] = keys[new], seconds[new], did[new], at[new], 1
+        return known
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [(t or "").encode() for t in batch.column(column).to_pylist()]
 
@@ -106,26 +145,31 @@ def _levels(batches: Iterator[pa.RecordBatch], length: int, before: int | None)
 
 
 def _shorter(length: int, part: int, before: int | None):
-    """A lower level: rows of short windows; those that the group repeats are settled, but for one row of each."""
+    """A lower level: rows of short windows; those known to be repeated are settled, but for a row or two of each, which tell others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
         for level, dids in _levels(batches, length, before):
             hashes, stands = level.short(part)
             at = stands[np.concatenate([[True], stands[1:] != stands[:-1]])]
             key, did, place = hashes[at], dids[level.text[at]], level.place(at)
-            _, first, group, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            first.sort()  # a text's rows behind one another compress better in the shuffle
+            keys, first, group, size = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            times = sent.times_of(keys)
+            again = (size > 1) | (times > 0)
+            sent.put(keys, np.where(again, 2, 1))
+            first = np.sort(first[times < 2])  # a text's rows behind one another compress better in the shuffle
             yield _rows(key[first], did[first], place[first])
-            if len(settled := np.flatnonzero(size[group] > 1)):
+            if len(settled := np.flatnonzero(again[group])):
                 yield _settled(did[settled], place[settled])
 
     return run
 
 
 def _full(length: int, before: int):
-    """The top level: rows of the full windows; later ones of a group are settled."""
+    """The top level: rows of the full windows; those known to be later ones are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent(placed=True)
         for level, dids in _levels(batches, length, before):
             at = level.whole
             key = windows(level.hashes, length)[at]
@@ -134,10 +178,13 @@ def _full(length: int, before: int):
             order = np.lexsort((place, did, second, key))
             a, b = key[order], second[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            first = np.sort(order[new])  # a text's rows behind one another compress better in the shuffle
+            first = order[new]
+            known = sent.earlier(key[first], second[first], did[first], place[first])
+            first = np.sort(first[~known])  # a text's rows behind one another compress better in the shuffle
             yield _rows(key[first], did[first], ((second << np.uint64(32)) | place.astype(np.uint64))[first].view(np.int64))
-            earliest = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            later = (did[order] != did[earliest]) | (place[order] != place[earliest])
+            run_of = np.cumsum(new) - 1
+            earliest = order[np.flatnonzero(new)[run_of]]
+            later = (did[order] != did[earliest]) | (place[order] != place[earliest]) | known[run_of]
             if later.any():
                 yield _runs(did[order][later], place[order][later])
 
@@ -181,7 +228,7 @@ def repeated_ranges(texts: DataFrame, dealt: DataFrame, length: int = 20, lowest
         places = rows.withColumn("twice", twice).where(F.col("twice") | (F.col("at") < 0))
         place = F.when(F.col("at") < 0, F.bitwise_not("at")).otherwise(F.col("at")).cast("int")
         places = places.groupBy("did").agg(F.collect_set(place).alias("places"))
-        source, before = dealt.join(places.hint("shuffle_hash"), "did").select("did", "doc_id", "text", "places"), part
+        source, before = dealt.join(places.hint("shuffle_hash"), "did").select("did", "doc_id", "text", "places").sortWithinPartitions("did", "text"), part
     rows = source.mapInArrow(_full(length, before), _ROW)
     own, place = F.col("at") >= 0, F.col("at").bitwiseAND(0xFFFFFFFF)
     rows = rows.select("key", "did", "at", F.when(own, F.shiftright("at", 32)).otherwise(F.lit(-1)).alias("second"))
