@@ -40,33 +40,37 @@ def _measures(text: Column) -> dict[str, Column]:
     }
 
 
-def _repeats(words: str) -> str:
+def _repeats(words: str, hash_bits: int = 40) -> str:
     """Words inside five-word windows that are found twice or more in the text, as one SQL expression.
 
     A window is packed into a long: 40 bits of its hash over 24 bits of its place. Sorted, equal windows stand side by
-    side; neighbours whose hashes agree are compared by their words. Texts over 2**24 words use the
-    windows themselves as keys.
+    side. Neighbours whose hashes agree are compared by their words; if some have other words, equal windows needn't be
+    neighbours, and the text's windows themselves are sorted. So are those of texts over 2**24 words.
     """
+    mask = ((1 << hash_bits) - 1) << 24
+    mask -= 1 << 64 if mask >= 1 << 63 else 0
     window = f"slice({words}, cast({{}} as int), 5)"
     # places (from 1) of the windows, sorted by hash
-    keys = f"sort_array(transform(sequence(1, size({words}) - 4), i -> (xxhash64({', '.join(f'{words}[i + {k}]' for k in range(-1, 4))}) & -16777216) | i))"
+    keys = f"sort_array(transform(sequence(1, size({words}) - 4), i -> (xxhash64({', '.join(f'{words}[i + {k}]' for k in range(-1, 4))}) & {mask}) | i))"
     place = "(k & 16777215)"
-    same = lambda other: f"((ks[j] & -16777216) = (ks[{other}] & -16777216) and {window.format('(ks[j] & 16777215)')} = {window.format(f'(ks[{other}] & 16777215)')})"
+    same = lambda other: f"((ks[j] & {mask}) = (ks[{other}] & {mask}) and {window.format('(ks[j] & 16777215)')} = {window.format(f'(ks[{other}] & 16777215)')})"
+    clash = f"exists(sequence(1, size(ks) - 1), j -> (ks[j] & {mask}) = (ks[j - 1] & {mask}) and not {same('j - 1')})"
     near = f"(j > 0 and {same('j - 1')}) or (j < size(ks) - 1 and {same('j + 1')})"
     starts = f"sort_array(transform(filter(ks, (k, j) -> {near}), k -> {place}))"
     cover = "aggregate(zip_with(ss, slice(ss, 2, greatest(size(ss) - 1, 0)), (a, b) -> coalesce(least(b - a, 5L), 5L)), 0L, (x, y) -> x + y)"
     let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
-    short = let("ks", keys, f"if(size(array_distinct(transform(ks, k -> k & -16777216))) = size(ks), 0L, {let('ss', starts, cover)})")
     wide = f"transform(sequence(1, size({words}) - 4), i -> struct({window.format('i')} as w, cast(i as long) as i))"
     near_w = "(j > 0 and ws[j].w = ws[j - 1].w) or (j < size(ws) - 1 and ws[j].w = ws[j + 1].w)"
     long = let("ws", f"array_sort({wide})", let("ss", f"sort_array(transform(filter(ws, (k, j) -> {near_w}), k -> k.i))", cover))
+    short = let("ks", keys, f"case when size(array_distinct(transform(ks, k -> k & {mask}))) = size(ks) then 0L when {clash} then {long} else {let('ss', starts, cover)} end")
     return f"case when size({words}) < 6 then 0L when size({words}) < 16777216 then {short} else {long} end"
 
 
-def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
+def measure(df: DataFrame, text_col: str = "text", hash_bits: int = 40) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_stop (all long).
 
-    A null text counts as empty: no words, no lines, all measures 0.
+    A null text counts as empty: no words, no lines, all measures 0. Columns that have these names are replaced; ``_text``,
+    ``_words`` and ``_lines`` are used inside and dropped. The result doesn't depend on ``hash_bits``.
     """
     held = df.withColumns(_measures(text_of(text_col)))
     held = held.withColumns({
@@ -75,7 +79,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.expr(_repeats("_words")),
+        "n_repeat_words": F.expr(_repeats("_words", hash_bits)),
         "n_stop": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
     })
     return held.drop("_text", "_words", "_lines")
