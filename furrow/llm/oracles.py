@@ -98,18 +98,28 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM rea
 
 
 OP5 = r"""
-WITH RECURSIVE l AS (
-  SELECT conv_id, turn, x AS line, length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
-    lower(trim(regexp_replace(regexp_replace(x, '^(?:[ \t]*>)+', ''), '[\x20\x09-\x0D]+', ' ', 'g'))) AS h
-  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM conversations)),
-said AS (SELECT conv_id, h, min(turn) AS origin FROM l WHERE level = 0 AND h <> '' GROUP BY ALL),
-met AS (SELECT conv_id, turn, origin, count(*) AS n, count(*) FILTER (level = 1) AS near FROM l JOIN said USING (conv_id, h) WHERE level > 0 AND h <> '' AND origin < turn GROUP BY ALL),
-link AS (SELECT conv_id, turn, sum(n)::BIGINT AS n_linked, (max(CASE WHEN near > 0 THEN {'near': near, 'origin': origin} END)).origin AS reply_to FROM met GROUP BY ALL),
-up AS (SELECT conv_id, turn, reply_to AS up, 1::BIGINT AS depth FROM link WHERE reply_to IS NOT NULL
-  UNION ALL SELECT u.conv_id, u.turn, k.reply_to, u.depth + 1 FROM up u JOIN link k ON k.conv_id = u.conv_id AND k.turn = u.up WHERE k.reply_to IS NOT NULL),
-top AS (SELECT conv_id, turn, min(up) AS up, max(depth) AS depth FROM up GROUP BY ALL)
-SELECT c.conv_id, c.turn, c.role, k.reply_to, coalesce(top.up, c.turn) AS thread, coalesce(top.depth, 0) AS depth,
-  len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^(?:[ \t]*>)+')))::BIGINT AS n_quoted, coalesce(k.n_linked, 0) AS n_linked,
-  array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)) AS own_text
-FROM conversations c LEFT JOIN link k USING (conv_id, turn) LEFT JOIN top USING (conv_id, turn)
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS x FROM conversations),
+l AS (SELECT conv_id, turn, i, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+    lower(trim(regexp_replace(regexp_replace(line, '^(?:[ \t]*>)+', ''), '[\x20\x09-\x0D]+', ' ', 'g'))) AS h
+  FROM (SELECT conv_id, turn, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM c)),
+p AS (SELECT *, CASE WHEN level = 0 THEN 0 ELSE sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) END AS p
+  FROM (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i) THEN 0 ELSE 1 END AS new FROM l)),
+f AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, p, level ORDER BY i) AS para FROM p WHERE h <> ''),
+paras AS (SELECT conv_id, turn, p, level, min(i) AS i, string_agg(h, ' ' ORDER BY i) AS h FROM f GROUP BY conv_id, turn, p, level, para),
+units AS (SELECT conv_id, turn, p, level, h FROM f UNION SELECT conv_id, turn, p, level, h FROM paras
+  UNION SELECT conv_id, turn, p, level, string_agg(h, ' ' ORDER BY i) FROM paras GROUP BY ALL
+  UNION SELECT conv_id, turn, p, level, unnest(string_split(regexp_replace(h, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) FROM paras),
+met AS (SELECT q.conv_id, q.turn, q.p, q.level, q.h, max(s.turn) AS origin FROM units q JOIN units s ON s.conv_id = q.conv_id AND s.h = q.h AND s.turn < q.turn AND s.level = 0 WHERE q.level > 0 GROUP BY ALL),
+got AS (SELECT conv_id, turn, p, level, origin, sum(len(string_split(h, ' '))) AS words FROM met GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, p ORDER BY words DESC, origin DESC) AS n FROM got) WHERE n = 1),
+link AS (SELECT conv_id, turn, origin AS reply_to FROM (SELECT conv_id, turn, origin, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, sum(words) DESC, origin DESC) AS n FROM best GROUP BY conv_id, turn, level, origin) WHERE n = 1),
+up AS (SELECT conv_id, turn, [turn] AS path FROM (SELECT DISTINCT conv_id, turn FROM conversations) ANTI JOIN link USING (conv_id, turn)
+  UNION ALL SELECT k.conv_id, k.turn, list_append(u.path, k.turn) FROM up u JOIN link k ON k.conv_id = u.conv_id AND k.reply_to = u.turn),
+top AS (SELECT conv_id, turn, path[1] AS thread, len(path) - 1 AS depth, row_number() OVER (PARTITION BY conv_id, path[1] ORDER BY path) - 1 AS place FROM up),
+listed AS (SELECT conv_id, turn, count(*) AS n_linked, string_agg(level || ':' || origin, ',' ORDER BY p) AS sources FROM best GROUP BY ALL),
+many AS (SELECT conv_id, turn, count(DISTINCT p) AS n_passages FROM f WHERE level > 0 GROUP BY ALL)
+SELECT c.conv_id, c.turn, c.role, k.reply_to, coalesce(top.thread, c.turn) AS thread, coalesce(top.place, 0) AS place, coalesce(top.depth, 0) AS depth,
+  len(list_filter(x, lambda y: regexp_matches(y, '^(?:[ \t]*>)+')))::BIGINT AS n_quoted, coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked, coalesce(sources, '') AS sources,
+  array_to_string(list_filter(x, lambda y: NOT regexp_matches(y, '^(?:[ \t]*>)+')), chr(10)) AS own_text
+FROM c LEFT JOIN link k USING (conv_id, turn) LEFT JOIN top USING (conv_id, turn) LEFT JOIN listed USING (conv_id, turn) LEFT JOIN many USING (conv_id, turn)
 """
