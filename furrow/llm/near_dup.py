@@ -4,7 +4,7 @@ Documents with equal shingle sets form a class, and one of each class goes on. I
 follows the path of its minwise tokens at chosen coordinates of its sketch; two documents of similarity J take the same
 branch with probability J. The first two levels are taken by all. A node with more than ``limit`` documents
 branches on, by several coordinates that its path chooses. The other nodes are compared exhaustively on full sets; nodes
-that are still large at the last level, or that branching hardly divides, are compared in blocks, so nothing is left out.
+that are still large at the last level, that branching hardly divides, or whose sets are too long to be held at once, are compared in blocks, so nothing is left out.
 
 The number of trees follows from the target recall for a pair at the threshold exactly whose nodes are over the limit at
 every level (``recall_of``), so it holds for any input; more similar pairs, and groups with more than one link, are found with a higher one.
@@ -27,6 +27,8 @@ from furrow.llm.windows import groups, mix, windows, word_hashes
 
 _LEAST = -(2**63)
 COORDINATES = 64
+#: Shingles of a node that one task compares at once (8 bytes each, about four times that in memory).
+HEAVY = 4_000_000
 _MULTIPLIERS = np.random.default_rng(7_919).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -179,31 +181,33 @@ def _links(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _nodes(reps: DataFrame, threshold: float, trees: int, depth: int, limit: int) -> DataFrame:
-    """(did, sketch) to (did, node): the nodes of two to ``limit`` documents, and blocks of those that don't become smaller."""
+def _nodes(reps: DataFrame, threshold: float, trees: int, depth: int, limit: int, heavy: int = HEAVY) -> DataFrame:
+    """(did, n_shingles, sketch) to (did, node): the nodes of two to ``limit`` documents and up to ``heavy`` shingles, and blocks of the others."""
     path = lambda t: F.xxhash64(F.lit(t), F.col("sketch")[2 * t], F.col("sketch")[2 * t + 1])
-    rows = reps.select("did", F.explode(F.array(*[path(t) for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("parent_n"))
+    rows = reps.select("did", "n_shingles", F.explode(F.array(*[path(t) for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("parent_n"))
     deeper, branches, done, large = COORDINATES - 2 * trees, branches_for(threshold), [], []
     for level in range(2, depth + 1):
         rows = stage_table(rows, "paths")
-        sizes = stage_table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
+        sizes = stage_table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1"), "node-sizes")
         rows = stage_table(hot_join(rows, sizes, "node", "n"), "nodes")
-        done.append(rows.where(F.col("n") <= limit).select("did", "node"))
-        rows = rows.where(F.col("n") > limit)
+        small = F.col("n") <= limit
+        done.append(rows.where(small & (F.col("weight") <= heavy)).select("did", "node"))
+        large.append(rows.where(small & (F.col("weight") > heavy)).select("did", "node", "n", "weight"))
+        rows = rows.where(~small)
         if level == depth or rows.isEmpty():
-            large.append(rows.select("did", "node", "n"))
+            large.append(rows.select("did", "node", "n", "weight"))
             break
         # blocks cost the square of a node; branching on pays only if the squares of the branches are less than that
         size = F.col("n").cast("double")
         dense = F.coalesce(size * size * branches > F.col("parent_n").cast("double") * F.col("parent_n"), F.lit(False))
-        large.append(rows.where(dense).select("did", "node", "n"))
-        held = rows.where(~dense).join(reps, "did")
+        large.append(rows.where(dense).select("did", "node", "n", "weight"))
+        held = rows.where(~dense).drop("n_shingles").join(reps, "did")
         start = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(deeper))
         stride = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(deeper // branches)) + 1  # distinct coordinates
         chosen = lambda k: F.get("sketch", (F.pmod(start + stride * k, F.lit(deeper)) + 2 * trees).cast("int"))  # noqa: E731,B023
-        rows = held.select("did", F.explode(F.array(*[F.xxhash64("node", F.lit(k), chosen(k)) for k in range(branches)])).alias("node"), F.col("n").alias("parent_n"))
-    # blocks of limit / 2 documents: each meets each other block of its node in a node of their own
-    blocks = F.ceil(F.col("n") / (limit // 2)).cast("long")
+        rows = held.select("did", "n_shingles", F.explode(F.array(*[F.xxhash64("node", F.lit(k), chosen(k)) for k in range(branches)])).alias("node"), F.col("n").alias("parent_n"))
+    # blocks of about limit / 2 documents and heavy / 2 shingles: each meets each other block of its node in a node of their own
+    blocks = F.greatest(F.ceil(F.col("n") / (limit // 2)), F.ceil(F.col("weight") / (heavy // 2))).cast("long")
     own = F.pmod(F.xxhash64("did"), blocks)
     meet = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.xxhash64(F.lit("block"), F.col("node"), F.least(own, k), F.greatest(own, k)))
     done += [rows.select("did", F.explode(meet).alias("node")) for rows in large]
@@ -213,7 +217,7 @@ def _nodes(reps: DataFrame, threshold: float, trees: int, depth: int, limit: int
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999, limit: int = 1000, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999, limit: int = 1000, depth: int = 8, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     A null text, or one without words, has the empty set and is linked with nothing. A null doc_id counts as the smallest and
@@ -228,8 +232,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     classes = stage_table(some.groupBy("print").agg(F.min("did").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
     least = math.ceil(percent / (100 - percent))  # smaller sets can't link with a different one
     reps = some.where(F.col("n_shingles") >= least).join(classes.select("rep", F.col("print").alias("_print")), (F.col("did") == F.col("rep")) & (F.col("print") == F.col("_print")), "left_semi")
-    reps = stage_table(reps.select("did", "sketch"), "representatives")
-    nodes = _nodes(reps, threshold, *trees_for(threshold, recall, depth), limit)
+    reps = stage_table(reps.select("did", "n_shingles", "sketch"), "representatives")
+    nodes = _nodes(reps, threshold, *trees_for(threshold, recall, depth), limit, heavy)
     member = stage_table(nodes.groupBy("did").agg(F.collect_set("node").alias("nodes")), "membership")
     sets = texts.join(member.hint("shuffle_hash"), "did").select("did", "text", "nodes").mapInArrow(_sets(words), "node long, did long, shingles binary")
     dealt = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")

@@ -55,6 +55,29 @@ def test_substring_dedup_in_tiny_groups_of_texts(spark, corpus, monkeypatch):
     assert got == {i: n for i, (_, n, _) in removed(rows).items()}
 
 
+def test_substring_dedup_in_many_groups_of_one_task(spark, corpus):
+    """A task remembers what it has sent: in one task, and in three that meet by the shuffle."""
+    _, rows = corpus
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.xxhash64("doc_id")).coalesce(1).repartition(parts)
+        got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()}
+        assert got == {i: n for i, (_, n, _) in removed(rows).items()}
+
+
+def test_a_task_that_forgets_sends_again():
+    rng = np.random.default_rng(3)
+    sent, told = substring_dedup.Sent(placed=True), {}
+    for _ in range(50):
+        keys = rng.choice(np.arange(40, dtype=np.uint64) * np.uint64(sent.SIZE), 12, replace=False) + np.uint64(5)  # all in one slot
+        did, at = rng.integers(0, 9, 12), rng.integers(0, 9, 12)
+        known = sent.earlier(keys, keys % np.uint64(3), did, at)
+        for k, d, a, gone in zip(keys, did, at, known, strict=True):
+            assert not gone or told[k] < (d, a)
+            if not gone:
+                told[k] = min(told.get(k, (99, 99)), (d, a))
+
+
 def test_substring_dedup_odd_rows(odd, empty):
     rows = substring_dedup.substring_dedup(odd).collect()
     assert len(rows) == len(odd_rows())
@@ -276,6 +299,14 @@ def test_near_duplicates_equal_brute_force(corpus, words, percent, limit):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_near_duplicates_of_heavy_nodes(corpus):
+    """Nodes whose sets together are over the bound are compared in blocks; no pair is lost."""
+    df, rows = corpus
+    want = groups_of(rows, 3, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, 3, 85, heavy=150).collect()}
+    assert got == {i: root for i, (_, root) in want.items()}
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.8])
 def test_pairs_at_the_threshold_survive_nodes_over_the_limit(spark, threshold):
     """Sketches of 2000 pairs whose first nodes hold over 400 documents, which takes several branchings to get to 20."""
@@ -283,7 +314,7 @@ def test_pairs_at_the_threshold_survive_nodes_over_the_limit(spark, threshold):
     for _ in range(2000):
         one = [r.randrange(3) for _ in range(near_dup.COORDINATES)]
         sketches += [one, [v if r.random() < threshold else (v + r.choice((1, 2))) % 3 for v in one]]
-    reps = spark.createDataFrame([*enumerate(sketches)], "did long, sketch array<int>")
+    reps = spark.createDataFrame([(i, 1, s) for i, s in enumerate(sketches)], "did long, n_shingles long, sketch array<int>")
     found = near_dup._nodes(reps, threshold, *near_dup.trees_for(threshold, 0.9999, 8), 20).groupBy("node", F.floor(F.col("did") / 2).alias("pair")).agg(F.countDistinct("did").alias("n"))
     assert 2000 - found.where("n = 2").select("pair").distinct().count() <= 2
 
@@ -312,21 +343,109 @@ TALK = [
 ]
 
 
+TALKS = "conv_id long, turn long, role string, text string"
+
+
 def test_quotation_linking(spark):
-    df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(df).collect()}
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(TALK, TALKS)).collect()}
     assert len(got) == len(TALK)
     assert got[1, 1]["reply_to"] == 0 and got[1, 1]["own_text"] == "Ten minutes." and got[1, 1]["depth"] == 1
-    assert got[1, 2]["reply_to"] == 1 and got[1, 2]["thread"] == 0 and got[1, 2]["depth"] == 2 and got[1, 2]["n_linked"] == 2 and got[1, 2]["n_quoted"] == 2
+    assert got[1, 2]["reply_to"] == 1 and got[1, 2]["thread"] == 0 and got[1, 2]["depth"] == 2 and got[1, 2]["n_linked"] == 2 and got[1, 2]["n_quoted"] == 2 and got[1, 2]["sources"] == "2:0,1:1"
     assert got[1, 3]["reply_to"] is None and got[1, 3]["n_quoted"] == 1 and got[1, 3]["thread"] == 3
     assert got[2, 0]["own_text"] == "" and got[2, 1]["reply_to"] is None
-    assert quotes.link_quotes(df.limit(0)).count() == 0
+
+
+def test_the_latest_message_that_says_it_and_quotes_wrapped_anew(spark):
+    rows = [(1, 0, "u", "thanks"), (1, 1, "u", "Dogs are better\nthanks"), (1, 2, "u", "> thanks\nok"), (1, 3, "u", "One two three\nfour. Five six!\n\nSeven  eight"), (1, 4, "u", "> one two three four.\n> five\n> six!\n>\n> Seven\n> eight\nfine"), (1, 5, "u", "> Five six!\nyes")]
+    got = {r["turn"]: r for r in quotes.link_quotes(spark.createDataFrame(rows, TALKS)).collect()}
+    assert [got[i]["reply_to"] for i in range(6)] == [None, None, 1, None, 3, 3] and got[4]["n_passages"] == 1
+    assert [(r["turn"], r["place"]) for r in quotes.conversations(spark.createDataFrame([*got.values()])).collect()] == [(0, 0), (1, 0), (2, 1), (3, 0), (4, 1), (5, 2)]
+
+
+def test_reply_order(spark):
+    """1 and 2 answer 0, and 3 answers 1: 3 stands before 2."""
+    rows = [(7, 0, "u", "a b"), (7, 1, "u", "> a b\nc d"), (7, 2, "u", "> a b\ne f"), (7, 3, "u", "> c d\ng h")]
+    got = {r["turn"]: r["place"] for r in quotes.link_quotes(spark.createDataFrame(rows, TALKS)).collect()}
+    assert got == {0: 0, 1: 1, 3: 2, 2: 3}
+
+
+def said_and_quoted(n: int, seed: int) -> list[tuple]:
+    """Conversations whose messages quote earlier ones, whole and in part, wrapped anew, and nested."""
+    r = random.Random(seed)
+    word = lambda: r.choice(["sun", "rain", "hill", "tree", "Road", "lake", "bird", "stone"])
+    rows, texts = [], {}
+    for conv in range(n):
+        for turn in range(r.choice([1, 3, 8, 25])):
+            own = "\n".join(r.choice(["", *[" ".join(word() for _ in range(r.randint(1, 7))) + r.choice(["", ".", "!", ". ok"])] * 4]) for _ in range(r.randint(1, 4)))
+            quoted = ""
+            for _ in range(r.choice([0, 0, 1, 1, 2]) if turn else 0):
+                source = texts[conv, r.randrange(turn)]
+                lines = [x for x in source.split("\n")][r.choice([0, 0, 1]) :]
+                if r.random() < 0.4:
+                    lines = [" ".join(w for x in lines for w in x.split(" ") if not x.startswith(">"))]
+                quoted += "".join(f">{r.choice(['', ' '])}{x}\n" for x in lines)
+            texts[conv, turn] = quoted + own
+            rows.append((conv, turn, "u", texts[conv, turn]))
+    return rows
+
+
+def linked_by_hand(rows: list[tuple]) -> dict:
+    """reply_to, thread, place and linked passages, by looking at all earlier messages of each quote."""
+    by = {(c, t): quotes.passages_of(x) for c, t, _, x in rows}
+    says = {k: {*quotes.units_of(p[0][1])} for k, p in by.items()}
+    up, n = {}, {}
+    for (c, t), ps in by.items():
+        votes, n[c, t] = {}, 0
+        for level, lines in ps[1:]:
+            sums = Counter()
+            for u, w in quotes.units_of(lines).items():
+                found = [s for s in range(t) if u in says.get((c, s), ())]
+                if found:
+                    sums[found[-1]] += w
+            if sums:
+                w, origin = max((w, o) for o, w in sums.items())
+                votes.setdefault(level, Counter())[origin] += w
+                n[c, t] += 1
+        up[c, t] = max((w, o) for o, w in votes[min(votes)].items())[1] if votes else None
+    paths = {}
+    for c, t in sorted(by):
+        paths[c, t] = (paths[c, up[c, t]] if up[c, t] is not None else ()) + (t,)
+    return {(c, t): (up[c, t], p[0], sum(q < p for (d, _), q in paths.items() if d == c and q[0] == p[0]), len(p) - 1, n[c, t]) for (c, t), p in paths.items()}
+
+
+def test_quotes_equal_brute_force_and_sql(spark):
+    import duckdb
+
+    from furrow.llm import oracles
+
+    rows = said_and_quoted(40, 3)
+    df = quotes.link_quotes(spark.createDataFrame(rows, TALKS)).toPandas()
+    got = {(r.conv_id, r.turn): (None if r.reply_to != r.reply_to else int(r.reply_to), r.thread, r.place, r.depth, r.n_linked) for r in df.itertuples()}
+    assert got == linked_by_hand(rows) and sum(v[4] for v in got.values()) > 100 and max(v[3] for v in got.values()) > 3
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(oracles.OP5).df()
+    cols = sorted(want.columns)
+    same = lambda x: x[cols].sort_values(["conv_id", "turn"]).reset_index(drop=True).astype(object).where(lambda y: y.notna(), None)
+    assert sorted(df.columns) == cols and same(df).equals(same(want))
 
 
 def test_long_chain_of_replies(spark):
-    rows = [(1, i, "u", f"> line {i - 1}\nline {i}" if i else "line 0") for i in range(40)]
-    got = {r["turn"]: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert all(got[i]["thread"] == 0 and got[i]["depth"] == i for i in range(40))
+    rows = [(1, i, "u", f"> line {i - 1}\nline {i}" if i else "line 0") for i in range(40)] + [(2, i, "u", "> hello\nyes" if i else "hello") for i in range(300)]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, TALKS)).collect()}
+    assert all(got[1, i]["thread"] == 0 and got[1, i]["depth"] == got[1, i]["place"] == i for i in range(40))
+    assert all((got[2, i]["place"], got[2, i]["depth"]) == (i, min(i, 1)) for i in range(300))
+
+
+def test_quotes_odd_rows(spark):
+    df = spark.createDataFrame(TALK, TALKS)
+    assert quotes.link_quotes(df.limit(0)).count() == 0
+    rows = [(*t, "q", "q", "q", "q", "q") for t in TALK] + [(1, 1, "assistant", TALK[1][3], *"qqqqq"), (5, 0, "u", LONG.replace(" w9", "\nw9"), *"qqqqq"), (5, 1, "u", "\n".join("> " + x for x in LONG.replace(" w9", "\nw9").split("\n")), *"qqqqq"), (6, 0, "u", "> " * 50 + "\n>>\n>", *"qqqqq")]
+    got = quotes.link_quotes(spark.createDataFrame(rows, TALKS + ", hash string, level string, words string, passage string, origin string")).collect()
+    assert len(got) == len(rows) and [r["reply_to"] for r in got if (r["conv_id"], r["turn"]) == (1, 1)] == [0, 0]
+    assert [(r["reply_to"], r["n_linked"]) for r in got if (r["conv_id"], r["turn"]) == (5, 1)] == [(0, 1)]
+    assert [(r["n_quoted"], r["n_passages"]) for r in got if r["conv_id"] == 6] == [(3, 0)]
 
 
 # op7
@@ -352,6 +471,14 @@ def test_quality_rules_equal_brute_force(spark, corpus):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_repeats_are_exact_where_hashes_collide(spark):
+    """With one bit of hash nearly all windows share it, and equal ones don't stand side by side."""
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 60)))) for i in range(60)] + [(99, "a b c d e x a b c d f y a b c d e")]
+    held = quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string"), hash_bits=1)
+    assert {x["doc_id"]: x["n_repeat_words"] for x in held.collect()} == {i: measured(t)[4] for i, t in rows}
+
+
 def test_quality_rules_have_no_python_and_no_shuffle(odd, empty, capsys):
     df = quality_rules.quality_rules(odd)
     df.explain()
@@ -440,11 +567,70 @@ def test_held_out_labels_are_never_read(spark):
     assert a == b
 
 
-def test_gradient_of_the_classifier():
-    rng = np.random.default_rng(4)
-    x, bag, label = rng.standard_normal((30, mil.N_FEATURES)).astype(np.float32), np.sort(np.concatenate([np.arange(8), rng.integers(0, 8, 22)])), np.array([0, 1] * 4, np.float32)
-    loss = lambda m: -np.mean(label * np.log(y := m.forward((x - m.mean) / m.scale, bag, 8)["y"]) + (1 - label) * np.log(1 - y))
-    assert loss(mil.fit(x, bag, label, steps=120)) < 0.1 < loss(mil.fit(x, bag, label, steps=1))
+def made_model(seed: int = 4):
+    rng = np.random.default_rng(seed)
+    shapes = {"W": (mil.N_FEATURES, 6), "b": (6,), "V": (6, 3), "U": (6, 3), "w": (3,), "c": (6,), "d": (1,)}
+    return mil.Model(rng.standard_normal(mil.N_FEATURES), np.ones(mil.N_FEATURES), {k: rng.standard_normal(v) * 0.5 for k, v in shapes.items()}), rng
+
+
+def plain_score(m: mil.Model, passages: np.ndarray) -> float:
+    """The definition, passage by passage."""
+    p, hs, es = m.parts, [], []
+    for x in (passages - m.mean) / m.scale:
+        h = np.tanh(p["W"].T @ x + p["b"])
+        hs.append(h)
+        es.append(p["w"] @ (np.tanh(p["V"].T @ h) / (1 + np.exp(-p["U"].T @ h))))
+    a = np.exp(es) / np.exp(es).sum()
+    return 1 / (1 + np.exp(-(sum(w * h for w, h in zip(a, hs, strict=True)) @ p["c"] + p["d"][0])))
+
+
+def test_scores_equal_the_definition_also_for_texts_of_many_blocks(monkeypatch):
+    m, _ = made_model()
+    texts = [b"", b"The house.", b"a b " * 400, "ß é 🎉 ".encode() * 2000, b"x" * 513, b"", b"yes no\n" * 900]
+    want = [plain_score(m, mil.features([t])[0]) for t in texts]
+    assert m.scores(texts) == pytest.approx(want, rel=1e-4) and m.scores(texts, 700) == pytest.approx(want, rel=1e-4) and len(m.scores([])) == 0
+    monkeypatch.setattr(mil, "BLOCK", 2 * mil.PASSAGE)
+    want = [plain_score(m, np.vstack([mil.features([b])[0] for b in mil.blocks_of(t)])) for t in texts]
+    assert m.scores(texts, 3000) == pytest.approx(want, rel=1e-4)
+
+
+def test_gradient_of_the_classifier_in_blocks():
+    m, rng = made_model()
+    m.parts = {k: v.astype(np.float64) for k, v in m.parts.items()}
+    x, bag, label = rng.standard_normal((30, mil.N_FEATURES)), np.sort(np.concatenate([np.arange(8), rng.integers(0, 8, 22)])), np.array([0, 1] * 4, float)
+    whole, cut = lambda: iter([(x, bag)]), lambda: ((x[i : i + 4], bag[i : i + 4]) for i in range(0, 30, 4))
+    got = m.slopes(whole, label)
+    for k, g in m.slopes(cut, label).items():
+        assert g == pytest.approx(got[k], rel=1e-3, abs=1e-6)
+    loss = lambda: -np.mean(label * np.log(y := np.array([plain_score(m, x[bag == i].astype(np.float32)) for i in range(8)])) + (1 - label) * np.log(1 - y))
+    for k, at in (("W", (3, 2)), ("b", 1), ("V", (2, 1)), ("U", (4, 0)), ("w", 2), ("c", 3), ("d", 0)):
+        was = m.parts[k][at]
+        m.parts[k][at] = was + 1e-4
+        up = loss()
+        m.parts[k][at] = was - 1e-4
+        assert got[k][at] == pytest.approx((up - loss()) / 2e-4, rel=2e-2, abs=1e-5), k
+        m.parts[k][at] = was
+
+
+def test_mini_batches_hold_every_passage(spark):
+    rng = np.random.default_rng(1)
+    sizes = {i: int(n) for i, n in enumerate(rng.integers(1, 9, 30))} | {30: 40}
+    rows, want = [], {}
+    for i, n in sizes.items():
+        x = rng.random((n, mil.N_FEATURES)).astype(np.float32)
+        want[i] = x
+        rows += [(i * 7 % 31, i, i % 2, k, x[3 * k : 3 * k + 3].tobytes()) for k in range(-(-n // 3))]
+    table = spark.createDataFrame(rows, "h long, doc_id long, quality int, block int, x binary").repartition(4)
+    for cache in (0, 1 << 30):
+        got = mil.Sample(table, cache, bag=20, batch=5)
+        seen = []
+        for blocks, label in got.epoch():
+            parts = [*blocks()]
+            assert len(label) <= 5 and (len(label) == 1 or sum(len(x) for x, _ in parts) <= 20)
+            for b, q in enumerate(label):
+                seen.append((np.sort(np.vstack([x[bag == b] for x, bag in parts])[:, 0]).tolist(), q))
+        order = sorted(sizes, key=lambda i: i * 7 % 31)
+        assert seen == [(np.sort(want[i][:, 0]).tolist(), i % 2) for i in order]
 
 
 def test_classifier_odd_rows(spark, odd, empty):
