@@ -70,6 +70,26 @@ def candidate_rejection(boundary: Column, buffer: Column, coverage: Column, leas
     return F.when(boundary < buffer, "polygon_boundary_exclusion_buffer").when(coverage < least, "insufficient_visibility_opportunity")
 
 
+def slot_reasons(coverage: Column, suspicious: Column) -> Column:
+    """Why a slot counts as missing, joined by ``|`` (fixed names)."""
+    found = [F.lit("no_unique_plant_within_robust_spacing_tolerance"), F.concat(F.lit("coverage_opportunity="), coverage.cast("string")), F.lit("internal_slot_boundary_gate_passed")]
+    doubt = F.concat(F.lit("nearby_suspicious_singletons="), suspicious.cast("string"), F.lit("|confidence_downgraded_for_low_support_evidence"))
+    return F.concat_ws("|", *found, F.when(suspicious > 0, doubt))
+
+
+def located(level: Column, value: Column) -> Column:
+    """A coordinate if the receiver's level says that there is a position, else null."""
+    return F.when(F.coalesce(level, F.lit(0)) > 0, value)
+
+
+def at_cadence(frame: Column, interval: int) -> Column:
+    return frame % interval == 0
+
+
+def component_confidence(coverage: Column, plants: Column) -> Column:
+    return F.when((coverage >= 0.995) & (plants >= 1000), "high").otherwise("review")
+
+
 def downgraded(confidence: Column, suspicious: Column) -> Column:
     return F.when(suspicious > 0, confidence * 0.5).otherwise(confidence)
 

@@ -17,6 +17,26 @@ def project(m: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
     return (m[0] * x + m[1] * y + m[2]) / safe, (m[3] * x + m[4] * y + m[5]) / safe
 
 
+def square(x: Column, y: Column, half: float) -> Column:
+    """Corners of a square around a point, as an array of (x, y)."""
+    return F.array(*[F.struct((x + i * half).alias("x"), (y + j * half).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+
+
+def inverse(m: list[Column]) -> list[Column]:
+    """The inverse of a row-major 3x3 matrix, null where it has none."""
+    cofactor = lambda i, j: m[3 * ((i + 1) % 3) + (j + 1) % 3] * m[3 * ((i + 2) % 3) + (j + 2) % 3] - m[3 * ((i + 1) % 3) + (j + 2) % 3] * m[3 * ((i + 2) % 3) + (j + 1) % 3]
+    det = m[0] * cofactor(0, 0) + m[1] * cofactor(0, 1) + m[2] * cofactor(0, 2)
+    safe = F.when(F.abs(det) >= 1e-12, det)
+    return [cofactor(j, i) / safe for i in range(3) for j in range(3)]
+
+
+def footprint(m: list[Column], width: Column, height: Column, roi: Column | None = None) -> Column:
+    """Corners of an image, down to the rows ``roi`` if that is less, through a row-major 3x3 transform: an array of (x, y)."""
+    low, no = height if roi is None else F.least(height, roi), F.lit(0.0)
+    corners = [project(m, x, y) for x, y in ((no, no), (width, no), (width, low), (no, low))]
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+
+
 def along_across(x: Column, y: Column, angle: Column) -> tuple[Column, Column]:
     """Rotate into the frame of rows at ``angle`` (radians)."""
     return x * F.cos(angle) + y * F.sin(angle), y * F.cos(angle) - x * F.sin(angle)

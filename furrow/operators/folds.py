@@ -1,16 +1,19 @@
-"""Order-dependent greedy operators as native folds over a sorted array of one group.
+"""Order-dependent operators.
 
-A group is a frame or a session, whose size the sensor bounds; the fold runs in the JVM, group by group, with no Python in the loop.
+Greedy ones over a frame are native folds over its sorted array, since the sensor bounds a frame. Ones over a session, which
+nothing bounds, pass the session's sorted rows through a function that carries a small state: linear time, constant memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from furrow.functions.boxes import center_distance, iou
+from furrow.storage import ship
 
 Conflict = Callable[[Column, Column], Column]
 
@@ -38,63 +41,111 @@ def suppress_close_centers(detections: DataFrame, radius: float = 8.0) -> DataFr
     return greedy_keep(detections, ["frame_index", "class_id"], order, lambda k, x: center_distance(k, x) <= radius)
 
 
+def merged_counts(detections: DataFrame, threshold: float, radius: float) -> DataFrame:
+    """(frame_index, class_id, raw, after_nms, after_center): boxes before and after both suppressions, each frame's array folded once."""
+    box = F.struct((-F.col("confidence")).alias("_k"), "x1", "y1", "detection_id", "x2", "y2")
+    held = detections.groupBy("frame_index", "class_id").agg(F.sort_array(F.collect_list(box)).alias("_rows"))
+    keep = lambda rows, conflict: F.aggregate(rows, F.slice(rows, 1, 0), lambda out, x: F.when(F.exists(out, lambda k: conflict(k, x)), out).otherwise(F.concat(out, F.array(x))))
+    held = held.withColumn("_nms", keep(F.col("_rows"), lambda k, x: iou(k, x) > threshold))
+    sizes = F.transform(F.array("_nms"), lambda rows: F.struct(F.size(rows).alias("n"), F.size(keep(rows, lambda k, x: center_distance(k, x) <= radius)).alias("m")))
+    held = held.select("frame_index", "class_id", F.size("_rows").cast("long").alias("raw"), F.get(sizes, F.lit(0)).alias("_s"))
+    return held.select("frame_index", "class_id", "raw", F.col("_s.n").cast("long").alias("after_nms"), F.col("_s.m").cast("long").alias("after_center"))
+
+
 def greedy_matching(edges: DataFrame, group: list[str]) -> DataFrame:
     """One-to-one matching of (prev, cur, distance) edges: shortest first, ties by prev and cur, each end once."""
     order = [F.col("distance"), F.col("prev"), F.col("cur")]
     return greedy_keep(edges, group, order, lambda k, x: (k["prev"] == x["prev"]) | (k["cur"] == x["cur"]))
 
 
+def carried(df: DataFrame, group: list[str], order: list[Column], used: list[str], step: Callable, added: str = "") -> DataFrame:
+    """Rows of each group, in ``order``, through ``step(state, *values of used) -> (state, result)``; the state begins as None.
+
+    Without ``added`` the results say which rows stay; with it, they are the values of the added columns (names and types).
+    """
+    ship(df.sparkSession)
+    names = [c.partition(" ")[0] for c in added.split(", ")] if added else []
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    types = [pa.list_(pa.float64()) if c.endswith("array<double>") else {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[c.rpartition(" ")[2]] for c in added.split(", ")] if added else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = None
+        for batch in batches:
+            at = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731,B023
+            out = []
+            for k, *values in zip(zip(*map(at, group), strict=True), *map(at, used), strict=True):
+                if k != key:
+                    key, state = k, None
+                state, result = step(state, *values)
+                out.append(result)
+            if names:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+            else:
+                yield batch.filter(pa.array(out, pa.bool_()))
+
+    held = df.repartition(*group).sortWithinPartitions(*group, *order)
+    return held.mapInArrow(run, f"{fields}, {added}" if added else fields)
+
+
 def accepted_at_interval(df: DataFrame, group: list[str], at: str, least: float, order: list[Column]) -> DataFrame:
-    """Rows whose ``at`` is ``least`` or more behind the last accepted one; the first of a group is accepted."""
-    keys = [c.alias(f"_k{i}") for i, c in enumerate(order)]
-    rest = [c for c in df.columns if c not in group]
-    held = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*keys, *rest))).alias("_rows"))
-    empty = F.slice(F.col("_rows"), 1, 0)
-    take = lambda out, x: F.when((F.size(out) > 0) & (x[at] - F.get(out, F.size(out) - 1)[at] < least), out).otherwise(F.concat(out, F.array(x)))
-    return held.select(*group, F.explode(F.aggregate("_rows", empty, take)).alias("_row")).select(*group, *[F.col(f"_row.{c}") for c in rest])
+    """Rows whose ``at`` is ``least`` or more behind the last accepted one; the first of a group is accepted. Rows without ``at`` are left out."""
+
+    def step(last, t):
+        ok = t is not None and (last is None or t - last >= least)
+        return (t if ok else last), ok
+
+    return carried(df, group, order, [at], step)
 
 
 def keyframes(path: DataFrame, group: str, step: float) -> DataFrame:
-    """(group, frame_index, segment, x, y): frames that begin a segment or lie ``step`` or more from the last keyframe, and the last frame."""
-    held = path.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("frame_index", "segment", "x", "y"))).alias("_rows"))
-    empty = F.slice(F.col("_rows"), 1, 0)
+    """(group, frame_index, segment, x, y): frames that begin a segment or lie ``step`` or more from the last keyframe, and the last frame.
+
+    Of rows that repeat a frame one counts; a frame without a position is a keyframe only as the last one.
+    """
+    held = path.select(group, "frame_index", "segment", "x", "y").dropDuplicates([group, "frame_index"])
+    held = held.withColumn("_last", F.lead("frame_index").over(W.partitionBy(group).orderBy("frame_index")).isNull())
+
+    def take(last, segment, x, y, final):
+        ok = x is not None and y is not None and (last is None or last[0] != segment or (x - last[1]) ** 2 + (y - last[2]) ** 2 >= step * step)
+        return ((segment, x, y) if ok else last), ok or final
 
-    def take(out: Column, x: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        near = (last["segment"] == x["segment"]) & (F.hypot(x["x"] - last["x"], x["y"] - last["y"]) < step)
-        return F.when((F.size(out) > 0) & near, out).otherwise(F.concat(out, F.array(x)))
+    return carried(held, [group], [F.col("frame_index")], ["segment", "x", "y", "_last"], take).drop("_last")
 
-    chosen = F.aggregate("_rows", empty, take)
-    final = F.get(F.col("_rows"), F.size("_rows") - 1)
-    chosen = F.array_distinct(F.concat(chosen, F.array(final)))
-    return held.select(group, F.explode(chosen).alias("_row")).select(group, "_row.*")
 
+def chained_transforms(edges: DataFrame, group: list[str], size: int = 3, offset: float = 0.0) -> DataFrame:
+    """Add ``chain_segment`` and ``chain``: the product of the row-major matrices up to each frame.
 
-def chained_transforms(edges: DataFrame, group: list[str], size: int = 3) -> DataFrame:
-    """(group, frame_index, matrix): product of the row-major matrices up to each frame, from the identity."""
-    held = edges.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("frame_index", "matrix"))).alias("_rows"))
-    unit = F.array(*[F.lit(1.0 if i % (size + 1) == 0 else 0.0) for i in range(size * size)])
+    A row whose ``accepted`` is false (the column may be absent) begins a segment anew from the identity, moved by ``offset`` times the
+    segment's number in x, so that segments don't overlap on the map. A null matrix is a break too.
+    """
+    unit = [1.0 if i % (size + 1) == 0 else 0.0 for i in range(size * size)]
+    held = edges if "accepted" in edges.columns else edges.withColumn("accepted", F.lit(True))
 
-    def times(a: Column, b: Column) -> Column:
-        return F.array(*[sum((a[size * i + k] * b[size * k + j] for k in range(1, size)), a[size * i] * b[j]) for i in range(size) for j in range(size)])
+    def step(state, matrix, accepted):
+        segment, m = state or (0, unit)
+        if not accepted or matrix is None:
+            segment += 1
+            m = [*unit]
+            m[size - 1] = segment * offset
+        else:
+            m = [sum(m[size * i + k] * matrix[size * k + j] for k in range(size)) for i in range(size) for j in range(size)]
+        return (segment, m), (segment, m)
 
-    none = F.array().cast("array<struct<frame_index:bigint,matrix:array<double>>>")
-    step = lambda s, x: F.struct(times(s["m"], x["matrix"]).alias("m"), F.concat(s["out"], F.array(F.struct(x["frame_index"].cast("long").alias("frame_index"), times(s["m"], x["matrix"]).alias("matrix")))).alias("out"))
-    out = F.aggregate("_rows", F.struct(unit.alias("m"), none.alias("out")), step, lambda s: s["out"])
-    return held.select(*group, F.explode(out).alias("_row")).select(*group, "_row.*")
+    out = carried(held, group, [F.col("frame_index")], ["matrix", "accepted"], step, "chain_segment long, chain array<double>")
+    return out if "accepted" in edges.columns else out.drop("accepted")
 
 
 def rotated_chunks(records: DataFrame, group: list[str], size: str, order: str, most: int) -> DataFrame:
-    """Number of the file that each record goes to if a file is rotated before a write would make it exceed ``most`` bytes."""
-    held = records.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("_rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
-
-    def write(s: Column, x: Column) -> Column:
-        turn = (s["used"] > 0) & (s["used"] + x[size] > most)
-        chunk = F.when(turn, s["chunk"] + 1).otherwise(s["chunk"])
-        used = F.when(turn, F.lit(0).cast("long")).otherwise(s["used"]) + x[size]
-        return F.struct(used.alias("used"), chunk.alias("chunk"), F.concat(s["out"], F.array(chunk)).alias("out"))
-
-    chunks = F.aggregate("_rows", start, write, lambda s: s["out"])
-    zipped = F.arrays_zip(F.col("_rows").alias("rows"), chunks.alias("chunk"))
-    return held.select(*group, F.explode(zipped).alias("_row")).select(*group, "_row.rows.*", "_row.chunk")
+    """Add ``chunk``, the number of the file that each record goes to if a file is rotated before a write would make it exceed ``most`` bytes.
+
+    A record that is larger than a file has one of its own.
+    """
+
+    def write(state, n):
+        used, chunk = state or (0, 0)
+        if used and used + n > most:
+            used, chunk = 0, chunk + 1
+        return (used + n, chunk), (chunk,)
+
+    return carried(records.select(*group, order, size), group, [F.col(order), F.col(size)], [size], write, "chunk int")

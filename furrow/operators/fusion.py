@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from furrow.functions.boxes import center
 from furrow.functions.gates import in_roi, reasons, support_status
 from furrow.functions.geometry import from_enu, project
 from furrow.operators.statistics import weighted_median
+from furrow.storage import ship
 
 
 def to_local(detections: DataFrame, transforms: DataFrame) -> DataFrame:
@@ -30,45 +34,115 @@ def radius_sensitivity(pairs: DataFrame, radius: float, factors: tuple[float, ..
     return counts.select(F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(str(i)).alias("links")) for i, f in enumerate(factors)])).alias("_")).select("_.*")
 
 
-def associate(observations: DataFrame, radius: float, max_gap: int, neighbours: int = 3) -> DataFrame:
+class Tracker:
+    """Live tracks of one segment in a grid of cells of the radius; tracks that have aged are dropped."""
+
+    def __init__(self, radius: float, max_gap: int, neighbours: int) -> None:
+        self.radius, self.max_gap, self.neighbours = radius, max_gap, neighbours
+        self.live: dict[int, tuple[float, float, int, tuple[int, int]]] = {}
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        self.seen: dict[int, set[int]] = {}  # tracks by the place they were seen at last
+        self.count = 0
+
+    def _cell(self, x: float, y: float) -> tuple[int, int]:
+        return math.floor(x / self.radius), math.floor(y / self.radius)
+
+    def _drop(self, t: int) -> None:
+        _, _, place, cell = self.live.pop(t)
+        self.cells[cell].discard(t)
+        if not self.cells[cell]:
+            del self.cells[cell]
+        self.seen[place].discard(t)
+
+    def _put(self, t: int, x: float, y: float, place: int) -> None:
+        if t in self.live:
+            self._drop(t)
+        cell = self._cell(x, y)
+        self.live[t] = (x, y, place, cell)
+        self.cells.setdefault(cell, set()).add(t)
+        self.seen.setdefault(place, set()).add(t)
+
+    def frame(self, place: int, xs: list[float], ys: list[float]) -> list[int]:
+        for old in [p for p in self.seen if place - p > self.max_gap]:
+            for t in [*self.seen[old]]:
+                self._drop(t)
+            del self.seen[old]
+        finite = [x is not None and y is not None and math.isfinite(x) and math.isfinite(y) for x, y in zip(xs, ys, strict=True)]
+        edges = []
+        for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+            if finite[k]:
+                cx, cy = self._cell(x, y)
+                around = [t for i in (-1, 0, 1) for j in (-1, 0, 1) for t in self.cells.get((cx + i, cy + j), ())]
+                near = sorted((math.hypot(self.live[t][0] - x, self.live[t][1] - y), t) for t in around)
+                edges += [(d, t, k) for d, t in near[: self.neighbours] if d <= self.radius]
+        taken, owner = set(), {}
+        for _, t, k in sorted(edges):
+            if t not in taken and k not in owner:
+                taken.add(t)
+                owner[k] = t
+        for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+            if k not in owner:
+                owner[k] = self.count
+                self.count += 1
+            if finite[k]:
+                self._put(owner[k], x, y, place)
+        return [owner[k] for k in range(len(xs))]
+
+
+def associate(observations: DataFrame, radius: float, max_gap: int, neighbours: int = 3, frames: DataFrame | None = None) -> DataFrame:
     """Add ``track_id`` to (segment_id, frame_index, observation_id, x, y).
 
-    Frames are taken in order. Each observation offers edges to its nearest ``neighbours`` live tracks within the radius (a track lives
-    ``max_gap`` frames); edges are taken shortest first, each end once; what is left begins a track. Segments are independent of
-    each other and each is one task: a segment is a stretch of flight without a registration break.
+    Frames are taken in order. Each observation offers edges to its nearest ``neighbours`` live tracks within the radius; edges are taken
+    shortest first (then by track and observation), each end once; what is left begins a track. A track lives for ``max_gap`` *processed* frames: ``frames``
+    (segment_id, frame_index) has all of them, those without observations too; without it, the frames that have some. Observations without a
+    finite position begin tracks that nothing joins. Segments are independent of each other: a segment is a stretch of flight without a
+    registration break, and one pass over its sorted rows, which holds the live tracks and one frame.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", "observation_id"], kind="stable").reset_index(drop=True)
-        last_x, last_y, last_seen, out = [], [], [], np.zeros(len(pdf), np.int64)
-        for frame, rows in pdf.groupby("frame_index", sort=True):
-            xs, ys, at = rows["x"].to_numpy(), rows["y"].to_numpy(), rows.index.to_numpy()
-            live = np.array([i for i, s in enumerate(last_seen) if frame - s <= max_gap], np.int64)
-            edges = []
-            if len(live):
-                lx, ly = np.array(last_x)[live], np.array(last_y)[live]
-                for k in range(len(at)):
-                    d = np.hypot(lx - xs[k], ly - ys[k])
-                    near = np.lexsort((live, d))[:neighbours]
-                    edges += [(d[i], live[i], k) for i in near if d[i] <= radius]
-            taken_t, owner = set(), {}
-            for _, t, k in sorted(edges):
-                if t not in taken_t and k not in owner:
-                    taken_t.add(t)
-                    owner[k] = t
-            for k in range(len(at)):
-                if k not in owner:
-                    owner[k] = len(last_x)
-                    last_x.append(0.0)
-                    last_y.append(0.0)
-                    last_seen.append(0)
-                t = owner[k]
-                last_x[t], last_y[t], last_seen[t] = xs[k], ys[k], frame
-                out[at[k]] = t
-        return pdf.assign(track_id=out)
+    ship(observations.sparkSession)
+    every = observations.select("segment_id", "frame_index") if frames is None else frames.select("segment_id", "frame_index").unionByName(observations.select("segment_id", "frame_index"))
+    place = F.row_number().over(W.partitionBy("segment_id").orderBy("frame_index"))
+    places = every.distinct().withColumn("_place", place)
+    held = observations.join(places, ["segment_id", "frame_index"]).select(*observations.columns, "_place")
+    held = held.repartition("segment_id").sortWithinPartitions("segment_id", "_place", "observation_id")
+    names = observations.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tracker, at, waiting, done, n = None, (None, None), [], [], 0
+
+        def close() -> None:
+            nonlocal n
+            frame = pa.Table.from_batches(waiting)
+            ids = tracker.frame(at[1], frame["x"].to_pylist(), frame["y"].to_pylist())
+            done.append(frame.select(names).append_column("track_id", pa.array(ids, pa.int64())))
+            n += frame.num_rows
+            waiting.clear()
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done.clear()
+
+        for batch in batches:
+            keys = [*zip(batch.column(names.index("segment_id")).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            first = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[first]:
+                    if waiting and keys[first] != at:
+                        close()
+                    if tracker is None or keys[first][0] != at[0]:
+                        tracker = Tracker(radius, max_gap, neighbours)
+                    at = keys[first]
+                    waiting.append(batch.slice(first, i - first))
+                    first = i
+            if n > 10_000:
+                yield from ready()
+                n = 0
+        if waiting:
+            close()
+        yield from ready()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in observations.schema.fields)
-    return observations.groupBy("segment_id").applyInPandas(one, f"{fields}, track_id long")
+    return held.mapInArrow(run, f"{fields}, track_id long")
 
 
 def merge_tracks(tracks: DataFrame, observations: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -136,7 +210,7 @@ def with_support(plants: DataFrame) -> DataFrame:
 
 
 def registration_gate(edges: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Add ``gate_reasons`` and ``accepted`` to edges with match_count, inlier_count, inlier_ratio, reprojection_error_p95, scale, rotation_deg."""
+    """Add ``gate_reasons`` (fixed names) and ``accepted`` to edges with match_count, inlier_count, inlier_ratio, reprojection_error_p95, scale, rotation_deg."""
     c, m = F.col, limits
     why = reasons(
         ("too_few_matches", c("match_count") < m["min_mutual_matches"]),
@@ -150,7 +224,7 @@ def registration_gate(edges: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 
 def georeference_gate(fits: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Add ``gate_reasons`` and ``geo_valid``: valid if no reason holds."""
+    """Add ``gate_reasons`` (fixed names) and ``geo_valid``: valid if no reason holds."""
     c, m = F.col, limits
     why = reasons(
         ("flight_path_cross_track_geometry_underconstrained", c("cross_track_ratio") < m["min_cross_track_ratio"]),

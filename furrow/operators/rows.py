@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 
 from furrow.functions.gates import gap_evidence
 from furrow.operators.sync import chain_clusters
+from furrow.storage import checkpointed
 
 
 def expected_slots(plants: DataFrame, spacing: DataFrame) -> DataFrame:
     """Slots of each row: its plants, and between neighbours as many points as the spacing asks for, evenly spaced.
 
-    (plot_id, row_id, slot_index, along, across); slot 0 is the row's first plant.
+    (plot_id, row_id, slot_index, along, across); slot 0 is the row's first plant. ``spacing`` is by plot, or by row if it has row_id;
+    rows without a spacing have no slots.
     """
     by = ["plot_id", "row_id"]
     w = W.partitionBy(*by).orderBy("along", "plant_id")
-    held = plants.join(spacing.select("plot_id", "spacing"), "plot_id")
+    keys = [c for c in by if c in spacing.columns]
+    held = plants.join(spacing.select(*keys, "spacing"), keys)
     held = held.select(*by, "plant_id", "along", "across", "spacing", F.lead("along").over(w).alias("_a"), F.lead("across").over(w).alias("_c"))
     n = F.greatest(F.lit(1), F.rint(F.hypot(F.col("_a") - F.col("along"), F.col("_c") - F.col("across")) / F.col("spacing")).cast("int"))
     held = held.withColumn("_n", F.when(F.col("_a").isNotNull(), n).otherwise(0))
@@ -35,17 +38,25 @@ def expected_slots(plants: DataFrame, spacing: DataFrame) -> DataFrame:
 
 
 def missing_slots(expected: DataFrame, plants: DataFrame, spacing: DataFrame, tolerance: float = 0.45) -> DataFrame:
-    """Expected slots without a plant within ``tolerance`` spacings. The plot's spacing is the cell size, so pairs stay local."""
-    held = expected.join(spacing.select("plot_id", "spacing"), "plot_id")
-    cell = lambda c: F.floor(F.col(c) / F.col("spacing"))
+    """Expected slots without a plant of the plot within ``tolerance`` spacings. ``spacing`` is by plot, or by row if it has row_id; the plot's largest one is the cell size, so pairs stay local."""
+    keys = [c for c in ("plot_id", "row_id") if c in spacing.columns]
+    size = spacing.groupBy("plot_id").agg((F.max("spacing") * max(1.0, tolerance)).alias("_cell"))
+    held = expected.join(spacing.select(*keys, "spacing"), keys).join(size, "plot_id")
+    cell = lambda c: F.floor(F.col(c) / F.col("_cell"))
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     e = held.withColumn("ga", cell("along")).withColumn("gc", cell("across"))
-    p = plants.join(spacing.select("plot_id", "spacing"), "plot_id").withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    p = plants.join(size, "plot_id").withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
     p = p.select("plot_id", F.col("along").alias("pa"), F.col("across").alias("pc"), (cell("along") + F.col("_i")).alias("ga"), (cell("across") + F.col("_j")).alias("gc"))
     met = e.join(p, ["plot_id", "ga", "gc"]).where(F.hypot(F.col("along") - F.col("pa"), F.col("across") - F.col("pc")) <= tolerance * F.col("spacing"))
     return expected.join(met.select("plot_id", "row_id", "slot_index").distinct(), ["plot_id", "row_id", "slot_index"], "left_anti")
 
 
+def adjacent_distances(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Add ``step``, the distance from each row to the next of its group; null on the last."""
+    w = W.partitionBy(*by).orderBy(*order)
+    return df.withColumn("step", F.hypot(F.lead("along").over(w) - F.col("along"), F.lead("across").over(w) - F.col("across")))
+
+
 def runs(missing: DataFrame, by: list[str], slot: str = "slot_index") -> DataFrame:
     """Add ``run``: the same number for consecutive slots of a group."""
     w = W.partitionBy(*by).orderBy(slot)
@@ -63,9 +74,10 @@ def gaps(missing: DataFrame) -> DataFrame:
     return out.drop("run").withColumn("evidence_status", gap_evidence(F.col("nearby_suspicious_count"), F.col("gap_confidence")))
 
 
-def plot_summary(plots: DataFrame, plants: DataFrame, expected: DataFrame, found: DataFrame, least: int = 3) -> DataFrame:
-    """One row for each plot, those with too few plants too: counts, missing rate (null without capacity), status."""
-    p = plants.groupBy("plot_id").agg(F.count(F.lit(1)).alias("plants"), F.countDistinct("row_id").alias("rows"))
+def plot_summary(plots: DataFrame, plants: DataFrame, expected: DataFrame, found: DataFrame, least: int = 3, lanes: DataFrame | None = None) -> DataFrame:
+    """One row for each plot, those with too few plants too: counts, missing rate (null without capacity), status. Rows are counted in ``lanes`` or, without it, in ``plants``."""
+    count = plants.groupBy("plot_id").agg(F.count(F.lit(1)).alias("plants"))
+    p = count.join((plants if lanes is None else lanes).groupBy("plot_id").agg(F.countDistinct("row_id").alias("rows")), "plot_id", "left")
     e = expected.groupBy("plot_id").agg(F.count(F.lit(1)).alias("expected_capacity"))
     g = found.groupBy("plot_id").agg(F.count(F.lit(1)).alias("gap_count"), F.sum("estimated_missing_plants").alias("estimated_missing_plants"))
     out = plots.select("plot_id").join(p, "plot_id", "left").join(e, "plot_id", "left").join(g, "plot_id", "left")
@@ -167,10 +179,96 @@ def split_rows(plants: DataFrame, inside: DataFrame, least: int = 2) -> DataFram
 
 
 def samples_between(plants: DataFrame, n: int = 21) -> DataFrame:
-    """``n`` evenly spaced points on the step from each plant to the next of its row: (plot_id, row_id, plant_id, x, y)."""
+    """``n`` evenly spaced points on the step from each plant to the next of its row: (plot_id, row_id, plant_id, sample, x, y)."""
     w = W.partitionBy("plot_id", "row_id").orderBy("along", "plant_id")
     held = plants.withColumn("_a", F.lead("along").over(w)).withColumn("_c", F.lead("across").over(w)).where(F.col("_a").isNotNull())
     held = held.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_p", F.col("_i") / (n - 1))
-    return held.select("plot_id", "row_id", "plant_id", (F.col("along") + F.col("_p") * (F.col("_a") - F.col("along"))).alias("x"), (F.col("across") + F.col("_p") * (F.col("_c") - F.col("across"))).alias("y"))
+    return held.select("plot_id", "row_id", "plant_id", F.col("_i").alias("sample"), (F.col("along") + F.col("_p") * (F.col("_a") - F.col("along"))).alias("x"), (F.col("across") + F.col("_p") * (F.col("_c") - F.col("across"))).alias("y"))
+
+
+def row_distances(near: DataFrame, spacing: DataFrame, least: int = 5) -> DataFrame:
+    """(plot_id, inter_row): the distance of rows, from steps (plot_id, along, across) between near plants that lie side by side.
+
+    The first peak of the smoothed histogram of steps of 1.5 to 4.5 spacings across, in units; 2.6 spacings where there are fewer than ``least`` such steps or no peak.
+    """
+    s = F.col("spacing")
+    side = near.join(spacing.select("plot_id", "spacing"), "plot_id").withColumn("_a", F.abs("along")).withColumn("_c", F.abs("across"))
+    side = side.where((F.col("_a") < 0.55 * s) & (F.col("_c") > 1.5 * s) & (F.col("_c") < 4.5 * s))
+    counted = side.groupBy("plot_id", "spacing", F.floor(F.col("_c") - 1.5 * s).cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("n"))
 
+    def find(plot: pd.DataFrame) -> pd.DataFrame:
+        s = float(plot["spacing"].iloc[0])
+        out = 2.6 * s
+        if plot["n"].sum() >= least:
+            sigma, n = max(1.0, 0.12 * s), int(np.ceil(3 * s)) + 1
+            pad = int(4 * sigma) + 2  # so that steps at the ends of the range make a peak too
+            values = np.zeros(n + 2 * pad)
+            values[plot["_bin"].to_numpy() + pad] = plot["n"].to_numpy()
+            smooth = smoothed(values, sigma)
+            at = peaks(smooth, max(3, round(1.2 * s)), max(1.0, 0.1 * float(np.quantile(smooth[pad : pad + n], 0.5))))
+            out = 1.5 * s + at[0] - pad + 0.5 if len(at) else out
+        return pd.DataFrame({"plot_id": plot["plot_id"].iloc[:1], "inter_row": [float(out)]})
+
+    found = counted.groupBy("plot_id").applyInPandas(find, "plot_id long, inter_row double")
+    return spacing.select("plot_id", "spacing").join(found, "plot_id", "left").select("plot_id", F.coalesce("inter_row", 2.6 * s).alias("inter_row"))
+
+
+def straightened(points: DataFrame, scale: DataFrame, least: int = 5) -> DataFrame:
+    """Add ``straight``: the across coordinate without the slow drift that all rows of a plot share.
+
+    ``scale`` has (plot_id, spacing, inter_row). The phase of the repeated rows is averaged in 7 to 35 stretches along the rows, unwrapped, smoothed
+    and interpolated. What a plot's task holds are its stretches.
+    """
+    span = points.groupBy("plot_id").agg(F.min("along").alias("_lo"), F.max("along").alias("_hi"))
+    n = F.least(F.greatest(F.floor((F.col("_hi") - F.col("_lo")) / F.greatest(10 * F.col("spacing"), F.lit(1.0))), F.lit(7)), F.lit(35))
+    span = span.join(scale, "plot_id").withColumn("_n", n).withColumn("_width", F.greatest((F.col("_hi") - F.col("_lo")) / F.col("_n"), F.lit(1e-9)))
+    held = points.join(span, "plot_id").withColumn("_bin", F.least(F.floor((F.col("along") - F.col("_lo")) / F.col("_width")), F.col("_n") - 1))
+    turn = F.lit(2 * np.pi) * F.col("across") / F.col("inter_row")
+    bins = held.groupBy("plot_id", "_bin", "_lo", "_width", "inter_row").agg(F.count(F.lit(1)).alias("n"), F.avg(F.sin(turn)).alias("_s"), F.avg(F.cos(turn)).alias("_c")).where(F.col("n") >= least)
+
+    def drift(plot: pd.DataFrame) -> pd.DataFrame:
+        plot = plot.sort_values("_bin")
+        unit = float(plot["inter_row"].iloc[0]) / (2 * np.pi)
+        at, value = (plot["_lo"] + (plot["_bin"] + 0.5) * plot["_width"]).to_numpy(), np.unwrap(np.arctan2(plot["_s"], plot["_c"])) * unit
+        if len(value) >= 3:
+            value = smoothed(value, 1.0)
+        return pd.DataFrame({"plot_id": plot["plot_id"].iloc[:1], "at": [at.tolist()], "drift": [(value if len(value) > 1 else np.zeros(1)).tolist()]})
+
+    knots = bins.groupBy("plot_id").applyInPandas(drift, "plot_id long, at array<double>, drift array<double>")
+    held = points.join(knots, "plot_id", "left")
+    i = F.size(F.filter("at", lambda a: a <= F.col("along")))
+    v, a = (lambda k: F.get("drift", k)), (lambda k: F.get("at", k))
+    between = v(i - 1) + (F.col("along") - a(i - 1)) / (a(i) - a(i - 1)) * (v(i) - v(i - 1))
+    fitted = F.coalesce(F.when(i <= 0, v(F.lit(0))).when(i >= F.size("at"), v(F.size("at") - 1)).otherwise(between), F.lit(0.0))
+    held = checkpointed(held.withColumn("_drift", fitted).drop("at", "drift"))
+    middle = held.groupBy("plot_id").agg(F.median("_drift").alias("_mid"))
+    return held.join(middle, "plot_id").withColumn("straight", F.col("across") - F.col("_drift") + F.col("_mid")).drop("_drift", "_mid")
+
+
+def reconstructed(points: DataFrame, scale: DataFrame, least: int = 5, band: float = 0.42) -> DataFrame:
+    """Add ``row_id`` (1 for a plot's first row) to (plot_id, plant_id, along, across); plants outside all rows, and rows of fewer than ``least``, are left out.
+
+    Rows are the peaks of the smoothed density over the straightened coordinate, in units; a plant belongs to the nearest one, within the
+    band of 2 units, ``band`` row distances or the 99.5 % quantile of all residuals, whichever is widest.
+    """
+    held = straightened(points, scale, least)
+    hist = held.groupBy("plot_id", F.floor("straight").cast("long").alias("_bin")).agg(F.count(F.lit(1)).alias("n")).join(scale, "plot_id")
 
+    def find(plot: pd.DataFrame) -> pd.DataFrame:
+        s, inter = float(plot["spacing"].iloc[0]), float(plot["inter_row"].iloc[0])
+        pad, lo, hi = max(10, round(1.5 * s)), int(plot["_bin"].min()), int(plot["_bin"].max())
+        density = np.zeros(hi - lo + 1 + 2 * pad)
+        density[plot["_bin"].to_numpy() - lo + pad] = plot["n"].to_numpy()
+        smooth = smoothed(density, max(1.5, 0.18 * s))
+        at = peaks(smooth, max(3, round(0.65 * inter)), max(0.25, 0.15 * float(np.quantile(smooth, 0.6))))
+        return pd.DataFrame({"plot_id": plot["plot_id"].iloc[:1], "rows": [(at + lo - pad + 0.5).tolist()]})
+
+    middles = hist.groupBy("plot_id").applyInPandas(find, "plot_id long, rows array<double>")
+    near = F.array_min(F.transform("rows", lambda r, i: F.struct(F.abs(F.col("straight") - r).alias("off"), i.alias("row"))))
+    held = checkpointed(held.join(middles, "plot_id").withColumn("_near", near).where(F.col("_near").isNotNull()).drop("rows"))
+    limit = held.groupBy("plot_id").agg(F.percentile(F.col("_near.off"), 0.995).alias("_q")).join(scale, "plot_id")
+    limit = limit.select("plot_id", F.greatest(F.lit(2.0), band * F.col("inter_row"), F.col("_q")).alias("_limit"))
+    held = held.join(limit, "plot_id").where(F.col("_near.off") <= F.col("_limit")).withColumn("_row", F.col("_near.row"))
+    full = held.groupBy("plot_id", "_row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    numbered = full.withColumn("row_id", F.row_number().over(W.partitionBy("plot_id").orderBy("_row")).cast("long")).select("plot_id", "_row", "row_id")
+    return held.join(numbered, ["plot_id", "_row"]).drop("_near", "_limit", "_row")

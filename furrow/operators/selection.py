@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from furrow.storage import checkpointed
+
 
 def overlay_top(detections: DataFrame, least: float, limit: int, width: float, height: float, centrality: float = 0.1) -> DataFrame:
     """The ``limit`` best eligible boxes of each frame by (1 - centrality) x confidence + centrality x closeness to the center.
@@ -64,7 +66,7 @@ def quantile_positions(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """
     spark = df.sparkSession
     ordered = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    held = ordered.withColumn("_p", F.spark_partition_id())
+    held = checkpointed(ordered.withColumn("_p", F.spark_partition_id()))  # the numbers must be the same in both readings
     local = held.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     sizes = {r["_p"]: r["n"] for r in held.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each partition
     total, before = sum(sizes.values()), {}

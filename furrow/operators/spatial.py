@@ -5,11 +5,20 @@ Every cell join hashes on (group, cell), so no side is broadcast and no pair out
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from furrow.functions.geometry import crosses, segment_distance
-from furrow.storage import checkpointed
+from furrow.storage import checkpointed, ship
+
+
+_MOST_ROUNDS = 200
+#: Points that may be broadcast with their nine cells.
+_FEW = 1000
 
 
 def _distance() -> Column:
@@ -45,8 +54,14 @@ def nearest(left: DataFrame, right: DataFrame, k: int, cell: float | None = None
 
     Points meet those of the nine cells around them. A result is certain once the k-th distance is no larger than a cell, or the cells
     cover the group's extent; points that aren't certain yet go on with cells of twice the size. A point
-    with fewer than k others gets those there are. Without a size to begin with, cells hold about k points on average.
+    with fewer than k others gets those there are. Without a size to begin with, cells hold about k points on average. Points
+    without a finite position are left out on both sides.
+
+    Once few points are left, and that is counted, they are broadcast and the right points stay where they are; their candidates are ranked in
+    parts before they meet, so a large cell isn't one task.
     """
+    finite = lambda df: df.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    left, right = finite(left), finite(right)
     if not by:
         alone = nearest(left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), k, cell, ["_all"], itself)
         return alone.drop("_all")
@@ -59,12 +74,16 @@ def nearest(left: DataFrame, right: DataFrame, k: int, cell: float | None = None
     todo = todo.withColumn("_far", far).select(*by, "id", "x", "y", "_far")
     others = right.select(*by, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     one = W.partitionBy(*by, "id")
-    done = None
-    while True:
-        pairs = with_cells(todo, cell, ring=1).join(with_cells(others, cell, "ox", "oy"), [*by, "gx", "gy"])
+    done, few = None, False
+    for _ in range(_MOST_ROUNDS):
+        wanted = with_cells(todo, cell, ring=1)
+        pairs = with_cells(others, cell, "ox", "oy").join(F.broadcast(wanted) if few else wanted, [*by, "gx", "gy"])
         if not itself:
             pairs = pairs.where("id <> other_id")
         pairs = pairs.withColumn("distance", _distance())
+        if few:
+            part = W.partitionBy(*by, "id", "_part").orderBy("distance", "other_id")
+            pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("other_id"), F.lit(64))).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k).drop("_n")
         ranked = pairs.withColumn("rank", F.row_number().over(one.orderBy("distance", "other_id"))).where(F.col("rank") <= k)
         sure = ranked.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("distance"))).over(one))
         sure = sure.where((F.col("_kth") <= cell) | (F.col("_far") <= cell))
@@ -72,8 +91,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int, cell: float | None = None
         done = found if done is None else done.unionByName(found)
         rest = todo.join(found.select(*by, "id").distinct(), [*by, "id"], "left_anti").where(F.col("_far") > cell)
         todo, cell = checkpointed(rest), cell * 2
-        if todo.isEmpty():
+        left_over = todo.count()
+        if not left_over:
             return done
+        few = left_over <= _FEW
+    raise RuntimeError(f"points remain after {_MOST_ROUNDS} doublings of the cells")
 
 
 def edges_of(rings: DataFrame, by: list[str]) -> DataFrame:
@@ -86,31 +108,46 @@ def edges_of(rings: DataFrame, by: list[str]) -> DataFrame:
 
 
 
+def _whole(areas: DataFrame) -> DataFrame:
+    """(area_id, part, hole, xs, ys) to one row for each area with its parts as an array of arrays of rings. Areas without a part column have one."""
+    held = areas if "part" in areas.columns else areas.withColumn("part", F.lit(0))
+    parts = held.groupBy("area_id", "part").agg(F.collect_list(F.struct("hole", "xs", "ys")).alias("rings"))
+    return parts.groupBy("area_id").agg(F.collect_list("rings").alias("parts"))
+
+
+def _in_ring(ring: Column) -> Column:
+    xs, ys = ring["xs"], ring["ys"]
+    n = F.size(xs)
+    flips = F.transform(F.sequence(F.lit(0), n - 1), lambda i: crosses(F.col("x"), F.col("y"), F.get(xs, i), F.get(ys, i), F.get(xs, (i + 1) % n), F.get(ys, (i + 1) % n)).cast("int"))
+    return F.aggregate(flips, F.lit(0), lambda s, v: s + v) % 2 == 1
+
 
 def points_in_areas(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
-    """(id, x, y) with each area (area_id, ring_id, hole, xs, ys) that holds them: inside an outer ring and in no hole.
+    """(id, x, y) with each area (area_id, part, hole, xs, ys) that holds them: some part has them inside its outer ring and in none of its holes.
 
-    Rings are spread over the cells of their bounding box and meet points by cell; the crossing test is one expression over the
-    ring's arrays.
+    A point that repeats gives a row each time; points without a position are in no area. Areas are spread over the cells of their outer rings'
+    boxes and meet points by cell; an area's rings are one row, which joins by its id afterwards, and the test is one expression over it.
     """
-    box = areas.groupBy("area_id").agg(*[f(c).alias(a) for f, c, a in ((F.min, F.array_min("xs"), "x0"), (F.max, F.array_max("xs"), "x1"), (F.min, F.array_min("ys"), "y0"), (F.max, F.array_max("ys"), "y1"))])
+    corners = ((F.min, F.array_min, "xs", "x0"), (F.max, F.array_max, "xs", "x1"), (F.min, F.array_min, "ys", "y0"), (F.max, F.array_max, "ys", "y1"))
+    box = areas.where(~F.col("hole")).groupBy("area_id").agg(*[f(g(c)).alias(a) for f, g, c, a in corners])
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    cells = box.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1"))).select("area_id", "gx", "gy")
-    met = with_cells(points, cell).join(cells, ["gx", "gy"]).drop("gx", "gy").join(areas, "area_id")
-    n = F.size("xs")
-    flips = F.transform(F.sequence(F.lit(0), n - 1), lambda i: crosses(F.col("x"), F.col("y"), F.get("xs", i), F.get("ys", i), F.get("xs", (i + 1) % n), F.get("ys", (i + 1) % n)).cast("int"))
-    inside = F.aggregate(flips, F.lit(0), lambda s, v: s + v) % 2 == 1
-    rings = met.withColumn("_in", inside).groupBy(*points.columns, "area_id").agg(F.max(F.col("_in") & ~F.col("hole")).alias("_outer"), F.max(F.col("_in") & F.col("hole")).alias("_hole"))
-    return rings.where("_outer and not _hole").drop("_outer", "_hole")
+    cells = box.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
+    met = with_cells(points, cell).join(cells, ["gx", "gy"]).where("x between x0 and x1 and y between y0 and y1").select(*points.columns, "area_id")
+    held = met.join(_whole(areas), "area_id")
+    within = F.exists("parts", lambda rings: F.exists(rings, lambda r: ~r["hole"] & _in_ring(r)) & ~F.exists(rings, lambda r: r["hole"] & _in_ring(r)))
+    return held.where(within).select(*points.columns, "area_id")
 
 
 def ring_distances(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """Distance of each (area_id, id, x, y) to the nearest edge of its area's rings, holes included."""
-    met = points.join(areas.select("area_id", "ring_id", "xs", "ys"), "area_id")
-    n = F.size("xs")
-    nxt = lambda c, i: F.get(c, (i + 1) % n)
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: segment_distance(F.col("x"), F.col("y"), F.get("xs", i), F.get("ys", i), nxt("xs", i), nxt("ys", i)))
-    return met.groupBy(*points.columns).agg(F.min(F.array_min(each)).alias("boundary_distance"))
+    """Add ``boundary_distance`` to (area_id, id, x, y): to the nearest edge of its area's rings, holes included. A point that repeats gives a row each time."""
+
+    def edge(r: Column) -> Column:
+        n = F.size(r["xs"])
+        nxt = lambda c, i: F.get(r[c], (i + 1) % n)
+        return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), lambda i: segment_distance(F.col("x"), F.col("y"), F.get(r["xs"], i), F.get(r["ys"], i), nxt("xs", i), nxt("ys", i))))
+
+    held = points.join(_whole(areas), "area_id")
+    return held.select(*points.columns, F.array_min(F.transform(F.flatten("parts"), edge)).alias("boundary_distance"))
 
 
 def coverage_counts(spans: DataFrame, cell: float, by: list[str]) -> DataFrame:
@@ -126,12 +163,49 @@ def raster_at(points: DataFrame, raster: DataFrame, by: list[str], value: str =
     return held.join(raster, [*by, "px", "py"], "left").withColumn(value, F.coalesce(value, F.lit(0))).drop("px", "py")
 
 
-def mutual_matches(left: DataFrame, right: DataFrame, by: list[str], ratio: float, distance: Column) -> DataFrame:
-    """Pairs (by, a, b, d) that are each other's best, where the best is below ``ratio`` times the second best on both sides."""
-    pairs = left.join(right, by).withColumn("d", distance)
-    forward = W.partitionBy(*by, "a").orderBy("d", "b")
-    back = W.partitionBy(*by, "b").orderBy("d", "a")
-    ranked = pairs.withColumn("_f", F.row_number().over(forward)).withColumn("_f2", F.lead("d").over(forward))
-    ranked = ranked.withColumn("_b", F.row_number().over(back)).withColumn("_b2", F.lead("d").over(back))
-    good = lambda n, second: (F.col(n) == 1) & (F.col(second).isNull() | (F.col("d") < ratio * F.col(second)))
-    return ranked.where(good("_f", "_f2") & good("_b", "_b2")).select(*by, "a", "b", "d")
+def mutual_matches(left: DataFrame, right: DataFrame, ratio: float, by: list[str] | None = None, block: int = 2048, digits: int = 6) -> DataFrame:
+    """Pairs (by, a, b, d) that are each other's best, where the best is below ``ratio`` times the second best on both sides.
+
+    ``left`` has (by, a, p) and ``right`` (by, b, q), p and q arrays of numbers; pairs with a = b don't count, and of equal distances the smaller id is
+    the better. Both sides are dealt into blocks of about ``block`` rows; each block meets each other one in a task that returns the two best of each row, so
+    what shuffles are blocks and two rows for each row and block, and never all pairs.
+    """
+    by = by or []
+    ship(left.sparkSession)
+    parts = lambda df: max(1, math.ceil((df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) / block))
+    n, m = parts(left), parts(right)
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    l = left.select(*by, "a", "p", F.pmod(F.xxhash64("a"), F.lit(n)).cast("int").alias("_i"), each(m).alias("_j"))
+    r = right.select(*by, "b", "q", each(n).alias("_i"), F.pmod(F.xxhash64("b"), F.lit(m)).cast("int").alias("_j"))
+
+    def best(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> list[tuple]:
+        """(id, other, distance) of the two best of each row."""
+        order = np.argsort(others, kind="stable")
+        d, others = d[:, order], others[order]
+        out = []
+        for _ in range(min(2, d.shape[1])):
+            at = d.argmin(1)
+            row = np.arange(len(ids))
+            found = np.isfinite(d[row, at])
+            out += zip(ids[found].tolist(), others[at[found]].tolist(), d[row, at][found].tolist(), strict=True)
+            d[row, at] = np.inf
+        return out
+
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(a) and len(b):
+            p, q, x, y = np.stack(a["p"]).astype(float), np.stack(b["q"]).astype(float), a["a"].to_numpy(), b["b"].to_numpy()
+            d = np.round(np.stack([np.sqrt(((q - v) ** 2).sum(1)) for v in p]), digits)
+            d[x[:, None] == y[None, :]] = np.inf
+            rows = [(*key[: len(by)], True, i, o, v) for i, o, v in best(x, y, d.copy())] + [(*key[: len(by)], False, i, o, v) for i, o, v in best(y, x, d.T.copy())]
+        return pd.DataFrame(rows, columns=[*by, "forward", "id", "other", "d"])
+
+    keys = [*by, "_i", "_j"]
+    types = "".join(f"`{c}` {left.schema[c].dataType.simpleString()}, " for c in by)
+    found = l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(meet, f"{types}forward boolean, id long, other long, d double")
+    ranked = found.withColumn("_r", F.row_number().over(W.partitionBy(*by, "forward", "id").orderBy("d", "other"))).where("_r <= 2")
+    tops = checkpointed(ranked.groupBy(*by, "forward", "id").agg(F.min(F.struct("_r", "other", "d")).alias("t"), F.max(F.when(F.col("_r") == 2, F.col("d"))).alias("second")))
+    good = tops.where(F.col("second").isNull() | (F.col("t.d") < ratio * F.col("second"))).select(*by, "forward", "id", F.col("t.other").alias("other"), F.col("t.d").alias("d"))
+    forward = good.where("forward").select(*by, F.col("id").alias("a"), F.col("other").alias("b"), "d")
+    back = good.where("not forward").select(*by, F.col("other").alias("a"), F.col("id").alias("b"))
+    return forward.join(back, [*by, "a", "b"])

@@ -37,18 +37,18 @@ def robust_spacing(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def axial_peak(df: DataFrame, by: list[str], degrees: str, distance: str, width: float = 2.0, near: float = 8.0) -> DataFrame:
-    """Peak of the histogram of angles mod 180 weighted by 1/distance, and the axial mean of the angles near its middle."""
+    """Peak of the histogram of angles mod 180 weighted by 1/distance (the lower bin of equals), and the axial mean of the angles near its middle."""
     bins = int(180 / width)
     theta = F.pmod(F.col(degrees), F.lit(180.0))
     weight = 1 / F.greatest(F.col(distance), F.lit(1e-9))
     held = df.withColumn("_theta", theta).withColumn("_w", weight).withColumn("_bin", F.least(F.floor(F.col("_theta") / width), F.lit(bins - 1)))
     hist = held.groupBy(*by, "_bin").agg(F.round(F.sum("_w"), 9).alias("_sum"))
-    peak = hist.groupBy(*by).agg(F.max_by("_bin", F.struct("_sum", -F.col("_bin"))).alias("peak_bin"), F.max("_sum").alias("peak_weight"))
+    peak = hist.groupBy(*by).agg(F.max_by("_bin", F.struct("_sum", -F.col("_bin"))).alias("peak_bin"), F.max("_sum").alias("peak_weight"), F.sum("_sum").alias("total_weight"))
     off = F.abs(F.pmod(F.col("_theta") - (F.col("peak_bin") + 0.5) * width + 90, F.lit(180.0)) - 90)
     close = held.join(peak, by).where(off <= near)
     rad = F.radians(2 * F.col("_theta"))
     mean = F.pmod(F.degrees(F.atan2(F.sum(F.col("_w") * F.sin(rad)), F.sum(F.col("_w") * F.cos(rad)))) / 2, F.lit(180.0))
-    return close.groupBy(*by, "peak_bin", "peak_weight").agg(mean.alias("orientation_deg"))
+    return close.groupBy(*by, "peak_bin", "peak_weight", "total_weight").agg(mean.alias("orientation_deg"))
 
 
 def similarity(df: DataFrame, by: list[str], sx: str, sy: str, tx: str, ty: str) -> DataFrame:

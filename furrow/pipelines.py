@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,69 +20,132 @@ class GapSettings:
     overlap: float = 0.5
     close: float = 8.0
     association: float = 8.0
+    merge: float = 0.75
     max_gap: int = 3
     confirmed: int = 2
-    tolerance: float = 0.45
-    least_plants: int = 3
+    suspicious: int = 3
+    tolerance: float = 0.42
+    least_plants: int = 40
+    least_in_row: int = 5
+    band: float = 0.42
+    boundary: float = 2.5
+    least_coverage: int = 3
     cell: float = 100.0
     image: tuple[float, float] = (3840.0, 2160.0)
-    bin_width: float = 2.0
 
 
 def gap_report(detections: DataFrame, transforms: DataFrame, areas: DataFrame, settings: GapSettings | None = None) -> dict[str, DataFrame]:
-    """Detections to unique plants, rows, expected and missing places, gaps and a summary of each plot.
+    """Detections to unique plants, rows, expected, missing and rejected places, gaps and a summary of each plot.
 
-    ``detections``: frame_index, class_id, confidence, x1..y2, detection_id. ``transforms``: frame_index, segment_id, matrix (frame to local), inverse and
-    footprint x0, y0, x1, y1 (local). ``areas``: area_id, ring_id, hole, xs, ys (local).
+    ``detections``: frame_index, class_id, confidence, x1..y2, detection_id. ``transforms``, one row for each processed frame: frame_index, segment_id, matrix
+    (frame to local), inverse and footprint x0, y0, x1, y1 (local). ``areas``: area_id (its order: of areas that share a plant the
+    last names it), part, hole, xs, ys (local).
+
+    Plants of a plot are the confirmed ones and those of low support. Rows are cut where the way from a plant to the next leaves the plot; slots
+    outside it are dropped. A slot without a plant is a candidate, rejected near the plot's border or where too few frames could see
+    it, and worth half near a suspicious sighting.
     """
     s = settings or GapSettings()
     kept = folds.suppress_close_centers(folds.suppress_overlaps(detections.where(gates.confident(F.col("confidence"), s.confidence)), s.overlap), s.close)
     local = fusion.to_local(kept, transforms).join(transforms.select("frame_index", "segment_id"), "frame_index")
-    observed = local.select("segment_id", "frame_index", (F.col("frame_index") * 1_000_000 + F.col("detection_id")).alias("observation_id"), F.col("local_x").alias("x"), F.col("local_y").alias("y"), "confidence")
-    tracks = checkpointed(fusion.associate(observed, s.association, s.max_gap))
-    first = tracks.groupBy("segment_id", "track_id").agg(F.min("observation_id").alias("plant_id"))
-    plants = fusion.unique_plants(tracks, ["segment_id", "track_id"]).join(first, ["segment_id", "track_id"]).withColumn("x", F.col("local_x")).withColumn("y", F.col("local_y"))
+    observed = local.select("segment_id", "frame_index", (F.shiftleft(F.col("frame_index").cast("long"), 31) + F.col("detection_id")).alias("observation_id"), F.col("local_x").alias("x"), F.col("local_y").alias("y"), "confidence")
+    plants = checkpointed(_unique(observed, transforms, s))
     frames = transforms.select("frame_index", "x0", "y0", "x1", "y1", "inverse")
-    plants = checkpointed(fusion.with_support(fusion.visibility(plants.drop("segment_id", "track_id"), frames, *s.image)))
-    sure = plants.where(F.col("observation_count") >= s.confirmed)
-    inside = spatial.points_in_areas(sure.select(F.col("plant_id").alias("id"), "x", "y"), areas, s.cell)
-    inside = checkpointed(inside.groupBy("id", "x", "y").agg(F.max("area_id").alias("plot_id")))  # later areas win
-    near = spatial.nearest(inside, inside, 8, s.cell / 2, ["plot_id"])
-    at = lambda name: inside.select("plot_id", F.col("id").alias("id" if name == "a" else "other_id"), F.col("x").alias(f"{name}x"), F.col("y").alias(f"{name}y"))
+    seen = fusion.visibility(plants.select("plant_id", "x", "y"), frames, *s.image).select("plant_id", "visibility_opportunity")
+    status = gates.support_status(F.col("observation_count"), F.col("visibility_opportunity"), s.confirmed, s.suspicious)
+    plants = plants.join(seen, "plant_id").withColumn("support_status", status)
+    inside = spatial.points_in_areas(plants.select(F.col("plant_id").alias("id"), "x", "y", "support_status"), areas, s.cell).withColumnRenamed("area_id", "plot_id")
+    inside = checkpointed(inside)
+    plants = checkpointed(plants.join(inside.groupBy(F.col("id").alias("plant_id")).agg(F.max("plot_id").alias("plot_id")), "plant_id", "left"))
+    good = inside.where("support_status in ('confirmed', 'low_support')")
+    enough = good.groupBy("plot_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= s.least_plants).select("plot_id")
+    chosen = checkpointed(good.join(enough, "plot_id", "left_semi"))
+
+    near = spatial.nearest(chosen, chosen, 15, s.cell / 2, ["plot_id"])
+    at = lambda name: chosen.select("plot_id", F.col("id").alias("id" if name == "a" else "other_id"), F.col("x").alias(f"{name}x"), F.col("y").alias(f"{name}y"))
     near = checkpointed(near.join(at("a"), ["plot_id", "id"]).join(at("b"), ["plot_id", "other_id"]).withColumn("degrees", F.degrees(F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")))))
-    turn = statistics.axial_peak(near.where("rank <= 2"), ["plot_id"], "degrees", "distance").select("plot_id", F.radians("orientation_deg").alias("angle"))
+    turn = statistics.axial_peak(near.where("rank <= 4 and distance > 0"), ["plot_id"], "degrees", "distance", near=3.0)
+    turn = checkpointed(turn.select("plot_id", F.radians("orientation_deg").alias("angle"), F.least(6 * F.col("peak_weight") / F.col("total_weight"), F.lit(1.0)).alias("sureness")))
 
     def turned(df: DataFrame, x: Column, y: Column) -> DataFrame:
         along, across = geometry.along_across(x, y, F.col("angle"))
-        return df.join(turn, "plot_id").withColumn("along", along).withColumn("across", across)
-
-    steps = turned(near, F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).withColumn("da", F.abs("along")).withColumn("dc", F.abs("across"))
-    spacing = checkpointed(statistics.robust_spacing(steps.where("dc < 0.3 * da"), ["plot_id"], "da"))
-    cross = statistics.robust_spacing(steps.where("da < 0.3 * dc"), ["plot_id"], "dc").agg(F.median("spacing")).first()[0]
-    points = turned(inside, F.col("x"), F.col("y")).select("plot_id", F.col("id").alias("plant_id"), "along", "across")
-    banded = checkpointed(rows.row_bands(points, s.bin_width, float(cross or 1.0)))
-    expected = checkpointed(rows.expected_slots(banded, spacing))
-    missing = rows.missing_slots(expected, points, spacing, s.tolerance).join(spacing.select("plot_id", "confidence"), "plot_id")
-    missing = missing.join(turn, "plot_id")
-    x, y = geometry.from_along_across(F.col("along"), F.col("across"), F.col("angle"))
-    missing = missing.withColumn("x", x).withColumn("y", y).withColumn("plant_id", F.concat_ws("_", F.col("plot_id").cast("string"), F.col("row_id").cast("string"), F.col("slot_index").cast("string")))
-    seen = fusion.visibility(missing, frames, *s.image).withColumnRenamed("visibility_opportunity", "coverage_count")
-    doubtful = plants.where("support_status = 'suspicious_singleton'").select(F.col("plant_id").alias("id"), "x", "y")
-    close = spatial.radius_join(seen.select(F.col("plant_id").alias("id"), "x", "y"), doubtful, 1.5 * s.association).groupBy("id").agg(F.count(F.lit(1)).alias("nearby_suspicious_count"))
-    judged = seen.join(close.withColumnRenamed("id", "plant_id"), "plant_id", "left").fillna(0, ["nearby_suspicious_count"])
-    judged = checkpointed(judged.withColumn("confidence", gates.downgraded(F.col("confidence"), F.col("nearby_suspicious_count"))).where(F.col("coverage_count") > 0))
-    found = rows.gaps(judged)
-    back_x, back_y = geometry.from_along_across(F.col("along"), F.col("across"), F.col("angle"))
-    found = found.join(turn, "plot_id").withColumn("local_x", back_x).withColumn("local_y", back_y).drop("angle")
+        return df.join(turn.select("plot_id", "angle"), "plot_id").withColumn("along", along).withColumn("across", across).drop("angle")
+
+    def placed(df: DataFrame) -> DataFrame:
+        x, y = geometry.from_along_across(F.col("along"), F.col("across"), F.col("angle"))
+        return df.join(turn.select("plot_id", "angle"), "plot_id").withColumn("x", x).withColumn("y", y).drop("angle")
+
+    normal = near.where("rank = 1").groupBy("plot_id").agg(F.median("distance").alias("spacing"))
+    scale = rows.row_distances(turned(near.select("plot_id", "ax", "ay", "bx", "by"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")), normal, s.least_in_row)
+    scale = checkpointed(normal.join(scale, "plot_id"))
+    points = turned(chosen, F.col("x"), F.col("y")).select("plot_id", F.col("id").alias("plant_id"), "support_status", "along", "across")
+    banded = checkpointed(rows.reconstructed(points, scale, s.least_in_row, s.band))
+    lanes, spacing = _cut(banded, areas, placed, turn, s)
+    expected = checkpointed(placed(rows.expected_slots(lanes, spacing)))
+    own = spatial.points_in_areas(expected, areas, s.cell).where("area_id = plot_id")
+    expected_in = checkpointed(spatial.ring_distances(own, areas).drop("area_id"))
+    gap = rows.adjacent_distances(expected_in, ["plot_id", "row_id"], ["slot_index"]).groupBy("plot_id", "row_id").agg(F.coalesce(F.median("step"), F.lit(1.0)).alias("spacing"))
+    missing = rows.missing_slots(expected_in, points, gap, s.tolerance)
+    hidden = rows.missing_slots(expected_in, points.where("support_status = 'confirmed'"), gap, s.tolerance).join(missing.select("plot_id", "row_id", "slot_index"), ["plot_id", "row_id", "slot_index"], "left_anti")
+    missing = missing.join(spacing, ["plot_id", "row_id"]).withColumn("plant_id", F.concat_ws("_", F.col("plot_id").cast("string"), "row_id", F.col("slot_index").cast("string")))
+    missing = checkpointed(fusion.visibility(missing, frames, *s.image).withColumnRenamed("visibility_opportunity", "coverage_count"))
+    why = gates.candidate_rejection(F.col("boundary_distance"), s.boundary * F.col("spacing"), F.col("coverage_count"), F.lit(s.least_coverage))
+    missing = missing.withColumn("rejection_reason", why)
+    rejected = missing.where("rejection_reason is not null").withColumn("boundary_fraction", F.col("boundary_distance") / F.greatest("spacing", F.lit(1e-9))).withColumn("candidate_id", F.concat(F.lit("rejected_"), "plant_id"))
+    judged = checkpointed(_doubted(missing.where("rejection_reason is null").drop("rejection_reason"), inside.where("support_status = 'suspicious_singleton'"), s))
+    found = placed(rows.gaps(judged)).withColumnsRenamed({"x": "local_x", "y": "local_y"}).withColumn("square", geometry.square(F.col("local_x"), F.col("local_y"), 4.0))
     plots = areas.select(F.col("area_id").alias("plot_id")).distinct()
-    return {"plants": plants, "rows": banded, "expected": expected, "missing": judged, "gaps": found, "summary": rows.plot_summary(plots, banded, expected, found, s.least_plants)}
+    analysed = good.select("plot_id", F.col("id").alias("plant_id"), "support_status")
+    summary = rows.plot_summary(plots, analysed, expected_in, found, s.least_plants, lanes)
+    for name, df in (("rejected_outside", expected.join(expected_in, ["plot_id", "row_id", "slot_index"], "left_anti")), ("suppressed_by_low_support", hidden), ("downgraded_near_suspicious", judged.where("nearby_suspicious_count > 0"))):
+        summary = summary.join(df.groupBy("plot_id").agg(F.count(F.lit(1)).alias(name)), "plot_id", "left").fillna(0, [name])
+    reasons = rejected.groupBy("plot_id").agg(F.count_if(F.col("rejection_reason").startswith("polygon")).alias("rejected_boundary"), F.count_if(F.col("rejection_reason").startswith("insufficient")).alias("rejected_coverage"))
+    summary = summary.join(reasons, "plot_id", "left").fillna(0, ["rejected_boundary", "rejected_coverage"])
+    return {"plants": plants, "rows": lanes, "expected": expected_in, "missing": judged, "rejected": rejected, "gaps": found, "summary": summary}
+
+
+def _unique(observed: DataFrame, transforms: DataFrame, s: GapSettings) -> DataFrame:
+    """Observations to plants: tracks, merged where their middles are near and their frames differ; a plant's id is its first observation."""
+    tracks = checkpointed(fusion.associate(observed, s.association, s.max_gap, frames=transforms))
+    middle = tracks.groupBy("segment_id", "track_id").agg(F.median("x").alias("x"), F.median("y").alias("y"))
+    pairs = spatial.radius_pairs(middle.withColumnRenamed("track_id", "id"), s.association * s.merge, ["segment_id"])
+    merged = fusion.merge_tracks(middle, tracks, pairs)
+    tracks = checkpointed(tracks.join(merged, ["segment_id", "track_id"]))
+    first = tracks.groupBy("segment_id", "plant").agg(F.min("observation_id").alias("plant_id"))
+    plants = fusion.unique_plants(tracks, ["segment_id", "plant"]).join(first, ["segment_id", "plant"]).drop("plant")
+    return plants.withColumn("x", F.col("local_x")).withColumn("y", F.col("local_y"))
+
+
+def _cut(banded: DataFrame, areas: DataFrame, placed: Callable[[DataFrame], DataFrame], turn: DataFrame, s: GapSettings) -> tuple[DataFrame, DataFrame]:
+    """Rows cut at the plot's border as rows of their own (row_id row_segment), and their spacing and confidence."""
+    points = placed(rows.samples_between(banded).withColumnsRenamed({"x": "along", "y": "across"})).select("plot_id", "row_id", "plant_id", "sample", "x", "y")
+    within = spatial.points_in_areas(points, areas, s.cell).where("area_id = plot_id").select("plot_id", "row_id", "plant_id", "sample").withColumn("_in", F.lit(True))
+    ok = points.join(within, ["plot_id", "row_id", "plant_id", "sample"], "left").groupBy("plot_id", "row_id", "plant_id").agg(F.min(F.coalesce("_in", F.lit(False))).alias("ok"))
+    lanes = rows.split_rows(banded, ok, s.least_in_row)
+    lanes = checkpointed(lanes.withColumn("row_id", F.concat_ws("_", F.col("row_id").cast("string"), F.col("segment").cast("string"))))
+    steps = rows.adjacent_distances(lanes, ["plot_id", "row_id"], ["along", "plant_id"]).where("step > 0")
+    many = steps.groupBy("plot_id", "row_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("plot_id", "row_id")
+    spacing = statistics.robust_spacing(steps.join(many, ["plot_id", "row_id"], "left_semi"), ["plot_id", "row_id"], "step")
+    sure = F.least(F.greatest(0.5 * F.col("sureness") + 0.5 * F.col("confidence"), F.lit(0.0)), F.lit(1.0))
+    return lanes, checkpointed(spacing.join(turn.select("plot_id", "sureness"), "plot_id").select("plot_id", "row_id", "spacing", sure.alias("confidence")))
+
+
+def _doubted(missing: DataFrame, doubtful: DataFrame, s: GapSettings) -> DataFrame:
+    """Missing slots with the number of suspicious sightings of their plot within the tolerance, their confidence and reasons."""
+    widest = missing.agg(F.max(s.tolerance * F.col("spacing"))).first()[0] or 1.0
+    pairs = spatial.radius_join(missing.select("plot_id", F.col("plant_id").alias("id"), "x", "y"), doubtful.select("plot_id", "id", "x", "y"), widest, ["plot_id"])
+    close = pairs.join(missing.select("plot_id", F.col("plant_id").alias("id"), "spacing"), ["plot_id", "id"]).where(F.col("distance") <= s.tolerance * F.col("spacing"))
+    close = close.groupBy("plot_id", F.col("id").alias("plant_id")).agg(F.count(F.lit(1)).alias("nearby_suspicious_count"))
+    held = missing.join(close, ["plot_id", "plant_id"], "left").fillna(0, ["nearby_suspicious_count"])
+    held = held.withColumn("reasons", gates.slot_reasons(F.col("coverage_count"), F.col("nearby_suspicious_count")))
+    return held.withColumn("confidence", gates.downgraded(F.col("confidence"), F.col("nearby_suspicious_count")))
 
 
 def live_session(frames: DataFrame, least_seconds: float = 0.5, top: int = 255) -> DataFrame:
     """Streamed frames (session_id, sequence, started, captured, seconds, detections) to the boxes that the overlay shows.
 
     Frames from before the session's start and repeated ones are dropped, the rest admitted at most every ``least_seconds``; the boxes of a
-    frame come with it as an array, so suppression and selection stay inside the row.
+    frame come with it as an array, so selection stays inside the row.
     """
     admitted = stateful.admitted(frames, "started", "captured", "session_id", "sequence")
     limited = stateful.rate_limited(admitted, "session_id", "seconds", least_seconds)

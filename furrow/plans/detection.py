@@ -53,13 +53,9 @@ LEFT JOIN (SELECT frame_index, count(*) AS n FROM c GROUP BY 1) b USING (frame_i
 )
 def merge_pipeline_counts(d: DataFrame) -> DataFrame:
     """Boxes of each frame after each stage of the merge: confidence, overlaps, close centers, the ten most confident."""
-    raw = _confident(d)
-    nms = folds.suppress_overlaps(raw, 0.5)
-    center = folds.suppress_close_centers(nms, 20.0)
-    count = lambda df, name: df.groupBy("frame_index").agg(F.count(F.lit(1)).alias(name))
-    out = count(raw, "raw").join(count(nms, "after_nms"), "frame_index", "left").join(count(center, "after_center"), "frame_index", "left").fillna(0)
+    counts = folds.merged_counts(_confident(d), 0.5, 20.0).groupBy("frame_index").agg(*[F.sum(c).alias(c) for c in ("raw", "after_nms", "after_center")])
     final = F.least(F.col("after_center"), F.lit(10)).cast("long")
-    return out.withColumn("final", final).withColumn("removed", F.col("raw") - F.col("final"))
+    return counts.withColumn("final", final).withColumn("removed", F.col("raw") - F.col("final"))
 
 
 @query(
@@ -80,7 +76,7 @@ def pilot_top62(d: DataFrame) -> DataFrame:
     return ranked(d, ["frame_index"], [F.desc("confidence"), F.col("detection_id")], 62, "position").select("frame_index", "confidence", "detection_id", F.col("position").cast("long").alias("position"))
 
 
-@query(f"SELECT frame_index, a, b, round(iou, 9) AS iou FROM (SELECT x.frame_index, x.detection_id AS a, k.detection_id AS b, {_IOU} AS iou FROM d x JOIN d k ON x.frame_index = k.frame_index AND x.class_id = k.class_id AND x.detection_id < k.detection_id) WHERE iou >= 0.5", d=DETECTIONS)
+@query(f"WITH m AS MATERIALIZED (SELECT * FROM d) SELECT frame_index, a, b, round(iou, 9) AS iou FROM (SELECT x.frame_index, x.detection_id AS a, k.detection_id AS b, {_IOU} AS iou FROM m x JOIN m k ON x.frame_index = k.frame_index AND x.class_id = k.class_id AND x.detection_id < k.detection_id) WHERE iou >= 0.5", d=DETECTIONS)
 def box_iou_pairs(d: DataFrame) -> DataFrame:
     """Overlapping pairs of one class in one frame: both sides of the pair come from the same bounded frame."""
     s = F.struct("x1", "y1", "x2", "y2")

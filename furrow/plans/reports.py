@@ -12,7 +12,7 @@ from furrow.plans.base import DETECTIONS, FRAMES, POINTS, query
 from furrow.plans.statistics import ROUND
 from furrow.sinks import files
 
-_CELLS = "SELECT DISTINCT g, CAST(floor(x / 20) AS BIGINT) AS px, CAST(floor(y / 20) AS BIGINT) AS py FROM (" + POINTS + ") AS q WHERE w < 0.4"
+_CELLS = "SELECT DISTINCT g, CAST(floor(x / 4) AS BIGINT) AS px, CAST(floor(y / 4) AS BIGINT) AS py FROM (" + POINTS + ") AS q"
 
 
 @query("SELECT g, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM p GROUP BY g", p=POINTS)
@@ -40,15 +40,15 @@ def interpolated_drift(p: DataFrame) -> DataFrame:
 
 @query(
     """SELECT gap_id, frame_index, round(d, 6) AS distance FROM (SELECT a.id AS gap_id, b.id AS frame_index, sqrt(pow(a.x - (b.x + 60), 2) + pow(a.y - (b.y + 40), 2)) AS d,
-  row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(a.x - (b.x + 60), 2) + pow(a.y - (b.y + 40), 2)), b.id) AS n FROM p a JOIN p b ON a.g = 0 AND b.g = 1 AND a.x >= b.x AND a.x < b.x + 120 AND a.y >= b.y AND a.y < b.y + 80) WHERE n = 1""",
+  row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(a.x - (b.x + 60), 2) + pow(a.y - (b.y + 40), 2)), b.id) AS n FROM p a JOIN p b ON a.kind = 'click' AND b.kind <> 'click' AND a.x >= b.x AND a.x < b.x + 120 AND a.y >= b.y AND a.y < b.y + 80) WHERE n = 1""",
     p=POINTS,
 )
 def most_central_frame(p: DataFrame) -> DataFrame:
-    frames = p.where("g = 1").select(F.col("id").alias("frame_index"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 120).alias("x1"), (F.col("y") + 80).alias("y1"))
-    return ROUND(reports.central_frames(p.where("g = 0").select(F.col("id").alias("gap_id"), "x", "y"), frames, 120.0), "distance")
+    frames = p.where("kind <> 'click'").select(F.col("id").alias("frame_index"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 120).alias("x1"), (F.col("y") + 80).alias("y1"))
+    return ROUND(reports.central_frames(p.where("kind = 'click'").select(F.col("id").alias("gap_id"), "x", "y"), frames, 120.0), "distance")
 
 
-@query("SELECT a.g AS area_id, b.g AS other_id, count(*) AS shared FROM c a JOIN c b USING (px, py) WHERE a.g < b.g GROUP BY ALL", c=_CELLS.replace("/ 20", "/ 50"))
+@query("SELECT a.g AS area_id, b.g AS other_id, count(*) AS shared FROM c a JOIN c b USING (px, py) WHERE a.g < b.g GROUP BY ALL", c=_CELLS.replace("/ 4)", "/ 50)"))
 def polygon_overlap_pairs(c: DataFrame) -> DataFrame:
     return reports.overlapping_areas(c.withColumnRenamed("g", "area_id"))
 
@@ -56,7 +56,7 @@ def polygon_overlap_pairs(c: DataFrame) -> DataFrame:
 @query(
     """WITH RECURSIVE r AS (SELECT g, px, py, px AS rx, py AS ry FROM c UNION SELECT r.g, n.px, n.py, r.rx, r.ry FROM r JOIN c n ON n.g = r.g AND abs(n.px - r.px) <= 1 AND abs(n.py - r.py) <= 1),
 m AS (SELECT g, px, py, min({'x': rx, 'y': ry}) AS k FROM r GROUP BY ALL) SELECT g, px, py, k.x AS root_x, k.y AS root_y FROM m""",
-    c=_CELLS.replace("w < 0.4", "w < 0.1"),
+    c=_CELLS,
 )
 def connected_raster(c: DataFrame) -> DataFrame:
     return reports.connected_cells(c, ["g"])
@@ -102,10 +102,10 @@ def sequence_breaks(p: DataFrame) -> DataFrame:
     return reports.breaks(p.select("kind", "id"), ["kind"], "id")
 
 
-@query("SELECT id, x, y, kind FROM p WHERE g = 2", p=POINTS)
+@query("SELECT id, x, y, kind FROM p", p=POINTS)
 def geojson_round_trip(p: DataFrame) -> DataFrame:
     """Point features written as JSON and read again."""
-    text = files.point_features(p.where("g = 2"), "x", "y", ["id", "kind"])
+    text = files.point_features(p, "x", "y", ["id", "kind"])
     parsed = text.select(F.from_json("value", "properties struct<id:long,kind:string>, geometry struct<coordinates:array<double>>").alias("f"))
     return parsed.select("f.properties.id", F.get("f.geometry.coordinates", F.lit(0)).alias("x"), F.get("f.geometry.coordinates", F.lit(1)).alias("y"), "f.properties.kind")
 

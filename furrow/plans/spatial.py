@@ -11,28 +11,31 @@ from furrow.plans.base import POINTS, query
 from furrow.plans.statistics import ROUND
 
 _DIST = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))"
-#: Rings of eight corners around the middles of a 5 x 5 grid, each with a square hole; from the nations.
+#: Rings of eight corners around the middles of a 5 x 5 grid, each with a hole in which a second part lies; from the nations.
 AREAS = """
-SELECT CAST(n_nationkey AS BIGINT) AS area_id, ring_id, ring_id = 1 AS hole, n_nationkey % 5 * 200 + 100 AS cx, floor(n_nationkey / 5) * 200 + 100 AS cy, CASE WHEN ring_id = 1 THEN 20.0 ELSE 90.0 - n_nationkey END AS r
-FROM {nation} CROSS JOIN (SELECT CAST(0 AS BIGINT) AS ring_id UNION ALL SELECT CAST(1 AS BIGINT) AS ring_id) AS rings
+SELECT CAST(n_nationkey AS BIGINT) AS area_id, part, ring_id, ring_id = 1 AS hole, n_nationkey % 5 * 200 + 100 AS cx, floor(n_nationkey / 5) * 200 + 100 AS cy,
+  CASE WHEN ring_id = 1 THEN 40.0 WHEN part = 1 THEN 20.0 ELSE 90.0 - n_nationkey END AS r
+FROM {nation} CROSS JOIN (SELECT CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS ring_id UNION ALL SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT)) AS rings
 """
+#: Points of which some are there twice.
+TWICE = "SELECT id, x, y FROM (" + POINTS + ") AS q UNION ALL SELECT id, x, y FROM (" + POINTS + ") AS r WHERE kind = 'signup'"
 _CORNERS = [(1.0, 0.0), (0.7, 0.6), (0.0, 1.0), (-0.6, 0.7), (-1.0, 0.0), (-0.7, -0.6), (0.0, -1.0), (0.6, -0.7)]
 
 
 def _rings(areas: DataFrame) -> DataFrame:
     xs = F.array(*[F.col("cx") + F.col("r") * F.lit(c) for c, _ in _CORNERS])
     ys = F.array(*[F.col("cy") + F.col("r") * F.lit(s) for _, s in _CORNERS])
-    return areas.select("area_id", "ring_id", "hole", xs.alias("xs"), ys.alias("ys"))
+    return areas.select("area_id", "part", "ring_id", "hole", xs.alias("xs"), ys.alias("ys"))
 
 
 _EDGES = (
-    "e AS (SELECT area_id, ring_id, hole, cx + r * c.ax AS ax, cy + r * c.ay AS ay, cx + r * c.bx AS bx, cy + r * c.b_y AS b_y FROM a, (VALUES "
+    "e AS (SELECT area_id, part, ring_id, hole, cx + r * c.ax AS ax, cy + r * c.ay AS ay, cx + r * c.bx AS bx, cy + r * c.b_y AS b_y FROM a, (VALUES "
     + ", ".join(f"({i}, {p[0]}, {p[1]}, {q[0]}, {q[1]})" for i, (p, q) in enumerate(zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True)))
     + ") c(i, ax, ay, bx, b_y))"
 )
 _INSIDE = (
-    f"WITH {_EDGES}, f AS (SELECT id, area_id, ring_id, hole, count(*) FILTER ((ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax) % 2 = 1 AS inside FROM p, e GROUP BY ALL), "
-    "i AS (SELECT id, area_id FROM f GROUP BY ALL HAVING bool_or(inside AND NOT hole) AND NOT bool_or(inside AND hole)) "
+    f"WITH {_EDGES}, o AS (SELECT DISTINCT * FROM p), f AS (SELECT id, area_id, part, ring_id, hole, count(*) FILTER ((ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax) % 2 = 1 AS inside FROM o, e GROUP BY ALL), "
+    "k AS (SELECT id, area_id, part FROM f GROUP BY ALL HAVING bool_or(inside AND NOT hole) AND NOT bool_or(inside AND hole)), i AS (SELECT id, area_id FROM p JOIN (SELECT DISTINCT id, area_id FROM k) USING (id)) "
 )
 
 
@@ -48,19 +51,18 @@ def radius_pairs(p: DataFrame) -> DataFrame:
     return ROUND(spatial.radius_pairs(p, 30.0, ["g"]), "distance")
 
 
-@query(f"SELECT a.id, count(b.id) AS nearby FROM p a LEFT JOIN p b ON b.kind = 'click' AND {_DIST} <= 12 WHERE a.g = 0 GROUP BY a.id", p=POINTS)
+@query(f"SELECT a.id, count(b.id) AS nearby FROM p a LEFT JOIN p b ON b.kind = 'click' AND {_DIST} <= 12 GROUP BY a.id", p=POINTS)
 def radius_count(p: DataFrame) -> DataFrame:
-    """Clicks within 12 of each point of the first group."""
-    mine = p.where("g = 0")
-    n = spatial.radius_join(mine, p.where("kind = 'click'"), 12.0).groupBy("id").agg(F.count(F.lit(1)).alias("nearby"))
-    return mine.select("id").join(n, "id", "left").fillna(0)
+    """Clicks within 12 of each point."""
+    n = spatial.radius_join(p, p.where("kind = 'click'"), 12.0).groupBy("id").agg(F.count(F.lit(1)).alias("nearby"))
+    return p.select("id").join(n, "id", "left").fillna(0)
 
 
-@query(f"SELECT a.id FROM p a WHERE a.g = 0 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.g = 1 AND {_DIST} <= 14)", p=POINTS)
+@query(f"SELECT a.id FROM p a WHERE a.kind <> 'error' AND NOT EXISTS (SELECT 1 FROM p b WHERE b.kind = 'error' AND {_DIST} <= 14)", p=POINTS)
 def nearest_with_tolerance(p: DataFrame) -> DataFrame:
-    """Points of one group without a point of the other within the tolerance."""
-    mine = p.where("g = 0")
-    return mine.select("id").join(spatial.radius_join(mine, p.where("g = 1"), 14.0).select("id").distinct(), "id", "left_anti")
+    """Points of the other kinds without an error within the tolerance."""
+    mine = p.where("kind <> 'error'")
+    return mine.select("id").join(spatial.radius_join(mine, p.where("kind = 'error'"), 14.0).select("id").distinct(), "id", "left_anti")
 
 
 @query(f"WITH d AS (SELECT {_DIST} AS distance FROM p a JOIN p b ON a.g = b.g AND a.id < b.id AND {_DIST} <= 36) SELECT f AS factor, count(*) FILTER (distance <= f * 30) AS links FROM (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.2::DOUBLE)) v(f) LEFT JOIN d ON true GROUP BY f", p=POINTS)
@@ -69,41 +71,39 @@ def radius_sensitivity(p: DataFrame) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT vec_id, vec_id % 10 AS g, embedding AS e FROM t), d AS (SELECT a.g, a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(a.e[i]::DOUBLE - b.e[i]::DOUBLE, 2)))), 6) AS d
-  FROM v a JOIN v b ON a.g = b.g WHERE a.vec_id % 20 < 10 AND b.vec_id % 20 >= 10),
+    """WITH d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda v: pow(v[1]::DOUBLE - v[2]::DOUBLE, 2)))), 6) AS d
+  FROM t a JOIN t b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS f, lead(d) OVER (PARTITION BY a ORDER BY d, b) AS f2, row_number() OVER (PARTITION BY b ORDER BY d, a) AS k, lead(d) OVER (PARTITION BY b ORDER BY d, a) AS k2 FROM d)
-SELECT g, a, b, d FROM r WHERE f = 1 AND k = 1 AND (f2 IS NULL OR d < 0.95 * f2) AND (k2 IS NULL OR d < 0.95 * k2)""",
+SELECT a, b, d FROM r WHERE f = 1 AND k = 1 AND (f2 IS NULL OR d < 0.95 * f2) AND (k2 IS NULL OR d < 0.95 * k2)""",
     t="SELECT vec_id, embedding FROM {embeddings}",
 )
 def mutual_ratio_matches(t: DataFrame) -> DataFrame:
-    """Mutual best matches of descriptors between two halves of each group, with a ratio test on both sides."""
-    held = t.select((F.col("vec_id") % 10).alias("g"), "vec_id", "embedding")
-    a = held.where("vec_id % 20 < 10").select("g", F.col("vec_id").alias("a"), F.col("embedding").alias("p"))
-    b = held.where("vec_id % 20 >= 10").select("g", F.col("vec_id").alias("b"), F.col("embedding").alias("q"))
-    gap = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pow(F.get("p", i).cast("double") - F.get("q", i).cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v)
-    return spatial.mutual_matches(a, b, ["g"], 0.95, F.round(F.sqrt(gap), 6))
+    """Mutual best matches among all descriptors, with a ratio test on both sides."""
+    a, b = t.select(F.col("vec_id").alias("a"), F.col("embedding").alias("p")), t.select(F.col("vec_id").alias("b"), F.col("embedding").alias("q"))
+    return spatial.mutual_matches(a, b, 0.95).select("a", "b", "d")
 
 
-@query(_INSIDE + "SELECT id, area_id FROM i", p=POINTS, a=AREAS)
+@query(_INSIDE + "SELECT id, area_id FROM i", p=TWICE, a=AREAS)
 def point_in_polygon(p: DataFrame, a: DataFrame) -> DataFrame:
     return spatial.points_in_areas(p.select("id", "x", "y"), _rings(a), 100.0).select("id", "area_id")
 
 
-@query(_INSIDE + "SELECT area_id, count(*) AS points FROM i GROUP BY area_id", p=POINTS, a=AREAS)
+@query(_INSIDE + "SELECT area_id, count(*) AS points FROM i GROUP BY area_id", p=TWICE, a=AREAS)
 def points_per_area(p: DataFrame, a: DataFrame) -> DataFrame:
     return spatial.points_in_areas(p.select("id", "x", "y"), _rings(a), 100.0).groupBy("area_id").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query(f"WITH {_EDGES} SELECT area_id, ring_id, round(sum(ax * b_y - bx * ay) / 2, 4) AS area FROM e GROUP BY ALL", a=AREAS)
+@query(f"WITH {_EDGES} SELECT area_id, part, ring_id, round(sum(ax * b_y - bx * ay) / 2, 4) AS area FROM e GROUP BY ALL", a=AREAS)
 def polygon_area(a: DataFrame) -> DataFrame:
-    return _rings(a).select("area_id", "ring_id", F.round(geometry.shoelace(F.col("xs"), F.col("ys")), 4).alias("area"))
+    return _rings(a).select("area_id", "part", "ring_id", F.round(geometry.shoelace(F.col("xs"), F.col("ys")), 4).alias("area"))
 
 
 @query(
     _INSIDE
-    + """, t AS (SELECT i.area_id, p.id, p.x, p.y, e.* EXCLUDE (area_id), least(greatest(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)), 0), 1) AS k FROM i JOIN p USING (id) JOIN e USING (area_id))
-SELECT area_id, id, round(min(sqrt(pow(x - (ax + k * (bx - ax)), 2) + pow(y - (ay + k * (b_y - ay)), 2))), 6) AS boundary_distance FROM t GROUP BY area_id, id""",
-    p=POINTS, a=AREAS,
+    + """, t AS (SELECT j.area_id, o.id, o.x, o.y, e.* EXCLUDE (area_id), least(greatest(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)), 0), 1) AS k FROM (SELECT DISTINCT * FROM i) j JOIN o USING (id) JOIN e USING (area_id)),
+m AS (SELECT area_id, id, round(min(sqrt(pow(x - (ax + k * (bx - ax)), 2) + pow(y - (ay + k * (b_y - ay)), 2))), 6) AS boundary_distance FROM t GROUP BY area_id, id)
+SELECT area_id, id, boundary_distance FROM i JOIN m USING (area_id, id)""",
+    p=TWICE, a=AREAS,
 )
 def ring_distance(p: DataFrame, a: DataFrame) -> DataFrame:
     inside = spatial.points_in_areas(p.select("id", "x", "y"), _rings(a), 100.0)
@@ -149,15 +149,15 @@ def mask_overlap(p: DataFrame) -> DataFrame:
 
 
 @query(
-    """SELECT p.id AS plant_id, count(f.id) AS visibility_opportunity FROM p LEFT JOIN (SELECT id, x AS fx, y AS fy FROM p WHERE g <> 1) f ON p.x - fx >= 0 AND p.x - fx < 120 AND p.y - fy >= 0 AND p.y - fy < 80 WHERE p.g = 1 GROUP BY p.id""",
+    """SELECT p.id AS plant_id, count(f.id) AS visibility_opportunity FROM p LEFT JOIN (SELECT id, x AS fx, y AS fy FROM p WHERE kind <> 'click') f ON p.x - fx >= 0 AND p.x - fx < 120 AND p.y - fy >= 0 AND p.y - fy < 80 WHERE p.kind = 'click' GROUP BY p.id""",
     p=POINTS,
 )
 def visibility_opportunity(p: DataFrame) -> DataFrame:
     """In how many frames each plant is inside the image; plants meet frames by cells of the footprints."""
     x, y = F.col("x"), F.col("y")
     inverse = F.array(F.lit(1.0), F.lit(0.0), -x, F.lit(0.0), F.lit(1.0), -y, F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    frames = p.where("g <> 1").select(F.col("id").alias("frame_index"), x.alias("x0"), y.alias("y0"), (x + 120).alias("x1"), (y + 80).alias("y1"), inverse.alias("inverse"))
-    return fusion.visibility(p.where("g = 1").select(F.col("id").alias("plant_id"), "x", "y"), frames, 120.0, 80.0).select("plant_id", "visibility_opportunity")
+    frames = p.where("kind <> 'click'").select(F.col("id").alias("frame_index"), x.alias("x0"), y.alias("y0"), (x + 120).alias("x1"), (y + 80).alias("y1"), inverse.alias("inverse"))
+    return fusion.visibility(p.where("kind = 'click'").select(F.col("id").alias("plant_id"), "x", "y"), frames, 120.0, 80.0).select("plant_id", "visibility_opportunity")
 
 
 _GEO = "SELECT id, 40 + y / 1000 AS lat, 20 + x / 1000 AS lon FROM (" + POINTS + ") AS q"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions import geometry
 from furrow.operators import folds, statistics
 from furrow.plans.base import POINTS, query
 
@@ -129,7 +130,23 @@ def transform_chain(p: DataFrame) -> DataFrame:
     """Products of frame-to-frame transforms, anew in each segment."""
     m = F.array(1 + F.col("y") / 1000, F.lit(0.001), F.col("x") / 100, F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     out = folds.chained_transforms(p.withColumn("matrix", m), ["flight", "segment"])
-    return out.select("flight", "segment", "frame_index", F.round(F.get("matrix", F.lit(0)), 6).alias("m0"), F.round(F.get("matrix", F.lit(1)), 6).alias("m1"), F.round(F.get("matrix", F.lit(2)), 4).alias("m2"))
+    return out.select("flight", "segment", "frame_index", F.round(F.get("chain", F.lit(0)), 6).alias("m0"), F.round(F.get("chain", F.lit(1)), 6).alias("m1"), F.round(F.get("chain", F.lit(2)), 4).alias("m2"))
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT *, price % 7 >= 1 AS ok, row_number() OVER (PARTITION BY flight ORDER BY frame_index) AS r FROM p),
+s AS (SELECT flight, frame_index, r, CASE WHEN ok THEN 0 ELSE 1 END AS seg, CASE WHEN ok THEN x ELSE 10000.0 END AS mx, CASE WHEN ok THEN y ELSE 0.0 END AS my FROM r WHERE r = 1
+  UNION ALL SELECT x.flight, x.frame_index, x.r, CASE WHEN x.ok THEN s.seg ELSE s.seg + 1 END, CASE WHEN x.ok THEN s.mx + x.x ELSE (s.seg + 1) * 10000.0 END, CASE WHEN x.ok THEN s.my + x.y ELSE 0.0 END FROM s JOIN r x ON x.flight = s.flight AND x.r = s.r + 1)
+SELECT flight, frame_index, CAST(seg AS BIGINT) AS segment, round(mx, 4) AS moved_x, round(my, 4) AS moved_y, round(-mx, 4) AS back_x FROM s""",
+    p="SELECT CAST(o_orderkey % 8 AS BIGINT) AS flight, CAST(floor(o_orderkey / 8) AS BIGINT) AS frame_index, o_totalprice AS price, CAST(o_orderkey * 3 % 17 AS DOUBLE) AS x, CAST(o_orderkey * 13 % 19 AS DOUBLE) AS y FROM {orders}",
+)
+def registration_chain(p: DataFrame) -> DataFrame:
+    """Shifts between frames chained over a flight, anew and set apart after each rejected one; and the way back from the map."""
+    one, no = F.lit(1.0), F.lit(0.0)
+    out = folds.chained_transforms(p.withColumn("matrix", F.array(one, no, F.col("x"), no, one, F.col("y"), no, no, one)).withColumn("accepted", F.col("price") % 7 >= 1), ["flight"], offset=10_000.0)
+    back = geometry.inverse([F.get("chain", F.lit(i)) for i in range(9)])
+    at = lambda i: F.round(F.get("chain", F.lit(i)), 4)
+    return out.select("flight", "frame_index", F.col("chain_segment").alias("segment"), at(2).alias("moved_x"), at(5).alias("moved_y"), F.round(back[2], 4).alias("back_x"))
 
 
 @query(

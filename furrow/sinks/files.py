@@ -61,6 +61,41 @@ def polygon_features(df: DataFrame, xs: str, ys: str, properties: list[str]) ->
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def line_features(df: DataFrame, points: str, properties: list[str]) -> DataFrame:
+    """One feature text for each line, an array of (x, y) of two points or more."""
+    geometry = F.struct(F.lit("LineString").alias("type"), F.transform(points, lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
+    return df.where(F.size(points) >= 2).select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def export_run(tables: dict[str, DataFrame], path: str, summary: dict | None = None) -> dict:
+    """A run's tables, each as CSV (<name>_csv) and JSON lines (<name>_jsonl), and their row counts with ``summary`` as JSON (summary). Non-finite numbers are null in JSON."""
+    counts = {}
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}_csv")
+        plain = [F.when(finite(F.col(f.name)), F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields]
+        df.select(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}/{name}_jsonl")
+        counts[name] = df.sparkSession.read.text(f"{path}/{name}_jsonl").count()
+    told = {"rows": counts, **(summary or {})}
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    return told
+
+
+def markdown(title: str, facts: dict[str, object], table: DataFrame | None = None, most: int = 50) -> str:
+    """A short report: facts as a list and the first ``most`` rows of a small table."""
+    lines = [f"# {title}", "", *(f"- {k}: {'n/a' if v is None or v != v else v}" for k, v in facts.items())]
+    if table is not None:
+        lines += ["", "| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
+        lines += ["| " + " | ".join("n/a" if v is None else str(v) for v in row) + " |" for row in table.limit(most).collect()]
+    return "\n".join(lines) + "\n"
+
+
+def renamed_copies(tables: dict[str, DataFrame], names: dict[str, str]) -> None:
+    """Views of tables under the names that older readers ask for."""
+    for old, new in names.items():
+        tables[old].createOrReplaceTempView(new)
+
+
 def write_features(features: DataFrame, path: str, name: str) -> None:
     """A feature collection in one file, streamed row by row through the driver: reports are small, and memory holds one partition."""
     with open(path, "w", encoding="utf-8") as f:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 BOX_LIMIT, CONTOUR_LIMIT, POINT_LIMIT = 2048, 64, 128
@@ -41,3 +41,27 @@ def write_boxes(boxes: DataFrame, space: float = 10_000.0) -> DataFrame:
     line = F.format_string("BOX %d %d %.8f %.8f %.8f %.8f %.8f", "detection_id", "class_id", "confidence", *[F.col(c) / space for c in ("x1", "y1", "x2", "y2")])
     listed = F.sort_array(F.collect_list(F.struct("detection_id", line.alias("line"))))
     return good.groupBy("message_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("text"))
+
+
+def write_results(results: DataFrame, boxes: DataFrame, contours: DataFrame, space: float = 10_000.0) -> DataFrame:
+    """One text for each message: its RESULT line, BOX lines, CONTOUR lines and END. Columns as ``parse_results`` gives them, boxes and contour points in 0..space.
+
+    Contours of fewer than three points are dropped, and points beyond the limit.
+    """
+    names = ["frame_index", "capture_ns", "generated_ns", "latency_ms", "fps", "p50_ms", "status", "warnings", "detections", "selected", "gaps", "width", "height", "stride"]
+    head = F.format_string("RESULT %d %d %d %.3f %.3f %.3f %s %d %d %d %d %d %d %d", *names)
+    point = lambda p: F.concat_ws(" ", F.format_string("%.8f", p["x"] / space), F.format_string("%.8f", p["y"] / space))
+    shown = F.slice("points", 1, POINT_LIMIT)
+    line = F.concat_ws(" ", F.lit("CONTOUR"), F.col("contour_id").cast("string"), F.size(shown).cast("string"), F.array_join(F.transform(shown, point), " "))
+    rings = contours.where(F.size("points") >= 3).groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("contour_id", line.alias("line")))).alias("_c"))
+    held = results.select("message_id", head.alias("_head")).join(write_boxes(boxes, space).withColumnRenamed("text", "_boxes"), "message_id", "left").join(rings, "message_id", "left")
+    return held.select("message_id", F.concat_ws("\n", "_head", "_boxes", F.nullif(F.array_join(F.transform("_c", lambda c: c["line"]), "\n"), F.lit("")), F.lit("END")).alias("text"))
+
+
+def pilot_box(x1: Column, y1: Column, x2: Column, y2: Column, space: int = 10_000) -> Column:
+    """Center and size of a box in 0..1 as whole numbers in 0..space (halves away from zero), null if a side has no length."""
+    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    put = lambda c: F.round(unit(c) * space).cast("int")
+    w, h = x2 - x1, y2 - y1
+    box = F.struct(put(x1 + w / 2).alias("cx"), put(y1 + h / 2).alias("cy"), put(w).alias("w"), put(h).alias("h"))
+    return F.when((box["w"] > 0) & (box["h"] > 0), box)

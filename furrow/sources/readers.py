@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 DETECTIONS = (
@@ -28,7 +28,7 @@ def read_records(spark: SparkSession, folder: str, stem: str, schema: str) -> Da
 
 
 def read_areas(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons and multipolygons of a feature collection: (area_id, ring_id, hole, xs, ys), one row for each ring."""
+    """Polygons and multipolygons of a feature collection: (area_id, properties, part, ring_id, hole, xs, ys), one row for each ring; ring_id counts in its part."""
     doc = spark.read.schema(AREAS).option("multiLine", True).json(path)
     f = doc.select(F.posexplode("features").alias("area_id", "f"))
     many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
@@ -36,7 +36,7 @@ def read_areas(spark: SparkSession, path: str) -> DataFrame:
     polygons = f.select("area_id", F.col("f.properties").alias("properties"), F.posexplode(F.when(F.col("f.geometry.type") == "MultiPolygon", many).otherwise(one)).alias("part", "rings"))
     rings = polygons.select("area_id", "properties", "part", F.posexplode("rings").alias("ring", "points"))
     return rings.select(
-        "area_id", "properties", (F.col("part") * 1000 + F.col("ring")).alias("ring_id"), (F.col("ring") > 0).alias("hole"),
+        "area_id", "properties", "part", F.col("ring").alias("ring_id"), (F.col("ring") > 0).alias("hole"),
         F.transform("points", lambda p: p[0]).alias("xs"), F.transform("points", lambda p: p[1]).alias("ys"),
     )
 
@@ -50,22 +50,32 @@ def clean_ring(points: str):
     return F.when(F.size(F.array_distinct(out)) >= 3, out)
 
 
+def frame_number(path: Column) -> Column:
+    """The number in a name like frame_000012.jpg, null for other names."""
+    return F.regexp_extract(path, r"(?:^|/)frame_(\d+)\.jpg$", 1).try_cast("long")
+
+
 def read_frame_images(spark: SparkSession, folder: str) -> DataFrame:
     """frame_*.jpg as (frame_index, path, length); other names are dropped."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "frame_*.jpg").load(folder)
-    index = F.regexp_extract("path", r"frame_(\d+)\.jpg$", 1).try_cast("long")
-    return files.select(index.alias("frame_index"), "path", "length").where("frame_index is not null")
+    return files.select(frame_number(F.col("path")).alias("frame_index"), "path", "length").where("frame_index is not null")
 
 
-def parse_control(lines: DataFrame, defaults: dict[str, int], value: str = "value") -> DataFrame:
-    """key=value lines to (key, value): the last whole number of each known key, else its default."""
+def parse_control(lines: DataFrame, defaults: dict[str, int], value: str = "value", order: str = "line_no") -> DataFrame:
+    """Numbered key=value lines to (key, value): the last whole number of each known key, else its default."""
     part = F.split(value, "=", 2)
-    got = lines.select(F.trim(part[0]).alias("key"), F.trim(F.get(part, F.lit(1))).try_cast("int").alias("value"), F.monotonically_increasing_id().alias("_n"))
+    got = lines.select(F.trim(part[0]).alias("key"), F.trim(F.get(part, F.lit(1))).try_cast("int").alias("value"), F.col(order).alias("_n"))
     got = got.where(F.col("key").isin([*defaults]) & F.col("value").isNotNull()).groupBy("key").agg(F.max_by("value", "_n").alias("value"))
     known = lines.sparkSession.createDataFrame([*defaults.items()], "key string, initial int")
     return known.join(got, "key", "left").select("key", F.coalesce("value", "initial").alias("value"))
 
 
+def read_control(spark: SparkSession, path: str, defaults: dict[str, int]) -> DataFrame:
+    """A control file, which is small, read whole so that its lines have numbers."""
+    whole = spark.read.option("wholetext", True).text(path)
+    return parse_control(whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "value")), defaults)
+
+
 def missing_shards(wanted: DataFrame, present: DataFrame, key: str = "frame_index") -> DataFrame:
     return wanted.join(present.select(key).distinct(), key, "left_anti")
 

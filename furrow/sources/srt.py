@@ -53,53 +53,112 @@ ALIASES = {
 FIELDS = list(dict.fromkeys(ALIASES.values()))
 TEXT_FIELDS = ("shutter",)
 WHOLE_FIELDS = ("frame_counter", "iso", "diff_time_ms")
-# Fixed patterns of the format.
+# Fixed patterns of the format: the timing line and a date.
 TIMING = r"(\d{1,2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{1,2}:\d{2}:\d{2}[,.]\d{3})"
-PAIR = r"([A-Za-z][A-Za-z0-9_ ]*?)\s*:\s*(.+?)(?=\s+[A-Za-z][A-Za-z0-9_ ]*?\s*:|[\]\[,\n]|$)"
 DATE = r"\b\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?\b"
+_BLANK = " \t\r\n"
+_NAME = "[A-Za-z][A-Za-z0-9_ ]*"
+_PAIRS = "array<struct<key:string,value:string>>"
 
 
 def key_values(text: Column) -> Column:
-    """Array of (key, value) of the pairs in a text, keys normalised."""
-    keys, values = F.regexp_extract_all(text, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(text, F.lit(PAIR), F.lit(2))
-    return F.zip_with(keys, values, lambda k, v: F.struct(key(k).alias("key"), F.trim(v).alias("value")))
+    """Array of (key, value) of the pairs in a text, keys normalised.
+
+    Brackets, commas and line ends separate groups. A group is cut at its colons: a piece between two colons is the value of the name
+    before it, and ends with the name of the next pair if its last words may be one; if not, the value goes on behind the colon.
+    """
+
+    def step(s: Column, piece: Column) -> Column:
+        name = F.regexp_extract(piece, rf"(?:^|\s)\s*({_NAME}?)\s*$", 1)
+        # behind a value there must be something before the name
+        inner = F.regexp_extract(piece, rf"^\s*\S.*?\s+({_NAME}?)\s*$", 1)
+        body = F.regexp_extract(piece, rf"^(\s*\S.*?)\s+{_NAME}?\s*$", 1)
+        open_ = s["name"] != ""
+        whole = F.concat(s["value"], F.when(s["value"] == "", body).otherwise(F.concat(F.lit(":"), body)))
+        done = F.concat(s["out"], F.array(F.struct(s["name"].alias("key"), whole.alias("value"))))
+        longer = F.when(s["value"] == "", piece).otherwise(F.concat(s["value"], F.lit(":"), piece))
+        return (
+            F.when(~open_, F.struct(s["out"].alias("out"), name.alias("name"), F.lit("").alias("value")))
+            .when(inner != "", F.struct(done.alias("out"), inner.alias("name"), F.lit("").alias("value")))
+            .otherwise(F.struct(s["out"].alias("out"), s["name"].alias("name"), longer.alias("value")))
+        )
+
+    def close(s: Column) -> Column:
+        return F.when((s["name"] != "") & (F.btrim(s["value"], F.lit(_BLANK)) != ""), F.concat(s["out"], F.array(F.struct(s["name"].alias("key"), s["value"].alias("value"))))).otherwise(s["out"])
+
+    def group(part: Column) -> Column:
+        pieces = F.split(part, ":")
+        n = F.size(pieces)
+        start = F.struct(F.array().cast(_PAIRS).alias("out"), F.lit("").alias("name"), F.lit("").alias("value"))
+        held = F.aggregate(F.slice(pieces, 1, F.greatest(n - 1, F.lit(0))), start, step)
+        rest = F.element_at(pieces, -1)
+        # the last piece is all value
+        last = F.transform(F.array(held), lambda s: close(F.struct(s["out"].alias("out"), s["name"].alias("name"), F.when(s["value"] == "", rest).otherwise(F.concat(s["value"], F.lit(":"), rest)).alias("value"))))
+        return F.get(last, F.lit(0))
+
+    parts = F.filter(F.split(text, r"[\]\[,\n]"), lambda x: x.contains(":"))
+    found = F.flatten(F.transform(parts, group))
+    return F.transform(found, lambda p: F.struct(key(p["key"]).alias("key"), F.btrim(p["value"], F.lit(_BLANK)).alias("value")))
+
+
+def blocks_of(text: Column) -> Column:
+    """Array of blocks, each an array of lines. A block begins with a number alone on the first line or behind an empty one."""
+    lines = F.split(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+
+    def cut(ls: Column) -> Column:
+        begins = lambda i: F.get(ls, i).rlike(r"^\s*\d+\s*$") & ((i == 0) | (F.btrim(F.get(ls, i - 1), F.lit(_BLANK)) == ""))
+        starts = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), begins)
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda s, k: F.slice(ls, s + 1, F.coalesce(F.get(at, k + 1), F.size(ls)) - s)))[0]
+
+    return F.transform(F.array(lines), cut)[0]
 
 
 def parse_blocks(texts: DataFrame, text: str = "value") -> DataFrame:
     """Whole subtitle texts to one row for each block with a valid timing: index, start/end seconds, fields, extras, raw_text.
 
-    Of a field named twice the later value counts; unknown keys go to ``extras``.
+    Of a field named twice the later value counts; unknown keys go to ``extras``. Blocks without a valid timing line give no row; ``report`` counts them.
     """
-    blocks = F.explode(F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), r"\n\s*\n(?=\s*\d+\s*\n)"))
-    b = texts.select(*[c for c in texts.columns if c != text], blocks.alias("_b"))
-    head = r"(?s)^\s*(\d+)\s*\n([^\n]*-->[^\n]*)\n(.*)$"
-    b = b.where(F.col("_b").rlike(head)).select(
-        *[c for c in texts.columns if c != text], F.regexp_extract("_b", head, 1).cast("int").alias("srt_index"),
-        F.regexp_extract("_b", head, 2).alias("_t"), F.trim(F.regexp_extract("_b", head, 3)).alias("raw_text"),
-    ).where(F.col("_t").rlike(TIMING))
+    own = [c for c in texts.columns if c != text]
+    b = texts.select(*own, F.explode(blocks_of(F.col(text))).alias("_b"))
+    rest = F.array_join(F.slice("_b", 3, F.greatest(F.size("_b") - 2, F.lit(0))), "\n")
+    b = b.select(*own, F.trim(F.get("_b", F.lit(0))).cast("int").alias("srt_index"), F.coalesce(F.get("_b", F.lit(1)), F.lit("")).alias("_t"), F.btrim(rest, F.lit(_BLANK)).alias("raw_text"))
     plain = strip_tags(F.col("raw_text"))
-    b = b.withColumn("_pairs", key_values(plain)).withColumn("date_time", F.nullif(F.regexp_extract(plain, DATE, 0), F.lit("")))
     alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    known = lambda p: F.struct(alias[p["key"]].alias("field"), p["key"].alias("key"), p["value"].alias("value"), first_number(p["value"]).alias("number"))
+    b = b.where(F.col("_t").rlike(TIMING)).withColumn("_pairs", F.transform(key_values(plain), known)).withColumn("date_time", F.nullif(F.regexp_extract(plain, DATE, 0), F.lit("")))
 
     def field(name: str) -> Column:
-        mine = F.filter("_pairs", lambda p: alias[p["key"]] == name)
-        good = mine if name in TEXT_FIELDS else F.filter(mine, lambda p: first_number(p["value"]).isNotNull())
-        value = F.get(good, F.size(good) - 1)["value"]
-        if name in TEXT_FIELDS:
-            return value.alias(name)
-        return (first_number(value).cast("int") if name in WHOLE_FIELDS else first_number(value)).alias(name)
-
-    other = F.filter("_pairs", lambda p: alias[p["key"]].isNull())
-    last = F.filter(other, lambda p, i: ~F.exists(F.slice(other, i + 2, F.size(other)), lambda q: q["key"] == p["key"]))
+        good = F.filter("_pairs", lambda p: (p["field"] == name) if name in TEXT_FIELDS else (p["field"] == name) & p["number"].isNotNull())
+        last = F.element_at(F.when(F.size(good) > 0, good), -1)
+        return (last["value"] if name in TEXT_FIELDS else last["number"].cast("int") if name in WHOLE_FIELDS else last["number"]).alias(name)
+
+    other = F.filter("_pairs", lambda p: p["field"].isNull())
+    final = F.filter(other, lambda p, i: ~F.exists(F.slice(other, i + 2, F.size(other)), lambda q: q["key"] == p["key"]))
     return b.select(
-        *[c for c in texts.columns if c != text], "srt_index", clock_seconds(F.regexp_extract("_t", TIMING, 1)).alias("start_seconds"),
+        *own, "srt_index", clock_seconds(F.regexp_extract("_t", TIMING, 1)).alias("start_seconds"),
         clock_seconds(F.regexp_extract("_t", TIMING, 2)).alias("end_seconds"), "raw_text", "date_time", *[field(f) for f in FIELDS],
-        F.map_from_entries(last).alias("extras"),
+        F.map_from_entries(F.transform(final, lambda p: F.struct(p["key"], p["value"]))).alias("extras"),
     )
 
 
-def read_srt(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Subtitle files, one text each; the byte order mark is dropped."""
+def report(texts: DataFrame, text: str = "value") -> DataFrame:
+    """One row for each text: blocks, those with a valid timing, and of these the ones that have each field."""
+    own = [c for c in texts.columns if c != text]
+    found = parse_blocks(texts, text).groupBy(*own).agg(F.count(F.lit(1)).alias("parsed"), *[F.count(f).alias(f"{f}_count") for f in FIELDS])
+    all_ = texts.groupBy(*own).agg(F.sum(F.size(blocks_of(F.col(text)))).cast("long").alias("blocks"))
+    counts = ["parsed", *(f"{f}_count" for f in FIELDS)]
+    return all_.join(found, own, "left").fillna(0, counts).withColumn("skipped", F.col("blocks") - F.col("parsed"))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes to text: by the byte order mark, else UTF-8 if valid, else Latin-1. The mark is dropped."""
+    head = lambda n: F.hex(F.substring(content, 1, n))
+    utf8 = F.try_validate_utf8(content)
+    text = F.when(head(2) == "FFFE", F.decode(content, "UTF-16LE")).when(head(2) == "FEFF", F.decode(content, "UTF-16BE")).when(utf8.isNotNull(), utf8).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
+def read_srt(spark: SparkSession, path: str) -> DataFrame:
+    """Subtitle files, one text each; the encoding is found from the bytes."""
     raw = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", encoding), "^﻿", "")
-    return parse_blocks(raw.select(F.col("path"), text.alias("value")))
+    return parse_blocks(raw.select(F.col("path"), decoded(F.col("content")).alias("value")))

@@ -5,13 +5,16 @@ Each has a batch twin in ``furrow.operators``; the transition functions are pure
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from furrow.operators.fusion import Tracker
 from furrow.operators.sync import TRANSITIONS
 
 
@@ -96,6 +99,68 @@ def stalled_sessions(frames: DataFrame, by: str, timeout_ms: int) -> DataFrame:
     return frames.groupBy(by).applyInPandasWithState(step, f"`{by}` {kind}, frames long, stalled boolean", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def tracked(observations: DataFrame, by: str, radius: float, max_gap: int, neighbours: int = 3) -> DataFrame:
+    """Add ``track_id`` to streamed (by, frame_index, observation_id, x, y): the batch operator's tracks, frame by frame.
+
+    State is the live tracks of a session. Frames must come in order, each whole in one micro-batch; a frame that is older than one before is a new place in time.
+    Without a list of processed frames, those with observations count.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        place, tracker = (state.get[0], pickle.loads(state.get[1])) if state.exists else (0, Tracker(radius, max_gap, neighbours))
+        rows = pd.concat([*batches]).sort_values(["frame_index", "observation_id"], kind="stable").reset_index(drop=True)
+        ids = np.zeros(len(rows), np.int64)
+        for _, frame in rows.groupby("frame_index", sort=True):
+            place += 1
+            ids[frame.index] = tracker.frame(place, frame["x"].tolist(), frame["y"].tolist())
+        state.update((place, pickle.dumps(tracker)))
+        yield rows.assign(track_id=ids)
+
+    return observations.groupBy(by).applyInPandasWithState(step, _schema(observations, ", track_id long"), "place long, tracker binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def with_latest(frames: DataFrame, readings: DataFrame, by: str, at: str, value: str) -> DataFrame:
+    """Frames (by, at, ...) with ``latest``, the last reading of their session up to their time; null before the first.
+
+    Both streams go through one operator whose state is the last reading; inside a micro-batch rows are taken by time, readings first.
+    """
+    none = F.lit(None).cast("double")
+    both = frames.withColumn("_reading", none).withColumn("_frame", F.lit(True)).unionByName(
+        readings.select(by, at, F.col(value).cast("double").alias("_reading"), F.lit(False).alias("_frame")), allowMissingColumns=True
+    )
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat([*batches]).sort_values([at, "_frame"], kind="stable").reset_index(drop=True)
+        latest = []
+        for reading, frame in zip(rows["_reading"], rows["_frame"], strict=True):
+            last = last if frame or reading != reading else float(reading)
+            latest.append(last)
+        state.update((last,))
+        yield rows.assign(latest=pd.array(latest, "Float64").astype("float64"))[rows["_frame"]].drop(columns=["_reading", "_frame"])
+
+    return both.groupBy(by).applyInPandasWithState(step, _schema(frames, ", latest double"), "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def closed_sessions(events: DataFrame, by: str, order: str, on: str) -> DataFrame:
+    """(by, started, ended, records): one row when a session ends, that is with the first row whose ``on`` is false behind rows whose ``on`` is true."""
+    kind, number = events.schema[by].dataType.simpleString(), events.schema[order].dataType.simpleString()
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, n = state.get if state.exists else (None, 0)
+        rows, out = pd.concat([*batches]).sort_values(order, kind="stable"), []
+        for at, running in zip(rows[order].tolist(), rows[on].tolist(), strict=True):
+            if running:
+                start, n = (at if n == 0 else start), n + 1
+            elif n:
+                out.append((key[0], start, at, n))
+                start, n = None, 0
+        state.update((start, n))
+        yield pd.DataFrame(out, columns=[by, "started", "ended", "records"])
+
+    return events.groupBy(by).applyInPandasWithState(step, f"`{by}` {kind}, started {number}, ended {number}, records long", f"started {number}, n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def fresh(results: DataFrame, generated: str, now: Column, most: str = "1500 milliseconds") -> DataFrame:
     """Results that haven't expired at the time of reading."""
     return results.where(F.col(generated) >= now - F.expr(f"INTERVAL {most}"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import boxes, gates, geometry, strings
-from furrow.operators import folds, fusion, reports, rows, selection, spatial, statistics, sync
+from furrow.operators import folds, fusion, records, reports, rows, selection, spatial, statistics, sync
 
 BOX = "frame_index long, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double, detection_id long"
 
@@ -193,3 +193,149 @@ def test_nonadjacent_minimum_of_sparse_paths(spark):
     df = spark.createDataFrame([(g, *p) for g, ps in paths.items() for p in ps], "g string, id long, x double, y double")
     got = {r["g"]: r["min_distance"] for r in reports.nonadjacent_minimum(df, ["g"], "id", 10.0, 3).collect()}
     assert got == {"wide": 3000.0, "near": 3.0, "one": pytest.approx(math.hypot(9e5, 5e5)), "short": None}
+
+
+def tracks_by_hand(obs: list[tuple], frames: list[int], radius: float, max_gap: int, neighbours: int = 3) -> dict:
+    """Every observation against every track ever made."""
+    place, tracks, owner = {f: i for i, f in enumerate(frames)}, [], {}
+    for f in frames:
+        now = sorted((o, x, y) for g, o, x, y in obs if g == f)
+        edges = []
+        for k, (_, x, y) in enumerate(now):
+            live = sorted((math.hypot(tx - x, ty - y), t) for t, (tx, ty, at) in enumerate(tracks) if place[f] - at <= max_gap)
+            edges += [(d, t, k) for d, t in live[:neighbours] if d <= radius]
+        used, own = set(), {}
+        for _, t, k in sorted(edges):
+            if t not in used and k not in own:
+                used.add(t)
+                own[k] = t
+        for k, (o, x, y) in enumerate(now):
+            if k not in own:
+                own[k] = len(tracks)
+                tracks.append(None)
+            tracks[own[k]] = (x, y, place[f])
+            owner[o] = own[k]
+    return owner
+
+
+def test_association_equals_brute_force(spark):
+    """Frames are ten numbers apart and some hold nothing; a track's age counts the processed ones."""
+    r = random.Random(3)
+    frames, obs, want = [*range(0, 200, 10)], [], {}
+    for segment in range(3):
+        mine = []
+        for f in frames:
+            if f % 70:
+                mine += [(f, segment * 100_000 + f * 100 + k, r.uniform(0, 120), r.uniform(0, 60)) for k in range(r.choice([0, 4, 15]))]
+        want |= tracks_by_hand(mine, frames, 14.0, 2)
+        obs += [(segment, *m) for m in mine]
+    o = spark.createDataFrame(obs, "segment_id long, frame_index long, observation_id long, x double, y double").repartition(4)
+    every = spark.createDataFrame([(s, f) for s in range(3) for f in frames], "segment_id long, frame_index long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")  # frames lie across batches
+    got = {x["observation_id"]: x["track_id"] for x in fusion.associate(o, 14.0, 2, frames=every).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len({*want.values()}) > 20
+
+
+def test_a_still_plant_in_sparse_frames_is_one_track(spark):
+    o = spark.createDataFrame([(0, f, f, 5.0, 5.0) for f in (0, 10, 20, 30)] + [(0, 10, 99, None, 1.0), (0, 20, 98, float("nan"), 1.0)], "segment_id long, frame_index long, observation_id long, x double, y double")
+    got = {r["observation_id"]: r["track_id"] for r in fusion.associate(o, 8.0, 3).collect()}
+    assert {got[f] for f in (0, 10, 20, 30)} == {0} and len({got[99], got[98], 0}) == 3
+
+
+def test_merging_equals_brute_force(spark):
+    r = random.Random(9)
+    nodes = {t: {r.randrange(12) for _ in range(3)} for t in range(40)}
+    edges = [(float(r.randint(1, 30)), a, b) for a in nodes for b in nodes if a < b and r.random() < 0.2]
+    groups = [({t}, {*f}) for t, f in nodes.items()]
+    for _, a, b in sorted(edges):
+        x, y = next(g for g in groups if a in g[0]), next(g for g in groups if b in g[0])
+        if x is not y and not x[1] & y[1]:
+            groups = [g for g in groups if g is not x and g is not y] + [(x[0] | y[0], x[1] | y[1])]
+    want = {t: min(g) for g, _ in groups for t in g}
+    tracks = spark.createDataFrame([(0, t) for t in nodes], "segment_id long, track_id long")
+    seen = spark.createDataFrame([(0, t, f) for t, fs in nodes.items() for f in fs], "segment_id long, track_id long, frame_index long")
+    pairs = spark.createDataFrame([(0, a, b, d) for d, a, b in edges], "segment_id long, id long, other_id long, distance double")
+    assert {x["track_id"]: x["plant"] for x in fusion.merge_tracks(tracks, seen, pairs).collect()} == want
+
+
+def test_an_island_in_a_hole_holds_points_and_repeats_stay(spark):
+    ring = lambda r: ([-r, r, r, -r], [-r, -r, r, r])
+    areas = spark.createDataFrame([(1, 0, False, *ring(10.0)), (1, 0, True, *ring(6.0)), (1, 1, False, *ring(2.0))], "area_id long, part int, hole boolean, xs array<double>, ys array<double>")
+    points = spark.createDataFrame([(0, 0.0, 0.0), (1, 4.0, 0.0), (2, 8.0, 0.0), (2, 8.0, 0.0), (3, 11.0, 0.0), (4, None, 0.0)], "id long, x double, y double")
+    got = spatial.points_in_areas(points, areas, 5.0)
+    assert sorted(r["id"] for r in got.collect()) == [0, 2, 2]
+    assert sorted((r["id"], r["boundary_distance"]) for r in spatial.ring_distances(got, areas).collect()) == [(0, 2.0), (2, 2.0), (2, 2.0)]
+
+
+def test_nearest_leaves_out_points_without_a_position(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, float("nan"), 0.0), (4, None, 1.0), (5, float("inf"), 0.0), (6, 1e6, 0.0)], "id long, x double, y double")
+    got = {(r["id"], r["rank"]): (r["other_id"], r["distance"]) for r in spatial.nearest(p, p, 1).collect()}
+    assert got == {(1, 1): (2, 5.0), (2, 1): (1, 5.0), (6, 1): (2, math.hypot(1e6 - 3, 4))}
+
+
+def test_mutual_matches_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal((60, 9)), rng.standard_normal((45, 9))
+    b[:20] = a[:20] + 0.05 * rng.standard_normal((20, 9))
+    left = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(a)], "g long, a long, p array<double>")
+    right = spark.createDataFrame([(0, 1000 + i, v.tolist()) for i, v in enumerate(b)], "g long, b long, q array<double>")
+    d = np.round(np.linalg.norm(a[:, None] - b[None], axis=2), 6)
+    want = set()
+    for i in range(60):
+        j = int(d[i].argmin())
+        if int(d[:, j].argmin()) == i and d[i, j] < 0.9 * np.sort(d[i])[1] and d[i, j] < 0.9 * np.sort(d[:, j])[1]:
+            want.add((i, 1000 + j))
+    for block in (2048, 10):
+        assert {(r["a"], r["b"]) for r in spatial.mutual_matches(left, right, 0.9, ["g"], block).collect()} == want
+    assert len(want) >= 20
+
+
+def test_a_session_of_a_million_rows(spark):
+    """Each fold passes a session once; chunks and acceptance of all rows follow from their formulas."""
+    import time
+
+    began = time.time()
+    n = 1_000_000
+    e = spark.range(n).select(F.lit(1).alias("s"), F.col("id"), (F.col("id") * 0.5).alias("t"), F.lit(10).cast("long").alias("size"))
+    assert folds.accepted_at_interval(e, ["s"], "t", 2.0, [F.col("id")]).count() == n // 4
+    last = folds.rotated_chunks(e, ["s"], "size", "id", 1000).agg(F.max("chunk"), F.count_if(F.col("chunk") == 0)).first()
+    assert (last[0], last[1]) == (n // 100 - 1, 100)
+    path = e.select("s", F.col("id").alias("frame_index"), F.lit(0).alias("segment"), F.col("t").alias("x"), F.lit(0.0).alias("y"))
+    assert folds.keyframes(path, "s", 5.0).count() == n // 10 + 1
+    assert time.time() - began < 60
+
+
+def test_chain_begins_anew_at_breaks(spark):
+    shift = lambda x: [1.0, 0.0, x, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    rows_ = [(0, 0, shift(1.0), True), (0, 1, shift(2.0), True), (0, 2, None, True), (0, 3, shift(4.0), True), (0, 4, shift(9.0), False), (0, 5, shift(1.0), True)]
+    out = folds.chained_transforms(spark.createDataFrame(rows_, "g long, frame_index long, matrix array<double>, accepted boolean"), ["g"], offset=100.0)
+    assert [(r["chain_segment"], r["chain"][2]) for r in out.orderBy("frame_index").collect()] == [(0, 1.0), (0, 3.0), (1, 100.0), (1, 104.0), (2, 200.0), (2, 201.0)]
+    m = [F.get("m", F.lit(i)) for i in range(9)]
+    back = spark.createDataFrame([([2.0, 1.0, 3.0, 0.0, 4.0, 5.0, 0.0, 0.001, 1.0],), ([0.0] * 9,)], "m array<double>").select(F.array(*geometry.inverse(m)).alias("b")).collect()
+    assert back[1]["b"] == [None] * 9 and np.array(back[0]["b"]).reshape(3, 3) @ np.array([[2, 1, 3], [0, 4, 5], [0, 0.001, 1]]) == pytest.approx(np.eye(3))
+
+
+def test_one_to_one_join_rejects_repeats(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (None, "w")], "k long, v string"), spark.createDataFrame([(1, 5.0), (3, 6.0)], "k long, w double")
+    assert sorted((r["v"], r["w"]) for r in records.joined_one_to_one(a, b, ["k"]).collect()) == [("w", None), ("x", 5.0), ("y", None), ("z", None)]
+    with pytest.raises(Exception, match="key repeated on the right"):
+        records.joined_one_to_one(a, b.unionByName(b), ["k"]).collect()
+
+
+def test_budget_of_samples(spark):
+    e = spark.createDataFrame([("s", i, float(t), n) for i, (t, n) in enumerate([(0, 60), (1, 10), (5, 50), (9, 30), (14, 20), (20, 10), (25, 1)])], "s string, id long, t double, n long")
+    got = records.within_budget(e, ["s"], [F.col("id")], "t", "n", 4.0, 100).collect()
+    assert sorted(r["id"] for r in got) == [0, 3, 5]
+
+
+def test_rows_of_a_bent_field(spark):
+    """Rows that drift sideways together along the field are straightened and found."""
+    plants = [(j * 100 + i, 0, 40.0 * i, 104.0 * j + 30.0 * math.sin(i / 12)) for j in range(8) for i in range(60)] + [(9000, 0, 500.0, 156.0)]
+    p = spark.createDataFrame(plants, "plant_id long, plot_id long, along double, across double")
+    scale = spark.createDataFrame([(0, 40.0, 104.0)], "plot_id long, spacing double, inter_row double")
+    got = {r["plant_id"]: r["row_id"] for r in rows.reconstructed(p, scale).collect()}
+    assert all(got[j * 100 + i] == j + 1 for j in range(8) for i in range(60))
+    near = spark.createDataFrame([(0, 1.0, 104.0 * (-1) ** k) for k in range(30)] + [(0, 40.0, 1.0)], "plot_id long, along double, across double")
+    assert rows.row_distances(near, scale).first()["inter_row"] == pytest.approx(104.0, abs=1.0)
+    assert rows.row_distances(near.limit(0), scale).first()["inter_row"] == pytest.approx(104.0)

@@ -31,17 +31,56 @@ def test_gap_report_finds_the_missing_plants(spark):
     areas = spark.createDataFrame([(7, 0, False, [-500.0, 3000.0, 3000.0, -500.0], [-500.0, -500.0, 3000.0, 3000.0]), (8, 0, False, [5000.0, 5100.0, 5100.0], [0.0, 0.0, 100.0])], "area_id long, ring_id long, hole boolean, xs array<double>, ys array<double>")
     out = pipelines.gap_report(d, t, areas, pipelines.GapSettings(image=(2000.0, 2000.0)))
     plants = out["plants"].collect()
-    assert len(plants) == 240 - len(empty) and all(p["support_status"] == "confirmed" and p["temporal_support"] == 4 for p in plants)
+    assert len(plants) == 240 - len(empty) and all(p["support_status"] == "confirmed" and p["temporal_support"] == 4 and p["plot_id"] == 7 and p["segment_id"] == 0 for p in plants)
     assert out["rows"].select("row_id").distinct().count() == 12 and out["expected"].count() == 240
     gaps = sorted(out["gaps"].collect(), key=lambda g: g["estimated_missing_plants"])
     assert [g["estimated_missing_plants"] for g in gaps] == [1, 2]
     x, y = field[8, 5]
     assert gaps[0]["local_x"] == pytest.approx(x, abs=1.0) and gaps[0]["local_y"] == pytest.approx(y, abs=1.0) and gaps[0]["coverage_count"] == 4
+    assert gaps[0]["square"][2]["x"] - gaps[0]["square"][0]["x"] == pytest.approx(8.0)
     summary = {s["plot_id"]: s for s in out["summary"].collect()}
     assert summary[7]["estimated_missing_plants"] == 3 and summary[7]["missing_rate"] == pytest.approx(3 / 240)
     assert summary[8]["analysis_status"] == "insufficient_unique_plants" and summary[8]["missing_rate"] is None
 
 
+def test_gap_report_gates(spark):
+    """A field with a strip cut out of its middle: a plant of low support is present, an empty place near the border is rejected, one near a suspicious sighting is halved, and no slot lies in the strip."""
+    low, near_border, doubtful, empty = (4, 2), (1, 5), (20, 7), (14, 8)
+    field = {(i, j): (100 + 40.0 * i, 100 + 104.0 * j) for i in range(30) for j in range(10) if not 8 <= i <= 10}
+    frames, boxes = [], []
+    for f in range(4):
+        move = 5.0 * f
+        # two frames see the left half only, so a single sighting on the left has four opportunities and one on the right two
+        x1 = 500.0 if f > 1 else 2000.0
+        frames.append((f, 0, [1.0, 0.0, move, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [1.0, 0.0, -move, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], move, 0.0, 2000.0, 2000.0))
+        for n, (k, (x, y)) in enumerate(sorted(field.items())):
+            if k in (near_border, doubtful, empty) or (k == low and f) or x - move > x1:
+                continue
+            boxes.append((f, 0, 0.9, x - move - 9, y - 9, x - move + 9, y + 9, n))
+    x, y = field[doubtful]
+    boxes.append((0, 0, 0.9, x + 12 - 9, y - 9, x + 12 + 9, y + 9, 5000))  # once, though four frames could see it
+    d = spark.createDataFrame(boxes, "frame_index long, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double, detection_id long")
+    t = spark.createDataFrame(frames, "frame_index long, segment_id long, matrix array<double>, inverse array<double>, x0 double, y0 double, x1 double, y1 double")
+    left, right = ([60.0, 400.0, 400.0, 60.0], [60.0, 60.0, 1100.0, 1100.0]), ([510.0, 1340.0, 1340.0, 510.0], [60.0, 60.0, 1100.0, 1100.0])
+    areas = spark.createDataFrame([(0, 0, False, *left), (0, 1, False, *right)], "area_id long, part int, hole boolean, xs array<double>, ys array<double>")
+    status = {"suspicious": 5}  # the low-support plant is seen once and could be seen by four
+    out = pipelines.gap_report(d, t, areas, pipelines.GapSettings(image=(4000.0, 2000.0), boundary=2.1, **status))
+    by = {r["support_status"]: r["n"] for r in out["plants"].groupBy("support_status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert by["low_support"] == 2 and out["expected"].where("x > 400 and x < 510").count() == 0
+    assert out["rows"].select("row_id").distinct().count() == 20
+    gaps = {(round(g["local_x"]), round(g["local_y"])): g for g in out["gaps"].collect()}
+    assert {*gaps} == {tuple(map(round, field[empty]))}
+    rejected = out["rejected"].collect()
+    assert [(round(r["x"]), round(r["y"]), r["rejection_reason"]) for r in rejected] == [(*map(round, field[near_border]), "polygon_boundary_exclusion_buffer")]
+    told = out["summary"].first()
+    assert told["suppressed_by_low_support"] == 2 and told["rejected_boundary"] == 1 and told["rejected_coverage"] == 0
+    doubted = pipelines.gap_report(d, t, areas, pipelines.GapSettings(image=(4000.0, 2000.0), boundary=2.1))
+    both = {(round(g["local_x"]), round(g["local_y"])): g for g in doubted["gaps"].collect()}
+    half = both[tuple(map(round, field[doubtful]))]
+    assert half["evidence_status"] == "review_near_suspicious_support" and half["gap_confidence"] < 0.6 * both[tuple(map(round, field[empty]))]["gap_confidence"]
+    assert "nearby_suspicious_singletons=1|confidence_downgraded" in doubted["missing"].where("nearby_suspicious_count > 0").first()["reasons"]
+
+
 def test_live_session(spark, tmp_path):
     box = "struct<confidence:double,class_id:int,x1:double,y1:double,x2:double,y2:double>"
     schema = f"session_id string, sequence long, started timestamp, captured timestamp, seconds double, detections array<{box}>"

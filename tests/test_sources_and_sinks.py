@@ -82,8 +82,8 @@ def test_clean_ring(spark):
 
 
 def test_control_and_images(spark, tmp_path):
-    lines = spark.createDataFrame([("running = 1",), ("snapshot_seq=x",), ("other=3",), ("snapshot_seq=4",)], "value string").coalesce(1)
-    assert {r["key"]: r["value"] for r in readers.parse_control(lines, {"running": 0, "snapshot_seq": 0, "absent": 7}).collect()} == {"running": 1, "snapshot_seq": 4, "absent": 7}
+    (tmp_path / "control").write_text("running = 1\nsnapshot_seq=9\nsnapshot_seq=x\nother=3\nsnapshot_seq=4\n")
+    assert {r["key"]: r["value"] for r in readers.read_control(spark, f"file://{tmp_path}/control", {"running": 0, "snapshot_seq": 0, "absent": 7}).collect()} == {"running": 1, "snapshot_seq": 4, "absent": 7}
     for n in ("frame_000012.jpg", "frame_x.jpg", "other.jpg"):
         (tmp_path / n).write_bytes(b"x")
     assert [r["frame_index"] for r in readers.read_frame_images(spark, f"file://{tmp_path}").collect()] == [12]
