@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.boxes import finite
 from furrow.operators import folds, selection, spatial, statistics
+from furrow.operators.reports import connected_cells
 from furrow.operators.sync import asof_both
 from furrow.sources.readers import unsorted_rows
 
@@ -129,3 +130,48 @@ def same_sources(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def largest_gaps(gaps: DataFrame, n: int = 25) -> DataFrame:
     """The ``n`` gaps that a map labels: by missing plants, then confidence, then id. A report, so limited by purpose."""
     return gaps.orderBy(F.desc("estimated_missing_plants"), F.desc("gap_confidence"), "gap_id").limit(n)
+
+
+def strided(df: DataFrame, order: str, stride: int, start: int = 0, most: int | None = None) -> DataFrame:
+    """A sampling operator: rows whose number is ``start`` or a whole number of strides behind it, the first ``most`` of them."""
+    held = df.where((F.col(order) >= start) & ((F.col(order) - start) % stride == 0))
+    return held if most is None else held.orderBy(order).limit(most)
+
+
+def frame_flags(observations: DataFrame, by: list[str], low: float) -> DataFrame:
+    """Per frame the observations of each gate status and those of low confidence; another status is an error."""
+    known = ["accepted", "boundary_review", "outside_rejected"]
+    fail = F.raise_error(F.concat(F.lit("unknown gate status: "), F.coalesce("status", F.lit("null")))).cast("boolean")
+    held = observations.where(F.when(~F.coalesce(F.col("status").isin(known), F.lit(False)), fail).otherwise(True))
+    return held.groupBy(*by).agg(*[F.count_if(F.col("status") == k).alias(k) for k in known], F.count_if(F.col("confidence") < low).alias("low_confidence"))
+
+
+def counts_with_zeros(frames: DataFrame, found: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Each frame with the number of found rows, 0 where there are none."""
+    n = found.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    return frames.select(*by).distinct().join(n, by, "left").fillna(0, [name])
+
+
+def region(x: Column, y: Column, width: Column, height: Column, frame_width: Column, frame_height: Column) -> Column:
+    """A region of interest as a struct; reading one that is empty or leaves the frame is an error."""
+    good = (x >= 0) & (y >= 0) & (width > 0) & (height > 0) & (x + width <= frame_width) & (y + height <= frame_height)
+    box = F.struct(x.alias("x"), y.alias("y"), width.alias("width"), height.alias("height"))
+    return F.when(good, box).otherwise(F.raise_error(F.concat_ws(" ", F.lit("region outside the frame:"), *[c.cast("string") for c in (x, y, width, height)])).cast("struct<x:int,y:int,width:int,height:int>"))
+
+
+def plant_blocks(points: DataFrame, by: list[str], radius: int, least: int) -> DataFrame:
+    """(by, block, plants, cells, x, y): blocks of plants (x, y) whose surroundings of ``radius`` cells touch, in the order of their middles from the top.
+
+    Each plant's pixel is widened to an ellipse, cells that touch are one component, and components of fewer than ``least`` plants are left out.
+    """
+    pixel = points.select(*by, F.rint("x").cast("long").alias("px"), F.rint("y").cast("long").alias("py"))
+    wide = pixel.distinct().withColumn("_dy", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
+    reach = F.rint(radius * F.sqrt(1 - F.pow(F.col("_dy") / radius, F.lit(2.0)))).cast("int")
+    wide = wide.withColumn("_dx", F.explode(F.sequence(-reach, reach)))
+    cells = wide.select(*by, (F.col("px") + F.col("_dx")).alias("px"), (F.col("py") + F.col("_dy")).alias("py")).distinct()
+    labels = connected_cells(cells, by)
+    root = ["root_x", "root_y"]
+    shape = labels.groupBy(*by, *root).agg(F.count(F.lit(1)).alias("cells"), F.avg("px").alias("x"), F.avg("py").alias("y"))
+    plants = pixel.join(labels, [*by, "px", "py"]).groupBy(*by, *root).agg(F.count(F.lit(1)).alias("plants")).where(F.col("plants") >= least)
+    place = F.row_number().over(W.partitionBy(*by).orderBy("y", "x", *root))
+    return shape.join(plants, [*by, *root]).withColumn("block", place).select(*by, "block", "plants", "cells", "x", "y")

@@ -272,3 +272,10 @@ def reconstructed(points: DataFrame, scale: DataFrame, least: int = 5, band: flo
     full = held.groupBy("plot_id", "_row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     numbered = full.withColumn("row_id", F.row_number().over(W.partitionBy("plot_id").orderBy("_row")).cast("long")).select("plot_id", "_row", "row_id")
     return held.join(numbered, ["plot_id", "_row"]).drop("_near", "_limit", "_row")
+
+
+def live_spacing(df: DataFrame, by: list[str], value: str, share: float = 0.65) -> DataFrame:
+    """(by, spacing): the streaming variant, the median of the first ``share`` of the sorted values; groups of fewer than three have none."""
+    w = W.partitionBy(*by)
+    held = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
+    return held.where((F.col("_n") >= 3) & (F.col("_i") <= F.floor(F.col("_n") * share))).groupBy(*by).agg(F.median(value).alias("spacing"))

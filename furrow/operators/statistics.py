@@ -94,6 +94,19 @@ def axis_ratio(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return s.select(*by, F.sqrt(F.greatest(mid - root, F.lit(0.0)) / F.when(mid + root > 0, mid + root)).alias("axis_ratio"))
 
 
+def path_progress(df: DataFrame, by: list[str], order: str, x: str, y: str, slack: float = 0.05) -> DataFrame:
+    """(by, axis_ratio, progress, reversals): the way made along a path's main axis, which points from its first row to its last, and how often a step goes back by more than ``slack``."""
+    m = df.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), (F.atan2(2 * F.covar_pop(x, y), F.var_pop(x) - F.var_pop(y)) / 2).alias("_angle"))
+    held = df.join(m, by).withColumn("_p", (F.col(x) - F.col("_mx")) * F.cos("_angle") + (F.col(y) - F.col("_my")) * F.sin("_angle"))
+    step = F.col("_p") - F.lag("_p").over(W.partitionBy(*by).orderBy(order))
+    out = held.withColumn("_step", step).groupBy(*by).agg(
+        (F.max_by("_p", order) - F.min_by("_p", order)).alias("_net"), F.count_if(F.col("_step") < -slack).alias("_back"), F.count_if(F.col("_step") > slack).alias("_on")
+    )
+    turned = F.col("_net") < 0
+    out = out.select(*by, F.abs("_net").alias("progress"), F.when(turned, F.col("_on")).otherwise(F.col("_back")).alias("reversals"))
+    return axis_ratio(df, by, x, y).join(out, by)
+
+
 def fill_rates(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(by, field, filled, rate) for each column: how many rows have a value."""
     s = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in columns])

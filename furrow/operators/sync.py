@@ -54,7 +54,7 @@ def sessions_by_edges(df: DataFrame, group: list[str], order: list[Column], star
     return marked.withColumn("session", F.sum("_edge").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_edge")
 
 
-def chain_clusters(df: DataFrame, group: list[str], value: str, order: list[Column], gap: float) -> DataFrame:
+def chain_clusters(df: DataFrame, group: list[str], value: str, order: list[Column], gap: float | Column) -> DataFrame:
     """Add ``cluster``: values in order stay together while each is within ``gap`` of the one before."""
     w = W.partitionBy(*group).orderBy(*order)
     jump = F.coalesce((F.col(value) - F.lag(value).over(w) > gap).cast("int"), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import gates, geometry
-from furrow.operators import folds, fusion, rows, spatial, statistics
+from furrow.operators import folds, fusion, rows, spatial, statistics, sync
 from furrow.storage import checkpointed
 from furrow.streaming import stateful
 
@@ -141,6 +141,55 @@ def _doubted(missing: DataFrame, doubtful: DataFrame, s: GapSettings) -> DataFra
     return held.withColumn("confidence", gates.downgraded(F.col("confidence"), F.col("nearby_suspicious_count")))
 
 
+def live_gaps(plants: DataFrame, least: int = 4, band: float = 0.42, tolerance: float = 0.42, usual: float = 30.0) -> dict[str, DataFrame]:
+    """The live session's analysis of its plants (session_id, plant_id, x, y), without polygons: ``gaps`` and ``sessions`` with their status.
+
+    The direction is the middle of the fullest bin; rows are chains over the across coordinate; slots stand at whole spacings between a row's ends. Plants
+    without a position are left out. A session is a flight, whose plants are few.
+    """
+    p = plants.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select("session_id", F.col("plant_id").alias("id"), "x", "y")
+    p = checkpointed(p)
+    middle = p.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    near = spatial.nearest(p, p, 11, by=["session_id"])
+    at = lambda k, name: p.select("session_id", F.col("id").alias(k), F.col("x").alias(f"{name}x"), F.col("y").alias(f"{name}y"))
+    near = checkpointed(near.where("distance > 0").join(at("id", "a"), ["session_id", "id"]).join(at("other_id", "b"), ["session_id", "other_id"]).select("session_id", "id", "rank", "distance", (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy")))
+    bins = near.where("rank <= 5").withColumn("bin", (F.floor(F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(180.0)) / 2) % 90).cast("int"))
+    bins = bins.groupBy("session_id", "bin").agg(F.round(F.sum(1 / F.greatest("distance", F.lit(0.1))), 9).alias("w"))
+    turn = bins.groupBy("session_id").agg(F.max_by("bin", F.struct("w", -F.col("bin"))).alias("bin"), F.max("w").alias("peak"), F.sum("w").alias("all"))
+    turn = turn.select("session_id", F.radians(2.0 * F.col("bin") + 1).alias("angle"), F.least(6 * F.col("peak") / F.col("all"), F.lit(1.0)).alias("sureness"))
+    sessions = middle.join(turn, "session_id", "left")
+    reason = F.when(F.col("n") < 2 * least, "insufficient_plants").when(F.coalesce("sureness", F.lit(0.0)) < 0.1, "orientation_low_confidence")
+    sessions = checkpointed(sessions.withColumn("reason", reason))
+    good = sessions.where("reason is null").select("session_id", "cx", "cy", "angle")
+    along, across = geometry.along_across(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("angle"))
+    points = p.join(good, "session_id").withColumn("along", along).withColumn("across", across)
+    da, dc = geometry.along_across(F.col("dx"), F.col("dy"), F.col("angle"))
+    steps = near.join(good, "session_id").withColumn("da", F.abs(da)).withColumn("dc", F.abs(dc))
+    beside = F.col("dc") < F.greatest(F.lit(5.0), 0.3 * F.col("da"))
+    best = steps.groupBy("session_id", "id").agg(F.min(F.when(beside, F.col("da"))).alias("a"), F.min(F.when(~beside & (F.col("da") < F.greatest(F.lit(5.0), 0.3 * F.col("dc"))), F.col("dc"))).alias("c"))
+    best = checkpointed(best)
+    scale = good.join(rows.live_spacing(best, ["session_id"], "a"), "session_id", "left").withColumnRenamed("spacing", "a").join(rows.live_spacing(best, ["session_id"], "c"), "session_id", "left")
+    scale = checkpointed(scale.select("session_id", F.coalesce("a", F.lit(usual)).alias("spacing"), F.coalesce("spacing", 2 * F.coalesce("a", F.lit(usual))).alias("cross")))
+    points = points.join(scale, "session_id").withColumn("_half", F.col("cross") * 0.5)
+    chains = sync.chain_clusters(points, ["session_id"], "across", [F.col("across"), F.col("id")], F.col("_half"))
+    centers = chains.groupBy("session_id", "cluster").agg(F.avg("across").alias("center")).groupBy("session_id").agg(F.sort_array(F.collect_list("center")).alias("centers"))
+    nearest = F.array_min(F.transform("centers", lambda c, i: F.struct(F.abs(F.col("across") - c).alias("off"), i.alias("row"), c.alias("center"))))
+    lanes = points.join(centers, "session_id").withColumn("_row", nearest).where(F.col("_row.off") <= band * F.col("cross"))
+    lanes = lanes.select("session_id", F.col("_row.row").alias("row"), F.col("_row.center").alias("center"), F.concat_ws("_", F.col("session_id").cast("string"), F.col("_row.row").cast("string")).alias("plot_id"), F.lit(0).alias("row_id"), F.col("id").alias("plant_id"), "along", F.lit(0.0).alias("across"), "spacing")
+    full = lanes.groupBy("plot_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("plot_id")
+    lanes = checkpointed(lanes.join(full, "plot_id", "left_semi"))
+    spacing = lanes.select("plot_id", "spacing").distinct()
+    missing = rows.missing_slots(rows.live_slots(lanes, spacing), lanes, spacing, tolerance)
+    whose = lanes.select("plot_id", "session_id", "row", "center").distinct()
+    x, y = geometry.from_along_across(F.col("along"), F.col("center"), F.col("angle"))
+    gaps = missing.select("plot_id", "slot_index", "along").join(whose, "plot_id").join(good, "session_id")
+    gaps = checkpointed(gaps.select("session_id", F.col("row").alias("row_id"), "slot_index", (F.col("cx") + x).alias("local_x"), (F.col("cy") + y).alias("local_y")))
+    count = gaps.groupBy("session_id").agg(F.count(F.lit(1)).alias("gap_count"))
+    status = F.when(F.col("reason").isNotNull(), "NOT_EVALUATED").when(F.coalesce("gap_count", F.lit(0)) == 0, "zero_gaps_confirmed").otherwise("gaps_found")
+    sessions = sessions.join(count, "session_id", "left").select("session_id", F.col("n").alias("plants"), F.when(F.col("reason").isNull(), F.coalesce("gap_count", F.lit(0))).alias("gap_count"), status.alias("status"), "reason")
+    return {"gaps": gaps, "sessions": sessions}
+
+
 def live_session(frames: DataFrame, least_seconds: float = 0.5, top: int = 255) -> DataFrame:
     """Streamed frames (session_id, sequence, started, captured, seconds, detections) to the boxes that the overlay shows.
 
@@ -155,4 +204,4 @@ def live_session(frames: DataFrame, least_seconds: float = 0.5, top: int = 255)
     return limited.select("session_id", "sequence", "captured", F.size("detections").alias("detections"), F.greatest(F.size(good) - top, F.lit(0)).alias("truncated"), shown.alias("shown"))
 
 
-__all__ = ["GapSettings", "gap_report", "live_session"]
+__all__ = ["GapSettings", "gap_report", "live_gaps", "live_session"]

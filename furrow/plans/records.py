@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import boxes, gates, geometry
-from furrow.operators import records, rows, selection
+from furrow.operators import records, rows, selection, spatial
 from furrow.plans.base import DETECTIONS, FRAMES, PLANTS, POINTS, _oracles, _queries, made, plain, query
 from furrow.plans.statistics import ROUND
 from furrow.plans.telemetry import CLOCK
 from furrow.sinks import files
-from furrow.sources import protocol, readers
+from furrow.sources import protocol, readers, srt
 from furrow.storage import checkpoint_root, ship
 
 ORDERS = "SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS price, o_orderstatus AS status FROM {orders}"
@@ -234,6 +234,33 @@ def control_values(l: DataFrame) -> DataFrame:
     return readers.parse_control(l.select(k.alias("line_no"), text.alias("value")), {"running": 0, "snapshot_seq": 0, "absent": 7})
 
 
+@query("SELECT flight, frame_index FROM f WHERE frame_index >= 3 AND (frame_index - 3) % 7 = 0", f=FRAMES)
+def strided_frames(f: DataFrame) -> DataFrame:
+    """A sampling operator: every seventh frame from the third on."""
+    return records.strided(f, "frame_index", 7, 3).select("flight", "frame_index")
+
+
+_FLAGGED = "SELECT frame_index, confidence, CASE WHEN x1 < 30 THEN 'outside_rejected' WHEN x1 < 60 THEN 'boundary_review' ELSE 'accepted' END AS status FROM (" + DETECTIONS + ") AS q"
+
+
+@query("SELECT frame_index, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'boundary_review') AS boundary_review, count(*) FILTER (status = 'outside_rejected') AS outside_rejected, count(*) FILTER (confidence < 0.35) AS low_confidence FROM d GROUP BY 1", d=_FLAGGED)
+def frame_flags(d: DataFrame) -> DataFrame:
+    return records.frame_flags(d, ["frame_index"], 0.35)
+
+
+@query("SELECT frame_index, count(*) FILTER (status = 'outside_rejected') AS outside FROM d GROUP BY 1", d=_FLAGGED)
+def counts_with_zeros(d: DataFrame) -> DataFrame:
+    """Rejected boxes of each frame, also of frames that have none."""
+    return records.counts_with_zeros(d, d.where("status = 'outside_rejected'"), ["frame_index"], "outside")
+
+
+@query("SELECT k, k % 100 AS x, k % 50 + 10 AS height FROM o", o=ORDERS)
+def regions(o: DataFrame) -> DataFrame:
+    k = F.col("k").cast("int")
+    box = records.region(k % 100, k % 70, F.lit(20), k % 50 + 10, F.lit(120), F.lit(130))
+    return o.select("k", box["x"].cast("long").alias("x"), box["height"].cast("long").alias("height"))
+
+
 def _folder(spark: SparkSession) -> str:
     ship(spark)
     return f"{checkpoint_root(spark)}/files/{uuid.uuid4().hex}"
@@ -267,6 +294,24 @@ def areas_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("properties")["name"].alias("name"), "part", "ring_id", "hole", F.element_at("xs", 1).alias("x"), F.element_at("ys", -2).alias("top"), F.size("xs").alias("points"))
 
 
+def raster_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coverage raster kept as Parquet and sampled again: each point's own pixel."""
+    at, p = _folder(spark), made(spark, sf_dir, POINTS)
+    pixel = p.groupBy("g", F.rint("x").cast("long").alias("px"), F.rint("y").cast("long").alias("py")).agg(F.count(F.lit(1)).alias("n"))
+    pixel.write.parquet(at)
+    return spatial.raster_at(p.select("id", "g", "x", "y"), spark.read.parquet(at), ["g"]).select("id", "n")
+
+
+def subtitle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks of each flight's subtitles have a valid timing, and how many have a field; every fifth timing is broken."""
+    ship(spark)
+    e = made(spark, sf_dir, "SELECT event_id % 8 AS flight, event_id AS k FROM {events}")
+    timing = F.when(F.col("k") % 5 == 0, F.lit("broken --> timing")).otherwise(F.lit("00:00:01,000 --> 00:00:02,000"))
+    body = F.concat_ws("\n", F.col("k").cast("string"), timing, F.when(F.col("k") % 3 == 0, F.lit("[iso: 100] [latitude: 1.5]")).otherwise(F.lit("iso: none lat: 2.25 other: x")))
+    texts = e.groupBy("flight").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", body.alias("b")))), lambda x: x["b"]), "\n\n").alias("value"))
+    return srt.report(texts).select("flight", "blocks", "parsed", "skipped", "iso_count", "latitude_count")
+
+
 def exported_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run exported as CSV and JSON lines; the JSON lines read again."""
     at = _folder(spark)
@@ -296,6 +341,8 @@ for _f, _sql in (
     (csv_round_trip, f"SELECT k, price FROM ({_ORDERS})"),
     (records_round_trip, f"SELECT k, price FROM ({_ORDERS}) WHERE k % 5 > 1"),
     (areas_round_trip, "SELECT n_name AS name, 0 AS part, 0 AS ring_id, false AS hole, n_nationkey::DOUBLE AS x, n_nationkey + 2.0::DOUBLE AS top, 4 AS points FROM nation"),
+    (raster_round_trip, f"WITH p AS ({plain(POINTS)}), r AS (SELECT g, round_even(x, 0) AS px, round_even(y, 0) AS py, count(*) AS n FROM p GROUP BY ALL) SELECT id, n FROM p JOIN r ON r.g = p.g AND px = round_even(x, 0) AND py = round_even(y, 0)"),
+    (subtitle_report, "SELECT event_id % 8 AS flight, count(*) AS blocks, count(*) FILTER (event_id % 5 > 0) AS parsed, count(*) FILTER (event_id % 5 = 0) AS skipped, count(*) FILTER (event_id % 5 > 0 AND event_id % 3 = 0) AS iso_count, count(*) FILTER (event_id % 5 > 0) AS latitude_count FROM events GROUP BY 1"),
     (exported_run, f"SELECT k, c, price, status, count(*) OVER () AS rows FROM ({_ORDERS})"),
     (protocol_round_trip, f"SELECT k AS message_id, k AS frame_index, round(price, 3) AS latency_ms, 'ok' AS status, -1 AS gaps, k % 50 + 100.0::DOUBLE AS x2, CASE WHEN k % 2 = 0 THEN 3 END AS points, CASE WHEN k % 2 = 0 THEN k % 100 * 3.0::DOUBLE END AS third_x FROM ({_ORDERS})"),
 ):

@@ -85,6 +85,18 @@ def path_axis_ratio(p: DataFrame) -> DataFrame:
     return ROUND(statistics.axis_ratio(p, ["g"], "x", "y"), "axis_ratio")
 
 
+@query(
+    """WITH m AS (SELECT flight, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS a FROM p GROUP BY 1),
+s AS (SELECT flight, frame_index, (x - mx) * cos(a) + (y - my) * sin(a) AS q FROM p JOIN m USING (flight)), n AS (SELECT flight, arg_max(q, frame_index) - arg_min(q, frame_index) AS net FROM s GROUP BY 1),
+d AS (SELECT flight, net, sign(net) * (q - lag(q) OVER (PARTITION BY flight ORDER BY frame_index)) AS d FROM s JOIN n USING (flight))
+SELECT flight, round(abs(net), 5) AS progress, count(*) FILTER (d < -0.05) AS reversals FROM d GROUP BY flight, net""",
+    p="SELECT CAST(o_orderkey % 8 AS BIGINT) AS flight, CAST(floor(o_orderkey / 8) AS BIGINT) AS frame_index, CAST(o_orderkey % 8 * 2 - 7 AS DOUBLE) * floor(o_orderkey / 8) + o_orderkey * 7 % 23 AS x, CAST(o_orderkey * 13 % 17 AS DOUBLE) AS y FROM {orders}",
+)
+def path_progress(p: DataFrame) -> DataFrame:
+    """How far each path gets along its main axis and how often it goes back."""
+    return statistics.path_progress(p, ["flight"], "frame_index", "x", "y").select("flight", F.round("progress", 5).alias("progress"), "reversals")
+
+
 @query("SELECT id, g, round(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 6) AS step FROM p WINDOW w AS (PARTITION BY g ORDER BY id)", p=POINTS)
 def step_lengths(p: DataFrame) -> DataFrame:
     return ROUND(statistics.steps(p, ["g"], "id", "x", "y"), "step").select("id", "g", "step")

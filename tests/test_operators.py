@@ -339,3 +339,19 @@ def test_rows_of_a_bent_field(spark):
     near = spark.createDataFrame([(0, 1.0, 104.0 * (-1) ** k) for k in range(30)] + [(0, 40.0, 1.0)], "plot_id long, along double, across double")
     assert rows.row_distances(near, scale).first()["inter_row"] == pytest.approx(104.0, abs=1.0)
     assert rows.row_distances(near.limit(0), scale).first()["inter_row"] == pytest.approx(104.0)
+
+
+def test_blocks_of_plants(spark):
+    """Two groups farther apart than twice the radius, and a single plant."""
+    pts = [(0, 10.0 + 6 * i, 10.0 + 6 * j) for i in range(4) for j in range(3)] + [(0, 80.0 + 6 * i, 4.0) for i in range(5)] + [(0, 200.0, 200.0)]
+    got = records.plant_blocks(spark.createDataFrame(pts, "g long, x double, y double"), ["g"], 4, 3).orderBy("block").collect()
+    assert [(r["block"], r["plants"]) for r in got] == [(1, 5), (2, 12)] and got[1]["x"] == pytest.approx(19.0) and got[1]["y"] == pytest.approx(16.0)
+
+
+def test_regions_and_flags_reject_what_they_do_not_know(spark):
+    one = spark.range(1)
+    assert one.select(records.region(F.lit(0), F.lit(0), F.lit(5), F.lit(5), F.lit(5), F.lit(5))["width"]).first()[0] == 5
+    with pytest.raises(Exception, match="region outside"):
+        one.select(records.region(F.lit(1), F.lit(0), F.lit(5), F.lit(5), F.lit(5), F.lit(5))).collect()
+    with pytest.raises(Exception, match="unknown gate status"):
+        records.frame_flags(spark.createDataFrame([(1, "odd", 0.5)], "f long, status string, confidence double"), ["f"], 0.3).collect()

@@ -81,6 +81,19 @@ def test_gap_report_gates(spark):
     assert "nearby_suspicious_singletons=1|confidence_downgraded" in doubted["missing"].where("nearby_suspicious_count > 0").first()["reasons"]
 
 
+def test_live_gaps(spark):
+    """A field of 5 rows of 10 with one empty place gives 49 plants and one gap there; few plants aren't judged."""
+    r, angle = random.Random(2), math.radians(21)
+    at = lambda i, j: (300 + 40 * i * math.cos(angle) - 90 * j * math.sin(angle), 90 + 40 * i * math.sin(angle) + 90 * j * math.cos(angle))
+    plants = [("a", 10 * j + i, *(v + r.uniform(-0.5, 0.5) for v in at(i, j))) for j in range(5) for i in range(10) if (i, j) != (5, 2)]
+    plants += [("b", k, 10.0 * k, 0.0) for k in range(5)] + [("a", 999, float("nan"), 0.0)]
+    out = pipelines.live_gaps(spark.createDataFrame(plants, "session_id string, plant_id long, x double, y double"))
+    gap = out["gaps"].collect()
+    assert len(gap) == 1 and gap[0]["local_x"] == pytest.approx(at(5, 2)[0], abs=4.0) and gap[0]["local_y"] == pytest.approx(at(5, 2)[1], abs=4.0)
+    told = {s["session_id"]: (s["plants"], s["gap_count"], s["status"], s["reason"]) for s in out["sessions"].collect()}
+    assert told == {"a": (49, 1, "gaps_found", None), "b": (5, None, "NOT_EVALUATED", "insufficient_plants")}
+
+
 def test_live_session(spark, tmp_path):
     box = "struct<confidence:double,class_id:int,x1:double,y1:double,x2:double,y2:double>"
     schema = f"session_id string, sequence long, started timestamp, captured timestamp, seconds double, detections array<{box}>"
