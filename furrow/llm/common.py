@@ -18,8 +18,14 @@ WS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, and keep Arrow batches of long texts small."""
+    """Send the package to the executors, and keep Arrow batches of long texts small.
+
+    This sets the session's two limits of Arrow batches, for later queries of the caller too.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     storage.ship(spark)
@@ -47,9 +53,20 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/furrow/{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stage tables that this session has written, once no result that reads them is needed any more; returns how many."""
+    mine = [p for s, p in _written if s is spark]
+    for path in mine:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written[:] = [x for x in _written if x[0] is not spark]
+    return len(mine)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -25,6 +25,16 @@ def shipped(spark):
     ship(spark)
 
 
+def test_stage_tables_are_dropped(spark):
+    from furrow.llm import common
+
+    common.drop_stages(spark)
+    held = common.stage_table(spark.range(3), "three")
+    assert held.count() == 3 and common.drop_stages(spark) == 1 and common.drop_stages(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist|not found"):
+        held.select("id").collect()
+
+
 # op1
 
 
