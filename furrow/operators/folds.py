@@ -101,9 +101,9 @@ def accepted_at_interval(df: DataFrame, group: list[str], at: str, least: float,
 def keyframes(path: DataFrame, group: str, step: float) -> DataFrame:
     """(group, frame_index, segment, x, y): frames that begin a segment or lie ``step`` or more from the last keyframe, and the last frame.
 
-    Of rows that repeat a frame one counts; a frame without a position is a keyframe only as the last one.
+    Of rows that repeat a frame the smallest counts; a frame without a position is a keyframe only as the last one.
     """
-    held = path.select(group, "frame_index", "segment", "x", "y").dropDuplicates([group, "frame_index"])
+    held = path.groupBy(group, "frame_index").agg(F.min(F.struct("segment", "x", "y")).alias("_r")).select(group, "frame_index", "_r.*")
     held = held.withColumn("_last", F.lead("frame_index").over(W.partitionBy(group).orderBy("frame_index")).isNull())
 
     def take(last, segment, x, y, final):

@@ -9,6 +9,7 @@ from furrow.storage import checkpointed
 
 
 def extents(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Bounding box of each group; nulls don't count, and a group of nulls has a box of nulls."""
     return df.groupBy(*by).agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(y).alias("y_min"), F.max(y).alias("y_max"))
 
 

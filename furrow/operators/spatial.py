@@ -37,15 +37,19 @@ def with_cells(df: DataFrame, size: float, x: str = "x", y: str = "y", ring: int
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
-    """Pairs (id, other_id, distance) of left and right points within the radius, borders included. Columns: by, id, x, y."""
-    by = by or []
-    l = with_cells(left.select(*by, "id", "x", "y"), radius)
-    r = with_cells(right.select(*by, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy")), radius, "ox", "oy", 1)
+    """Pairs (id, other_id, distance) of left and right points within the radius, borders included. Columns: by, id, x, y.
+
+    With a radius of 0 points meet their equals. Points without a position and null groups meet nothing; rows that repeat give a pair each time.
+    """
+    by, size = by or [], radius if radius > 0 else 1.0
+    l = with_cells(left.select(*by, "id", "x", "y"), size)
+    r = with_cells(right.select(*by, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy")), size, "ox", "oy", 1)
     pairs = l.join(r, [*by, "gx", "gy"])
     return pairs.withColumn("distance", _distance()).where(F.col("distance") <= radius).select(*by, "id", "other_id", "distance")
 
 
 def radius_pairs(points: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
+    """Each pair of points within the radius once, the smaller id first; points that share an id are no pair."""
     return radius_join(points, points, radius, by).where("id < other_id")
 
 

@@ -130,6 +130,7 @@ def direction_cosine(df: DataFrame, by: list[str], order: str, a: tuple[str, str
 
 
 def running_median(df: DataFrame, by: list[str], order: list[str], value: str, rows: int = 120) -> DataFrame:
+    """Add ``running_median``: the median of the row and the ``rows`` - 1 before it, without nulls; of rows that tie in ``order`` any may come first."""
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(-(rows - 1), 0)
     return df.withColumn("running_median", F.percentile(value, 0.5).over(w))
 

@@ -47,9 +47,9 @@ def carry_forward(df: DataFrame, group: list[str], order: list[Column], value: s
 
 
 def sessions_by_edges(df: DataFrame, group: list[str], order: list[Column], start: Column) -> DataFrame:
-    """Add ``session``: the number of start edges up to and with the row; an edge is a rise of ``start`` from false."""
+    """Add ``session``: the number of start edges up to and with the row; an edge is a rise of ``start`` from false. A null start is neither an edge nor a fall."""
     w = W.partitionBy(*group).orderBy(*order)
-    edge = start & ~F.coalesce(F.lag(start).over(w), F.lit(False))
+    edge = F.coalesce(start, F.lit(False)) & ~F.coalesce(F.last(start, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
     marked = df.withColumn("_edge", edge.cast("int"))
     return marked.withColumn("session", F.sum("_edge").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_edge")
 

@@ -179,3 +179,14 @@ FROM (SELECT id, 0.5 AS w, 0.1 + x / 5000 AS x, 0.2 AS y, y / 2000 AS z FROM p)"
 def quaternion_euler(p: DataFrame) -> DataFrame:
     roll, pitch, yaw = geometry.euler(F.lit(0.5), F.lit(0.1) + F.col("x") / 5000, F.lit(0.2), F.col("y") / 2000)
     return p.select("id", F.round(roll, 6).alias("roll"), F.round(pitch, 6).alias("pitch"), F.round(yaw, 6).alias("yaw"))
+
+
+@query(
+    """WITH k AS (SELECT id, lat, lon, radians(lat) AS phi, radians(lon - (CAST(floor((lon + 180) / 6) AS INT) * 6 - 177)) AS dl, 0.0066943799901413165 AS e2, 0.006739496742276434 AS ep2 FROM p),
+s AS (SELECT *, 6378137 / sqrt(1 - e2 * pow(sin(phi), 2)) AS n, pow(tan(phi), 2) AS t, ep2 * pow(cos(phi), 2) AS c, dl * cos(phi) AS a FROM k)
+SELECT id, round(0.9996 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * pow(a, 5) / 120) + 500000, 3) AS east FROM s""",
+    p=_GEO,
+)
+def utm_positions(p: DataFrame) -> DataFrame:
+    east, _ = geometry.to_utm(F.col("lat"), F.col("lon"))
+    return p.select("id", F.round(east, 3).alias("east"))

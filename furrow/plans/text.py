@@ -49,6 +49,20 @@ def sha256_manifest(d: DataFrame) -> DataFrame:
     return listed.withColumnRenamed("path", "doc_id")
 
 
+@query("SELECT doc_id, line, pattern FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line FROM d), (VALUES ('digits', '[0-9]{4,}'), ('key', '(?i)secret|token')) v(pattern, p) WHERE regexp_matches(x, p)", d="SELECT doc_id, text FROM {documents}")
+def matching_lines(d: DataFrame) -> DataFrame:
+    """Numbers of lines that match a pattern, with its name."""
+    found = strings.matching_lines(F.col("text"), {"digits": "[0-9]{4,}", "key": "(?i)secret|token"})
+    return d.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE printf('%.2f', v) END AS shown, chr(CAST(8364 + event_id % 50 AS INT)) || 'x' || chr(CAST(65 + event_id % 26 AS INT)) AS entity FROM e", e="SELECT event_id, CAST(floor(value * 4) / 4 AS DOUBLE) AS v FROM {events}")
+def formatted_numbers(e: DataFrame) -> DataFrame:
+    """Numbers with two digits or n/a, and numbered entities as characters."""
+    code = F.concat(F.lit("&#"), 8364 + F.col("event_id") % 50, F.lit(";x&#x"), F.hex(65 + F.col("event_id") % 26), F.lit(";"))
+    return e.select("event_id", strings.number_text(F.when(F.col("event_id") % 7 != 0, F.col("v")), 2).alias("shown"), strings.numbered_entities(code).alias("entity"))
+
+
 _FILES = "SELECT n_name AS path, CAST(length(n_name) AS BIGINT) AS bytes, n_name AS content FROM {nation}"
 
 

@@ -69,3 +69,80 @@ def problems(config: dict, rules: dict[str, tuple[float, float]]) -> list[str]:
         elif not low <= value <= high:
             found.append(f"{key} = {value} isn't in {low}..{high}")
     return found
+
+
+#: What a rule asks of a value: a number in a range, one of a few values, or another key's bound.
+WITHIN, ABOVE, BETWEEN, ONE_OF, BELOW_KEY = "within", "above", "between", "one_of", "below_key"
+# The rules of a session's and a run's configuration. Ends belong to "within"; "above" and "between" leave them out.
+RULES = [
+    ("runtime.queue_capacity", ONE_OF, (1,)),
+    ("models.detector.task", ONE_OF, ("detect",)),
+    ("models.detector.image_size", ABOVE, 0),
+    ("models.detector.confidence_threshold", WITHIN, (0, 1)),
+    ("models.detector.nms_iou_threshold", WITHIN, (0, 1)),
+    ("models.detector.interval_frames", WITHIN, (1, None)),
+    ("models.detector.tile_size", ABOVE, 0),
+    ("models.detector.tile_overlap", WITHIN, (0, None)),
+    ("models.detector.tile_overlap", BELOW_KEY, "models.detector.tile_size"),
+    ("models.detector.global_nms_iou", WITHIN, (0, 1)),
+    ("models.detector.max_detections_full_frame", WITHIN, (1, None)),
+    ("models.segmenter.task", ONE_OF, ("segment",)),
+    ("models.segmenter.image_size", ABOVE, 0),
+    ("models.segmenter.confidence_threshold", WITHIN, (0, 1)),
+    ("models.segmenter.nms_iou_threshold", WITHIN, (0, 1)),
+    ("models.segmenter.interval_frames", WITHIN, (1, None)),
+    ("storage.max_session_bytes", WITHIN, (1024 * 1024, None)),
+    ("storage.min_free_bytes", WITHIN, (128 * 1024 * 1024, None)),
+    ("storage.log_rotate_bytes", WITHIN, (1024, None)),
+    ("storage.jsonl_rotate_bytes", WITHIN, (1024, None)),
+    ("storage.jsonl_backup_count", WITHIN, (1, 20)),
+    ("overlay.enabled", ONE_OF, (True, False)),
+    ("overlay.stale_result_timeout_ms", WITHIN, (100, None)),
+    ("overlay.mode", ONE_OF, ("compact",)),
+    ("overlay.selection_strategy", ONE_OF, ("confidence", "confidence_central")),
+    ("overlay.aspect_mode", ONE_OF, ("stretch", "contain", "cover")),
+    ("overlay.rotation_degrees", ONE_OF, (0, 90, 180, 270)),
+    ("live.frame_queue_size", ONE_OF, (1,)),
+    ("live.drop_old_frames", ONE_OF, (True,)),
+    ("live.batch_size", ONE_OF, (1,)),
+    ("live.target_inference_fps", ABOVE, 0),
+    ("live.stream_timeout_ms", WITHIN, (1000, None)),
+    ("live.reconnect_interval_ms", WITHIN, (1000, None)),
+    ("live.worker_heartbeat_timeout_ms", WITHIN, (1000, None)),
+    ("logging.save_all_detections", ONE_OF, (True,)),
+    ("logging.sample_interval_seconds", ABOVE, 0),
+    ("registration.preview_width", WITHIN, (320, None)),
+    ("registration.ratio_test", BETWEEN, (0, 1)),
+    ("fusion.association_spacing_fraction", BETWEEN, (0, 0.5)),
+    ("coverage.minimum_gap_opportunity", WITHIN, (1, None)),
+    ("max_detections_per_tile", WITHIN, (1000, None)),
+    ("max_detections_full_frame", ABOVE, 300),
+    ("roi_mode", ONE_OF, ("full_frame", "manual_rectangle", "dataset_derived")),
+    ("playback_mode", ONE_OF, ("processed_frames_only", "continuous_video")),
+]
+
+
+def value_at(config: dict, key: str) -> Any:
+    for part in key.split("."):
+        config = config.get(part) if isinstance(config, dict) else None
+    return config
+
+
+def broken(config: dict, rules: list[tuple] = RULES) -> list[str]:
+    """Rules that a configuration breaks, as texts. Keys of sections (or plain keys) that it doesn't have aren't asked for; within a section all are."""
+
+    def good(key: str, kind: str, asked: Any) -> bool:
+        value = value_at(config, key)
+        if kind == ONE_OF:
+            return any(value == a and isinstance(value, bool) == isinstance(a, bool) for a in asked)
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value:
+            return False
+        if kind == BELOW_KEY:
+            other = value_at(config, asked)
+            return isinstance(other, (int, float)) and value < other
+        if kind == ABOVE:
+            return value > asked
+        low, high = asked
+        return low < value < high if kind == BETWEEN else (low is None or value >= low) and (high is None or value <= high)
+
+    return [f"{key} = {value_at(config, key)!r} isn't {kind} {asked!r}" for key, kind, asked in rules if key.partition(".")[0] in config and not good(key, kind, asked)]

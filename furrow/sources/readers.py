@@ -77,6 +77,7 @@ def read_control(spark: SparkSession, path: str, defaults: dict[str, int]) -> Da
 
 
 def missing_shards(wanted: DataFrame, present: DataFrame, key: str = "frame_index") -> DataFrame:
+    """Wanted rows whose key isn't present; a null key is always missing, and rows that repeat stay."""
     return wanted.join(present.select(key).distinct(), key, "left_anti")
 
 

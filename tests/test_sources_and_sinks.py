@@ -139,3 +139,30 @@ def test_json_and_csv(spark, tmp_path):
     assert json.loads((tmp_path / "j.json").read_text()) == {"a": [1.5, None], "b": None}
     files.write_csv(spark.range(2).withColumn("extra", F.lit(1)), ["absent", "id"], f"file://{tmp_path}/c")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").columns == ["absent", "id"]
+
+
+def test_configuration_rules():
+    good = {"overlay": {"enabled": True, "stale_result_timeout_ms": 1500, "mode": "compact", "selection_strategy": "confidence", "aspect_mode": "contain", "rotation_degrees": 90}, "registration": {"preview_width": 960, "ratio_test": 0.75}, "roi_mode": "full_frame"}
+    assert config.broken(good) == [] and config.broken({}) == []
+    bad = {**good, "registration": {"preview_width": 319, "ratio_test": 1}, "overlay": {**good["overlay"], "rotation_degrees": 45, "enabled": 1}, "roi_mode": "x"}
+    assert {b.split(" ")[0] for b in config.broken(bad)} == {"registration.preview_width", "registration.ratio_test", "overlay.rotation_degrees", "overlay.enabled", "roi_mode"}
+    detector = {"task": "detect", "image_size": 640, "confidence_threshold": 0.2, "nms_iou_threshold": 0.5, "interval_frames": 1, "tile_size": 100, "tile_overlap": 100, "global_nms_iou": 0.5, "max_detections_full_frame": 1}
+    segmenter = {"task": "segment", "image_size": 640, "confidence_threshold": 0.2, "nms_iou_threshold": float("nan"), "interval_frames": 1}
+    assert [b.split(" ")[0] for b in config.broken({"models": {"detector": detector, "segmenter": segmenter}})] == ["models.detector.tile_overlap", "models.segmenter.nms_iou_threshold"]
+
+
+def test_entities_and_reports(spark):
+    from furrow.functions import strings
+
+    d = spark.createDataFrame([("a &#x1F389;&#233; &lt;b&gt; &amp;#65; <i>x</i> &#0; &#xD800;",)], "t string")
+    assert d.select(strings.strip_tags(F.col("t"))).first()[0] == "a 🎉é <b> &#65; x &#0; &#xD800;"
+    text = files.markdown("Run", {"frames": 3, "rate": None}, spark.createDataFrame([(1, None)], "a int, b string"))
+    assert text == "# Run\n\n- frames: 3\n- rate: n/a\n\n| a | b |\n| --- | --- |\n| 1 | n/a |\n"
+    files.renamed_copies({"old": spark.range(2)}, {"old": "new_name"})
+    assert spark.table("new_name").count() == 2
+
+
+def test_bytes_to_text(spark):
+    rows = [("a", b"\xff\xfe" + "1\n00:00:00,000 --> 00:00:01,000\niso: 5 é".encode("utf-16le")), ("b", "é".encode("latin-1")), ("c", "\ufeffé".encode())]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "n string, c binary").select("n", srt.decoded(F.col("c"))).collect()}
+    assert got["a"].endswith("iso: 5 é") and got["b"] == got["c"] == "é"

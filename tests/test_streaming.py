@@ -65,3 +65,49 @@ def test_session_logs_are_idempotent(spark, tmp_path):
     for batch in (0, 1, 1):
         write(spark.range(10), batch)
     assert spark.read.parquet(f"file://{tmp_path}/logs/all").count() == 20 and spark.read.parquet(f"file://{tmp_path}/logs/even").count() == 10
+
+
+def test_rates_and_expiry(spark):
+    rows = [("s", i, i // 2) for i in range(40)]
+    frames = spark.createDataFrame(rows, "s string, n long, sec long").withColumn("at", F.timestamp_seconds("sec"))
+    got = stateful.frame_rate(frames, "at", ["s"]).orderBy("start").collect()
+    assert [(r["frames"], r["fps"]) for r in got] == [(20, 2.0), (20, 2.0)]
+    now = F.timestamp_seconds(F.lit(19))
+    assert stateful.fresh(frames, "at", now).select("sec").distinct().count() == 2  # 18 and 19: 17.5 is the limit
+
+
+def test_a_session_without_frames_stalls(spark, tmp_path):
+    """A session that gets no more frames is reported once, while another's frames come."""
+    import time
+
+    seen = []
+    write = lambda k, rows: spark.createDataFrame(rows, "s string, n long").coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+    write(0, [("a", 0), ("a", 1)])
+    raw = spark.readStream.schema("s string, n long").json(f"file://{tmp_path}/in")
+    q = stateful.stalled_sessions(raw, "s", 1500).writeStream.outputMode("append").foreachBatch(lambda b, _: seen.extend(tuple(r) for r in b.collect())).option("checkpointLocation", f"file://{tmp_path}/c").trigger(processingTime="300 milliseconds").start()
+    try:
+        for k in range(1, 60):
+            time.sleep(0.5)
+            if ("a", 2, True) in seen:
+                break
+            write(k, [("b", k)])
+    finally:
+        q.stop()
+    assert ("a", 2, False) in seen and ("a", 2, True) in seen and not any(s == "a" and n != 2 for s, n, _ in seen)
+
+
+def test_association_over_micro_batches_equals_the_batch(spark, tmp_path):
+    import random
+
+    from furrow.operators import fusion
+
+    r, schema = random.Random(4), "segment_id long, frame_index long, observation_id long, x double, y double"
+    rows = [(s, f, 1000 * s + 20 * f + k, r.uniform(0, 60), r.uniform(0, 60)) for s in range(2) for f in range(12) for k in range(r.randint(2, 7))]
+    for part in range(4):
+        spark.createDataFrame([x for x in rows if x[1] // 3 == part], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    seen = []
+    q = stateful.tracked(raw, "segment_id", 12.0, 2).writeStream.outputMode("append").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {x["observation_id"]: x["track_id"] for x in fusion.associate(spark.createDataFrame(rows, schema), 12.0, 2).collect()}
+    assert {x["observation_id"]: x["track_id"] for x in seen} == want
