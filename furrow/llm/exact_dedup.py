@@ -6,7 +6,8 @@ Pass 2 probes the filter. A row whose two bits aren't both set has a text that n
 result. The others, true repeats and the filter's false alarms, are grouped exactly by their SHA-256.
 
 The filter is broadcast in parts of up to ``max_bits`` for each hash (2 x 16 MB by default). A larger one is cut into ranges of
-slots and probed range by range, each row once, so its share of false alarms is the same at any size.
+slots and probed range by range, so its share of false alarms is the same at any size; each row is probed once, and the table is read
+once for each range (16 MB of bits hold the repeats of about 8 million different texts).
 """
 
 from __future__ import annotations

@@ -25,6 +25,21 @@ def shipped(spark):
     ship(spark)
 
 
+def test_texts_over_a_megabyte(spark):
+    """Longer than every block and group of texts."""
+    big = " ".join(f"{w}x{k}" for k in range(4) for w in LONG.split(" "))
+    assert len(big) > 1 << 20
+    rows = [(1, big), (2, big + " end"), (3, "x"), (4, "token = abcdefgh " + big)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, 3, 85).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()} == {i: n for i, (_, n, _) in removed(rows).items()}
+    m, _ = made_model()
+    x = np.vstack([mil.features([b])[0] for b in mil.blocks_of(big.encode())])
+    assert m.scores([t.encode() for _, t in rows])[0] == pytest.approx(plain_score(m, x), rel=1e-3)
+    assert {r["doc_id"]: r["n_assign"] for r in secrets.secret_scan(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
 def test_stage_tables_are_dropped(spark):
     from furrow.llm import common
 
