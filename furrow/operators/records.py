@@ -175,3 +175,19 @@ def plant_blocks(points: DataFrame, by: list[str], radius: int, least: int) -> D
     plants = pixel.join(labels, [*by, "px", "py"]).groupBy(*by, *root).agg(F.count(F.lit(1)).alias("plants")).where(F.col("plants") >= least)
     place = F.row_number().over(W.partitionBy(*by).orderBy("y", "x", *root))
     return shape.join(plants, [*by, *root]).withColumn("block", place).select(*by, "block", "plants", "cells", "x", "y")
+
+
+def bounded_queue(df: DataFrame, group: list[str], order: list[Column], at: str, service: float, capacity: int) -> DataFrame:
+    """Add ``written`` and ``done``: rows that a writer with a queue of ``capacity`` takes, each ``service`` long, one after another, and when it has written them.
+
+    A row that finds the queue full (the one being written counts) is dropped; so is one without a time.
+    """
+
+    def step(state, t):
+        waiting = [x for x in state or () if t is None or x > t]
+        if t is None or len(waiting) >= capacity:
+            return waiting, (False, None)
+        done = max([t, *waiting]) + service
+        return [*waiting, done], (True, done)
+
+    return folds.carried(df, group, order, [at], step, "written boolean, done double")

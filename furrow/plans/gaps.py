@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import gates
-from furrow.operators import fusion, rows, selection, spatial
+from furrow.operators import fusion, records, rows, selection, spatial
 from furrow.plans.base import PLANTS, POINTS, query
 from furrow.plans.statistics import ROUND
 
@@ -101,6 +101,15 @@ def evidence_selection(pl: DataFrame) -> DataFrame:
     return selection.evidence(g.select("gap_id", "estimated_missing_plants", "gap_confidence", "evidence_status"))
 
 
+@query(
+    f"""WITH {_RICH} SELECT plot_id || '_' || row_id || '_' || start_slot AS gap_id, estimated_missing_plants, gap_confidence FROM gs ORDER BY estimated_missing_plants DESC, gap_confidence DESC, gap_id LIMIT 25""", pl=PLANTS
+)
+def labelled_gaps(pl: DataFrame) -> DataFrame:
+    """The 25 gaps that a map labels: a report, so limited by purpose."""
+    g = _gaps(pl).withColumn("gap_id", F.concat_ws("_", F.col("plot_id").cast("string"), F.col("row_id").cast("string"), F.col("start_slot").cast("string")))
+    return records.largest_gaps(g.select("gap_id", "estimated_missing_plants", "gap_confidence"))
+
+
 @query(
     f"""WITH {_RICH}, rj AS (SELECT plot_id, plot_id || '_' || row_id || '_' || slot_index AS candidate_id, CASE WHEN across < 120 THEN 'polygon_boundary_exclusion_buffer' WHEN coverage_count < 3 THEN 'insufficient_visibility_opportunity' END AS rejection_reason, round(across / 60, 6) AS boundary_fraction FROM rich),
 o AS (SELECT *, row_number() OVER (PARTITION BY rejection_reason, plot_id ORDER BY boundary_fraction, candidate_id) AS n FROM rj WHERE rejection_reason IS NOT NULL)

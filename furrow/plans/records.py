@@ -80,6 +80,19 @@ def session_summaries(e: DataFrame) -> DataFrame:
     return records.session_summary(sized, ["user_id"], "size", "event_id", 1000, 1)
 
 
+@query(
+    """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS r FROM e),
+s AS (SELECT user_id, event_id, r, true AS written, [t + 400] AS q FROM r WHERE r = 1
+  UNION ALL SELECT user_id, event_id, r, len(w) < 2, CASE WHEN len(w) < 2 THEN list_append(w, greatest(t, coalesce(list_max(w), t)) + 400) ELSE w END FROM (
+    SELECT x.*, list_filter(s.q, lambda v: v > x.t) AS w FROM s JOIN r x ON x.user_id = s.user_id AND x.r = s.r + 1))
+SELECT user_id, event_id, written, CASE WHEN written THEN round(q[-1], 6) END AS done FROM s""",
+    e=CLOCK,
+)
+def bounded_writer_queue(e: DataFrame) -> DataFrame:
+    """A writer that needs 400 s for each event and holds two; what comes on top is dropped."""
+    return records.bounded_queue(e, ["user_id"], [F.col("t"), F.col("event_id")], "t", 400.0, 2).select("user_id", "event_id", "written", F.round("done", 6).alias("done"))
+
+
 @query("SELECT user_id, t, round(silence, 6) AS silence FROM (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS silence FROM e) WHERE silence > 120", e=CLOCK)
 def heartbeat_silences(e: DataFrame) -> DataFrame:
     return ROUND(records.silences(e, ["user_id"], "t", 120.0), "silence")

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from furrow.operators.fusion import Tracker
@@ -183,3 +184,23 @@ def session_logs(folder: str, tables: dict[str, Callable[[DataFrame], DataFrame]
         batch.unpersist()
 
     return write
+
+
+class StatusListener(StreamingQueryListener):
+    """Hands a small status document to ``put`` at each step of each query: its state, batch, rows and rate, or why it ended."""
+
+    def __init__(self, put: Callable[[dict], None]) -> None:
+        self.put = put
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.put({"query": str(event.name or event.id), "state": "STARTING"})
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.put({"query": str(p.name or p.id), "state": "RUNNING", "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "at": p.timestamp})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.put({"query": str(event.id), "state": "RUNNING", "rows": 0, "at": event.timestamp})
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.put({"query": str(event.id), "state": "ERROR" if event.exception else "IDLE", "reason": event.exception})

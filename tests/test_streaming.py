@@ -111,3 +111,26 @@ def test_association_over_micro_batches_equals_the_batch(spark, tmp_path):
     q.awaitTermination()
     want = {x["observation_id"]: x["track_id"] for x in fusion.associate(spark.createDataFrame(rows, schema), 12.0, 2).collect()}
     assert {x["observation_id"]: x["track_id"] for x in seen} == want
+
+
+def test_status_documents(spark, tmp_path):
+    import json
+    import time
+
+    from furrow.sinks import files
+
+    told = []
+    listener = stateful.StatusListener(lambda d: (told.append(d), files.write_json(d, str(tmp_path / "status.json"))))
+    spark.streams.addListener(listener)
+    try:
+        spark.range(7).write.parquet(f"file://{tmp_path}/in")
+        q = spark.readStream.schema("id long").parquet(f"file://{tmp_path}/in").writeStream.queryName("seven").foreachBatch(lambda b, _: b.count()).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(50):
+            if told and told[-1]["state"] == "IDLE":
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[0] == {"query": "seven", "state": "STARTING"} and any(d.get("rows") == 7 and d["state"] == "RUNNING" for d in told)
+    assert json.loads((tmp_path / "status.json").read_text())["state"] == "IDLE"
