@@ -123,3 +123,35 @@ SELECT c.conv_id, c.turn, c.role, k.reply_to, coalesce(top.thread, c.turn) AS th
   array_to_string(list_filter(x, lambda y: NOT regexp_matches(y, '^(?:[ \t]*>)+')), chr(10)) AS own_text
 FROM c LEFT JOIN link k USING (conv_id, turn) LEFT JOIN top USING (conv_id, turn) LEFT JOIN listed USING (conv_id, turn) LEFT JOIN many USING (conv_id, turn)
 """
+
+
+OP12 = r"""
+WITH RECURSIVE t AS (SELECT d.doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents d),
+f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), min(doc_id) OVER (PARTITION BY t) IS NOT NULL)] AS fails FROM t),
+marked AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f
+  LEFT JOIN (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+orders AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+steps AS (SELECT filter_order, step, [instr('ABCDE', x) FOR x IN string_split(filter_order[1:step - 1], '') IF x <> ''] AS earlier, instr('ABCDE', filter_order[step]) AS no
+  FROM orders, range(1, 6) r(step) WHERE length(filter_order) = 5),
+one AS (SELECT part, filter_order, step, no, fails[no] AS fail, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS n, good, toxic FROM marked, steps),
+counted AS (SELECT part, filter_order, step, no, count(*) FILTER (NOT gone AND NOT fail) AS kept, count(*) FILTER (NOT gone AND fail) AS removed, count(*) FILTER (gone AND fail) AS redundant,
+  count(*) FILTER (fail AND n = 1) AS unique_fails, count(*) FILTER (NOT gone AND fail AND good) AS good_lost, count(*) FILTER (NOT gone AND fail AND toxic) AS toxic_lost FROM one GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, no)::BIGINT AS shapley FROM counted
+"""
+
+
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) r(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS x FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, u.f AS l, v.f AS r, j, ((2000000::HUGEINT * c.a) // (u.f + v.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f u ON u.lang = c.lang AND u.phrase = array_to_string(x[1:j], ' ') JOIN f v ON v.lang = c.lang AND v.phrase = array_to_string(x[j + 1:], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts) WHERE o = 1),
+inside AS (SELECT lang, array_to_string(x[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, a, x, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) s(m) WHERE m < k) GROUP BY ALL),
+left_over AS (SELECT b.* FROM best b LEFT JOIN inside i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 80 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over) JOIN total USING (lang) WHERE rank <= 2000
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, exact_dedup, mil, near_dup, oracles, packing, quality_rules, quotes, secrets, substring_dedup, token_counts
+from furrow.llm import bpe, collocations, exact_dedup, filter_audit, mil, near_dup, oracles, packing, quality_rules, quotes, secrets, substring_dedup, token_counts
 from furrow.llm.common import documents
 
 
@@ -52,12 +52,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_secret_scan, op3_token_counts, op4_minhash_near_dup, op5_quotation_linking,
         op6_best_fit_packing, op7_quality_rules, op8_bpe_round_trip, op9_exact_dedup, op10_quality_classifier,
+        op12_filter_audit, op13_collocations,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.OP1, "op2_secret_scan": oracles.op2(), "op4_minhash_near_dup": oracles.OP4, "op5_quotation_linking": oracles.OP5, "op7_quality_rules": oracles.op7(), "op9_exact_dedup": oracles.OP9}
+    return {"op1_substring_dedup": oracles.OP1, "op2_secret_scan": oracles.op2(), "op4_minhash_near_dup": oracles.OP4, "op5_quotation_linking": oracles.OP5, "op7_quality_rules": oracles.op7(), "op9_exact_dedup": oracles.OP9,
+        "op12_filter_audit": oracles.OP12, "op13_collocations": oracles.OP13,
+    }
