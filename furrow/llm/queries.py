@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, collocations, exact_dedup, filter_audit, mil, near_dup, oracles, packing, quality_rules, quotes, secrets, substring_dedup, token_counts
+from furrow.llm import bpe, collocations, exact_dedup, filter_audit, mil, near_dup, oracles, packing, pii, quality_rules, quotes, secrets, substring_dedup, token_counts
 from furrow.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -64,7 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_secret_scan, op3_token_counts, op4_minhash_near_dup, op5_quotation_linking,
         op6_best_fit_packing, op7_quality_rules, op8_bpe_round_trip, op9_exact_dedup, op10_quality_classifier,
-        op12_filter_audit, op13_collocations,
+        op11_personal_data, op12_filter_audit, op13_collocations,
     )}
 
 
