@@ -149,12 +149,13 @@ def _key(kind: Kind, number: int, m: Column, left: Column, right: Column) -> Col
     never = (F.lit(False), F.lit(False))
     cue, other = left.rlike(rf"(?i)\b(?:{kind.cues})\b"), left.rlike(_NO)
     inline = left.rlike(r"[\p{L}\p{N},]\x20\z") | left.rlike(r"[:=(<\[\"]\x20?\z")
+    within = left.rlike(r"[\p{L}\p{N}_/@.]\z") | right.rlike(r"^[\p{L}\p{N}_/@]")
     votes = [
         yes_no(m.rlike(kind.strict)),
         yes_no(kind.test(m)) if kind.test else never,
         yes_no(kind.listed(m)) if kind.listed else never,
         (cue, other & ~cue),
-        (inline, left.rlike(r"[\p{L}\p{N}_/@.]\z") | right.rlike(r"^[\p{L}\p{N}_/@]")),
+        (inline & ~within, within),
     ]
     shape = [F.length(m) > 14, F.length(_digits(m)) * 2 >= F.length(m), m.rlike(r"[\x20./-]"), right.rlike(r"^(?:[\x20\n]|[.,;)]|\z)"), left.rlike(r"(?:^|\n)[\x20\t]*\z")]
     bits = [v[0] for v in votes] + [v[1] for v in votes] + shape

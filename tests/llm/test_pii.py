@@ -73,7 +73,8 @@ def candidates(t: str) -> list[tuple[int, int, int, int]]:
             says = lambda f: (False, False) if f is None else (f(m[0]), not f(m[0]))  # noqa: E731, B023
             cue, other = bool(regex.search(rf"(?i)\b(?:{kind.cues})\b", left)), bool(regex.search(pii._NO, left))
             inline = bool(regex.search(r"[\p{L}\p{N},]\x20\z", left) or regex.search(r"[:=(<\[\"]\x20?\z", left))
-            votes = [says(lambda m, k=kind: bool(regex.search(k.strict, m))), says(TESTS.get(kind.name)), says(LISTED.get(kind.name)), (cue, other and not cue), (inline, bool(regex.search(r"[\p{L}\p{N}_/@.]\z", left) or regex.search(r"^[\p{L}\p{N}_/@]", right)))]
+            within = bool(regex.search(r"[\p{L}\p{N}_/@.]\z", left) or regex.search(r"^[\p{L}\p{N}_/@]", right))
+            votes = [says(lambda m, k=kind: bool(regex.search(k.strict, m))), says(TESTS.get(kind.name)), says(LISTED.get(kind.name)), (cue, other and not cue), (inline and not within, within)]
             shape = [len(m[0]) > 14, len(digits(m[0])) * 2 >= len(m[0]), bool(re.search(r"[\x20./-]", m[0])), bool(re.match(r"[\x20\n]|[.,;)]|\Z", right)), bool(re.search(r"(?:^|\n)[\x20\t]*\Z", left))]
             bits = [v[0] for v in votes] + [v[1] for v in votes] + shape
             out.append((no, m.start(), m.end(), (no << 15) + sum(b << k for k, b in enumerate(bits))))
