@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,39 @@ def to_utm(lat: Column, lon: Column) -> tuple[Column, Column]:
     return east, F.when(lat < 0, north + 10_000_000).otherwise(north)
 
 
+def from_utm(east: Column, north: Column, zone: Column, south: Column | None = None) -> tuple[Column, Column]:
+    """Latitude and longitude of an easting and northing, by the footpoint latitude's series; to well under a millimetre inside of a zone."""
+    e2 = WGS84_F * (2 - WGS84_F)
+    ep2, root = e2 / (1 - e2), math.sqrt(1 - e2)
+    e1 = (1 - root) / (1 + root)
+    held = north if south is None else F.when(south, north - 10_000_000).otherwise(north)
+    mu = held / UTM_K0 / (WGS84_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    foot = (
+        mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
+        + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    )
+    sine2 = F.pow(F.sin(foot), 2)
+    n, r = WGS84_A / F.sqrt(1 - e2 * sine2), WGS84_A * (1 - e2) / F.pow(1 - e2 * sine2, 1.5)
+    t, c, d = F.pow(F.tan(foot), 2), ep2 * F.pow(F.cos(foot), 2), (east - 500_000) / (n * UTM_K0)
+    lat = foot - n * F.tan(foot) / r * (
+        d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720
+    )
+    lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(foot)
+    return F.degrees(lat), (zone - 1) * 6 - 177 + F.degrees(lon)
+
+
+def affine_metrics(m: list[Column]) -> dict[str, Column]:
+    """Determinant, scale, rotation in degrees and shift of a row-major 3x3 affine transform."""
+    det = m[0] * m[4] - m[1] * m[3]
+    return {"determinant": det, "scale": F.sqrt(F.abs(det)), "rotation_deg": F.degrees(F.atan2(m[3], m[0])), "translation_x": m[2], "translation_y": m[5]}
+
+
+def rescaled(m: list[Column], sx: float, sy: float) -> list[Column]:
+    """A row-major 3x3 transform of previews, which are sx and sy times as large as the images, for the images themselves."""
+    s = (float(sx), float(sy), 1.0)
+    return [m[3 * i + j] * (s[j] / s[i]) for i in range(3) for j in range(3)]
+
+
 def shoelace(xs: Column, ys: Column) -> Column:
     """Signed area of a ring given as two arrays, closed or not."""
     n = F.size(xs)

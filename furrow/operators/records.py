@@ -19,12 +19,18 @@ def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: s
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     text = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
 
-    def once(df: DataFrame, side: str) -> DataFrame:
+    def once(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        """Rows with a key, checked, and those without one, which would be one window."""
         n = F.count(F.lit(1)).over(W.partitionBy(*keys))
         fail = F.raise_error(F.concat(F.lit(f"key repeated on the {side}: "), text)).cast("boolean")
-        return df.withColumn("_n", n).where(F.when(known & (F.col("_n") > 1), fail).otherwise(True)).drop("_n")
-
-    return once(left, "left").join(once(right, "right"), keys, how)
+        return df.where(known).withColumn("_n", n).where(F.when(F.col("_n") > 1, fail).otherwise(True)).drop("_n"), df.where(~known)
+
+    (l, l_rest), (r, r_rest) = once(left, "left"), once(right, "right")
+    joined = l.join(r, keys, how)
+    for side, rest in (("left", l_rest), ("right", r_rest)):
+        if how in (side, f"{side}_outer", f"{side}outer", "full", "outer", "full_outer", "fullouter"):
+            joined = joined.unionByName(rest, allowMissingColumns=True)
+    return joined
 
 
 def shards_in_order(shards: list[DataFrame], order: list[str]) -> DataFrame:

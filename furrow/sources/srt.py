@@ -116,7 +116,7 @@ def blocks_of(text: Column) -> Column:
 def parse_blocks(texts: DataFrame, text: str = "value") -> DataFrame:
     """Whole subtitle texts to one row for each block with a valid timing: index, start/end seconds, fields, extras, raw_text.
 
-    Of a field named twice the later value counts; unknown keys go to ``extras``. Blocks without a valid timing line give no row; ``report`` counts them.
+    Of a field named twice the later value counts; unknown keys go to ``extras``, and so does, as ``unparsed_date_time``, a date that no calendar has. Blocks without a valid timing line give no row; ``report`` counts them.
     """
     own = [c for c in texts.columns if c != text]
     b = texts.select(*own, F.explode(blocks_of(F.col(text))).alias("_b"))
@@ -125,7 +125,8 @@ def parse_blocks(texts: DataFrame, text: str = "value") -> DataFrame:
     plain = strip_tags(F.col("raw_text"))
     alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
     known = lambda p: F.struct(alias[p["key"]].alias("field"), p["key"].alias("key"), p["value"].alias("value"), first_number(p["value"]).alias("number"))
-    b = b.where(F.col("_t").rlike(TIMING)).withColumn("_pairs", F.transform(key_values(plain), known)).withColumn("date_time", F.nullif(F.regexp_extract(plain, DATE, 0), F.lit("")))
+    b = b.where(F.col("_t").rlike(TIMING)).withColumn("_pairs", F.transform(key_values(plain), known)).withColumn("_date", F.nullif(F.regexp_extract(plain, DATE, 0), F.lit("")))
+    is_date = F.col("_date").try_cast("timestamp_ntz").isNotNull()
 
     def field(name: str) -> Column:
         good = F.filter("_pairs", lambda p: (p["field"] == name) if name in TEXT_FIELDS else (p["field"] == name) & p["number"].isNotNull())
@@ -134,10 +135,12 @@ def parse_blocks(texts: DataFrame, text: str = "value") -> DataFrame:
 
     other = F.filter("_pairs", lambda p: p["field"].isNull())
     final = F.filter(other, lambda p, i: ~F.exists(F.slice(other, i + 2, F.size(other)), lambda q: q["key"] == p["key"]))
+    entries = F.transform(final, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
+    odd = F.filter(F.array(F.struct(F.lit("unparsed_date_time").alias("key"), F.col("_date").alias("value"))), lambda e: e["value"].isNotNull() & ~is_date & ~F.exists(entries, lambda p: p["key"] == e["key"]))
     return b.select(
         *own, "srt_index", clock_seconds(F.regexp_extract("_t", TIMING, 1)).alias("start_seconds"),
-        clock_seconds(F.regexp_extract("_t", TIMING, 2)).alias("end_seconds"), "raw_text", "date_time", *[field(f) for f in FIELDS],
-        F.map_from_entries(F.transform(final, lambda p: F.struct(p["key"], p["value"]))).alias("extras"),
+        clock_seconds(F.regexp_extract("_t", TIMING, 2)).alias("end_seconds"), "raw_text", F.when(is_date, F.col("_date")).alias("date_time"), *[field(f) for f in FIELDS],
+        F.map_from_entries(F.concat(odd, entries)).alias("extras"),
     )
 
 
@@ -150,11 +153,20 @@ def report(texts: DataFrame, text: str = "value") -> DataFrame:
     return all_.join(found, own, "left").fillna(0, counts).withColumn("skipped", F.col("blocks") - F.col("parsed"))
 
 
+#: The characters of Windows-1252 that stand where Latin-1 has control characters; a few places are empty.
+_WINDOWS = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+_EMPTY = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in _WINDOWS)
+
+
+def _western(latin: Column) -> Column:
+    return F.when(latin.rlike(f"[{_EMPTY}]"), latin).otherwise(F.translate(latin, "".join(_WINDOWS), "".join(_WINDOWS.values())))
+
+
 def decoded(content: Column) -> Column:
-    """Bytes to text: by the byte order mark, else UTF-8 if valid, else Latin-1. The mark is dropped."""
+    """Bytes to text: by the byte order mark, else UTF-8 if valid, else Windows-1252, and Latin-1 if some byte has no meaning there. The mark is dropped."""
     head = lambda n: F.hex(F.substring(content, 1, n))
     utf8 = F.try_validate_utf8(content)
-    text = F.when(head(2) == "FFFE", F.decode(content, "UTF-16LE")).when(head(2) == "FEFF", F.decode(content, "UTF-16BE")).when(utf8.isNotNull(), utf8).otherwise(F.decode(content, "ISO-8859-1"))
+    text = F.when(head(2) == "FFFE", F.decode(content, "UTF-16LE")).when(head(2) == "FEFF", F.decode(content, "UTF-16BE")).when(utf8.isNotNull(), utf8).otherwise(_western(F.decode(content, "ISO-8859-1")))
     return F.regexp_replace(text, "^\ufeff", "")
 
 

@@ -5,6 +5,7 @@ Each has a batch twin in ``furrow.operators``; the transition functions are pure
 
 from __future__ import annotations
 
+import bisect
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -30,17 +31,18 @@ def admitted(frames: DataFrame, started: str, captured: str, session: str, seque
 
 
 def rate_limited(frames: DataFrame, by: str, at: str, least: float) -> DataFrame:
-    """Frames that lie ``least`` or more behind the last accepted one of their group; state is one number for each group."""
+    """Frames that lie ``least`` or more behind the last accepted one of their group; state is one number for each group, none before the first. Frames without a time are left out."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = pd.concat([*batches]).sort_values(at, kind="stable")
         take = []
-        for t in rows[at]:
-            ok = last is None or t - last >= least
+        for t in rows[at].astype("float64"):
+            ok = t == t and (last is None or t - last >= least)
             take.append(ok)
             last = t if ok else last
-        state.update((float(last),))
+        if last is not None:
+            state.update((float(last),))
         yield rows[take]
 
     return frames.groupBy(by).applyInPandasWithState(step, _schema(frames), "last double", "append", GroupStateTimeout.NoTimeout)
@@ -120,27 +122,41 @@ def tracked(observations: DataFrame, by: str, radius: float, max_gap: int, neigh
     return observations.groupBy(by).applyInPandasWithState(step, _schema(observations, ", track_id long"), "place long, tracker binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def with_latest(frames: DataFrame, readings: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """Frames (by, at, ...) with ``latest``, the last reading of their session up to their time; null before the first.
+def with_latest(frames: DataFrame, readings: DataFrame, by: str, at: str, value: str, delay: str = "0 seconds") -> DataFrame:
+    """Frames (by, at in seconds, ...) with ``latest``, the last reading of their session up to their time; null before the first.
 
-    Both streams go through one operator whose state is the last reading; inside a micro-batch rows are taken by time, readings first.
+    Both streams go through one operator in event time. State holds a session's readings, in order, and the frames that wait: a frame is given out
+    once the watermark (``delay`` behind the newest row of any session) has passed it, with the reading that is then known to be its last, in whatever order rows and
+    micro-batches came. Of readings at one time the one with the larger value counts. Older readings than the last one before the watermark are forgotten. Rows that come later than
+    ``delay`` are dropped, and so are rows without a time; a null reading is none.
     """
     none = F.lit(None).cast("double")
     both = frames.withColumn("_reading", none).withColumn("_frame", F.lit(True)).unionByName(
         readings.select(by, at, F.col(value).cast("double").alias("_reading"), F.lit(False).alias("_frame")), allowMissingColumns=True
     )
+    timed = both.withColumn("_time", F.timestamp_millis(F.floor(F.col(at) * 1000).cast("long"))).where("_time is not null").withWatermark("_time", delay)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat([*batches]).sort_values([at, "_frame"], kind="stable").reset_index(drop=True)
-        latest = []
-        for reading, frame in zip(rows["_reading"], rows["_frame"], strict=True):
-            last = last if frame or reading != reading else float(reading)
-            latest.append(last)
-        state.update((last,))
-        yield rows.assign(latest=pd.array(latest, "Float64").astype("float64"))[rows["_frame"]].drop(columns=["_reading", "_frame"])
-
-    return both.groupBy(by).applyInPandasWithState(step, _schema(frames, ", latest double"), "last double", "append", GroupStateTimeout.NoTimeout)
+        known, waiting = pickle.loads(state.get[0]) if state.exists else ([], None)
+        if not state.hasTimedOut:
+            rows = pd.concat([*batches]).drop(columns=["_time"])
+            new = rows[~rows["_frame"].astype(bool) & rows["_reading"].notna()]
+            known = sorted({*known, *zip(new[at].astype(float).tolist(), new["_reading"].tolist(), strict=True)})
+            came = rows[rows["_frame"].astype(bool)].drop(columns=["_reading", "_frame"])
+            waiting = came if waiting is None else pd.concat([waiting, came])
+        passed = state.getCurrentWatermarkMs()
+        done = np.floor(waiting[at].astype(float) * 1000) <= passed if len(waiting) else np.zeros(0, bool)
+        ready, waiting = waiting[done], waiting[~done]
+        times = [t for t, _ in known]
+        latest = [known[k - 1][1] if (k := bisect.bisect_right(times, t)) else None for t in ready[at].astype(float)]
+        known = known[max(bisect.bisect_right(times, passed / 1000) - 1, 0) :]
+        state.update((pickle.dumps((known, waiting)),))
+        if len(waiting):
+            first = int(np.floor(waiting[at].astype(float).min() * 1000))
+            state.setTimeoutTimestamp(max(first - 1, passed + 1))
+        yield ready.assign(latest=pd.array(latest, "Float64").astype("float64"))
+
+    return timed.groupBy(by).applyInPandasWithState(step, _schema(frames, ", latest double"), "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def closed_sessions(events: DataFrame, by: str, order: str, on: str) -> DataFrame:
