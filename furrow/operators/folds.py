@@ -41,6 +41,18 @@ def suppress_close_centers(detections: DataFrame, radius: float = 8.0) -> DataFr
     return greedy_keep(detections, ["frame_index", "class_id"], order, lambda k, x: center_distance(k, x) <= radius)
 
 
+def overlapping_pairs(detections: DataFrame, least: float) -> DataFrame:
+    """(frame_index, class_id, a, b, iou): pairs of boxes of one class in one frame that overlap by ``least`` or more, the smaller detection_id first.
+
+    A frame's boxes are one array, as the sensor bounds them; its pairs are made inside of the row, so boxes shuffle once and pairs don't.
+    """
+    held = detections.groupBy("frame_index", "class_id").agg(F.sort_array(F.collect_list(F.struct("detection_id", "x1", "y1", "x2", "y2"))).alias("_rows"))
+    pair = lambda p, q: F.struct(p["detection_id"].alias("a"), q["detection_id"].alias("b"), iou(p, q).alias("iou"))
+    later = lambda i: F.slice("_rows", i + 2, F.size("_rows"))
+    pairs = F.flatten(F.transform("_rows", lambda p, i: F.filter(F.transform(later(i), lambda q: pair(p, q)), lambda s: s["iou"] >= least)))
+    return held.select("frame_index", "class_id", F.explode(pairs).alias("_p")).select("frame_index", "class_id", "_p.*")
+
+
 def merged_counts(detections: DataFrame, threshold: float, radius: float) -> DataFrame:
     """(frame_index, class_id, raw, after_nms, after_center): boxes before and after both suppressions, each frame's array folded once."""
     box = F.struct((-F.col("confidence")).alias("_k"), "x1", "y1", "detection_id", "x2", "y2")

@@ -76,14 +76,17 @@ def pilot_top62(d: DataFrame) -> DataFrame:
     return ranked(d, ["frame_index"], [F.desc("confidence"), F.col("detection_id")], 62, "position").select("frame_index", "confidence", "detection_id", F.col("position").cast("long").alias("position"))
 
 
-@query(f"WITH m AS MATERIALIZED (SELECT * FROM d) SELECT frame_index, a, b, round(iou, 9) AS iou FROM (SELECT x.frame_index, x.detection_id AS a, k.detection_id AS b, {_IOU} AS iou FROM m x JOIN m k ON x.frame_index = k.frame_index AND x.class_id = k.class_id AND x.detection_id < k.detection_id) WHERE iou >= 0.5", d=DETECTIONS)
+_PAIR_IOU = _IOU.replace("k.", "p[j].").replace("x.", "p[i].")
+
+
+@query(
+    f"""WITH f AS (SELECT frame_index, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'detection_id': detection_id}} ORDER BY detection_id) AS p FROM d GROUP BY frame_index, class_id),
+k AS (SELECT frame_index, p, i, unnest(range(i + 1, len(p) + 1)) AS j FROM (SELECT frame_index, p, unnest(range(1, len(p) + 1)) AS i FROM f))
+SELECT frame_index, a, b, round(iou, 9) AS iou FROM (SELECT frame_index, p[i].detection_id AS a, p[j].detection_id AS b, {_PAIR_IOU} AS iou FROM k) WHERE iou >= 0.5""",
+    d=DETECTIONS,
+)
 def box_iou_pairs(d: DataFrame) -> DataFrame:
-    """Overlapping pairs of one class in one frame: both sides of the pair come from the same bounded frame."""
-    s = F.struct("x1", "y1", "x2", "y2")
-    a = d.select("frame_index", "class_id", F.col("detection_id").alias("a"), s.alias("p"))
-    b = d.select("frame_index", "class_id", F.col("detection_id").alias("b"), s.alias("q"))
-    pairs = a.join(b, ["frame_index", "class_id"]).where("a < b").withColumn("iou", boxes.iou(F.col("p"), F.col("q")))
-    return pairs.where("iou >= 0.5").select("frame_index", "a", "b", F.round("iou", 9).alias("iou"))
+    return folds.overlapping_pairs(d, 0.5).select("frame_index", "a", "b", F.round("iou", 9).alias("iou"))
 
 
 @query(
