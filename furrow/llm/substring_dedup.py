@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from furrow.llm.common import released, text_of
+from furrow.llm.common import released, stage_table, text_of
 from furrow.llm.windows import OVER_WORDS_2, groups, inside, windows, word_hashes
 
-_LEAST = -(2**63)
 _ROW = "key long, did long, at long"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -239,16 +238,33 @@ def repeated_ranges(texts: DataFrame, dealt: DataFrame, length: int = 20, lowest
     return marked.groupBy("did").agg(F.collect_list(span).alias("ranges"))
 
 
+def _documents(texts: DataFrame, n: int) -> DataFrame:
+    """Add ``did``, which orders documents as doc_id does and differs between different texts.
+
+    That is doc_id itself, unless some rows have none or share one without sharing the text, which a pass over ids and hashes tells. Then documents
+    are numbered in the order of (doc_id, digest), in ranges, and the texts take their numbers by a join.
+    """
+    print_ = F.xxhash64("text")
+    if texts.groupBy("doc_id").agg(F.min(print_).alias("a"), F.max(print_).alias("b")).where("doc_id is null or a <> b").isEmpty():
+        return texts.select(F.col("doc_id").alias("did"), "doc_id", "text")
+    digest = F.unhex(F.sha2("text", 256))
+    order = [F.col("_id").asc_nulls_first(), F.col("_digest")]
+    numbers = texts.select(F.col("doc_id").alias("_id"), digest.alias("_digest")).distinct().repartitionByRange(n, *order).sortWithinPartitions(*order)
+    numbers = stage_table(numbers.withColumn("did", F.monotonically_increasing_id()), "numbers")
+    held = texts.withColumn("_own", digest)
+    held = held.join(numbers, held["doc_id"].eqNullSafe(numbers["_id"]) & (held["_own"] == numbers["_digest"]))
+    return stage_table(held.select("did", "doc_id", "text"), "numbered")
+
+
 def substring_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
 
-    A null text has no words. A null doc_id counts as the smallest. Rows that repeat doc_id and text are one
-    document and get equal results; rows that repeat only doc_id are taken as one document whose marks are joined.
+    A null text has no words. A document is a doc_id and a text: rows that repeat both get equal results; of rows that share only the doc_id, and of
+    those without one, which count as the smallest, each text is a document of its own, in the order of their digests. An empty table gives no rows; other columns are left out.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    did = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
-    texts = docs.select(did.alias("did"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    texts = _documents(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), n)
     dealt = texts.repartition(n, "did")
     ranges = repeated_ranges(texts, dealt, length)
     held = dealt.join(ranges.hint("shuffle_hash"), "did", "left").select("did", "doc_id", "text", "ranges")

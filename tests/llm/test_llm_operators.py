@@ -111,11 +111,29 @@ def test_substring_dedup_odd_rows(odd, empty):
         by[r["doc_id"]].append(r)
     assert by[4][0]["n_words"] == 0 and by[4][0]["kept_sha256"] == sha("")
     assert len({tuple(r) for r in by[2]}) == 1 and by[2][0]["n_removed"] == 60  # the null id is the smallest
+    assert sorted((r["n_words"], r["n_removed"]) for r in by[None]) == [(0, 0), (60, 0)]
     assert (by[12][0]["n_words"], by[12][0]["n_removed"]) == (26, 25)
     assert by[7][0]["n_removed"] >= 60_000 - 977 - 20
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_of_null_and_repeated_ids(spark):
+    """Each text is a document: what nothing repeats stays, whoever shares its id."""
+    r = random.Random(12)
+    own = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    shared = own(25)
+    texts = {None: [own(30), [*own(5), *shared, *own(5)], [*shared, *own(9)]], 7: [own(40), [*own(3), *shared], [*own(40)]], 8: [[*shared, *own(30)]]}
+    rows = [(i, " ".join(w)) for i, group in texts.items() for w in group]
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256(x[1].encode()).digest()))
+    want = removed(list(enumerate(t for _, t in order)))
+    twice = [*rows, rows[1], rows[4]]
+    for parts in (1, 5):
+        got = substring_dedup.substring_dedup(spark.createDataFrame(twice, "doc_id long, text string").repartition(parts)).collect()
+        known = Counter((order[k][0], *v) for k, v in want.items()) + Counter((order[k][0], *want[k]) for k in (order.index(rows[1]), order.index(rows[4])))
+        assert Counter(tuple(x) for x in got) == known
+        assert sum(x["n_removed"] for x in got if x["doc_id"] is None and x["n_words"] == 30) == 0
+
+
 # op2
 
 
