@@ -246,14 +246,15 @@ def _documents(texts: DataFrame, n: int) -> DataFrame:
     """
     print_ = F.xxhash64("text")
     if texts.groupBy("doc_id").agg(F.min(print_).alias("a"), F.max(print_).alias("b")).where("doc_id is null or a <> b").isEmpty():
-        return texts.select(F.col("doc_id").alias("did"), "doc_id", "text")
+        # not null, so that no join filters its side by it and all joins read one exchange of the texts
+        return texts.select(F.coalesce("doc_id", F.lit(0)).alias("did"), "doc_id", "text")
     digest = F.unhex(F.sha2("text", 256))
     order = [F.col("_id").asc_nulls_first(), F.col("_digest")]
     numbers = texts.select(F.col("doc_id").alias("_id"), digest.alias("_digest")).distinct().repartitionByRange(n, *order).sortWithinPartitions(*order)
     numbers = stage_table(numbers.withColumn("did", F.monotonically_increasing_id()), "numbers")
     held = texts.withColumn("_own", digest)
     held = held.join(numbers, held["doc_id"].eqNullSafe(numbers["_id"]) & (held["_own"] == numbers["_digest"]))
-    return stage_table(held.select("did", "doc_id", "text"), "numbered")
+    return stage_table(held.select("did", "doc_id", "text"), "numbered").withColumn("did", F.coalesce("did", F.lit(0)))
 
 
 def substring_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
