@@ -26,7 +26,7 @@ def _distance() -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def with_cells(df: DataFrame, size: float, x: str = "x", y: str = "y", ring: int = 0) -> DataFrame:
+def with_cells(df: DataFrame, size: float | Column, x: str = "x", y: str = "y", ring: int = 0) -> DataFrame:
     """Add the cell (gx, gy); with ``ring``, one row for each cell up to ``ring`` away."""
     gx, gy = F.floor(F.col(x) / size), F.floor(F.col(y) / size)
     if not ring:
@@ -53,13 +53,28 @@ def radius_pairs(points: DataFrame, radius: float, by: list[str] | None = None)
     return radius_join(points, points, radius, by).where("id < other_id")
 
 
+def _by_density(points: DataFrame, extent: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """Add ``_cell`` to the groups' extents: the side of a cell that would hold k points if they lay evenly, divided by the least power of four (up to 4**5) that leaves no
+    more than 8 k points in the fullest cell; of powers that leave as many the least. Points are counted in each task for all powers at once."""
+    wide, high = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    area = F.when((wide > 0) & (high > 0), wide * high).otherwise(F.pow(F.greatest(wide, high), F.lit(2.0)) / F.col("_n"))
+    even = extent.withColumn("_even", F.when(area > 0, F.sqrt(area * k / F.col("_n"))).otherwise(1.0))
+    tried = points.select(*by, "x", "y").join(even.select(*by, "_even"), by).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    size = F.col("_even") / F.pow(F.lit(4.0), F.col("_j"))
+    full = tried.groupBy(*by, "_even", "_j", F.floor(F.col("x") / size).alias("_gx"), F.floor(F.col("y") / size).alias("_gy")).agg(F.count(F.lit(1)).alias("_m"))
+    full = full.groupBy(*by, "_even", "_j").agg(F.max("_m").alias("_m"))
+    best = full.groupBy(*by, "_even").agg(F.min(F.struct(F.greatest("_m", F.lit(8 * k)).alias("m"), "_j")).alias("_b"))
+    return extent.join(best.select(*by, (F.col("_even") / F.pow(F.lit(4.0), F.col("_b._j"))).alias("_cell")), by)
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, cell: float | None = None, by: list[str] | None = None, itself: bool = False) -> DataFrame:
     """Exact k nearest right points of each left point: (by, id, other_id, distance, rank).
 
     Points meet those of the nine cells around them. A result is certain once the k-th distance is no larger than a cell, or the cells
     cover the group's extent; points that aren't certain yet go on with cells of twice the size. A point
-    with fewer than k others gets those there are. Without a size to begin with, cells hold about k points on average. Points
-    without a finite position are left out on both sides.
+    with fewer than k others gets those there are. Without a size to begin with, each group's cells begin with what its own density asks for: about k points on
+    average, or less where its fullest cell would hold over 8 k, so a group or a part of one that is much denser than the rest doesn't meet itself as a whole. Points without
+    a finite position are left out on both sides.
 
     Once few points are left, and that is counted, they are broadcast and the right points stay where they are; their candidates are ranked in
     parts before they meet, so a large cell isn't one task.
@@ -69,19 +84,19 @@ def nearest(left: DataFrame, right: DataFrame, k: int, cell: float | None = None
     if not by:
         alone = nearest(left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), k, cell, ["_all"], itself)
         return alone.drop("_all")
-    extent = right.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
-    if cell is None:
-        area = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
-        cell = right.groupBy(*by).agg((area * k / F.count(F.lit(1))).alias("a")).where("a > 0").agg(F.sqrt(F.median("a"))).first()[0] or 1.0
+    extent = right.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"), F.count(F.lit(1)).alias("_n"))
+    extent = extent.withColumn("_cell", F.lit(float(cell))) if cell is not None else _by_density(right, extent, k, by)
+    extent = checkpointed(extent.drop("_n"))
     todo = left.select(*by, "id", "x", "y").join(extent, by)
     far = F.greatest(F.abs(F.col("x") - F.col("_x0")), F.abs(F.col("x") - F.col("_x1")), F.abs(F.col("y") - F.col("_y0")), F.abs(F.col("y") - F.col("_y1")))
-    todo = todo.withColumn("_far", far).select(*by, "id", "x", "y", "_far")
-    others = right.select(*by, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    todo = todo.withColumn("_far", far).select(*by, "id", "x", "y", "_far", "_cell")
+    others = right.select(*by, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy")).join(extent.select(*by, F.col("_cell").alias("_size")), by)
     one = W.partitionBy(*by, "id")
-    done, few = None, False
+    done, few, times = None, False, 1.0
     for _ in range(_MOST_ROUNDS):
-        wanted = with_cells(todo, cell, ring=1)
-        pairs = with_cells(others, cell, "ox", "oy").join(F.broadcast(wanted) if few else wanted, [*by, "gx", "gy"])
+        wide = F.col("_cell") * times
+        wanted = with_cells(todo, wide, ring=1)
+        pairs = with_cells(others, F.col("_size") * times, "ox", "oy").drop("_size").join(F.broadcast(wanted) if few else wanted, [*by, "gx", "gy"])
         if not itself:
             pairs = pairs.where("id <> other_id")
         pairs = pairs.withColumn("distance", _distance())
@@ -90,11 +105,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int, cell: float | None = None
             pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("other_id"), F.lit(64))).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k).drop("_n")
         ranked = pairs.withColumn("rank", F.row_number().over(one.orderBy("distance", "other_id"))).where(F.col("rank") <= k)
         sure = ranked.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("distance"))).over(one))
-        sure = sure.where((F.col("_kth") <= cell) | (F.col("_far") <= cell))
+        sure = sure.where((F.col("_kth") <= wide) | (F.col("_far") <= wide))
         found = checkpointed(sure.select(*by, "id", "other_id", "distance", "rank"))
         done = found if done is None else done.unionByName(found)
-        rest = todo.join(found.select(*by, "id").distinct(), [*by, "id"], "left_anti").where(F.col("_far") > cell)
-        todo, cell = checkpointed(rest), cell * 2
+        rest = todo.join(found.select(*by, "id").distinct(), [*by, "id"], "left_anti").where(F.col("_far") > wide)
+        todo, times = checkpointed(rest), times * 2
         left_over = todo.count()
         if not left_over:
             return done
