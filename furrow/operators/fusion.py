@@ -193,9 +193,9 @@ def unique_plants(observations: DataFrame, by: list[str]) -> DataFrame:
 def visibility(plants: DataFrame, frames: DataFrame, width: float, height: float) -> DataFrame:
     """In how many frames each plant (plant_id, x, y) lies inside the image. ``frames`` has (frame_index, x0, y0, x1, y1, inverse).
 
-    x0..y1 is the frame's footprint in local space; plants meet frames by cells of the footprints' size and are then projected.
+    x0..y1 is the frame's footprint in local space; plants meet frames by cells of half the footprints' median size, whatever the unit, and are then projected.
     """
-    cell = 200.0
+    cell = (frames.agg(F.median(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 0.0) / 2 or 1.0
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     f = frames.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
     p = plants.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
@@ -236,9 +236,9 @@ def georeference_gate(fits: DataFrame, limits: dict[str, float]) -> DataFrame:
     return fits.withColumn("gate_reasons", why).withColumn("geo_valid", F.col("gate_reasons") == "accepted")
 
 
-def georeferenced(points: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
+def georeferenced(points: DataFrame, fit: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Local points to latitude and longitude by the similarity (a, b, shift_x, shift_y) to metres around (lat0, lon0); null unless geo_valid."""
-    held = points.join(fit, by)
+    held = points.join(fit, by, how)
     east = F.col("a") * F.col("x") - F.col("b") * F.col("y") + F.col("shift_x")
     north = F.col("b") * F.col("x") + F.col("a") * F.col("y") + F.col("shift_y")
     lat, lon = from_enu(east, north, F.col("lat0"), F.col("lon0"))

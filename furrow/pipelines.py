@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import gates, geometry
-from furrow.operators import folds, fusion, rows, spatial, statistics, sync
+from furrow.operators import folds, fusion, records, rows, spatial, statistics, sync
 from furrow.storage import checkpointed
 from furrow.streaming import stateful
 
@@ -19,7 +19,9 @@ class GapSettings:
     confidence: float = 0.25
     overlap: float = 0.5
     close: float = 8.0
-    association: float = 8.0
+    #: None takes the radius from the spacing of neighbours in sampled frames and from ``reprojection``.
+    association: float | None = 8.0
+    reprojection: float = 0.0
     merge: float = 0.75
     max_gap: int = 3
     confirmed: int = 2
@@ -34,22 +36,26 @@ class GapSettings:
     image: tuple[float, float] = (3840.0, 2160.0)
 
 
-def gap_report(detections: DataFrame, transforms: DataFrame, areas: DataFrame, settings: GapSettings | None = None) -> dict[str, DataFrame]:
+def gap_report(detections: DataFrame, transforms: DataFrame, areas: DataFrame, settings: GapSettings | None = None, fit: DataFrame | None = None) -> dict[str, DataFrame]:
     """Detections to unique plants, rows, expected, missing and rejected places, gaps and a summary of each plot.
 
     ``detections``: frame_index, class_id, confidence, x1..y2, detection_id. ``transforms``, one row for each processed frame: frame_index, segment_id, matrix
     (frame to local), inverse and footprint x0, y0, x1, y1 (local). ``areas``: area_id (its order: of areas that share a plant the
-    last names it), part, hole, xs, ys (local).
+    last names it), part, hole, xs, ys (local). ``fit``, if there, has for some plots the similarity to the ground: plot_id, a, b, shift_x, shift_y, lat0, lon0, geo_valid, geo_method,
+    geo_quality, horizontal_uncertainty_m; gaps and plants of other plots, and of those without a valid one, have no latitude and longitude.
 
     Plants of a plot are the confirmed ones and those of low support. Rows are cut where the way from a plant to the next leaves the plot; slots
     outside it are dropped. A slot without a plant is a candidate, rejected near the plot's border or where too few frames could see
     it, and worth half near a suspicious sighting.
+
+    ``summary`` has a row for each plot with what went into each step and came out; ``totals`` is their sum in one row.
     """
     s = settings or GapSettings()
     kept = folds.suppress_close_centers(folds.suppress_overlaps(detections.where(gates.confident(F.col("confidence"), s.confidence)), s.overlap), s.close)
     local = fusion.to_local(kept, transforms).join(transforms.select("frame_index", "segment_id"), "frame_index")
     observed = local.select("segment_id", "frame_index", (F.shiftleft(F.col("frame_index").cast("long"), 31) + F.col("detection_id")).alias("observation_id"), F.col("local_x").alias("x"), F.col("local_y").alias("y"), "confidence")
-    plants = checkpointed(_unique(observed, transforms, s))
+    observed = checkpointed(observed)
+    plants = checkpointed(_unique(observed, transforms, s if s.association is not None else replace(s, association=_radius(observed, s))))
     frames = transforms.select("frame_index", "x0", "y0", "x1", "y1", "inverse")
     seen = fusion.visibility(plants.select("plant_id", "x", "y"), frames, *s.image).select("plant_id", "visibility_opportunity")
     status = gates.support_status(F.col("observation_count"), F.col("visibility_opportunity"), s.confirmed, s.suspicious)
@@ -80,7 +86,7 @@ def gap_report(detections: DataFrame, transforms: DataFrame, areas: DataFrame, s
     scale = checkpointed(normal.join(scale, "plot_id"))
     points = turned(chosen, F.col("x"), F.col("y")).select("plot_id", F.col("id").alias("plant_id"), "support_status", "along", "across")
     banded = checkpointed(rows.reconstructed(points, scale, s.least_in_row, s.band))
-    lanes, spacing = _cut(banded, areas, placed, turn, s)
+    lanes, spacing, cuts = _cut(banded, areas, placed, turn, s)
     expected = checkpointed(placed(rows.expected_slots(lanes, spacing)))
     own = spatial.points_in_areas(expected, areas, s.cell).where("area_id = plot_id")
     expected_in = checkpointed(spatial.ring_distances(own, areas).drop("area_id"))
@@ -91,17 +97,60 @@ def gap_report(detections: DataFrame, transforms: DataFrame, areas: DataFrame, s
     missing = checkpointed(fusion.visibility(missing, frames, *s.image).withColumnRenamed("visibility_opportunity", "coverage_count"))
     why = gates.candidate_rejection(F.col("boundary_distance"), s.boundary * F.col("spacing"), F.col("coverage_count"), F.lit(s.least_coverage))
     missing = missing.withColumn("rejection_reason", why)
+    candidates = missing
     rejected = missing.where("rejection_reason is not null").withColumn("boundary_fraction", F.col("boundary_distance") / F.greatest("spacing", F.lit(1e-9))).withColumn("candidate_id", F.concat(F.lit("rejected_"), "plant_id"))
     judged = checkpointed(_doubted(missing.where("rejection_reason is null").drop("rejection_reason"), inside.where("support_status = 'suspicious_singleton'"), s))
     found = placed(rows.gaps(judged)).withColumnsRenamed({"x": "local_x", "y": "local_y"}).withColumn("square", geometry.square(F.col("local_x"), F.col("local_y"), 4.0))
     plots = areas.select(F.col("area_id").alias("plot_id")).distinct()
     analysed = good.select("plot_id", F.col("id").alias("plant_id"), "support_status")
-    summary = rows.plot_summary(plots, analysed, expected_in, found, s.least_plants, lanes)
+    summary = rows.plot_summary(plots, analysed, expected_in, found, s.least_plants, banded)
+    one = F.count(F.lit(1))
+    confirmed = F.count_if(F.col("support_status") == "confirmed")
+    for counts in (
+        analysed.groupBy("plot_id").agg(confirmed.alias("confirmed_unique_plants"), (one - confirmed).alias("low_support_unique_plants")),
+        lanes.groupBy("plot_id").agg(F.countDistinct("row_id").alias("row_segments")),
+        cuts.groupBy("plot_id").agg(one.alias("row_segment_cuts")),
+        candidates.groupBy("plot_id").agg(one.alias("candidates_before_gates")),
+    ):
+        summary = summary.join(counts, "plot_id", "left").fillna(0, counts.columns[1:])
+    summary = summary.withColumn("short_fragments_discarded", F.col("rows") + F.col("row_segment_cuts") - F.col("row_segments"))
+    for values in (
+        turn.select("plot_id", F.degrees("angle").alias("orientation_deg")),
+        spacing.groupBy("plot_id").agg(F.median("spacing").alias("along_row_spacing")),
+        scale.select("plot_id", F.col("inter_row").alias("cross_row_spacing")),
+    ):
+        summary = summary.join(values, "plot_id", "left")
     for name, df in (("rejected_outside", expected.join(expected_in, ["plot_id", "row_id", "slot_index"], "left_anti")), ("suppressed_by_low_support", hidden), ("downgraded_near_suspicious", judged.where("nearby_suspicious_count > 0"))):
         summary = summary.join(df.groupBy("plot_id").agg(F.count(F.lit(1)).alias(name)), "plot_id", "left").fillna(0, [name])
     reasons = rejected.groupBy("plot_id").agg(F.count_if(F.col("rejection_reason").startswith("polygon")).alias("rejected_boundary"), F.count_if(F.col("rejection_reason").startswith("insufficient")).alias("rejected_coverage"))
-    summary = summary.join(reasons, "plot_id", "left").fillna(0, ["rejected_boundary", "rejected_coverage"])
-    return {"plants": plants, "rows": lanes, "expected": expected_in, "missing": judged, "rejected": rejected, "gaps": found, "summary": summary}
+    summary = checkpointed(summary.join(reasons, "plot_id", "left").fillna(0, ["rejected_boundary", "rejected_coverage"]))
+    if fit is not None:
+        found = fusion.georeferenced(found.withColumns({"x": F.col("local_x"), "y": F.col("local_y")}), fit, ["plot_id"], "left").select(*found.columns, *_GEO)
+        plants = fusion.georeferenced(plants, fit, ["plot_id"], "left").select(*plants.columns, *_GEO)
+    return {"plants": plants, "rows": lanes, "expected": expected_in, "missing": judged, "rejected": rejected, "gaps": found, "summary": summary, "totals": gap_totals(summary)}
+
+
+_GEO = ["latitude", "longitude", "geo_method", "geo_quality", "horizontal_uncertainty_m"]
+_SUMS = (
+    "rows row_segments row_segment_cuts short_fragments_discarded expected_capacity gap_count estimated_missing_plants candidates_before_gates rejected_outside rejected_boundary rejected_coverage "
+    "downgraded_near_suspicious suppressed_by_low_support confirmed_unique_plants low_support_unique_plants"
+).split()
+
+
+def gap_totals(summary: DataFrame) -> DataFrame:
+    """One row: the number of plots, of those that were analysed, the sums of all counts, and the missing rate over all plots (null without capacity)."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]
+    out = summary.agg(F.count(F.lit(1)).alias("plots"), F.count_if(F.col("analysis_status") != "insufficient_unique_plants").alias("analysed"), *sums)
+    return out.withColumn("missing_rate", F.col("estimated_missing_plants") / F.when(F.col("expected_capacity") > 0, F.col("expected_capacity")))
+
+
+def _radius(observed: DataFrame, s: GapSettings) -> float:
+    """The association radius of a flight, one number: from the median distance of neighbours in every 25th frame and the registration's error."""
+    every = records.spacing_sample(observed.withColumnRenamed("observation_id", "id"), "segment_id", "frame_index")
+    spacing = every.agg(F.median("p50")).first()[0]
+    if spacing is None:
+        return 4.0
+    return observed.sparkSession.range(1).select(fusion.association_radius(F.lit(float(spacing)), F.lit(float(s.reprojection)))).first()[0]
 
 
 def _unique(observed: DataFrame, transforms: DataFrame, s: GapSettings) -> DataFrame:
@@ -116,25 +165,28 @@ def _unique(observed: DataFrame, transforms: DataFrame, s: GapSettings) -> DataF
     return plants.withColumn("x", F.col("local_x")).withColumn("y", F.col("local_y"))
 
 
-def _cut(banded: DataFrame, areas: DataFrame, placed: Callable[[DataFrame], DataFrame], turn: DataFrame, s: GapSettings) -> tuple[DataFrame, DataFrame]:
-    """Rows cut at the plot's border as rows of their own (row_id row_segment), and their spacing and confidence."""
+def _cut(banded: DataFrame, areas: DataFrame, placed: Callable[[DataFrame], DataFrame], turn: DataFrame, s: GapSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows cut at the plot's border as rows of their own (row_id row_segment), their spacing and confidence, and the steps that were cut."""
     points = placed(rows.samples_between(banded).withColumnsRenamed({"x": "along", "y": "across"})).select("plot_id", "row_id", "plant_id", "sample", "x", "y")
     within = spatial.points_in_areas(points, areas, s.cell).where("area_id = plot_id").select("plot_id", "row_id", "plant_id", "sample").withColumn("_in", F.lit(True))
     ok = points.join(within, ["plot_id", "row_id", "plant_id", "sample"], "left").groupBy("plot_id", "row_id", "plant_id").agg(F.min(F.coalesce("_in", F.lit(False))).alias("ok"))
+    ok = checkpointed(ok)
     lanes = rows.split_rows(banded, ok, s.least_in_row)
     lanes = checkpointed(lanes.withColumn("row_id", F.concat_ws("_", F.col("row_id").cast("string"), F.col("segment").cast("string"))))
     steps = rows.adjacent_distances(lanes, ["plot_id", "row_id"], ["along", "plant_id"]).where("step > 0")
     many = steps.groupBy("plot_id", "row_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("plot_id", "row_id")
     spacing = statistics.robust_spacing(steps.join(many, ["plot_id", "row_id"], "left_semi"), ["plot_id", "row_id"], "step")
     sure = F.least(F.greatest(0.5 * F.col("sureness") + 0.5 * F.col("confidence"), F.lit(0.0)), F.lit(1.0))
-    return lanes, checkpointed(spacing.join(turn.select("plot_id", "sureness"), "plot_id").select("plot_id", "row_id", "spacing", sure.alias("confidence")))
+    return lanes, checkpointed(spacing.join(turn.select("plot_id", "sureness"), "plot_id").select("plot_id", "row_id", "spacing", sure.alias("confidence"))), ok.where(~F.col("ok"))
 
 
 def _doubted(missing: DataFrame, doubtful: DataFrame, s: GapSettings) -> DataFrame:
     """Missing slots with the number of suspicious sightings of their plot within the tolerance, their confidence and reasons."""
-    widest = missing.agg(F.max(s.tolerance * F.col("spacing"))).first()[0] or 1.0
-    pairs = spatial.radius_join(missing.select("plot_id", F.col("plant_id").alias("id"), "x", "y"), doubtful.select("plot_id", "id", "x", "y"), widest, ["plot_id"])
-    close = pairs.join(missing.select("plot_id", F.col("plant_id").alias("id"), "spacing"), ["plot_id", "id"]).where(F.col("distance") <= s.tolerance * F.col("spacing"))
+    # in units of the plot's widest tolerance, so that each plot's cells have the size that it needs
+    unit = missing.groupBy("plot_id").agg((s.tolerance * F.max("spacing")).alias("_u")).where(F.col("_u") > 0)
+    scaled = lambda df: df.join(unit, "plot_id").withColumns({"x": F.col("x") / F.col("_u"), "y": F.col("y") / F.col("_u")}).drop("_u")
+    pairs = spatial.radius_join(scaled(missing.select("plot_id", F.col("plant_id").alias("id"), "x", "y")), scaled(doubtful.select("plot_id", "id", "x", "y")), 1.000001, ["plot_id"])
+    close = pairs.join(missing.select("plot_id", F.col("plant_id").alias("id"), "spacing"), ["plot_id", "id"]).join(unit, "plot_id").where(F.col("distance") * F.col("_u") <= s.tolerance * F.col("spacing"))
     close = close.groupBy("plot_id", F.col("id").alias("plant_id")).agg(F.count(F.lit(1)).alias("nearby_suspicious_count"))
     held = missing.join(close, ["plot_id", "plant_id"], "left").fillna(0, ["nearby_suspicious_count"])
     held = held.withColumn("reasons", gates.slot_reasons(F.col("coverage_count"), F.col("nearby_suspicious_count")))
@@ -204,4 +256,4 @@ def live_session(frames: DataFrame, least_seconds: float = 0.5, top: int = 255)
     return limited.select("session_id", "sequence", "captured", F.size("detections").alias("detections"), F.greatest(F.size(good) - top, F.lit(0)).alias("truncated"), shown.alias("shown"))
 
 
-__all__ = ["GapSettings", "gap_report", "live_gaps", "live_session"]
+__all__ = ["GapSettings", "gap_report", "gap_totals", "live_gaps", "live_session"]

@@ -40,7 +40,19 @@ def test_gap_report_finds_the_missing_plants(spark):
     assert gaps[0]["square"][2]["x"] - gaps[0]["square"][0]["x"] == pytest.approx(8.0)
     summary = {s["plot_id"]: s for s in out["summary"].collect()}
     assert summary[7]["estimated_missing_plants"] == 3 and summary[7]["missing_rate"] == pytest.approx(3 / 240)
-    assert summary[8]["analysis_status"] == "insufficient_unique_plants" and summary[8]["missing_rate"] is None
+    assert summary[8]["analysis_status"] == "insufficient_unique_plants" and summary[8]["missing_rate"] is None and summary[8]["rows"] == summary[8]["row_segments"] == 0
+    assert (summary[7]["rows"], summary[7]["row_segments"], summary[7]["row_segment_cuts"], summary[7]["short_fragments_discarded"]) == (12, 12, 0, 0)
+    assert (summary[7]["confirmed_unique_plants"], summary[7]["low_support_unique_plants"], summary[7]["candidates_before_gates"]) == (237, 0, 3)
+    assert summary[7]["orientation_deg"] == pytest.approx(20, abs=0.5) and summary[7]["along_row_spacing"] == pytest.approx(40, abs=1) and summary[7]["cross_row_spacing"] == pytest.approx(60, abs=2)
+    totals = out["totals"].first()
+    assert (totals["plots"], totals["analysed"], totals["rows"], totals["gap_count"], totals["estimated_missing_plants"], totals["expected_capacity"]) == (2, 1, 12, 2, 3, 240)
+    fit = spark.createDataFrame([(7, 0.5, 0.0, 10.0, -20.0, 48.0, 11.0, True, "path_fit", "usable", 2.5)], "plot_id long, a double, b double, shift_x double, shift_y double, lat0 double, lon0 double, geo_valid boolean, geo_method string, geo_quality string, horizontal_uncertainty_m double")
+    again = pipelines.gap_report(d, t, areas, pipelines.GapSettings(image=(2000.0, 2000.0), association=None), fit)
+    placed = sorted(again["gaps"].collect(), key=lambda g: g["estimated_missing_plants"])
+    assert [g["estimated_missing_plants"] for g in placed] == [1, 2] and placed[0]["geo_quality"] == "usable" and placed[0]["horizontal_uncertainty_m"] == 2.5
+    assert placed[0]["latitude"] == pytest.approx(48 + math.degrees((0.5 * placed[0]["local_y"] - 20) / 6_378_137)) and again["plants"].where("latitude is null").count() == 0
+    lost = pipelines.gap_report(d, t, areas, pipelines.GapSettings(image=(2000.0, 2000.0)), fit.withColumn("geo_valid", F.lit(False)))
+    assert lost["gaps"].where("latitude is null and geo_method = 'path_fit'").count() == 2
 
 
 def test_gap_report_gates(spark):
@@ -73,6 +85,7 @@ def test_gap_report_gates(spark):
     rejected = out["rejected"].collect()
     assert [(round(r["x"]), round(r["y"]), r["rejection_reason"]) for r in rejected] == [(*map(round, field[near_border]), "polygon_boundary_exclusion_buffer")]
     told = out["summary"].first()
+    assert (told["rows"], told["row_segments"], told["row_segment_cuts"], told["short_fragments_discarded"]) == (10, 20, 10, 0) and told["low_support_unique_plants"] == 2
     assert told["suppressed_by_low_support"] == 2 and told["rejected_boundary"] == 1 and told["rejected_coverage"] == 0
     doubted = pipelines.gap_report(d, t, areas, pipelines.GapSettings(image=(4000.0, 2000.0), boundary=2.1))
     both = {(round(g["local_x"]), round(g["local_y"])): g for g in doubted["gaps"].collect()}

@@ -166,3 +166,21 @@ def test_bytes_to_text(spark):
     rows = [("a", b"\xff\xfe" + "1\n00:00:00,000 --> 00:00:01,000\niso: 5 é".encode("utf-16le")), ("b", "é".encode("latin-1")), ("c", "\ufeffé".encode())]
     got = {r[0]: r[1] for r in spark.createDataFrame(rows, "n string, c binary").select("n", srt.decoded(F.col("c"))).collect()}
     assert got["a"].endswith("iso: 5 é") and got["b"] == got["c"] == "é"
+
+
+def test_texts_that_are_not_utf8(spark):
+    """Windows-1252 before Latin-1, which a byte without a meaning there makes it."""
+    from furrow.sources.srt import decoded
+
+    rows = [(b"\x93A\x92\x94 \x80 \xe9",), (b"\x93A\x81",), ("\ufeffäö".encode(),), ("ß".encode("utf-16"),), (b"plain",)]
+    got = [x[0] for x in spark.createDataFrame(rows, "c binary").select(decoded(F.col("c"))).collect()]
+    assert got == ["\u201cA\u2019\u201d \u20ac \u00e9", "\x93A\x81", "äö", "ß", "plain"]
+
+
+def test_dates_that_no_calendar_has(spark):
+    from furrow.sources.srt import parse_blocks
+
+    block = "{}\n00:00:0{},000 --> 00:00:0{},500\n{} iso: 100"
+    text = "\n\n".join(block.format(i, i, i, d) for i, d in enumerate(["2024-02-29 10:11:12.5", "2023-02-29 10:11:12", "2024-01-01T25:00:00", "none"], 1))
+    got = {x["srt_index"]: (x["date_time"], x["extras"].get("unparsed_date_time")) for x in parse_blocks(spark.createDataFrame([(text,)], "value string")).collect()}
+    assert got == {1: ("2024-02-29 10:11:12.5", None), 2: (None, "2023-02-29 10:11:12"), 3: (None, "2024-01-01T25:00:00"), 4: (None, None)}

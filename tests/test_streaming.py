@@ -134,3 +134,41 @@ def test_status_documents(spark, tmp_path):
         spark.streams.removeListener(listener)
     assert told[0] == {"query": "seven", "state": "STARTING"} and any(d.get("rows") == 7 and d["state"] == "RUNNING" for d in told)
     assert json.loads((tmp_path / "status.json").read_text())["state"] == "IDLE"
+
+
+def test_rate_limit_after_a_frame_without_a_time(spark, tmp_path):
+    rows = [(0, 0, None, None, ""), (0, 1, 1.0, None, ""), (0, 2, 5.0, None, ""), (0, 3, float("nan"), None, ""), (0, 4, 9.0, None, ""), (0, 5, 30.0, None, "")]
+    got = run(spark, rows, lambda s: stateful.rate_limited(s, "g", "t", 6.0), tmp_path, 3)
+    want = folds.accepted_at_interval(spark.createDataFrame(rows, SCHEMA).where("t is not null and not isnan(t)"), ["g"], "t", 6.0, [F.col("t")]).toPandas()
+    assert sorted(got["n"]) == sorted(want["n"]) == [1, 4, 5]
+
+
+def fed(spark, tmp_path, pieces: list[list[tuple]], make, stop: int | None = None) -> list:
+    """Rows in one file for each trigger; with ``stop`` the query is run on so many files first, ends, and begins again with the others."""
+    got = []
+    for k, piece in enumerate(pieces):
+        spark.createDataFrame(piece, SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        if stop in (None, k + 1) or k == len(pieces) - 1:
+            stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+            make(stream).writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return got
+
+
+def test_latest_reading_in_event_time(spark, tmp_path):
+    """Readings and frames in any order within the delay, over micro-batches and a restart: the batch's result."""
+    r = random.Random(4)
+    rows = [(i % 3, i, i + r.random() / 2, (None if r.random() < 0.1 else r.random()) if i % 4 else None, "reading" if i % 4 else "frame") for i in range(160)]
+    late = sorted(rows, key=lambda x: x[2] + r.uniform(0, 18))  # up to 18 seconds late
+    rows.append((0, 999, 400.0, 1.0, "reading"))
+    pieces = [late[k : k + 16] for k in range(0, 160, 16)] + [[rows[-1]]]
+    make = lambda s: stateful.with_latest(s.where("s = 'frame'").select("g", "n", "t"), s.where("s = 'reading'"), "g", "t", "v", "20 seconds")
+    got = fed(spark, tmp_path, pieces, make, stop=4)
+    known = [(g, t, v) for g, _, t, v, s in rows if s == "reading" and v is not None]
+    want = {(g, n): max(((u, v) for h, u, v in known if h == g and u <= t), default=(0, None))[1] for g, n, t, _, s in rows if s == "frame"}
+    assert {(x["g"], x["n"]): x["latest"] for x in got} == want and len(got) == len(want)
+
+
+def test_a_frame_between_two_readings_that_came_before_it(spark, tmp_path):
+    pieces = [[(0, 1, 10.0, 1.0, "reading"), (0, 2, 100.0, 2.0, "reading")], [(0, 3, 50.0, None, "frame")], [(0, 4, 300.0, 3.0, "reading"), (0, 5, None, None, "frame")]]
+    make = lambda s: stateful.with_latest(s.where("s = 'frame'").select("g", "n", "t"), s.where("s = 'reading'"), "g", "t", "v", "60 seconds")
+    assert [(x["n"], x["latest"]) for x in fed(spark, tmp_path, pieces, make)] == [(3, 1.0)]
