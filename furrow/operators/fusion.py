@@ -14,7 +14,7 @@ from furrow.functions.boxes import center
 from furrow.functions.gates import in_roi, reasons, support_status
 from furrow.functions.geometry import from_enu, project
 from furrow.operators.statistics import weighted_median
-from furrow.storage import ship
+from furrow.storage import checkpointed, ship
 
 
 def to_local(detections: DataFrame, transforms: DataFrame) -> DataFrame:
@@ -145,37 +145,64 @@ def associate(observations: DataFrame, radius: float, max_gap: int, neighbours:
     return held.mapInArrow(run, f"{fields}, track_id long")
 
 
+def components(pairs: DataFrame, by: list[str], most_rounds: int = 64) -> DataFrame:
+    """(by, id, root): the smallest id that each id of ``pairs`` (by, id, other_id) is connected with.
+
+    Labels go over to neighbours and then jump to their label's label, so the rounds are about the logarithm of the longest way; both are joins and minima, which combine
+    in each task. An id without a pair has no row.
+    """
+    ends = pairs.select(*by, "id", "other_id").unionByName(pairs.select(*by, F.col("other_id").alias("id"), F.col("id").alias("other_id"))).where("id <> other_id").distinct()
+    ends = checkpointed(ends)
+    labels = checkpointed(ends.groupBy(*by, "id").agg(F.least(F.col("id"), F.min("other_id")).alias("root")))
+    for _ in range(most_rounds):
+        there = labels.select(*by, F.col("id").alias("other_id"), F.col("root").alias("_near"))
+        near = ends.join(there, [*by, "other_id"]).groupBy(*by, "id").agg(F.min("_near").alias("_near"))
+        taken = labels.join(near, [*by, "id"]).select(*by, "id", F.col("root").alias("_was"), F.least("root", "_near").alias("root"))
+        up = labels.select(*by, F.col("id").alias("root"), F.col("root").alias("_up"))
+        taken = checkpointed(taken.join(up, [*by, "root"]).select(*by, "id", "_was", F.least("root", "_up").alias("root")))
+        labels = taken.drop("_was")
+        if taken.where("root <> _was").isEmpty():
+            return labels
+    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+
+
 def merge_tracks(tracks: DataFrame, observations: DataFrame, pairs: DataFrame) -> DataFrame:
     """(segment_id, track_id) to ``plant``: tracks within the radius joined shortest first, unless their members share a frame.
 
-    ``pairs`` has (segment_id, id, other_id, distance). The veto depends on what was joined before, so this isn't plain components;
-    a segment is one task.
+    ``pairs`` has (segment_id, id, other_id, distance). The veto depends on what was joined before, but only inside of a component of the pairs, which is the sightings of
+    one plant or of a few neighbours; each component is settled by itself, and tracks without a pair, most of them, stay as they are and don't move.
     """
     frames = observations.groupBy("segment_id", "track_id").agg(F.collect_set("frame_index").alias("frames"))
-    left = tracks.select("segment_id", "track_id").join(frames, ["segment_id", "track_id"])
+    left = tracks.select("segment_id", "track_id")
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides may come from the same table
-    left, pairs = fresh(left), fresh(pairs)
+    left, pairs = fresh(left), checkpointed(fresh(pairs.select("segment_id", "id", "other_id", "distance")))
+    roots = components(pairs, ["segment_id"])
+    member = fresh(fresh(roots).withColumnRenamed("id", "track_id").join(fresh(frames), ["segment_id", "track_id"]))
+    edges = fresh(pairs.join(fresh(roots), ["segment_id", "id"]))
 
     def one(key, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        root = {t: t for t in nodes["track_id"]}
+        up = {t: t for t in nodes["track_id"]}
         seen = {t: set(f) for t, f in zip(nodes["track_id"], nodes["frames"], strict=True)}
 
         def top(t):
-            while root[t] != t:
-                root[t] = root[root[t]]
-                t = root[t]
+            while up[t] != t:
+                up[t] = up[up[t]]
+                t = up[t]
             return t
 
         for _, a, b in sorted(zip(edges["distance"], edges["id"], edges["other_id"], strict=True)):
             a, b = top(a), top(b)
             if a != b and not seen[a] & seen[b]:
                 a, b = min(a, b), max(a, b)
-                root[b] = a
+                up[b] = a
                 seen[a] |= seen.pop(b)
-        ids = sorted(root)
+        ids = sorted(up)
         return pd.DataFrame({"segment_id": key[0], "track_id": ids, "plant": [top(t) for t in ids]})
 
-    return left.groupBy("segment_id").cogroup(pairs.groupBy("segment_id")).applyInPandas(one, "segment_id long, track_id long, plant long")
+    keys = ["segment_id", "root"]
+    settled = member.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(one, "segment_id long, track_id long, plant long")
+    alone = left.join(fresh(roots.select("segment_id", F.col("id").alias("track_id"))), ["segment_id", "track_id"], "left_anti").withColumn("plant", F.col("track_id"))
+    return settled.unionByName(alone)
 
 
 def unique_plants(observations: DataFrame, by: list[str]) -> DataFrame:

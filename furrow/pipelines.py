@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import gates, geometry
 from furrow.operators import folds, fusion, records, rows, spatial, statistics, sync
+from furrow import storage
 from furrow.storage import checkpointed
 from furrow.streaming import stateful
 
@@ -103,33 +105,53 @@ def gap_report(detections: DataFrame, transforms: DataFrame, areas: DataFrame, s
     found = placed(rows.gaps(judged)).withColumnsRenamed({"x": "local_x", "y": "local_y"}).withColumn("square", geometry.square(F.col("local_x"), F.col("local_y"), 4.0))
     plots = areas.select(F.col("area_id").alias("plot_id")).distinct()
     analysed = good.select("plot_id", F.col("id").alias("plant_id"), "support_status")
-    summary = rows.plot_summary(plots, analysed, expected_in, found, s.least_plants, banded)
-    one = F.count(F.lit(1))
-    confirmed = F.count_if(F.col("support_status") == "confirmed")
-    for counts in (
-        analysed.groupBy("plot_id").agg(confirmed.alias("confirmed_unique_plants"), (one - confirmed).alias("low_support_unique_plants")),
-        lanes.groupBy("plot_id").agg(F.countDistinct("row_id").alias("row_segments")),
-        cuts.groupBy("plot_id").agg(one.alias("row_segment_cuts")),
-        candidates.groupBy("plot_id").agg(one.alias("candidates_before_gates")),
-    ):
-        summary = summary.join(counts, "plot_id", "left").fillna(0, counts.columns[1:])
-    summary = summary.withColumn("short_fragments_discarded", F.col("rows") + F.col("row_segment_cuts") - F.col("row_segments"))
-    for values in (
-        turn.select("plot_id", F.degrees("angle").alias("orientation_deg")),
-        spacing.groupBy("plot_id").agg(F.median("spacing").alias("along_row_spacing")),
-        scale.select("plot_id", F.col("inter_row").alias("cross_row_spacing")),
-    ):
-        summary = summary.join(values, "plot_id", "left")
-    for name, df in (("rejected_outside", expected.join(expected_in, ["plot_id", "row_id", "slot_index"], "left_anti")), ("suppressed_by_low_support", hidden), ("downgraded_near_suspicious", judged.where("nearby_suspicious_count > 0"))):
-        summary = summary.join(df.groupBy("plot_id").agg(F.count(F.lit(1)).alias(name)), "plot_id", "left").fillna(0, [name])
-    reasons = rejected.groupBy("plot_id").agg(F.count_if(F.col("rejection_reason").startswith("polygon")).alias("rejected_boundary"), F.count_if(F.col("rejection_reason").startswith("insufficient")).alias("rejected_coverage"))
-    summary = checkpointed(summary.join(reasons, "plot_id", "left").fillna(0, ["rejected_boundary", "rejected_coverage"]))
+    one, status_is = F.count(F.lit(1)), lambda v: F.count_if(F.col("support_status") == v)
+    facts = _facts(
+        (analysed, {"plants": one, "confirmed_unique_plants": status_is("confirmed"), "low_support_unique_plants": one - status_is("confirmed")}),
+        (banded, {"rows": F.countDistinct("row_id")}),
+        (lanes, {"row_segments": F.countDistinct("row_id")}),
+        (cuts, {"row_segment_cuts": one}),
+        (spacing, {"along_row_spacing": F.median("spacing")}),
+        (turn, {"orientation_deg": F.first(F.degrees("angle"))}),
+        (scale, {"cross_row_spacing": F.first("inter_row")}),
+        (expected, {"expected": one}),
+        (expected_in, {"expected_capacity": one}),
+        (candidates, {"candidates_before_gates": one, "rejected_boundary": F.count_if(F.col("rejection_reason").startswith("polygon")), "rejected_coverage": F.count_if(F.col("rejection_reason").startswith("insufficient"))}),
+        (hidden, {"suppressed_by_low_support": one}),
+        (judged, {"estimated_missing_plants": one, "downgraded_near_suspicious": F.count_if(F.col("nearby_suspicious_count") > 0)}),
+        (found, {"gap_count": one}),
+    )
+    summary = _summary(plots, facts, s.least_plants)
     if fit is not None:
         found = fusion.georeferenced(found.withColumns({"x": F.col("local_x"), "y": F.col("local_y")}), fit, ["plot_id"], "left").select(*found.columns, *_GEO)
         plants = fusion.georeferenced(plants, fit, ["plot_id"], "left").select(*plants.columns, *_GEO)
     return {"plants": plants, "rows": lanes, "expected": expected_in, "missing": judged, "rejected": rejected, "gaps": found, "summary": summary, "totals": gap_totals(summary)}
 
 
+_MEASURES = ("along_row_spacing", "orientation_deg", "cross_row_spacing")
+
+
+def _facts(*parts: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """(plot_id, name, value): figures of plots from several tables, as rows, so that one grouping brings them together."""
+    out = []
+    for df, figures in parts:
+        held = df.groupBy("plot_id").agg(*[v.cast("double").alias(k) for k, v in figures.items()])
+        out.append(held.select("plot_id", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in figures])).alias("f")).select("plot_id", "f.*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _summary(plots: DataFrame, facts: DataFrame, least: int) -> DataFrame:
+    names = [*_SUMS, "plants", "expected", *_MEASURES]
+    held = facts.groupBy("plot_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names if n not in ("short_fragments_discarded", "rejected_outside")])
+    held = plots.select("plot_id").join(held, "plot_id", "left")
+    counts = [n for n in held.columns if n not in ("plot_id", *_MEASURES)]
+    held = held.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("long") for n in counts})
+    held = held.withColumns({"short_fragments_discarded": F.col("rows") + F.col("row_segment_cuts") - F.col("row_segments"), "rejected_outside": F.col("expected") - F.col("expected_capacity")})
+    rate = F.col("estimated_missing_plants") / F.when(F.col("expected_capacity") > 0, F.col("expected_capacity"))
+    status = F.when(F.col("plants") < least, "insufficient_unique_plants").otherwise("complete_candidate_review_required")
+    return held.select("plot_id", "plants", *_SUMS, *_MEASURES, rate.alias("missing_rate"), status.alias("analysis_status"))
+
+
 _GEO = ["latitude", "longitude", "geo_method", "geo_quality", "horizontal_uncertainty_m"]
 _SUMS = (
     "rows row_segments row_segment_cuts short_fragments_discarded expected_capacity gap_count estimated_missing_plants candidates_before_gates rejected_outside rejected_boundary rejected_coverage "
@@ -242,6 +264,32 @@ def live_gaps(plants: DataFrame, least: int = 4, band: float = 0.42, tolerance:
     return {"gaps": gaps, "sessions": sessions}
 
 
+def finalizer(plants: Callable[[DataFrame], DataFrame], folder: str, **settings: float) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that judges the sessions that a batch of ``closed_sessions`` names, each once.
+
+    ``plants`` takes the batch (session_id, started, ended, records) and gives the plants (session_id, plant_id, x, y) of its sessions. ``folder`` gets two Parquet tables, ``gaps`` and
+    ``sessions``, in a partition for each batch. A batch that is run again replaces its own partitions, the status last; a session that another batch has judged is left out. A
+    session without plants is not evaluated.
+    """
+
+    def finalize(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        closed = batch.groupBy("session_id").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("records").alias("records"))
+        if storage.exists(spark, f"{folder}/sessions"):
+            judged = spark.read.parquet(f"{folder}/sessions").where(F.col("batch_id") != batch_id).select("session_id")
+            closed = closed.join(judged, "session_id", "left_anti")
+        closed = checkpointed(closed)
+        if closed.isEmpty():
+            return
+        found = live_gaps(plants(closed).join(closed.select("session_id"), "session_id", "left_semi"), **settings)
+        status = closed.join(found["sessions"], "session_id", "left")
+        status = status.withColumns({"plants": F.coalesce("plants", F.lit(0)), "reason": F.when(F.col("status").isNull(), "insufficient_plants").otherwise(F.col("reason")), "status": F.coalesce("status", F.lit("NOT_EVALUATED"))})
+        for name, df in (("gaps", found["gaps"]), ("sessions", status)):
+            df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/{name}")
+
+    return finalize
+
+
 def live_session(frames: DataFrame, least_seconds: float = 0.5, top: int = 255) -> DataFrame:
     """Streamed frames (session_id, sequence, started, captured, seconds, detections) to the boxes that the overlay shows.
 
@@ -256,4 +304,4 @@ def live_session(frames: DataFrame, least_seconds: float = 0.5, top: int = 255)
     return limited.select("session_id", "sequence", "captured", F.size("detections").alias("detections"), F.greatest(F.size(good) - top, F.lit(0)).alias("truncated"), shown.alias("shown"))
 
 
-__all__ = ["GapSettings", "gap_report", "gap_totals", "live_gaps", "live_session"]
+__all__ = ["GapSettings", "finalizer", "gap_report", "gap_totals", "live_gaps", "live_session"]

@@ -48,17 +48,27 @@ def decode(path: str, data: bytes) -> tuple:
     return (path, None, *values)
 
 
-def read_spool(spark: SparkSession, folder: str, pattern: str = "*.bin") -> DataFrame:
-    """One row for each file; ``problem`` says why a file was rejected. Telemetry is null unless its validity bit is set."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
-
+def _parsed(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
         for b in batches:
             rows = pd.DataFrame([decode(p, bytes(c)) for p, c in zip(b["path"], b["content"], strict=True)], columns=names)
             yield rows.astype({c: "Int64" for c in (*WHOLE, *STATUS)} | {c: "float64" for c in TELEMETRY})
 
-    raw = files.mapInPandas(run, _SCHEMA)
+    raw = files.select("path", "content").mapInPandas(run, _SCHEMA)
     checked = {c: valid_if(F.col("valid_mask"), bit, F.col(c)) for bit, names in BITS.items() for c in names}
     held = raw.withColumns({c: F.when(~F.isnan(v), v) if c in TELEMETRY else v for c, v in checked.items()})
     return held.withColumn("gps_signal_level", F.when(F.col("gps_signal_level") >= 0, F.col("gps_signal_level"))).withColumn("aircraft_heading", F.col("aircraft_yaw"))
+
+
+def read_spool(spark: SparkSession, folder: str, pattern: str = "*.bin") -> DataFrame:
+    """One row for each file; ``problem`` says why a file was rejected. Telemetry is null unless its validity bit is set."""
+    return _parsed(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
+
+
+def stream_spool(spark: SparkSession, folder: str, pattern: str = "*.bin", most_files: int | None = None) -> DataFrame:
+    """The spool as a stream: each file once, also over restarts, from any file system that Spark reads; rows as in ``read_spool``. ``most_files`` bounds a micro-batch."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern)
+    if most_files is not None:
+        reader = reader.option("maxFilesPerTrigger", most_files)
+    return _parsed(reader.load(folder))

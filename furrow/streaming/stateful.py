@@ -159,6 +159,28 @@ def with_latest(frames: DataFrame, readings: DataFrame, by: str, at: str, value:
     return timed.groupBy(by).applyInPandasWithState(step, _schema(frames, ", latest double"), "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def newest_only(frames: DataFrame, by: str, sequence: str) -> DataFrame:
+    """Of each session and micro-batch the frame of the highest number, if it is higher than all before: a queue of one place that each trigger empties.
+
+    Adds the session's counts so far: ``pushed`` frames, those ``dropped`` because a newer one took their place or had gone before, and those ``popped``. Frames without a number are dropped. A
+    session that ends needs no closing: what its last trigger brought has been given out.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, pushed, popped = state.get if state.exists else (None, 0, 0)
+        rows = pd.concat([*batches])
+        pushed += len(rows)
+        known = rows[rows[sequence].notna()].sort_values(sequence, kind="stable").tail(1)
+        if len(known) and (last is None or known[sequence].iloc[0] > last):
+            last, popped = int(known[sequence].iloc[0]), popped + 1
+        else:
+            known = known.head(0)
+        state.update((last, pushed, popped))
+        yield known.assign(pushed=pushed, dropped=pushed - popped, popped=popped)
+
+    return frames.groupBy(by).applyInPandasWithState(step, _schema(frames, ", pushed long, dropped long, popped long"), "last long, pushed long, popped long", "append", GroupStateTimeout.NoTimeout)
+
+
 def closed_sessions(events: DataFrame, by: str, order: str, on: str) -> DataFrame:
     """(by, started, ended, records): one row when a session ends, that is with the first row whose ``on`` is false behind rows whose ``on`` is true."""
     kind, number = events.schema[by].dataType.simpleString(), events.schema[order].dataType.simpleString()

@@ -184,3 +184,41 @@ def test_dates_that_no_calendar_has(spark):
     text = "\n\n".join(block.format(i, i, i, d) for i, d in enumerate(["2024-02-29 10:11:12.5", "2023-02-29 10:11:12", "2024-01-01T25:00:00", "none"], 1))
     got = {x["srt_index"]: (x["date_time"], x["extras"].get("unparsed_date_time")) for x in parse_blocks(spark.createDataFrame([(text,)], "value string")).collect()}
     assert got == {1: ("2024-02-29 10:11:12.5", None), 2: (None, "2023-02-29 10:11:12"), 3: (None, "2024-01-01T25:00:00"), 4: (None, None)}
+
+
+def test_the_spool_as_a_stream(spark, tmp_path):
+    """Each file once, over triggers and a restart, with the rows of the batch reader."""
+    (tmp_path / "in").mkdir()
+    got, seen = [], []
+    for names in ("ab", "cd"):
+        for k in names:
+            (tmp_path / "in" / f"{k}.bin").write_bytes(b"short" if k == "c" else frame(0x1FF if k == "b" else 1))
+        q = spool.stream_spool(spark, f"file://{tmp_path}/in", most_files=1).writeStream.foreachBatch(lambda df, i: (got.extend(df.collect()), seen.append(i))).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+    key = lambda x: x["path"][-5]
+    assert sorted(got, key=key) == sorted(spool.read_spool(spark, f"file://{tmp_path}/in").collect(), key=key) and len(got) == 4 and len(set(seen)) >= 4
+
+
+def test_stages_are_resumed(spark, tmp_path):
+    """A second run reads; a changed setting or file makes what follows, and nothing else; what was broken off is made again."""
+    from furrow.storage import Stages
+
+    spark.range(10).write.parquet(f"file://{tmp_path}/in")
+
+    def flow(times: int, least: int):
+        stages = Stages(f"file://{tmp_path}/stages")
+        source = spark.read.parquet(f"file://{tmp_path}/in")
+        other = stages.stage(spark, "other", [source], {}, lambda: source.where("id = 3"))
+        product = stages.stage(spark, "product", [source], {"times": times}, lambda: source.select((F.col("id") * times).alias("v")))
+        large = stages.stage(spark, "large", [product, other], {"least": least}, lambda: product.where(F.col("v") >= least))
+        return stages.made, sorted(x["v"] for x in large.collect()), next(k for _, k in stages.keys.values() if k.startswith("large"))
+
+    assert flow(2, 14)[:2] == (["other", "product", "large"], [14, 16, 18])
+    assert flow(2, 14)[:2] == ([], [14, 16, 18])
+    assert flow(2, 16)[:2] == (["large"], [16, 18])
+    made, rows, key = flow(3, 14)
+    assert (made, rows) == (["product", "large"], [15, 18, 21, 24, 27])
+    (tmp_path / "stages" / key / "_SUCCESS").unlink()
+    assert flow(3, 14)[:2] == (["large"], [15, 18, 21, 24, 27])
+    spark.range(10, 12).write.mode("append").parquet(f"file://{tmp_path}/in")
+    assert flow(2, 14)[:2] == (["other", "product", "large"], [14, 16, 18, 20, 22])

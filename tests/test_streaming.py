@@ -172,3 +172,34 @@ def test_a_frame_between_two_readings_that_came_before_it(spark, tmp_path):
     pieces = [[(0, 1, 10.0, 1.0, "reading"), (0, 2, 100.0, 2.0, "reading")], [(0, 3, 50.0, None, "frame")], [(0, 4, 300.0, 3.0, "reading"), (0, 5, None, None, "frame")]]
     make = lambda s: stateful.with_latest(s.where("s = 'frame'").select("g", "n", "t"), s.where("s = 'reading'"), "g", "t", "v", "60 seconds")
     assert [(x["n"], x["latest"]) for x in fed(spark, tmp_path, pieces, make)] == [(3, 1.0)]
+
+
+def test_newest_frame_of_each_trigger(spark, tmp_path):
+    pieces = [[(0, 1, 0.0, None, ""), (0, 3, 0.0, None, ""), (0, 2, 0.0, None, ""), (1, 5, 0.0, None, "")], [(0, 2, 0.0, None, ""), (0, None, 0.0, None, "")], [(0, 4, 0.0, None, ""), (0, 9, 0.0, None, ""), (1, 6, 0.0, None, "")]]
+    got = fed(spark, tmp_path, pieces, lambda s: stateful.newest_only(s, "g", "n"), stop=1)
+    assert sorted((x["g"], x["n"], x["pushed"], x["dropped"], x["popped"]) for x in got) == [(0, 3, 3, 2, 1), (0, 9, 7, 5, 2), (1, 5, 1, 0, 1), (1, 6, 2, 0, 2)]
+
+
+def test_the_finalizer_judges_each_session_once(spark, tmp_path):
+    """A stream of two sessions that end, one of them again after a restart."""
+    from furrow import pipelines
+
+    r = random.Random(2)
+    field = [(s, 10 * j + i, 40.0 * i + r.uniform(-0.5, 0.5), 90.0 * j + r.uniform(-0.5, 0.5)) for s in (0, 1) for j in range(5) for i in range(10) if (s, i, j) != (1, 5, 2)]
+    plants = spark.createDataFrame(field, "session_id long, plant_id long, x double, y double")
+    out = f"file://{tmp_path}/out"
+    events = [[(0, 1, 1.0, None, "on"), (1, 2, 2.0, None, "on"), (1, 3, 3.0, None, "on")], [(1, 4, 4.0, None, "off")], [(0, 5, 5.0, None, "off"), (7, 6, 6.0, None, "on")], [(1, 7, 7.0, None, "on"), (1, 8, 8.0, None, "off"), (7, 9, 9.0, None, "off")]]
+    judge = pipelines.finalizer(lambda closed: plants.join(closed.select("session_id"), "session_id", "left_semi"), out)
+    closed = lambda s: stateful.closed_sessions(s.select(F.col("g").alias("session_id"), "n", (F.col("s") == "on").alias("on")), "session_id", "n", "on")
+    for k, piece in enumerate(events):
+        spark.createDataFrame(piece, SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        if k in (1, 3):
+            stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+            closed(stream).writeStream.foreachBatch(judge).option("checkpointLocation", f"file://{tmp_path}/c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    told = {x["session_id"]: x for x in spark.read.parquet(f"{out}/sessions").collect()}
+    assert spark.read.parquet(f"{out}/sessions").count() == 3 and {k: (x["status"], x["plants"], x["gap_count"], x["records"]) for k, x in told.items()} == {0: ("zero_gaps_confirmed", 50, 0, 1), 1: ("gaps_found", 49, 1, 2), 7: ("NOT_EVALUATED", 0, None, 1)}
+    gaps = spark.read.parquet(f"{out}/gaps").collect()
+    assert [x["session_id"] for x in gaps] == [1]
+    # a batch that is run again changes nothing
+    judge(spark.createDataFrame([(1, 2, 4, 2)], "session_id long, started long, ended long, records long"), told[1]["batch_id"])
+    assert spark.read.parquet(f"{out}/sessions").count() == 3 and spark.read.parquet(f"{out}/gaps").count() == 1
