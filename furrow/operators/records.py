@@ -12,6 +12,7 @@ from furrow.operators import folds, selection, spatial, statistics
 from furrow.operators.reports import connected_cells
 from furrow.operators.sync import asof_both
 from furrow.sources.readers import unsorted_rows
+from furrow.storage import checkpointed
 
 
 def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -33,6 +34,25 @@ def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: s
     return joined
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """Add ``name``: 1, 2, 3 ... over all rows in a total order.
+
+    Rows are dealt by ranges and numbered in each; what a range begins with is the sum of the sizes of those before, of which there are as many as tasks. No row goes to a single task for its number.
+    """
+    held = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = checkpointed(held.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("_range", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_range", "_at", "_first", "_before")
+
+
+def key_union(rows: DataFrame, column: str) -> DataFrame:
+    """One row with ``keys``: all keys of a map column's rows, sorted, each once. Null maps have none. Keys are made distinct in each task before they meet."""
+    keys = rows.select(F.explode(F.map_keys(column)).alias("key")).distinct()
+    return keys.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+
 def shards_in_order(shards: list[DataFrame], order: list[str]) -> DataFrame:
     """All shards' rows as one table sorted by ``order``, dealt by ranges; columns that a shard lacks are null."""
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)

@@ -103,6 +103,7 @@ def gap_report(detections: DataFrame, transforms: DataFrame, areas: DataFrame, s
     rejected = missing.where("rejection_reason is not null").withColumn("boundary_fraction", F.col("boundary_distance") / F.greatest("spacing", F.lit(1e-9))).withColumn("candidate_id", F.concat(F.lit("rejected_"), "plant_id"))
     judged = checkpointed(_doubted(missing.where("rejection_reason is null").drop("rejection_reason"), inside.where("support_status = 'suspicious_singleton'"), s))
     found = placed(rows.gaps(judged)).withColumnsRenamed({"x": "local_x", "y": "local_y"}).withColumn("square", geometry.square(F.col("local_x"), F.col("local_y"), 4.0))
+    found = records.numbered(found, [F.col("plot_id"), F.col("row_id"), F.col("start_slot")]).withColumn("gap_id", F.format_string("gap_%06d", "number")).drop("number")
     plots = areas.select(F.col("area_id").alias("plot_id")).distinct()
     analysed = good.select("plot_id", F.col("id").alias("plant_id"), "support_status")
     one, status_is = F.count(F.lit(1)), lambda v: F.count_if(F.col("support_status") == v)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions import geometry
-from furrow.operators import decode, masks, polygons, registration
+from furrow.functions import gates, geometry
+from furrow.operators import decode, masks, polygons, records, registration
 from furrow.plans.base import DETECTIONS, POINTS, query
 from furrow.plans.detection import _greedy
 from furrow.plans.spatial import _EDGES, _GEO, AREAS, _rings
@@ -177,3 +177,26 @@ def utm_round_trip(p: DataFrame) -> DataFrame:
     lat, lon = geometry.from_utm(F.col("e"), F.col("n"), F.col("zone"))
     return held.withColumns({"lat": lat, "lon": lon}).select("id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
 
+
+
+@query("SELECT id, g, CAST(row_number() OVER (ORDER BY y, x, id) AS BIGINT) AS number FROM p", p=POINTS)
+def numbered_in_order(p: DataFrame) -> DataFrame:
+    """Numbers over the whole table in an order, without bringing it together."""
+    return records.numbered(p, [F.col("y"), F.col("x"), F.col("id")]).select("id", "g", F.col("number").cast("long").alias("number"))
+
+
+@query("SELECT array_to_string(list_sort(list_distinct(flatten(list(k)))), ',') AS keys FROM (SELECT CASE WHEN event_id % 3 = 0 THEN ['kind', 'u' || user_id % 7] ELSE ['v' || event_id % 11, 'kind'] END AS k FROM e)", e="SELECT event_id, user_id FROM {events}")
+def union_of_keys(e: DataFrame) -> DataFrame:
+    """The columns that a table of records of different fields would have."""
+    one, text = F.lit(1), lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    maps = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("kind"), one, text("u", "user_id", 7), one)).otherwise(F.create_map(text("v", "event_id", 11), one, F.lit("kind"), one))
+    return records.key_union(e.withColumn("m", maps), "m").select(F.array_join("keys", ",").alias("keys"))
+
+
+_CLOSE = "SELECT event_id AS id, CAST(value AS DOUBLE) AS confidence, event_id % 3 AS near FROM {events}"
+
+
+@query("SELECT id, CASE WHEN near > 0 THEN confidence * 0.5 ELSE confidence END AS confidence FROM t", t=_CLOSE)
+def downgraded_confidence(t: DataFrame) -> DataFrame:
+    """Half the confidence beside doubtful sightings."""
+    return t.select("id", gates.downgraded(F.col("confidence"), F.col("near")).alias("confidence"))

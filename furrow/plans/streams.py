@@ -67,7 +67,14 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(stateful.closed_sessions(held.select("user_id", "event_id", "on"), "user_id", "event_id", "on"), spark)
 
 
-_queries.update({f.__name__: f for f in (stream_rate_limit, stream_carry_forward, stream_admission, stream_association, stream_telemetry, stream_sessions)})
+def stream_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event of each user, and how many gave way to it: the table comes in one trigger."""
+    held = _events(spark, sf_dir).select("user_id", "event_id")
+    return _finished(stateful.newest_only(held, "user_id", "event_id"), spark)
+
+
+_queries.update({f.__name__: f for f in (stream_newest, stream_rate_limit, stream_carry_forward, stream_admission, stream_association, stream_telemetry, stream_sessions)})
+_oracles["stream_newest"] = "SELECT user_id, max(event_id) AS event_id, count(*) AS pushed, count(*) - 1 AS dropped, 1::BIGINT AS popped FROM events GROUP BY user_id"
 _oracles["stream_association"] = "SELECT event_id % 4 AS segment_id, CAST(floor(event_id % 400 / 4) AS BIGINT) AS plant, count(*) AS observations FROM events GROUP BY ALL"
 _oracles["stream_telemetry"] = f"""WITH e AS ({plain(telemetry.CLOCK)}) SELECT f.user_id, f.event_id, c.value AS latest FROM (SELECT * FROM e WHERE event_type = 'view') f ASOF LEFT JOIN (SELECT user_id, t, value FROM e WHERE event_type = 'click') c ON f.user_id = c.user_id AND f.t >= c.t"""
 _oracles["stream_sessions"] = """WITH r AS (SELECT user_id, event_id, event_id % 7 < 4 AS on_ FROM events),

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -224,6 +225,51 @@ def session_logs(folder: str, tables: dict[str, Callable[[DataFrame], DataFrame]
     return write
 
 
+def json_logs(folder: str, tables: dict[str, Callable[[DataFrame], DataFrame]], by: str, most: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends each table of a batch to its session's JSON lines, of which the newest ``most`` bytes stay.
+
+    ``folder``/name/by=.../batch_id=... holds a batch's lines of a session. A batch that is run again replaces its own. Once the batches from the newest back exceed the budget,
+    the older ones are deleted, whole; the newest stays whatever its size. ``session_summary`` tells what was written, kept and discarded. A row whose session is null isn't written.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, sizes = batch.sparkSession, None
+        batch.persist()
+        for name, make in tables.items():
+            lines = make(batch).where(F.col(by).isNotNull())
+            lines = lines.select(F.col(by), F.to_json(F.struct(*lines.columns)).alias("value"), F.lit(batch_id).alias("batch_id"))
+            lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch_id").text(f"{folder}/{name}")
+            one = lines.groupBy(by).agg(F.sum(F.octet_length("value") + 1).cast("long").alias("bytes"), F.count(F.lit(1)).alias("records")).withColumn("log", F.lit(name))
+            sizes = one if sizes is None else sizes.unionByName(one)
+        sizes.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/sizes")
+        batch.unpersist()
+        own = F.sum(F.when(F.col("batch_id") == batch_id, F.col("bytes")).otherwise(0)).over(W.partitionBy(by, "log"))
+        # what this batch has pushed out; what earlier ones have is gone already
+        gone = _retained(spark.read.parquet(f"{folder}/sizes"), by, most).withColumn("_own", own).where(~F.col("kept") & (F.col("_own") > 0))
+        escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in gone.select(F.col(by).cast("string").alias("s"), "log", "batch_id").toLocalIterator():
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['log']}/{by}={escape(row['s'])}/batch_id={row['batch_id']}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return write
+
+
+def _retained(sizes: DataFrame, by: str, most: int) -> DataFrame:
+    newest = W.partitionBy(by, "log").orderBy(F.desc("batch_id"))
+    total = F.sum("bytes").over(newest.rowsBetween(W.unboundedPreceding, 0))
+    return sizes.withColumn("kept", (total <= most) | (F.row_number().over(newest) == 1))
+
+
+def session_summary(spark: SparkSession, folder: str, by: str, most: int) -> DataFrame:
+    """(by, log, batches, records, bytes, records_kept, bytes_kept, records_discarded) of what ``json_logs`` has written with the same budget."""
+    held = _retained(spark.read.parquet(f"{folder}/sizes"), by, most)
+    kept = lambda c: F.sum(F.when(F.col("kept"), F.col(c)).otherwise(0))
+    return held.groupBy(by, "log").agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), kept("records").alias("records_kept"), kept("bytes").alias("bytes_kept"),
+        (F.sum("records") - kept("records")).alias("records_discarded"),
+    )
+
+
 class StatusListener(StreamingQueryListener):
     """Hands a small status document to ``put`` at each step of each query: its state, batch, rows and rate, or why it ended."""
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow import pipelines
+from furrow.operators import fusion
 
 
 def test_gap_report_finds_the_missing_plants(spark):
@@ -51,8 +52,9 @@ def test_gap_report_finds_the_missing_plants(spark):
     placed = sorted(again["gaps"].collect(), key=lambda g: g["estimated_missing_plants"])
     assert [g["estimated_missing_plants"] for g in placed] == [1, 2] and placed[0]["geo_quality"] == "usable" and placed[0]["horizontal_uncertainty_m"] == 2.5
     assert placed[0]["latitude"] == pytest.approx(48 + math.degrees((0.5 * placed[0]["local_y"] - 20) / 6_378_137)) and again["plants"].where("latitude is null").count() == 0
-    lost = pipelines.gap_report(d, t, areas, pipelines.GapSettings(image=(2000.0, 2000.0)), fit.withColumn("geo_valid", F.lit(False)))
-    assert lost["gaps"].where("latitude is null and geo_method = 'path_fit'").count() == 2
+    lost = fusion.georeferenced(out["gaps"].withColumnsRenamed({"local_x": "x", "local_y": "y"}), fit.withColumn("geo_valid", F.lit(False)), ["plot_id"], "left")
+    assert lost.where("latitude is null and geo_method = 'path_fit'").count() == 2
+    assert [g["gap_id"] for g in out["gaps"].orderBy("plot_id", "row_id", "start_slot").collect()] == ["gap_000001", "gap_000002"]
 
 
 def test_gap_report_gates(spark):

@@ -203,3 +203,22 @@ def test_the_finalizer_judges_each_session_once(spark, tmp_path):
     # a batch that is run again changes nothing
     judge(spark.createDataFrame([(1, 2, 4, 2)], "session_id long, started long, ended long, records long"), told[1]["batch_id"])
     assert spark.read.parquet(f"{out}/sessions").count() == 3 and spark.read.parquet(f"{out}/gaps").count() == 1
+
+
+def test_json_logs_under_a_budget(spark, tmp_path):
+    """Three triggers, the budget holds about two of them; a batch that is run again changes nothing."""
+    import json
+
+    pieces = [[(g, 10 * k + i, float(k), None, "a b/=" if i else "ü") for g in (0, 1) for i in range(3 if g else 1)] + [(None, 5, 1.0, None, "")] for k in range(3)]
+    folder = f"file://{tmp_path}/logs"
+    logs = {"frames": lambda df: df.select("g", "n", "s"), "times": lambda df: df.where("g = 1").select("g", "t")}
+    put = stateful.json_logs(folder, logs, "g", 75)
+    for k, piece in enumerate(pieces):
+        for _ in range(2):
+            put(spark.createDataFrame(piece, SCHEMA), k)
+    lines = {(g, name): [json.loads(x) for f in sorted((tmp_path / "logs" / name / f"g={g}").rglob("*.txt")) for x in f.read_text().splitlines()] for g in (0, 1) for name in logs}
+    told = {(x["g"], x["log"]): x for x in stateful.session_summary(spark, folder, "g", 75).collect()}
+    assert sorted(x["n"] for x in lines[0, "frames"]) == [0, 10, 20] and sorted(x["n"] for x in lines[1, "frames"]) == [20, 21, 22] and (0, "times") not in told
+    assert [told[1, "frames"][c] for c in ("batches", "records", "records_kept", "records_discarded")] == [3, 9, 3, 6] and told[0, "frames"]["records_discarded"] == 0
+    assert told[0, "frames"]["bytes"] == sum(len(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode()) + 1 for x in lines[0, "frames"])
+    assert len(lines[1, "times"]) == told[1, "times"]["records_kept"]
