@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import importlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +51,30 @@ def test_registered():
 
     assert {int(k[2:].split("_")[0]) for k in queries()} == {*range(1, 14)}
     assert {*oracle_sql()} <= {*queries()}
+
+
+def test_stages_on_odd_rows(spark, folder, odd):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing columns: each stage keeps the columns and makes nothing up."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    key = lambda df, *skip: Counter(tuple(r[c] for c in df.columns if c not in skip) for r in df.collect())
+    given, seen = key(odd), {}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns
+        seen[name] = key(out, *(["text", "n_chars"] if name == "secret_scan" else []))
+        whole = key(odd, "text", "n_chars") if name == "secret_scan" else given
+        assert not seen[name] - whole
+    assert sum(seen["secret_scan"].values()) == sum(given.values())
+    texts = {" ".join((r[1] or "").split()) for r in given}
+    assert len(seen["exact_copies"]) == sum(seen["exact_copies"].values()) <= len(texts) + 1
+    ids = {r[0] for r in seen["near_copies"]}
+    assert {4, 5, 6, 7, 12, 13, -5} <= ids and 8 not in ids and 2 not in ids
+    packed = pipeline.STAGES[-1][1](spark, odd, folder).select("doc_id").distinct().collect()
+    assert {r["doc_id"] for r in packed} == {r[0] for r in given}
+
+
+def test_quality_stage_without_labels(spark, folder, odd):
+    from furrow.llm import mil
+
+    labels = spark.read.parquet(f"{folder}/labels.parquet").limit(0)
+    assert mil.keep_good(odd, labels).count() == odd.count()
