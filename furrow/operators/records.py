@@ -47,6 +47,22 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFr
     return held.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_range", "_at", "_first", "_before")
 
 
+def group_sizes(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n): groups by size, the largest first, then by key; sorted by ranges. A null key is a group."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *by)
+
+
+def totals(df: DataFrame, distinct: dict[str, str], counted: dict[str, Column], ranged: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row over a whole table: ``observations``, numbers of different values, numbers of rows for which a condition holds, and least and largest values under two names each.
+
+    Sums are combined in each task. Of an empty table all numbers are 0 and the values null.
+    """
+    return df.agg(
+        F.count(F.lit(1)).alias("observations"), *[F.countDistinct(c).alias(n) for n, c in distinct.items()], *[F.count_if(c).alias(n) for n, c in counted.items()],
+        *[f(c).alias(n) for c, names in ranged.items() for f, n in zip((F.min, F.max), names, strict=True)],
+    )
+
+
 def key_union(rows: DataFrame, column: str) -> DataFrame:
     """One row with ``keys``: all keys of a map column's rows, sorted, each once. Null maps have none. Keys are made distinct in each task before they meet."""
     keys = rows.select(F.explode(F.map_keys(column)).alias("key")).distinct()

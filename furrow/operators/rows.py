@@ -63,6 +63,11 @@ def runs(missing: DataFrame, by: list[str], slot: str = "slot_index") -> DataFra
     return missing.withColumn("run", F.col(slot) - F.row_number().over(w))
 
 
+def run_members(missing: DataFrame, by: list[str], slot: str = "slot_index") -> DataFrame:
+    """Add ``run`` and ``first``, the smallest slot of the run: the way back from a run to its members, by a window."""
+    return runs(missing, by, slot).withColumn("first", F.min(slot).over(W.partitionBy(*by, "run")))
+
+
 def gaps(missing: DataFrame) -> DataFrame:
     """One row for each run of missing slots (plot_id, row_id, slot_index, along, across, coverage_count, nearby_suspicious_count, confidence)."""
     held = runs(missing, ["plot_id", "row_id"])

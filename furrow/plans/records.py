@@ -125,12 +125,12 @@ def plant_gate_summary(g: DataFrame) -> DataFrame:
 @query("SELECT status, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC", g=_GATED)
 def group_sizes(g: DataFrame) -> DataFrame:
     """Groups by size, the largest first."""
-    return g.groupBy("status").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "status")
+    return records.group_sizes(g, ["status"])
 
 
 @query("SELECT count(*) AS observations, count(DISTINCT plant) AS plants, count(*) FILTER (status = 'accepted') AS accepted, min(distance) AS least, max(distance) AS most FROM g", g=_GATED)
 def grand_totals(g: DataFrame) -> DataFrame:
-    return g.agg(F.count(F.lit(1)).alias("observations"), F.countDistinct("plant").alias("plants"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.min("distance").alias("least"), F.max("distance").alias("most"))
+    return records.totals(g, {"plants": "plant"}, {"accepted": F.col("status") == "accepted"}, {"distance": ("least", "most")})
 
 
 @query("SELECT g, px, py, max(v) AS v FROM (SELECT g, CAST(floor(x / 20) AS BIGINT) AS px, CAST(floor(y / 20) AS BIGINT) AS py, CASE WHEN w > 0.5 THEN 1 ELSE 0 END AS v FROM p) GROUP BY ALL", p=POINTS)
@@ -179,9 +179,8 @@ def sources_compared(a: DataFrame, b: DataFrame) -> DataFrame:
 @query("SELECT plot_id, row_id, slot_index, run, first FROM (SELECT plot_id, row_id, slot_index, run, min(slot_index) OVER (PARTITION BY plot_id, row_id, run) AS first FROM (SELECT plot_id, row_id, plant_id AS slot_index, plant_id - row_number() OVER (PARTITION BY plot_id, row_id ORDER BY plant_id) AS run FROM pl))", pl=PLANTS)
 def members_of_runs(pl: DataFrame) -> DataFrame:
     """Each member of a run with the run's first member: the way back from a run to its members."""
-    held = rows.runs(pl.select("plot_id", "row_id", F.col("plant_id").alias("slot_index")), ["plot_id", "row_id"])
-    first = held.groupBy("plot_id", "row_id", "run").agg(F.min("slot_index").alias("first"))
-    return held.join(first, ["plot_id", "row_id", "run"]).select("plot_id", "row_id", "slot_index", "run", "first")
+    held = rows.run_members(pl.select("plot_id", "row_id", F.col("plant_id").alias("slot_index")), ["plot_id", "row_id"])
+    return held.select("plot_id", "row_id", "slot_index", "run", "first")
 
 
 @query(

@@ -355,3 +355,23 @@ def test_regions_and_flags_reject_what_they_do_not_know(spark):
         one.select(records.region(F.lit(1), F.lit(0), F.lit(5), F.lit(5), F.lit(5), F.lit(5))).collect()
     with pytest.raises(Exception, match="unknown gate status"):
         records.frame_flags(spark.createDataFrame([(1, "odd", 0.5)], "f long, status string, confidence double"), ["f"], 0.3).collect()
+
+
+def test_numbers_over_a_whole_table(spark):
+    from furrow.operators import records
+
+    r = random.Random(3)
+    rows = [(r.randrange(50), i) for i in range(700)]
+    got = records.numbered(spark.createDataFrame(rows, "a long, b long").repartition(7), [F.desc("a"), F.col("b")]).collect()
+    assert [(x["a"], x["b"]) for x in sorted(got, key=lambda x: x["number"])] == sorted(rows, key=lambda x: (-x[0], x[1])) and sorted(x["number"] for x in got) == list(range(1, 701))
+    assert records.numbered(spark.createDataFrame([], "a long"), [F.col("a")]).count() == 0
+
+
+def test_reports_of_nothing(spark):
+    from furrow.operators import records
+
+    none = spark.createDataFrame([], "k string, v double, m map<string,int>")
+    assert tuple(records.totals(none, {"n": "k"}, {"c": F.col("v") > 1}, {"v": ("lo", "hi")}).first()) == (0, 0, 0, None, None)
+    assert records.group_sizes(none, ["k"]).count() == 0 and records.key_union(none, "m").first()["keys"] == []
+    some = spark.createDataFrame([({"b": 1, "a": 2},), (None,), ({"c": 1},)], "m map<string,int>")
+    assert records.key_union(some, "m").first()["keys"] == ["a", "b", "c"]
