@@ -269,7 +269,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 3000) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more.
+
+    A null text is scored as an empty one, a very long one in blocks, whole; rows that repeat are scored alike, null ids pass through; without labels all rows stay; an empty table stays empty.
+    """
     ship(docs.sparkSession)
     model, at = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample)), docs.columns.index("text")
 

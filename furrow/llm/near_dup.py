@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     A null text, or one without words, has the empty set and is linked with nothing. A null doc_id counts as the smallest and
-    comes back as null. Rows that repeat a doc_id are taken as that document.
+    comes back as null. Rows that repeat a doc_id are taken as that document. Of a group the smallest id names it, so there are no ties. An empty table gives no
+    rows; other columns, whatever their names, are left out; very long texts are read whole.
     """
     spark = docs.sparkSession
     threshold = percent / 100

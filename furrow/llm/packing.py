@@ -97,7 +97,10 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids with ``end`` behind them, cut after every ``size`` ids. Null texts give the one id ``end``."""
+    """Each document's ids with ``end`` behind them, cut after every ``size`` ids. Null texts give the one id ``end``.
+
+    Null ids pass through; each row gives its pieces, also if it repeats another; very long texts are encoded whole; an empty table gives no pieces; other columns are left out.
+    """
     last, step = np.array([end], "<u4").tobytes(), 4 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,10 @@ def compiled(rules=RULES) -> Column:
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """One row for each row of ``df``: measures, base_failed and kept. Repeated rows and null ids pass through."""
+    """One row for each row of ``df``: measures, base_failed and kept. Repeated rows and null ids pass through, a null text has no words and fails the base rule.
+
+    An empty table gives no rows; other columns, whatever their names, are left out.
+    """
     held = measure(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_source")), "_source")
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     held = held.withColumn("base_failed", base)

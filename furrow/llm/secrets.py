@@ -118,7 +118,7 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
     """One row for each row of ``df``: doc_id, dig (of the text), base, spans (base and linked weak ones, sorted).
 
-    A null text counts as empty. Rows that repeat id and text get the same spans.
+    A null text counts as empty; null ids pass through. Rows that repeat id and text get the same spans. An empty table gives no rows; other columns are left out.
     Documents without weak parts don't shuffle.
     """
     found = stage_table(_scan(df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))), "spans")
@@ -144,7 +144,11 @@ def secret_scan(df: DataFrame, scope: int = 200) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = 200) -> DataFrame:
-    """``docs`` with each secret span of ``text`` replaced by ``mask`` and ``n_chars``, if there, counted anew."""
+    """``docs`` with each secret span of ``text`` replaced by ``mask`` and ``n_chars``, if there, counted anew.
+
+    Every row and column stays; null texts stay null; rows that repeat, and those with a null id, are masked like others; spans that overlap become one mask. An empty table stays empty. Columns
+    may have any names but those used inside: ``__furrow_id``, ``__furrow_dig``, ``__furrow_spans`` and ``__furrow_d``.
+    """
     spans = find_secrets(docs, scope=scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("__furrow_id"), F.col("dig").alias("__furrow_dig"), F.col("spans").alias("__furrow_spans"))
     spans = stage_table(spans.dropDuplicates(["__furrow_id", "__furrow_dig"]), "redactions")
     marked = docs.withColumn("__furrow_d", F.xxhash64(text_of()))
