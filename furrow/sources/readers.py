@@ -27,6 +27,16 @@ def read_records(spark: SparkSession, folder: str, stem: str, schema: str) -> Da
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{folder}/{stem}*.jsonl")
 
 
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents, each a whole file with one object or a list of them: a row for each object, with ``path`` and ``problem``.
+
+    ``problem`` is the text of a document that isn't JSON or doesn't fit the schema, whose other columns are then null as far as they couldn't be read; else it is null. Fields that the
+    schema doesn't name are left out, and fields that a document lacks are null.
+    """
+    df = spark.read.schema(f"{schema}, problem string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "problem").json(path)
+    return df.select("*", F.col("_metadata.file_path").alias("path"))
+
+
 def read_areas(spark: SparkSession, path: str) -> DataFrame:
     """Polygons and multipolygons of a feature collection: (area_id, properties, part, ring_id, hole, xs, ys), one row for each ring; ring_id counts in its part."""
     doc = spark.read.schema(AREAS).option("multiLine", True).json(path)

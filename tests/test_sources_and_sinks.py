@@ -222,3 +222,11 @@ def test_stages_are_resumed(spark, tmp_path):
     assert flow(3, 14)[:2] == (["large"], [15, 18, 21, 24, 27])
     spark.range(10, 12).write.mode("append").parquet(f"file://{tmp_path}/in")
     assert flow(2, 14)[:2] == (["other", "product", "large"], [14, 16, 18, 20, 22])
+
+
+def test_json_documents(spark, tmp_path):
+    """Objects and lists of them over several lines; what isn't JSON is put aside and not lost."""
+    for name, text in {"a": '{\n "n": 1,\n "more": {"k": 2}\n}', "b": '[{"n": 2, "s": "x"},\n {"n": 3}]', "c": "not json", "d": '{"n": "text"}'}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = [(x["path"][-6], x["n"], x["s"], x["problem"] is None) for x in readers.read_documents(spark, f"file://{tmp_path}", "n long, s string").collect()]
+    assert sorted(got, key=str) == [("a", 1, None, True), ("b", 2, "x", True), ("b", 3, None, True), ("c", None, None, False), ("d", None, None, False)]
