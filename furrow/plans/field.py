@@ -47,6 +47,18 @@ def gap_report(p: DataFrame, d: DataFrame, a: DataFrame) -> DataFrame:
     return gaps.select("plot_id", "estimated_missing_plants", F.round("local_x", 3).alias("local_x"), F.round("local_y", 3).alias("local_y"))
 
 
+@query(
+    f"""WITH {_GAPS}, c AS (SELECT plot_id, count(*) AS n, count(DISTINCT row_no) AS r FROM p GROUP BY plot_id), g AS (SELECT plot_id, count(*) FILTER (m > 0) AS gaps, coalesce(sum(m) FILTER (m > 0), 0) AS missing FROM k GROUP BY plot_id)
+SELECT area_id AS plot_id, coalesce(n, 0) AS plants, CASE WHEN n >= 40 THEN r ELSE 0 END AS rows, CASE WHEN n >= 40 THEN r ELSE 0 END AS row_segments, coalesce(gaps, 0) AS gap_count, coalesce(missing, 0)::BIGINT AS estimated_missing_plants,
+CASE WHEN n >= 40 THEN n + coalesce(missing, 0) ELSE 0 END::BIGINT AS expected_capacity, CASE WHEN n >= 40 THEN 'complete_candidate_review_required' ELSE 'insufficient_unique_plants' END AS analysis_status
+FROM a LEFT JOIN c ON c.plot_id = area_id LEFT JOIN g ON g.plot_id = area_id""",
+    p=FIELD, d=SEEN, a=PLOTS,
+)
+def plot_summaries(p: DataFrame, d: DataFrame, a: DataFrame) -> DataFrame:
+    """The flight's plots: plants, rows, places and what is missing of them."""
+    return _report(d, a)["summary"].select("plot_id", "plants", "rows", "row_segments", "gap_count", "estimated_missing_plants", "expected_capacity", "analysis_status")
+
+
 _STILL = "SELECT o_orderkey AS observation_id, o_orderkey % 4 AS segment_id, CAST(floor(o_orderkey / 400) * 10 AS BIGINT) AS frame_index, CAST(floor(o_orderkey % 400 / 4) AS DOUBLE) * 30 AS x, 0.0::DOUBLE AS y FROM {orders}"
 
 
