@@ -3,11 +3,16 @@
 Documents with equal shingle sets form a class, and one of each class goes on. In each of several independent trees a document
 follows the path of its minwise tokens at chosen coordinates of its sketch; two documents of similarity J take the same
 branch with probability J. The first two levels are taken by all. A node with more than ``limit`` documents
-branches on, by several coordinates that its path chooses. The other nodes are compared exhaustively on full sets; nodes
-that are still large at the last level, that branching hardly divides, or whose sets are too long to be held at once, are compared in blocks, so nothing is left out.
+branches on, by several coordinates that its path chooses. The other nodes are compared exhaustively on full sets.
+
+Nodes that are still large at the last level, that branching hardly divides, or whose sets are too long to be held at once, are settled in two
+steps. First they are cut into blocks, dealt anew in each tree, and each block is compared by itself: a group of copies becomes one component, as its documents meet in
+several blocks. Documents of nodes that then hold more than one component are compared across components by their rarest shared shingles: two sets of similarity t have one in
+common among the first (1 - t) of the longer set and the first (1 - t) / (1 + t) of the shorter one, in any order of all shingles. Shingles of one component only
+can't be shared across, so they come first and are never sent; pages of one template that fall short of the threshold have nothing else there and meet nobody. This step is exact.
 
 The number of trees follows from the target recall for a pair at the threshold exactly whose nodes are over the limit at
-every level (``recall_of``), so it holds for any input; more similar pairs, and groups with more than one link, are found with a higher one.
+every level (``recall_of``), so it holds for any input; more similar pairs, pairs in large nodes, and groups with more than one link, are found with a higher one.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import hot_join, released, stage_table, text_of
@@ -115,6 +120,32 @@ def _sets(words: int):
     return run
 
 
+def _postings(words: int):
+    """(did, text, root) to (did, row, root, size, shingles); ``row`` tells texts under one did apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in released(batches):
+            dids, roots = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            rows, size = [], 0
+            for did, root, s in zip(dids, roots, shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], words), strict=True):
+                row = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                rows.append((did, row, root, len(s), s.view(np.int64)))
+                size += len(s)
+                if size > 1_000_000:
+                    yield _posting_rows(rows)
+                    rows, size = [], 0
+            yield _posting_rows(rows)
+
+    return run
+
+
+def _posting_rows(rows: list) -> pa.RecordBatch:
+    *cols, sets = list(zip(*rows, strict=True)) or [[]] * 5
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
+    flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.ListArray.from_arrays(offsets, flat)], ["did", "row", "root", "size", "shingles"])
+
+
 def _set_rows(rows: list) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "did", "shingles"])
@@ -181,8 +212,15 @@ def _links(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _blocks(limit: int, heavy: int) -> Column:
+    """Blocks of about limit / 2 documents and heavy / 2 shingles for a node of ``n`` documents and ``weight`` shingles."""
+    whole = (F.col("n") <= limit) & (F.col("weight") <= heavy)
+    return F.when(whole, F.lit(1)).otherwise(F.greatest(F.ceil(F.col("n") / (limit // 2)), F.ceil(F.col("weight") / (heavy // 2)))).cast("long")
+
+
 def _nodes(reps: DataFrame, threshold: float, trees: int, depth: int, limit: int, heavy: int = HEAVY) -> DataFrame:
-    """(did, n_shingles, sketch) to (did, node): the nodes of two to ``limit`` documents and up to ``heavy`` shingles, and blocks of the others."""
+    """(did, n_shingles, sketch) to (did, node, large, blocks): the nodes of two to ``limit`` documents and up to ``heavy`` shingles, and the large ones, with the
+    number of blocks that hold half of that."""
     path = lambda t: F.xxhash64(F.lit(t), F.col("sketch")[2 * t], F.col("sketch")[2 * t + 1])
     rows = reps.select("did", "n_shingles", F.explode(F.array(*[path(t) for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("parent_n"))
     deeper, branches, done, large = COORDINATES - 2 * trees, branches_for(threshold), [], []
@@ -191,13 +229,13 @@ def _nodes(reps: DataFrame, threshold: float, trees: int, depth: int, limit: int
         sizes = stage_table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1"), "node-sizes")
         rows = stage_table(hot_join(rows, sizes, "node", "n"), "nodes")
         small = F.col("n") <= limit
-        done.append(rows.where(small & (F.col("weight") <= heavy)).select("did", "node"))
+        done.append(rows.where(small & (F.col("weight") <= heavy)).select("did", "node", F.lit(False).alias("large"), F.lit(1).cast("long").alias("blocks")))
         large.append(rows.where(small & (F.col("weight") > heavy)).select("did", "node", "n", "weight"))
         rows = rows.where(~small)
         if level == depth or rows.isEmpty():
             large.append(rows.select("did", "node", "n", "weight"))
             break
-        # blocks cost the square of a node; branching on pays only if the squares of the branches are less than that
+        # branching on pays only if the squares of the branches are less than that of the node
         size = F.col("n").cast("double")
         dense = F.coalesce(size * size * branches > F.col("parent_n").cast("double") * F.col("parent_n"), F.lit(False))
         large.append(rows.where(dense).select("did", "node", "n", "weight"))
@@ -206,17 +244,60 @@ def _nodes(reps: DataFrame, threshold: float, trees: int, depth: int, limit: int
         stride = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(deeper // branches)) + 1  # distinct coordinates
         chosen = lambda k: F.get("sketch", (F.pmod(start + stride * k, F.lit(deeper)) + 2 * trees).cast("int"))  # noqa: E731,B023
         rows = held.select("did", "n_shingles", F.explode(F.array(*[F.xxhash64("node", F.lit(k), chosen(k)) for k in range(branches)])).alias("node"), F.col("n").alias("parent_n"))
-    # blocks of about limit / 2 documents and heavy / 2 shingles: each meets each other block of its node in a node of their own
-    blocks = F.greatest(F.ceil(F.col("n") / (limit // 2)), F.ceil(F.col("weight") / (heavy // 2))).cast("long")
-    own = F.pmod(F.xxhash64("did"), blocks)
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.xxhash64(F.lit("block"), F.col("node"), F.least(own, k), F.greatest(own, k)))
-    done += [rows.select("did", F.explode(meet).alias("node")) for rows in large]
+    done += [rows.select("did", "node", F.lit(True).alias("large"), _blocks(limit, heavy).alias("blocks")) for rows in large]
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
     return found
 
 
+def _node_links(texts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(did, text) and (did, node) to links (a, b) of documents in one node, by their full sets."""
+    member = stage_table(nodes.groupBy("did").agg(F.collect_set("node").alias("nodes")), "membership")
+    sets = texts.join(member.hint("shuffle_hash"), "did").select("did", "text", "nodes").mapInArrow(_sets(words), "node long, did long, shingles binary")
+    dealt = sets.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
+    return dealt.mapInArrow(_compare(percent), "a long, b long")
+
+
+def _unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(did, root) of the documents in large nodes with more than one component."""
+    rows = large.join(roots, F.col("did") == F.col("id"), "left").select("did", "node", F.coalesce("root", "did").alias("root"))
+    rows = stage_table(rows, "large")
+    mixed = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    held = hot_join(rows, stage_table(mixed.select("node", "n"), "mixed"), "node", "n")
+    return stage_table(held.select("did", "root").distinct(), "unsettled")
+
+
+def _prefix_nodes(texts: DataFrame, unsettled: DataFrame, words: int, percent: int, limit: int, heavy: int) -> DataFrame:
+    """(did, node) so that each pair over the threshold from different components shares a node, exactly.
+
+    A node is a shingle, rare in both sets, and a class of sizes: a set meets those of its own class and the next. Nodes with the same documents become one. Nodes over
+    the limits, which need many components that differ little from one another, are cut into blocks that meet pairwise.
+    """
+    sets = texts.join(unsettled.hint("shuffle_hash"), "did").select("did", "text", "root").mapInArrow(_postings(words), "did long, row long, root long, size long, shingles array<long>")
+    posts = stage_table(sets, "postings").select("did", "row", "root", "size", F.explode("shingles").alias("shingle"))
+    across = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle", "n")
+    held = hot_join(posts, stage_table(across, "shared-shingles"), "shingle", "n")
+    # shingles from this one on in the common order, rarest first; those of one component come before all others
+    left = F.row_number().over(Window.partitionBy("did", "row").orderBy(F.desc("n"), F.desc("shingle")))
+    held = held.withColumn("left", left).where(100 * F.col("left") >= percent * F.col("size"))
+    place = F.log(F.col("size")) / math.log(100 / percent)
+    own = F.floor(place)
+    classes = F.array_distinct(F.array(own, own - 1, F.floor(place - 1 - 1e-9)))  # the last one for rounding
+    shorter = ((100 + percent) * F.col("left") >= 2 * percent * F.col("size")) & (F.col("class") == own)
+    rows = held.select("did", "row", "root", "size", "shingle", "left", F.explode(classes).alias("class"))
+    rows = rows.select("did", "row", "root", "size", F.xxhash64(F.lit("prefix"), "shingle", "class").alias("node"), shorter.alias("shorter"))
+    rows = stage_table(rows, "prefixes")
+    met = rows.groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.max("shorter").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.bit_xor(F.xxhash64("did", "row")).alias("members"),
+    ).where("any and lo <> hi").select("node", "n", "weight", F.xxhash64(F.lit("members"), "n", "members").alias("members"))
+    found = hot_join(rows, stage_table(met, "prefix-nodes"), "node", "n").select("did", F.col("members").alias("node"), _blocks(limit, heavy).alias("blocks")).distinct()
+    mine = F.pmod(F.xxhash64("did", "node"), F.col("blocks"))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.xxhash64("node", F.least(mine, k), F.greatest(mine, k)))
+    return found.select("did", F.explode(meet).alias("node"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999, limit: int = 1000, depth: int = 8, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -235,11 +316,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     reps = some.where(F.col("n_shingles") >= least).join(classes.select("rep", F.col("print").alias("_print")), (F.col("did") == F.col("rep")) & (F.col("print") == F.col("_print")), "left_semi")
     reps = stage_table(reps.select("did", "n_shingles", "sketch"), "representatives")
     nodes = _nodes(reps, threshold, *trees_for(threshold, recall, depth), limit, heavy)
-    member = stage_table(nodes.groupBy("did").agg(F.collect_set("node").alias("nodes")), "membership")
-    sets = texts.join(member.hint("shuffle_hash"), "did").select("did", "text", "nodes").mapInArrow(_sets(words), "node long, did long, shingles binary")
-    dealt = sets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").sortWithinPartitions("node")
-    links = dealt.mapInArrow(_compare(percent), "a long, b long")
-    roots = connected_components(links)
+    block = F.xxhash64(F.lit("block"), "node", F.pmod(F.xxhash64("did", "node"), F.col("blocks")))
+    roots = connected_components(_node_links(texts, nodes.select("did", F.when(F.col("large"), block).otherwise(F.col("node")).alias("node")), words, percent))
+    unsettled = _unsettled(nodes.where("large").select("did", "node"), roots)
+    if not unsettled.isEmpty():
+        links = _node_links(texts, _prefix_nodes(texts, unsettled, words, percent, limit, heavy), words, percent)
+        roots = connected_components(links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     rooted = classes.join(roots, classes["rep"] == roots["id"], "left").select("print", "size", F.coalesce("root", "rep").alias("root"))
     full = hot_join(some.select("did", "n_shingles", "print"), stage_table(rooted, "rooted"), "print", "size")
     empty = narrow.where("n_shingles = 0").select("did", "n_shingles", F.col("did").alias("root"))

@@ -350,6 +350,44 @@ def test_near_duplicates_of_heavy_nodes(corpus):
     assert got == {i: root for i, (_, root) in want.items()}
 
 
+def template_pages(n: int, shared: int = 60, own: int = 9) -> list[tuple[int, str]]:
+    """Pages of one template, each with words of its own at the end; every tenth is an earlier page with one word more."""
+    r, base, rows = random.Random(11), [f"t{k}" for k in range(shared)], []
+    for i in range(n):
+        if i % 10 == 9:
+            rows.append((i, rows[r.randrange(i)][1] + f" e{i}"))
+        else:
+            rows.append((i, " ".join(base + [f"w{r.randrange(10**9)}" for _ in range(own)])))
+    return rows
+
+
+@pytest.mark.parametrize(("percent", "own"), [(85, 9), (85, 4), (80, 9)])
+def test_pages_of_one_template_equal_brute_force(spark, percent, own):
+    """Similar pages just under and over the threshold, in nodes far over the limit."""
+    rows = template_pages(200, own=own)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = groups_of(rows, 3, percent)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, 3, percent, limit=20, depth=3).collect()}
+    assert got == {i: root for i, (_, root) in want.items()}
+
+
+def test_rare_shingles_find_every_pair_across_components(spark, corpus):
+    """All documents as one large node, nothing joined before: exact."""
+    df, rows = corpus
+    rows = [(i, t) for i, t in rows if i % 3 != 1]
+    texts = spark.createDataFrame(rows, "did long, text string")
+    nodes = near_dup._prefix_nodes(texts, texts.select("did", F.col("did").alias("root")), 3, 85, 1000, near_dup.HEAVY)
+    links = near_dup._node_links(texts, nodes, 3, 85)
+    roots = {r["id"]: r["root"] for r in components.connected_components(links).collect()}
+    assert {i: roots.get(i, i) for i, _ in rows} == {i: root for i, (_, root) in groups_of(rows, 3, 85).items()}
+
+
+def test_pages_of_one_template_are_not_sent_to_each_other(spark):
+    """Copies of a set stay level however many pages a template has."""
+    texts = spark.createDataFrame([(i, t) for i, t in template_pages(3000) if i % 10 != 9], "did long, text string")
+    assert near_dup._prefix_nodes(texts, texts.select("did", F.col("did").alias("root")), 3, 85, 1000, near_dup.HEAVY).count() == 0
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.8])
 def test_pairs_at_the_threshold_survive_nodes_over_the_limit(spark, threshold):
     """Sketches of 2000 pairs whose first nodes hold over 400 documents, which takes several branchings to get to 20."""
