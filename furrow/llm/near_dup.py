@@ -220,7 +220,7 @@ def _blocks(limit: int, heavy: int) -> Column:
 
 def _nodes(reps: DataFrame, threshold: float, trees: int, depth: int, limit: int, heavy: int = HEAVY) -> DataFrame:
     """(did, n_shingles, sketch) to (did, node, large, blocks): the nodes of two to ``limit`` documents and up to ``heavy`` shingles, and the large ones, with the
-    number of blocks that hold half of that."""
+    number of blocks that hold an eighth of that: small ones deal evenly, and the trees join them all the same, as each block meets as many others as it has documents."""
     path = lambda t: F.xxhash64(F.lit(t), F.col("sketch")[2 * t], F.col("sketch")[2 * t + 1])
     rows = reps.select("did", "n_shingles", F.explode(F.array(*[path(t) for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("parent_n"))
     deeper, branches, done, large = COORDINATES - 2 * trees, branches_for(threshold), [], []
@@ -244,7 +244,7 @@ def _nodes(reps: DataFrame, threshold: float, trees: int, depth: int, limit: int
         stride = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(deeper // branches)) + 1  # distinct coordinates
         chosen = lambda k: F.get("sketch", (F.pmod(start + stride * k, F.lit(deeper)) + 2 * trees).cast("int"))  # noqa: E731,B023
         rows = held.select("did", "n_shingles", F.explode(F.array(*[F.xxhash64("node", F.lit(k), chosen(k)) for k in range(branches)])).alias("node"), F.col("n").alias("parent_n"))
-    done += [rows.select("did", "node", F.lit(True).alias("large"), _blocks(limit, heavy).alias("blocks")) for rows in large]
+    done += [rows.select("did", "node", F.lit(True).alias("large"), _blocks(max(limit // 4, 4), max(heavy // 4, 4)).alias("blocks")) for rows in large]
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
