@@ -69,11 +69,12 @@ def clock_seconds(text: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """Seconds to ``HH:MM:SS.mmm``."""
+    """Seconds to ``HH:MM:SS.mmm``; from 100 hours on with as many digits as the hours have."""
     ms = F.rint(seconds * 1000).cast("long")
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     whole = F.floor(ms / 1000)
-    return F.concat(pad(F.floor(whole / 3600), 2), F.lit(":"), pad(F.floor(whole / 60) % 60, 2), F.lit(":"), pad(whole % 60, 2), F.lit("."), pad(ms % 1000, 3))
+    hours = F.floor(whole / 3600).cast("string")
+    return F.concat(F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours), F.lit(":"), pad(F.floor(whole / 60) % 60, 2), F.lit(":"), pad(whole % 60, 2), F.lit("."), pad(ms % 1000, 3))
 
 
 def padded_id(prefix: str, n: Column, width: int = 7) -> Column:
