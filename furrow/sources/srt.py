@@ -53,8 +53,8 @@ ALIASES = {
 FIELDS = list(dict.fromkeys(ALIASES.values()))
 TEXT_FIELDS = ("shutter",)
 WHOLE_FIELDS = ("frame_counter", "iso", "diff_time_ms")
-# Fixed patterns of the format: the timing line and a date.
-TIMING = r"(\d{1,2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{1,2}:\d{2}:\d{2}[,.]\d{3})"
+# Fixed patterns of the format: the timing line, whose hours may pass 99, and a date.
+TIMING = r"(\d+:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d+:\d{2}:\d{2}[,.]\d{3})"
 DATE = r"\b\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?\b"
 _BLANK = " \t\r\n"
 _NAME = "[A-Za-z][A-Za-z0-9_ ]*"
