@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ _CORNERS = [(1.0, 0.0), (0.7, 0.6), (0.0, 1.0), (-0.6, 0.7), (-1.0, 0.0), (-0.7,
 
 
 def _rings(areas: DataFrame) -> DataFrame:
-    xs = F.array(*[F.col("cx") + F.col("r") * F.lit(c) for c, _ in _CORNERS])
-    ys = F.array(*[F.col("cy") + F.col("r") * F.lit(s) for _, s in _CORNERS])
+    """Corners in the SQL's types: where middles are whole, x in exact decimals, and y their sum in doubles; 90.0 * 0.7 as a double is not 63.0, and points on an edge tell."""
+    exact = lambda c: F.col("r") * F.lit(c if dict(areas.dtypes)["cx"] == "double" else Decimal(str(c)))
+    xs = F.array(*[F.col("cx") + exact(c) for c, _ in _CORNERS])
+    ys = F.array(*[F.col("cy").cast("double") + exact(s).cast("double") for _, s in _CORNERS])
     return areas.select("area_id", "part", "ring_id", "hole", xs.alias("xs"), ys.alias("ys"))
 
 
