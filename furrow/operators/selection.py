@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from furrow.storage import checkpointed
 
 
-def overlay_top(detections: DataFrame, least: float, limit: int, width: float, height: float, centrality: float = 0.1) -> DataFrame:
+def overlay_top(detections: DataFrame, least: float, limit: int, width: float, height: float, centrality: float = 0.1, digits: int | None = None) -> DataFrame:
     """The ``limit`` best eligible boxes of each frame by (1 - centrality) x confidence + centrality x closeness to the center.
 
-    Adds ``score``, ``position``, ``eligible`` (of the frame) and ``truncated``.
+    With ``digits`` scores are rounded before they are ranked, so that boxes that lie mirrored are equal and go by confidence and id. Adds ``score``, ``position``, ``eligible`` (of the frame) and ``truncated``.
     """
     half = F.lit(((width / 2) ** 2 + (height / 2) ** 2) ** 0.5)
-    far = F.hypot((F.col("x1") + F.col("x2")) / 2 - width / 2, (F.col("y1") + F.col("y2")) / 2 - height / 2)
-    score = (1 - centrality) * F.col("confidence") + centrality * F.greatest(1 - far / half, F.lit(0.0))
+    dx, dy = (F.col("x1") + F.col("x2")) / 2 - width / 2, (F.col("y1") + F.col("y2")) / 2 - height / 2
+    score = (1 - centrality) * F.col("confidence") + centrality * F.greatest(1 - F.sqrt(dx * dx + dy * dy) / half, F.lit(0.0))
+    if digits is not None:
+        score = F.round(score * 10.0**digits) / 10.0**digits
     held = detections.where(F.col("confidence") >= least).withColumn("score", score)
     w = W.partitionBy("frame_index")
     held = held.withColumn("position", F.row_number().over(w.orderBy(F.desc("score"), F.desc("confidence"), "detection_id"))).withColumn("eligible", F.count(F.lit(1)).over(w))

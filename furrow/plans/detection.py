@@ -65,8 +65,8 @@ FROM (SELECT frame_index, confidence, detection_id, round(0.9 * confidence + 0.1
     d=DETECTIONS,
 )
 def overlay_topk(d: DataFrame) -> DataFrame:
-    top = selection.overlay_top(d, 0.25, 5, 400.0, 200.0)
-    return top.select("frame_index", "confidence", "detection_id", F.round("score", 9).alias("score"), F.col("position").cast("long").alias("position"), "eligible", F.col("truncated").cast("long").alias("truncated"))
+    top = selection.overlay_top(d, 0.25, 5, 400.0, 200.0, digits=9)
+    return top.select("frame_index", "confidence", "detection_id", "score", F.col("position").cast("long").alias("position"), "eligible", F.col("truncated").cast("long").alias("truncated"))
 
 
 @query("SELECT frame_index, confidence, detection_id, position FROM (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY confidence DESC, detection_id) AS position FROM d) WHERE position <= 62", d=DETECTIONS)
