@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from furrow.functions.gates import gap_evidence
@@ -38,17 +38,25 @@ def expected_slots(plants: DataFrame, spacing: DataFrame) -> DataFrame:
 
 
 def missing_slots(expected: DataFrame, plants: DataFrame, spacing: DataFrame, tolerance: float = 0.45) -> DataFrame:
-    """Expected slots without a plant of the plot within ``tolerance`` spacings. ``spacing`` is by plot, or by row if it has row_id; the plot's largest one is the cell size, so pairs stay local."""
+    """Expected slots without a plant of the plot within ``tolerance`` spacings. ``spacing`` is by plot, or by row if it has row_id.
+
+    Slots meet plants by cells of four times the plot's largest spacing; a plant goes to the cells that its tolerance reaches, one or two for most. Spark takes exploded plants for no larger than
+    the file that they come from, so the join is told to shuffle them; a broadcast would send all of them through the driver.
+    """
     keys = [c for c in ("plot_id", "row_id") if c in spacing.columns]
-    size = spacing.groupBy("plot_id").agg((F.max("spacing") * max(1.0, tolerance)).alias("_cell"))
-    held = expected.join(spacing.select(*keys, "spacing"), keys).join(size, "plot_id")
-    cell = lambda c: F.floor(F.col(c) / F.col("_cell"))
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    e = held.withColumn("ga", cell("along")).withColumn("gc", cell("across"))
-    p = plants.join(size, "plot_id").withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
-    p = p.select("plot_id", F.col("along").alias("pa"), F.col("across").alias("pc"), (cell("along") + F.col("_i")).alias("ga"), (cell("across") + F.col("_j")).alias("gc"))
-    met = e.join(p, ["plot_id", "ga", "gc"]).where(F.hypot(F.col("along") - F.col("pa"), F.col("across") - F.col("pc")) <= tolerance * F.col("spacing"))
-    return expected.join(met.select("plot_id", "row_id", "slot_index").distinct(), ["plot_id", "row_id", "slot_index"], "left_anti")
+    size = spacing.groupBy("plot_id").agg(F.max("spacing").alias("_most")).withColumn("_cell", F.col("_most") * max(4.0, tolerance))
+    held = expected.join(spacing.select(*keys, F.col("spacing").alias("_spacing")), keys, "left").join(size.select("plot_id", "_cell"), "plot_id", "left")
+    e = held.withColumn("_ga", F.floor(F.col("along") / F.col("_cell"))).withColumn("_gc", F.floor(F.col("across") / F.col("_cell")))
+
+    def reached(c: str) -> Column:
+        far = F.col("_most") * (tolerance * (1 + 1e-9)) + F.abs(c) * 1e-15  # not less than the tolerance in doubles
+        return F.explode(F.sequence(F.floor((F.col(c) - far) / F.col("_cell")), F.floor((F.col(c) + far) / F.col("_cell"))))
+
+    p = plants.join(size, "plot_id").select("plot_id", "along", "across", "_most", "_cell").withColumn("_ga", reached("along")).withColumn("_gc", reached("across"))
+    p = p.select(F.col("plot_id").alias("_plot"), F.col("along").alias("_pa"), F.col("across").alias("_pc"), F.col("_ga").alias("_pga"), F.col("_gc").alias("_pgc"))
+    near = F.hypot(F.col("along") - F.col("_pa"), F.col("across") - F.col("_pc")) <= tolerance * F.col("_spacing")
+    met = (F.col("plot_id") == F.col("_plot")) & (F.col("_ga") == F.col("_pga")) & (F.col("_gc") == F.col("_pgc")) & near
+    return e.join(p.hint("merge"), met, "left_anti").select(*expected.columns)
 
 
 def adjacent_distances(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
