@@ -180,7 +180,7 @@ def set_difference_ids(pl: DataFrame) -> DataFrame:
     """Expected slots of every seventh place that aren't missing."""
     keys = ["plot_id", "row_id", "slot_index"]
     every = rows.expected_slots(pl, _spacing(pl)).where("slot_index % 7 = 0").select(*keys).distinct()
-    return every.join(_missing(pl).select(*keys), keys, "left_anti").agg(F.count(F.lit(1)).alias("suppressed"))
+    return every.join(_missing(pl).select(*keys).hint("merge"), keys, "left_anti").agg(F.count(F.lit(1)).alias("suppressed"))
 
 
 _FITS = "SELECT o_orderkey AS k, CAST(o_orderkey % 40 AS INT) AS m, CAST(o_orderkey % 30 AS INT) AS i, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS r, CAST(o_orderkey % 7 AS DOUBLE) AS e, 0.9 + CAST(o_orderkey % 5 AS DOUBLE) / 20 AS s, CAST(o_orderkey % 13 AS DOUBLE) - 6 AS d FROM {orders}"
