@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from furrow.operators.spatial import by_density, with_cells
 from furrow.storage import checkpointed
 
 
@@ -34,15 +37,30 @@ def interpolated(queries: DataFrame, knots: DataFrame, by: list[str], at: str) -
 
 
 def central_frames(gaps: DataFrame, frames: DataFrame, cell: float) -> DataFrame:
-    """Of the frames (frame_index, x0, y0, x1, y1) that cover each gap (gap_id, x, y) the one whose middle is nearest, ties to the earlier frame."""
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    f = frames.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
-    g = gaps.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    met = g.join(f, ["gx", "gy"]).where("x >= x0 and x < x1 and y >= y0 and y < y1")
-    dx, dy = F.col("x") - (F.col("x0") + F.col("x1")) / 2, F.col("y") - (F.col("y0") + F.col("y1")) / 2
-    met = met.withColumn("distance", F.sqrt(dx * dx + dy * dy))
-    best = met.groupBy("gap_id").agg(F.min(F.struct("distance", "frame_index")).alias("b"))
-    return best.select("gap_id", F.col("b.frame_index").alias("frame_index"), F.col("b.distance").alias("distance"))
+    """Of the frames (frame_index, x0, y0, x1, y1) that cover each gap (gap_id, x, y) the one whose middle is nearest, ties to the earlier frame.
+
+    Gaps meet middles by cells that the middles' density asks for, of ``cell`` at most. A frame that covers a gap and whose middle is no further off than a cell is its nearest; gaps without one go on with
+    cells of twice the size, up to the longest half diagonal, beyond which no frame covers. Frames and gaps without a finite position are left out.
+    """
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    finite = lambda c: F.abs(c) < float("inf")
+    f = frames.where(finite(cx) & finite(cy)).select("frame_index", "x0", "y0", "x1", "y1", cx.alias("_cx"), cy.alias("_cy"))
+    reach = F.max(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))) / 2
+    far = f.agg(reach.alias("reach"), ((F.max("_cx") - F.min("_cx")) * (F.max("_cy") - F.min("_cy"))).alias("area"), F.count(F.lit(1)).alias("n")).first()
+    even = math.sqrt(2 * far["area"] / far["n"]) if far["n"] else 0.0
+    wide, last = min(float(cell), even or float(cell)), (far["reach"] or 0.0) * (1 + 1e-9)
+    dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
+    todo, done = gaps.where(finite(F.col("x")) & finite(F.col("y"))).select("gap_id", "x", "y"), None
+    while True:
+        met = with_cells(f, wide, "_cx", "_cy").join(with_cells(todo, wide, ring=1).hint("merge"), ["gx", "gy"]).where("x >= x0 and x < x1 and y >= y0 and y < y1").withColumn("distance", F.sqrt(dx * dx + dy * dy))
+        best = met.where(F.col("distance") <= wide).groupBy("gap_id").agg(F.min(F.struct("distance", "frame_index")).alias("b"))
+        found = checkpointed(best.select("gap_id", F.col("b.frame_index").alias("frame_index"), F.col("b.distance").alias("distance")))
+        done = found if done is None else done.unionByName(found)
+        if wide >= last:
+            return done
+        todo, wide = checkpointed(todo.join(found.select("gap_id"), "gap_id", "left_anti")), wide * 2
+        if todo.isEmpty():
+            return done
 
 
 def overlapping_areas(cells: DataFrame) -> DataFrame:
@@ -96,25 +114,26 @@ def sampled_windows(df: DataFrame, by: list[str], order: str, size: int) -> Data
 def nonadjacent_minimum(path: DataFrame, by: list[str], order: str, cell: float, apart: int = 30) -> DataFrame:
     """Smallest distance between points of a path that lie ``apart`` or more places from one another; null if there are none.
 
-    Points meet by cells, so a path that comes near itself makes few pairs. A path without a distance up to ``cell`` goes on
-    with cells of twice the size, until they cover its extent.
+    Points meet by cells, so a path that comes near itself makes few pairs. Each path begins with cells that its own density asks for, of ``cell`` at most; one without a distance up to
+    its cells goes on with cells of twice the size, until they cover its extent.
     """
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     finite = lambda c: F.abs(F.col(c)) < float("inf")
     held = path.where(finite("x") & finite("y"))
-    span = F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
-    todo = held.groupBy(*by).agg(span.alias("_span"), (F.max(order) - F.min(order)).alias("_places")).where(F.col("_places") >= apart).select(*by, "_span")
+    extent = held.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"), F.count(F.lit(1)).alias("_n"), (F.max(order) - F.min(order)).alias("_places"))
+    span = F.hypot(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    todo = by_density(held, extent.where(F.col("_places") >= apart), 2, by).select(*by, span.alias("_span"), F.least("_cell", F.lit(float(cell))).alias("_cell"))
     todo, done = checkpointed(todo), None
     while True:
-        left = held.join(todo.select(*by), by, "left_semi")
-        a = left.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-        b = left.select(*by, F.col(order).alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
-        b = b.withColumn("gx", F.floor(F.col("_x") / cell) + F.col("_i")).withColumn("gy", F.floor(F.col("_y") / cell) + F.col("_j"))
+        left = held.join(todo.select(*by, "_cell"), by)
+        a = left.withColumn("gx", F.floor(F.col("x") / F.col("_cell"))).withColumn("gy", F.floor(F.col("y") / F.col("_cell")))
+        b = left.select(*by, F.col(order).alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.floor(F.col("x") / F.col("_cell")).alias("_gx"), F.floor(F.col("y") / F.col("_cell")).alias("_gy"))
+        b = b.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)).withColumn("gx", F.col("_gx") + F.col("_i")).withColumn("gy", F.col("_gy") + F.col("_j")).drop("_gx", "_gy", "_i", "_j")
         dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
-        near = a.join(b, [*by, "gx", "gy"]).where(F.col("_o") >= F.col(order) + apart).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= cell)
+        near = a.join(b.hint("merge"), [*by, "gx", "gy"]).where(F.col("_o") >= F.col(order) + apart).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= F.col("_cell"))
         found = checkpointed(near.groupBy(*by).agg(F.min("d").alias("min_distance")))
         done = found if done is None else done.unionByName(found)
-        todo, cell = checkpointed(todo.join(found, by, "left_anti").where(F.col("_span") > cell)), cell * 2
+        todo = checkpointed(todo.join(found, by, "left_anti").where(F.col("_span") > F.col("_cell")).withColumn("_cell", F.col("_cell") * 2))
         if todo.isEmpty():
             return path.select(*by).distinct().join(done, by, "left")
 

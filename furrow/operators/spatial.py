@@ -53,7 +53,7 @@ def radius_pairs(points: DataFrame, radius: float, by: list[str] | None = None)
     return radius_join(points, points, radius, by).where("id < other_id")
 
 
-def _by_density(points: DataFrame, extent: DataFrame, k: int, by: list[str]) -> DataFrame:
+def by_density(points: DataFrame, extent: DataFrame, k: int, by: list[str]) -> DataFrame:
     """Add ``_cell`` to the groups' extents: the side of a cell that would hold k points if they lay evenly, divided by the least power of four (up to 4**5) that leaves no
     more than 8 k points in the fullest cell; of powers that leave as many the least. Points are counted in each task for all powers at once."""
     wide, high = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
@@ -85,7 +85,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, cell: float | None = None
         alone = nearest(left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), k, cell, ["_all"], itself)
         return alone.drop("_all")
     extent = right.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"), F.count(F.lit(1)).alias("_n"))
-    extent = extent.withColumn("_cell", F.lit(float(cell))) if cell is not None else _by_density(right, extent, k, by)
+    extent = extent.withColumn("_cell", F.lit(float(cell))) if cell is not None else by_density(right, extent, k, by)
     extent = checkpointed(extent.drop("_n"))
     todo = left.select(*by, "id", "x", "y").join(extent, by)
     far = F.greatest(F.abs(F.col("x") - F.col("_x0")), F.abs(F.col("x") - F.col("_x1")), F.abs(F.col("y") - F.col("_y0")), F.abs(F.col("y") - F.col("_y1")))
