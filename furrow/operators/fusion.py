@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
@@ -217,18 +218,85 @@ def unique_plants(observations: DataFrame, by: list[str]) -> DataFrame:
     return base
 
 
+#: Plants and frames that one task compares; more are dealt into parts that meet pairwise.
+_MOST_PLANTS, _MOST_FRAMES = 50_000, 100_000
+
+
+def _times_inside(px: np.ndarray, py: np.ndarray, m: np.ndarray, width: float, height: float) -> np.ndarray:
+    """For each point, how many of the row-major transforms ``m`` (9, n) take it into the image.
+
+    Points are halved along the wider side of their box. A transform that takes all corners of a box inside by more than rounding can undo counts for all of its points, one that takes
+    all of them past one border for none, and what is left goes on to the halves, or is tested point by point.
+    """
+    count = np.zeros(len(px), np.int64)
+
+    def image(x, y, m):
+        w = m[6] * x + m[7] * y + m[8]
+        safe = np.where(np.abs(w) >= 1e-12, w, np.nan)
+        return (m[0] * x + m[1] * y + m[2]) / safe, (m[3] * x + m[4] * y + m[5]) / safe
+
+    todo = [(np.arange(len(px)), m)]
+    while todo:
+        at, m = todo.pop()
+        x, y = px[at], py[at]
+        x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
+        cx, cy = np.array([[x0], [x1], [x1], [x0]]), np.array([[y0], [y0], [y1], [y1]])
+        far, high = max(abs(x0), abs(x1)), max(abs(y0), abs(y1))
+        w, size = m[6] * cx + m[7] * cy + m[8], np.abs(m)
+        least = np.abs(w).min(0)
+        sure = (least > 1e-11 + 1e-11 * (size[6] * far + size[7] * high + size[8])) & ((w > 0).all(0) | (w < 0).all(0))
+        u, v = image(cx, cy, m)
+        rounding = lambda i: 1e-11 * ((size[i] * far + size[i + 1] * high + size[i + 2]) / least) * (1 + (size[6] * far + size[7] * high + size[8]) / least)  # noqa: E731,B023
+        du, dv, (u0, u1, v0, v1) = rounding(0), rounding(3), (u.min(0), u.max(0), v.min(0), v.max(0))
+        every = sure & (u0 >= du) & (u1 < width - du) & (v0 >= dv) & (v1 < height - dv)
+        none = sure & ((u1 < -du) | (u0 >= width + du) | (v1 < -dv) | (v0 >= height + dv))
+        count[at] += np.count_nonzero(every)
+        m = m[:, ~every & ~none]
+        if not m.shape[1]:
+            continue
+        if len(at) <= 8 or len(at) * m.shape[1] <= 4096 or (x0 == x1 and y0 == y1):
+            step = max(1, 2_000_000 // m.shape[1])
+            for i in range(0, len(at), step):
+                u, v = image(x[i : i + step, None], y[i : i + step, None], m)
+                count[at[i : i + step]] += np.count_nonzero((u >= 0) & (u < width) & (v >= 0) & (v < height), 1)
+            continue
+        order = np.argsort(x if x1 - x0 >= y1 - y0 else y, kind="stable")
+        todo += [(at[order[: len(at) // 2]], m), (at[order[len(at) // 2 :]], m)]
+    return count
+
+
 def visibility(plants: DataFrame, frames: DataFrame, width: float, height: float) -> DataFrame:
     """In how many frames each plant (plant_id, x, y) lies inside the image. ``frames`` has (frame_index, x0, y0, x1, y1, inverse).
 
-    x0..y1 is the frame's footprint in local space; plants meet frames by cells of half the footprints' median size, whatever the unit, and are then projected.
+    x0..y1 is the frame's footprint in local space; plants meet frames by cells of the footprints' median size, whatever the unit, and are counted there without making pairs. Plants
+    and frames of a cell are dealt into parts of bounded size, so a task holds one part of each.
     """
-    cell = (frames.agg(F.median(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 0.0) / 2 or 1.0
+    ship(plants.sparkSession)
+    cell = (frames.agg(F.median(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 0.0) or 1.0
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    f = frames.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
-    p = plants.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    met = p.join(f.select("frame_index", "inverse", "gx", "gy"), ["gx", "gy"])
-    u, v = project([F.get("inverse", F.lit(i)) for i in range(9)], F.col("x"), F.col("y"))
-    seen = met.where(in_roi(u, v, width, height)).groupBy("plant_id").agg(F.count(F.lit(1)).alias("visibility_opportunity"))
+    names = [f"m{i}" for i in range(9)]
+    f = frames.select("frame_index", "x0", "y0", "x1", "y1", *[F.get("inverse", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]).dropna(subset=names)
+    f = f.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1"))).drop("x0", "y0", "x1", "y1")
+    p = plants.select("plant_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    p = p.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+    parts = lambda df, most, name: df.groupBy("gx", "gy").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    many = checkpointed(parts(p, _MOST_PLANTS, "_n").join(parts(f, _MOST_FRAMES, "_m"), ["gx", "gy"]))
+    mine = lambda c, *by: F.pmod(F.xxhash64(*by), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    p = p.join(many, ["gx", "gy"]).withColumn("_i", mine("_n", "plant_id")).withColumn("_j", each("_m")).drop("_n", "_m")
+    f = f.join(many, ["gx", "gy"]).withColumn("_j", mine("_m", "frame_index")).withColumn("_i", each("_n")).drop("_n", "_m", "frame_index")
+
+    def meet(plants: pd.DataFrame, frames: pd.DataFrame) -> pd.DataFrame:
+        if not len(plants) or not len(frames):
+            return pd.DataFrame({"plant_id": plants["plant_id"].iloc[:0], "n": np.zeros(0, np.int64)})
+        with np.errstate(all="ignore"):
+            n = _times_inside(plants["x"].to_numpy(float), plants["y"].to_numpy(float), frames[names].to_numpy(float).T.copy(), width, height)
+        return pd.DataFrame({"plant_id": plants["plant_id"][n > 0], "n": n[n > 0]})
+
+    keys, spark = ["gx", "gy", "_i", "_j"], plants.sparkSession
+    dealt = lambda df: df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys).groupBy(*keys)  # noqa: E731  little data and much work, so parts aren't joined
+    seen = dealt(p).cogroup(dealt(f)).applyInPandas(meet, f"plant_id {plants.schema['plant_id'].dataType.simpleString()}, n long")
+    seen = seen.groupBy("plant_id").agg(F.sum("n").alias("visibility_opportunity"))
     return plants.join(seen, "plant_id", "left").withColumn("visibility_opportunity", F.coalesce("visibility_opportunity", F.lit(0)))
 
 
