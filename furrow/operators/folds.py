@@ -6,39 +6,115 @@ nothing bounds, pass the session's sorted rows through a function that carries a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from furrow.functions.boxes import center_distance, iou
+from furrow.functions.boxes import center_distance, finite, iou
 from furrow.storage import ship
 
 Conflict = Callable[[Column, Column], Column]
 
 
-def greedy_keep(df: DataFrame, group: list[str], order: list[Column], conflict: Conflict) -> DataFrame:
-    """Rows taken in ``order`` unless they conflict with one taken before, within ``group``. The order must be total."""
+#: Rows of a group that are folded as one array; a fold compares each row with all kept ones, so boxes of larger groups go through a grid.
+_MOST_FOLDED = 512
+_CORNERS = ("x1", "y1", "x2", "y2")
+
+
+def greedy_keep(df: DataFrame, group: list[str], order: list[Column], conflict: Conflict, large: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows taken in ``order`` unless they conflict with one taken before, within ``group``. The order must be total.
+
+    ``large`` does the same for groups of over ``_MOST_FOLDED`` boxes with finite corners in doubles, which it gets as rows with their place ``_at`` in the order.
+    """
     keys = [c.alias(f"_k{i}") for i, c in enumerate(order)]
     rest = [c for c in df.columns if c not in group]
     rows = F.sort_array(F.collect_list(F.struct(*keys, *rest)))
     held = df.groupBy(*group).agg(rows.alias("_rows"))
     empty = F.slice(F.col("_rows"), 1, 0)
     kept = F.aggregate("_rows", empty, lambda out, x: F.when(F.exists(out, lambda k: conflict(k, x)), out).otherwise(F.concat(out, F.array(x))))
-    return held.select(*group, F.explode(kept).alias("_row")).select(*group, *[F.col(f"_row.{c}") for c in rest])
+    columns = [*group, *[F.col(f"_row.{c}") for c in rest]]
+    types = dict(df.dtypes)
+    if large is None or any(types[c] != "double" for c in _CORNERS):
+        return held.select(*group, F.explode(kept).alias("_row")).select(*columns)
+    gridded = (F.size("_rows") > _MOST_FOLDED) & F.forall("_rows", lambda r: reduce(and_, [finite(r[c]) for c in _CORNERS]))
+    folded = held.where(~gridded).select(*group, F.explode(kept).alias("_row")).select(*columns)
+    many = held.where(gridded).select(*group, F.posexplode("_rows").alias("_at", "_row")).select(*columns, "_at")
+    return folded.unionByName(large(many).drop("_at"))
+
+
+def _gridded(group: list[str], reach: Callable[[tuple], tuple[float, float, float, float]], size: Callable[[tuple], float], ratio: float, conflict: Callable[[tuple, tuple], bool]) -> Callable[[DataFrame], DataFrame]:
+    """``large`` for boxes: those taken lie in grids by the power of two of their ``size``, each in the cells that its ``reach`` (x0, y0, x1, y1) covers, and a box meets those of the cells that it
+    reaches itself. Boxes conflict only where their reaches meet and neither's size is below ``ratio`` times the other's. What a task holds are the boxes kept of one group.
+    A box without a size conflicts with none."""
+
+    def spread(level: int, box: tuple) -> tuple[range, range]:
+        side = 2.0**level
+        x0, y0, x1, y1 = reach(box)
+        return range(math.floor(x0 / side), math.floor(x1 / side) + 1), range(math.floor(y0 / side), math.floor(y1 / side) + 1)
+
+    def step(grids, *box):
+        grids, s = {} if grids is None else grids, size(box)
+        if s <= 0:
+            return grids, True
+        x0, y0, x1, y1 = reach(box)
+        for level, cells in grids.items():
+            if (2.0**level < ratio * s * 0.99) or (2.0 ** (level - 1) * ratio > s * 1.01):
+                continue
+            side = 2.0**level
+            few = (x1 - x0 + side) * (y1 - y0 + side) < 4 * len(cells) * side * side
+            if few:
+                xs, ys = spread(level, box)
+            near = (cells.get((i, j), ()) for i in xs for j in ys) if few else cells.values()
+            if any(conflict(k, box) for some in near for k in some):
+                return grids, False
+        own = math.ceil(math.log2(s))
+        cells = grids.setdefault(own, {})
+        xs, ys = spread(own, box)
+        for i in xs:
+            for j in ys:
+                cells.setdefault((i, j), []).append(box)
+        return grids, True
+
+    return lambda many: carried(many, group, [F.col("_at")], [*_CORNERS], step)
+
+
+def _iou(a: tuple, b: tuple) -> float:
+    """As ``boxes.iou``, of (x1, y1, x2, y2)."""
+    w, h = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0), max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+    union = max(a[2] - a[0], 0.0) * max(a[3] - a[1], 0.0) + max(b[2] - b[0], 0.0) * max(b[3] - b[1], 0.0) - w * h
+    return w * h / union if union > 0 else 0.0
 
 
 def suppress_overlaps(detections: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Class-aware non-maximum suppression in each frame: the more confident box stays where IoU exceeds the threshold."""
+    """Class-aware non-maximum suppression in each frame: the more confident box stays where IoU exceeds the threshold.
+
+    Boxes whose IoU exceeds it have sides of no smaller ratio than it, so a box of a large frame meets those of like size near it.
+    """
     order = [-F.col("confidence"), F.col("x1"), F.col("y1"), F.col("detection_id")]
-    return greedy_keep(detections, ["frame_index", "class_id"], order, lambda k, x: iou(k, x) > threshold)
+    group = ["frame_index", "class_id"]
+    large = None
+    if threshold >= 0:
+        large = _gridded(group, lambda b: b, lambda b: max(b[2] - b[0], b[3] - b[1]) if b[2] > b[0] and b[3] > b[1] else 0.0, threshold, lambda k, x: _iou(k, x) > threshold)
+    return greedy_keep(detections, group, order, lambda k, x: iou(k, x) > threshold, large)
 
 
 def suppress_close_centers(detections: DataFrame, radius: float = 8.0) -> DataFrame:
     """Of boxes of one class whose centers lie within ``radius`` the more confident one stays."""
     order = [-F.col("confidence"), F.col("x1"), F.col("y1"), F.col("detection_id")]
-    return greedy_keep(detections, ["frame_index", "class_id"], order, lambda k, x: center_distance(k, x) <= radius)
+    group = ["frame_index", "class_id"]
+
+    def around(b: tuple) -> tuple[float, float, float, float]:
+        x, y, r = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2, radius * 0.51 + 1e-12 * (abs(b[0]) + abs(b[1]) + abs(b[2]) + abs(b[3]))
+        return x - r, y - r, x + r, y + r
+
+    distance = lambda k, x: math.hypot((k[0] + k[2]) / 2 - (x[0] + x[2]) / 2, (k[1] + k[3]) / 2 - (x[1] + x[3]) / 2)
+    large = _gridded(group, around, lambda b: radius, 1.0, lambda k, x: distance(k, x) <= radius) if radius > 0 else None
+    return greedy_keep(detections, group, order, lambda k, x: center_distance(k, x) <= radius, large)
 
 
 def overlapping_pairs(detections: DataFrame, least: float) -> DataFrame:
