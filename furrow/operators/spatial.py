@@ -182,42 +182,62 @@ def raster_at(points: DataFrame, raster: DataFrame, by: list[str], value: str =
     return held.join(raster, [*by, "px", "py"], "left").withColumn(value, F.coalesce(value, F.lit(0))).drop("px", "py")
 
 
-def mutual_matches(left: DataFrame, right: DataFrame, ratio: float, by: list[str] | None = None, block: int = 2048, digits: int = 6) -> DataFrame:
+#: Rows of a block of descriptors that are worth a task of their own, blocks that are made to keep tasks busy, and rows that are compared with the other block at once.
+_BUSY, _TASKS, _AT_ONCE = 2048, 8, 128
+
+
+def _blocks(rows: int, most: int) -> int:
+    """How many blocks to deal rows into. Each row is sent once for each block of the other side, so there are no more than hold ``most`` rows each, or keep tasks busy."""
+    return max(1, math.ceil(rows / most), min(_TASKS, math.ceil(rows / _BUSY)))
+
+
+def mutual_matches(left: DataFrame, right: DataFrame, ratio: float, by: list[str] | None = None, block: int = 65_536, digits: int = 6) -> DataFrame:
     """Pairs (by, a, b, d) that are each other's best, where the best is below ``ratio`` times the second best on both sides.
 
     ``left`` has (by, a, p) and ``right`` (by, b, q), p and q arrays of numbers; pairs with a = b don't count, and of equal distances the smaller id is
-    the better. Both sides are dealt into blocks of about ``block`` rows; each block meets each other one in a task that returns the two best of each row, so
-    what shuffles are blocks and two rows for each row and block, and never all pairs.
+    the better. Both sides are dealt into blocks of at most about ``block`` rows; each block meets each other one in a task that compares a few rows with the whole other block at once and
+    returns the two best of each row, so what shuffles are a copy of each row for each block of the other side and two rows for each row and block, and never all pairs.
     """
     by = by or []
     ship(left.sparkSession)
-    parts = lambda df: max(1, math.ceil((df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) / block))
+    parts = lambda df: _blocks(df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0, block)
     n, m = parts(left), parts(right)
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     l = left.select(*by, "a", "p", F.pmod(F.xxhash64("a"), F.lit(n)).cast("int").alias("_i"), each(m).alias("_j"))
     r = right.select(*by, "b", "q", each(n).alias("_i"), F.pmod(F.xxhash64("b"), F.lit(m)).cast("int").alias("_j"))
 
-    def best(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> list[tuple]:
-        """(id, other, distance) of the two best of each row."""
-        order = np.argsort(others, kind="stable")
-        d, others = d[:, order], others[order]
-        out = []
-        for _ in range(min(2, d.shape[1])):
-            at = d.argmin(1)
-            row = np.arange(len(ids))
-            found = np.isfinite(d[row, at])
-            out += zip(ids[found].tolist(), others[at[found]].tolist(), d[row, at][found].tolist(), strict=True)
-            d[row, at] = np.inf
-        return out
+    def best(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two least of each column and the ids of their rows, of equals the first."""
+        top, who, at = np.full((2, d.shape[1]), np.inf), np.zeros((2, d.shape[1]), ids.dtype), np.arange(d.shape[1])
+        for k in range(min(2, len(d))):
+            i = d.argmin(0)
+            top[k], who[k] = d[i, at], ids[i]
+            d[i, at] = np.inf
+        return top, who
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        found = []
+
+        def keep(forward: bool, ids: np.ndarray, top: np.ndarray, who: np.ndarray) -> None:
+            for k in range(2):
+                real = np.isfinite(top[k])
+                found.append(pd.DataFrame(dict(zip(by, key, strict=False)) | {"forward": forward, "id": ids[real], "other": who[k][real], "d": top[k][real]}))
+
         if len(a) and len(b):
+            a, b = a.sort_values("a"), b.sort_values("b")
             p, q, x, y = np.stack(a["p"]).astype(float), np.stack(b["q"]).astype(float), a["a"].to_numpy(), b["b"].to_numpy()
-            d = np.round(np.stack([np.sqrt(((q - v) ** 2).sum(1)) for v in p]), digits)
-            d[x[:, None] == y[None, :]] = np.inf
-            rows = [(*key[: len(by)], True, i, o, v) for i, o, v in best(x, y, d.copy())] + [(*key[: len(by)], False, i, o, v) for i, o, v in best(y, x, d.T.copy())]
-        return pd.DataFrame(rows, columns=[*by, "forward", "id", "other", "d"])
+            top, who = np.full((2, len(y)), np.inf), np.zeros((2, len(y)), x.dtype)
+            for i in range(0, len(x), _AT_ONCE):
+                ids = x[i : i + _AT_ONCE]
+                d = np.round(np.stack([np.sqrt(((q - v) ** 2).sum(1)) for v in p[i : i + _AT_ONCE]]), digits)
+                d[ids[:, None] == y[None, :]] = np.inf
+                keep(True, ids, *best(d.T.copy(), y))
+                more, which = best(d, ids)
+                top, who = np.concatenate([top, more]), np.concatenate([who, which])
+                order = np.argsort(top, axis=0, kind="stable")[:2]  # ids ascend, so of equals the smaller one is the first
+                top, who = np.take_along_axis(top, order, 0), np.take_along_axis(who, order, 0)
+            keep(False, y, top, who)
+        return pd.concat(found) if found else pd.DataFrame([], columns=[*by, "forward", "id", "other", "d"])
 
     keys = [*by, "_i", "_j"]
     types = "".join(f"`{c}` {left.schema[c].dataType.simpleString()}, " for c in by)
