@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from furrow.functions.boxes import center
 from furrow.functions.gates import in_roi, reasons, support_status
 from furrow.functions.geometry import from_enu, project
+from furrow.operators.folds import carried
+from furrow.operators.spatial import radius_pairs
 from furrow.operators.statistics import weighted_median
 from furrow.storage import checkpointed, ship
 
@@ -206,6 +208,34 @@ def merge_tracks(tracks: DataFrame, observations: DataFrame, pairs: DataFrame) -
     return settled.unionByName(alone)
 
 
+def merged_within(tracks: DataFrame, observations: DataFrame, radius: float) -> DataFrame:
+    """What ``merge_tracks`` gives for all pairs of ``tracks`` (segment_id, track_id, x, y) within the radius, without making the pairs of tracks that lie on one point.
+
+    Those come first, as nothing is nearer: each goes to the first of its point that it shares no frame with, by id. What they are joined to only grows, so a veto between two such clusters
+    holds for good, and the first of their pairs, that of their smallest ids, decides; only these ids are paired.
+    """
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    frames = observations.groupBy("segment_id", "track_id").agg(F.collect_set("frame_index").alias("frames"))
+    held = tracks.where(finite).select("segment_id", "track_id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).join(frames, ["segment_id", "track_id"])
+
+    def step(clusters, track, frames):
+        clusters = [] if clusters is None else clusters
+        for first, seen in clusters:
+            if seen.isdisjoint(frames):
+                seen.update(frames)
+                return clusters, (first,)
+        clusters.append((track, {*frames}))
+        return clusters, (track,)
+
+    joined = checkpointed(carried(held, ["segment_id", "x", "y"], [F.col("track_id")], ["track_id", "frames"], step, "_first long").drop("frames"))
+    firsts = joined.where("track_id = _first").select("segment_id", "track_id", "x", "y")
+    seen = observations.select("segment_id", "track_id", "frame_index").join(joined.select("segment_id", "track_id", "_first"), ["segment_id", "track_id"]).select("segment_id", F.col("_first").alias("track_id"), "frame_index")
+    settled = merge_tracks(firsts, seen, radius_pairs(firsts.withColumnRenamed("track_id", "id"), radius, ["segment_id"]))
+    out = joined.select("segment_id", "track_id", "_first").join(settled.select("segment_id", F.col("track_id").alias("_first"), "plant"), ["segment_id", "_first"]).select("segment_id", "track_id", "plant")
+    lost = tracks.where(~F.coalesce(finite, F.lit(False))).select("segment_id", "track_id", F.col("track_id").alias("plant"))
+    return out.unionByName(lost)
+
+
 def unique_plants(observations: DataFrame, by: list[str]) -> DataFrame:
     """One row for each plant of (by, frame_index, observation_id, x, y, confidence)."""
     base = observations.groupBy(*by).agg(

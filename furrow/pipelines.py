@@ -180,8 +180,7 @@ def _unique(observed: DataFrame, transforms: DataFrame, s: GapSettings) -> DataF
     """Observations to plants: tracks, merged where their middles are near and their frames differ; a plant's id is its first observation."""
     tracks = checkpointed(fusion.associate(observed, s.association, s.max_gap, frames=transforms))
     middle = tracks.groupBy("segment_id", "track_id").agg(F.median("x").alias("x"), F.median("y").alias("y"))
-    pairs = spatial.radius_pairs(middle.withColumnRenamed("track_id", "id"), s.association * s.merge, ["segment_id"])
-    merged = fusion.merge_tracks(middle, tracks, pairs)
+    merged = fusion.merged_within(middle, tracks, s.association * s.merge)
     tracks = checkpointed(tracks.join(merged, ["segment_id", "track_id"]))
     first = tracks.groupBy("segment_id", "plant").agg(F.min("observation_id").alias("plant_id"))
     plants = fusion.unique_plants(tracks, ["segment_id", "plant"]).join(first, ["segment_id", "plant"]).drop("plant")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import gates
-from furrow.operators import fusion, records, rows, selection, spatial
+from furrow.operators import fusion, records, rows, selection
 from furrow.plans.base import PLANTS, POINTS, query
 from furrow.plans.statistics import ROUND
 
@@ -235,8 +235,7 @@ def tracklet_merging(o: DataFrame) -> DataFrame:
     """A radius of one breaks every track each third frame; the pieces of a plant share no frame and are merged again."""
     seen = fusion.associate(o, 1.0, 1)
     middle = seen.groupBy("segment_id", "track_id").agg(F.median("x").alias("x"), F.median("y").alias("y"))
-    pairs = spatial.radius_pairs(middle.withColumnRenamed("track_id", "id"), 6.0, ["segment_id"])
-    plants = seen.join(fusion.merge_tracks(middle, seen, pairs), ["segment_id", "track_id"]).groupBy("segment_id", "plant")
+    plants = seen.join(fusion.merged_within(middle, seen, 6.0), ["segment_id", "track_id"]).groupBy("segment_id", "plant")
     return plants.agg(F.min(F.floor(F.col("x") / 30)).alias("place"), F.count(F.lit(1)).alias("observations")).select("segment_id", "place", "observations")
 
 
