@@ -9,6 +9,7 @@ from furrow.functions import gates
 from furrow.operators import fusion, records, rows, selection
 from furrow.plans.base import PLANTS, POINTS, query
 from furrow.plans.statistics import ROUND
+from furrow.storage import checkpointed
 
 PLOTS = "SELECT DISTINCT CAST(floor(p_partkey / 1000) AS BIGINT) AS plot_id FROM {part}"
 _SPACING = "sp AS (SELECT DISTINCT plot_id, 40.0::DOUBLE AS spacing FROM pl)"
@@ -233,7 +234,7 @@ def tracks_are_plants(o: DataFrame) -> DataFrame:
 @query("SELECT segment_id, CAST(floor(x / 30) AS BIGINT) AS place, count(*) AS observations FROM o GROUP BY ALL", o=_TRACKED)
 def tracklet_merging(o: DataFrame) -> DataFrame:
     """A radius of one breaks every track each third frame; the pieces of a plant share no frame and are merged again."""
-    seen = fusion.associate(o, 1.0, 1)
+    seen = checkpointed(fusion.associate(o, 1.0, 1))
     middle = seen.groupBy("segment_id", "track_id").agg(F.median("x").alias("x"), F.median("y").alias("y"))
     plants = seen.join(fusion.merged_within(middle, seen, 6.0), ["segment_id", "track_id"]).groupBy("segment_id", "plant")
     return plants.agg(F.min(F.floor(F.col("x") / 30)).alias("place"), F.count(F.lit(1)).alias("observations")).select("segment_id", "place", "observations")
