@@ -95,7 +95,7 @@ def gap_report(detections: DataFrame, transforms: DataFrame, areas: DataFrame, s
     gap = rows.adjacent_distances(expected_in, ["plot_id", "row_id"], ["slot_index"]).groupBy("plot_id", "row_id").agg(F.coalesce(F.median("step"), F.lit(1.0)).alias("spacing"))
     missing = rows.missing_slots(expected_in, points, gap, s.tolerance)
     hidden = rows.missing_slots(expected_in, points.where("support_status = 'confirmed'"), gap, s.tolerance).join(missing.select("plot_id", "row_id", "slot_index"), ["plot_id", "row_id", "slot_index"], "left_anti")
-    missing = missing.join(spacing, ["plot_id", "row_id"]).withColumn("plant_id", F.concat_ws("_", F.col("plot_id").cast("string"), "row_id", F.col("slot_index").cast("string")))
+    missing = checkpointed(missing.join(spacing, ["plot_id", "row_id"]).withColumn("plant_id", F.concat_ws("_", F.col("plot_id").cast("string"), "row_id", F.col("slot_index").cast("string"))))
     missing = checkpointed(fusion.visibility(missing, frames, *s.image).withColumnRenamed("visibility_opportunity", "coverage_count"))
     why = gates.candidate_rejection(F.col("boundary_distance"), s.boundary * F.col("spacing"), F.col("coverage_count"), F.lit(s.least_coverage))
     missing = missing.withColumn("rejection_reason", why)
