@@ -40,12 +40,15 @@ def central_frames(gaps: DataFrame, frames: DataFrame, cell: float) -> DataFrame
     """Of the frames (frame_index, x0, y0, x1, y1) that cover each gap (gap_id, x, y) the one whose middle is nearest, ties to the earlier frame.
 
     Gaps meet middles by cells that the middles' density asks for, of ``cell`` at most. A frame that covers a gap and whose middle is no further off than a cell is its nearest; gaps without one go on with
-    cells of twice the size, up to the longest half diagonal, beyond which no frame covers. Frames and gaps without a finite position are left out.
+    cells of twice the size, up to the longest way from a middle to its frame's corners, beyond which no frame covers. Frames and gaps without a finite position are left out. Frames may bring their middles (cx, cy); else these are
+    half the sum of the corners, whose last bit decides among frames that are as near.
     """
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    own = {"cx", "cy"} <= set(frames.columns)
+    cx, cy = (F.col("cx"), F.col("cy")) if own else ((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2)
     finite = lambda c: F.abs(c) < float("inf")
     f = frames.where(finite(cx) & finite(cy)).select("frame_index", "x0", "y0", "x1", "y1", cx.alias("_cx"), cy.alias("_cy"))
-    reach = F.max(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))) / 2
+    off = lambda lo, c, hi: F.greatest(F.col(c) - F.col(lo), F.col(hi) - F.col(c))
+    reach = F.max(F.hypot(off("x0", "_cx", "x1"), off("y0", "_cy", "y1")))
     far = f.agg(reach.alias("reach"), ((F.max("_cx") - F.min("_cx")) * (F.max("_cy") - F.min("_cy"))).alias("area"), F.count(F.lit(1)).alias("n")).first()
     even = math.sqrt(2 * far["area"] / far["n"]) if far["n"] else 0.0
     wide, last = min(float(cell), even or float(cell)), (far["reach"] or 0.0) * (1 + 1e-9)

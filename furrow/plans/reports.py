@@ -44,7 +44,8 @@ def interpolated_drift(p: DataFrame) -> DataFrame:
     p=POINTS,
 )
 def most_central_frame(p: DataFrame) -> DataFrame:
-    frames = p.where("kind <> 'click'").select(F.col("id").alias("frame_index"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 120).alias("x1"), (F.col("y") + 80).alias("y1"))
+    x, y = F.col("x"), F.col("y")
+    frames = p.where("kind <> 'click'").select(F.col("id").alias("frame_index"), x.alias("x0"), y.alias("y0"), (x + 120).alias("x1"), (y + 80).alias("y1"), (x + 60).alias("cx"), (y + 40).alias("cy"))
     return ROUND(reports.central_frames(p.where("kind = 'click'").select(F.col("id").alias("gap_id"), "x", "y"), frames, 120.0), "distance")
 
 
