@@ -264,8 +264,10 @@ def raster_at(points: DataFrame, raster: DataFrame, by: list[str], value: str =
     return held.join(raster, [*by, "px", "py"], "left").withColumn(value, F.coalesce(value, F.lit(0))).drop("px", "py")
 
 
-#: Rows of a block of descriptors that are worth a task of their own, blocks that are made to keep tasks busy, and rows that are compared with the other block at once.
-_BUSY, _TASKS, _AT_ONCE = 2048, 8, 128
+#: Rows of a block of descriptors that are worth a task of their own, and blocks that are made to keep tasks busy.
+_BUSY, _TASKS = 2048, 8
+#: Rows and columns of distances that are estimated at once, candidates that are kept before they are measured, and those that are measured at once.
+_HIGH, _WIDE, _KEPT, _MEASURED = 512, 2048, 1 << 20, 1 << 15
 
 
 def _blocks(rows: int, most: int) -> int:
@@ -273,60 +275,150 @@ def _blocks(rows: int, most: int) -> int:
     return max(1, math.ceil(rows / most), min(_TASKS, math.ceil(rows / _BUSY)))
 
 
-def mutual_matches(left: DataFrame, right: DataFrame, ratio: float, by: list[str] | None = None, block: int = 65_536, digits: int = 6) -> DataFrame:
+class _Tops:
+    """The two nearest partners of each of some rows. Estimated squares, off by ``error`` at most, say which partners may be among them; only these are measured."""
+
+    def __init__(self, n: int, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], scale: float, error: float, unit: float) -> None:
+        self.measure, self.scale, self.error, self.unit = measure, scale, error, unit
+        self.low, self.most = np.full((2, n), np.inf), np.full(n, np.inf, np.float32)
+        self.d, self.who = np.full((2, n), np.inf), np.full((2, n), -1)
+        self.kept, self.held = [], 0
+
+    def _limit(self, rows: np.ndarray, square: np.ndarray) -> None:
+        """Partners with estimates over what a known second one's true square allows, give or take the rounding of both distances, are none of the two."""
+        most = ((np.sqrt(square) + 2 * self.unit / self.scale) ** 2 + self.error) * (1 + 1e-6)
+        self.most[rows] = np.minimum(self.most[rows], most)
+
+    def see(self, rows: np.ndarray, squares: np.ndarray, first: int) -> None:
+        """Estimates of the rows (ascending) to partners numbered from ``first`` on, which rise from call to call."""
+        at, low = np.arange(len(rows)), np.empty((4, len(rows)))
+        low[:2] = self.low[:, rows]
+        best = squares.argmin(1)
+        low[2] = value = squares[at, best]
+        squares[at, best] = np.inf
+        low[3] = squares.min(1)
+        squares[at, best] = value
+        low.sort(0)
+        self.low[:, rows] = low[:2]
+        self._limit(rows, np.maximum(low[1], 0) + self.error)
+        i, j = np.divmod(np.flatnonzero(squares <= self.most[rows][:, None]), squares.shape[1])
+        found = squares[i, j]
+        real = np.isfinite(found)
+        i, j, found = i[real], j[real], found[real]
+        self.kept.append((rows[i], first + j, found))
+        self.held += len(i)
+        if self.held > _KEPT:
+            self.settle()
+
+    def settle(self) -> None:
+        """Measure what is kept, and keep the two nearest of each row; of equals the first. After two at 0 no later partner counts."""
+        i, j, found = (np.concatenate(c) for c in zip(*self.kept, strict=True)) if self.kept else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        good = found <= self.most[i]
+        i, j = i[good], j[good]
+        d = np.concatenate([self.measure(i[k : k + _MEASURED], j[k : k + _MEASURED]) for k in range(0, len(i), _MEASURED)] or [np.zeros(0)])
+        rows = np.unique(i)
+        for k in range(2):
+            real = rows[self.who[k, rows] >= 0]
+            i, j, d = np.concatenate([i, real]), np.concatenate([j, self.who[k, real]]), np.concatenate([d, self.d[k, real]])
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        begin = np.flatnonzero(np.diff(i, prepend=-1))
+        self.d[0, rows], self.who[0, rows] = d[begin], j[begin]
+        again = begin[np.diff(begin, append=len(i)) > 1]
+        self.d[1, i[again]], self.who[1, i[again]] = d[again + 1], j[again + 1]
+        full = rows[np.isfinite(self.d[1, rows])]
+        self._limit(full, (self.d[1, full] / self.scale) ** 2)
+        self.most[full[self.d[1, full] == 0]] = -np.inf
+        self.kept, self.held = [], 0
+
+
+def _two_nearest(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, digits: int, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The two nearest q of each p and, if ``both``, the two nearest p of each q: (left, ids, others, distances) by rank. ids x and y ascend; equal ids don't count, nor do vectors that aren't finite.
+
+    Squares of distances are estimated for a tile of rows and columns at once, by one product of single precision, with a bound on what it is off by; what may be among a row's two nearest is
+    measured in doubles and rounded to ``digits``. So the result is that of measuring all pairs, in bounded memory.
+    """
+    finite = lambda ids, v: (ids[(ok := np.isfinite(v).all(1))], v[ok])
+    (x, p), (y, q) = finite(x, p), finite(y, q)
+    if not len(x) or not len(y):
+        return
+    middle = q.mean(0)
+    u, v = p - middle, q - middle
+    big = max(np.abs(u).max(initial=0), np.abs(v).max(initial=0)) or 1.0
+    scale = big * (math.sqrt(max(((u / big) ** 2).sum(1).max(), ((v / big) ** 2).sum(1).max())) or 1.0)
+    u, v = u / scale, v / scale
+    one = lambda w: np.ones((len(w), 1))
+    square = lambda w: (w**2).sum(1, keepdims=True)
+    left = np.hstack([-2 * u, square(u), one(u)]).astype(np.float32)
+    right = np.ascontiguousarray(np.hstack([v, one(v), square(v)]).astype(np.float32).T)
+    # Lengths are 1 at most, so the terms of a square sum up to 4 at most, and each step of casting, multiplying and adding is off by 2**-24 of that.
+    error = 4 * (left.shape[1] + 8) * 2.0**-24
+    measure = lambda i, j: np.round(np.sqrt(((q[j] - p[i]) ** 2).sum(1)), digits)
+    rows = _Tops(len(x), measure, scale, error, 10.0**-digits)
+    cols = _Tops(len(y), lambda j, i: measure(i, j), scale, error, 10.0**-digits) if both else None
+    low, high = np.searchsorted(y, x), np.searchsorted(y, x, "right")
+    tile = np.empty(_HIGH * _WIDE, np.float32)  # new memory for each tile would take longer than the product
+    for a in range(0, len(x), _HIGH):
+        b = min(a + _HIGH, len(x))
+        same = np.repeat(np.arange(a, b), high[a:b] - low[a:b])
+        twin = np.concatenate([np.arange(*ends) for ends in zip(low[a:b], high[a:b], strict=True)])
+        for c in range(0, len(y), _WIDE):
+            wide = min(_WIDE, len(y) - c)
+            s = np.matmul(left[a:b], right[:, c : c + wide], out=tile[: (b - a) * wide].reshape(b - a, wide))
+            here = (twin >= c) & (twin < c + wide)
+            s[same[here] - a, twin[here] - c] = np.inf
+            near = np.flatnonzero(s.min(1) <= rows.most[a:b])
+            if len(near):
+                rows.see(a + near, s[near], c)
+            if cols:
+                near = np.flatnonzero(s.min(0) <= cols.most[c : c + _WIDE])
+                if len(near):
+                    cols.see(c + near, np.ascontiguousarray(s[:, near].T), a)
+    for forward, tops, ids, others in ((True, rows, x, y), (False, cols, y, x)):
+        if tops:
+            tops.settle()
+            for k in range(2):
+                real = np.isfinite(tops.d[k])
+                yield np.full(real.sum(), forward), ids[real], others[tops.who[k][real]], tops.d[k][real]
+
+
+def mutual_matches(left: DataFrame, right: DataFrame | None, ratio: float, by: list[str] | None = None, block: int = 65_536, digits: int = 6) -> DataFrame:
     """Pairs (by, a, b, d) that are each other's best, where the best is below ``ratio`` times the second best on both sides.
 
     ``left`` has (by, a, p) and ``right`` (by, b, q), p and q arrays of numbers; pairs with a = b don't count, and of equal distances the smaller id is
-    the better. Both sides are dealt into blocks of at most about ``block`` rows; each block meets each other one in a task that compares a few rows with the whole other block at once and
-    returns the two best of each row, so what shuffles are a copy of each row for each block of the other side and two rows for each row and block, and never all pairs.
+    the better. Without ``right`` left's rows are matched among themselves, and two blocks meet once, not twice. Both sides are dealt into blocks of at most about ``block`` rows; each block meets each
+    other one in a task that returns the two best of each row, so what shuffles are a copy of each row for each block of the other side and two rows for each row and block, and never all pairs.
     """
-    by = by or []
+    by, alone = by or [], right is None
     ship(left.sparkSession)
+    left = left.where("a is not null and p is not null")
+    right = left.select(*by, F.col("a").alias("b"), F.col("p").alias("q")) if alone else right.where("b is not null and q is not null")
     parts = lambda df: _blocks(df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0, block)
-    n, m = parts(left), parts(right)
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    l = left.select(*by, "a", "p", F.pmod(F.xxhash64("a"), F.lit(n)).cast("int").alias("_i"), each(m).alias("_j"))
-    r = right.select(*by, "b", "q", each(n).alias("_i"), F.pmod(F.xxhash64("b"), F.lit(m)).cast("int").alias("_j"))
-
-    def best(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two least of each column and the ids of their rows, of equals the first."""
-        top, who, at = np.full((2, d.shape[1]), np.inf), np.zeros((2, d.shape[1]), ids.dtype), np.arange(d.shape[1])
-        for k in range(min(2, len(d))):
-            i = d.argmin(0)
-            top[k], who[k] = d[i, at], ids[i]
-            d[i, at] = np.inf
-        return top, who
+    n = parts(left)
+    m = n if alone else parts(right)
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    each = lambda low, k: F.explode(F.sequence(low, F.lit(k - 1)))
+    l = left.select(*by, "a", "p", own("a", n).alias("_i")).select("*", each(F.col("_i") if alone else F.lit(0), m).alias("_j"))
+    r = right.select(*by, "b", "q", own("b", m).alias("_j"))
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.col("_j") if alone else F.lit(n - 1))).alias("_i"))
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = []
-
-        def keep(forward: bool, ids: np.ndarray, top: np.ndarray, who: np.ndarray) -> None:
-            for k in range(2):
-                real = np.isfinite(top[k])
-                found.append(pd.DataFrame(dict(zip(by, key, strict=False)) | {"forward": forward, "id": ids[real], "other": who[k][real], "d": top[k][real]}))
-
         if len(a) and len(b):
             a, b = a.sort_values("a"), b.sort_values("b")
             p, q, x, y = np.stack(a["p"]).astype(float), np.stack(b["q"]).astype(float), a["a"].to_numpy(), b["b"].to_numpy()
-            top, who = np.full((2, len(y)), np.inf), np.zeros((2, len(y)), x.dtype)
-            for i in range(0, len(x), _AT_ONCE):
-                ids = x[i : i + _AT_ONCE]
-                d = np.round(np.stack([np.sqrt(((q - v) ** 2).sum(1)) for v in p[i : i + _AT_ONCE]]), digits)
-                d[ids[:, None] == y[None, :]] = np.inf
-                keep(True, ids, *best(d.T.copy(), y))
-                more, which = best(d, ids)
-                top, who = np.concatenate([top, more]), np.concatenate([who, which])
-                order = np.argsort(top, axis=0, kind="stable")[:2]  # ids ascend, so of equals the smaller one is the first
-                top, who = np.take_along_axis(top, order, 0), np.take_along_axis(who, order, 0)
-            keep(False, y, top, who)
+            for forward, ids, others, d in _two_nearest(x, p, y, q, digits, not (alone and key[-2] == key[-1])):
+                found.append(pd.DataFrame(dict(zip(by, key, strict=False)) | {"forward": forward | alone, "id": ids, "other": others, "d": d}))
         return pd.concat(found) if found else pd.DataFrame([], columns=[*by, "forward", "id", "other", "d"])
 
     keys = [*by, "_i", "_j"]
     types = "".join(f"`{c}` {left.schema[c].dataType.simpleString()}, " for c in by)
-    found = l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(meet, f"{types}forward boolean, id long, other long, d double")
+    # Meetings are few and long beside their rows, so they get partitions enough that hardly two share one.
+    dealt = lambda df: df.repartition(max(2 * n * m, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys).groupBy(*keys)
+    found = dealt(l).cogroup(dealt(r)).applyInPandas(meet, f"{types}forward boolean, id long, other long, d double")
     ranked = found.withColumn("_r", F.row_number().over(W.partitionBy(*by, "forward", "id").orderBy("d", "other"))).where("_r <= 2")
     tops = checkpointed(ranked.groupBy(*by, "forward", "id").agg(F.min(F.struct("_r", "other", "d")).alias("t"), F.max(F.when(F.col("_r") == 2, F.col("d"))).alias("second")))
     good = tops.where(F.col("second").isNull() | (F.col("t.d") < ratio * F.col("second"))).select(*by, "forward", "id", F.col("t.other").alias("other"), F.col("t.d").alias("d"))
     forward = good.where("forward").select(*by, F.col("id").alias("a"), F.col("other").alias("b"), "d")
-    back = good.where("not forward").select(*by, F.col("other").alias("a"), F.col("id").alias("b"))
+    back = good.where("forward" if alone else "not forward").select(*by, F.col("other").alias("a"), F.col("id").alias("b"))
     return forward.join(back, [*by, "a", "b"])

@@ -85,8 +85,7 @@ SELECT a, b, d FROM r WHERE f = 1 AND k = 1 AND (f2 IS NULL OR d < 0.95 * f2) AN
 )
 def mutual_ratio_matches(t: DataFrame) -> DataFrame:
     """Mutual best matches among all descriptors, with a ratio test on both sides."""
-    a, b = t.select(F.col("vec_id").alias("a"), F.col("embedding").alias("p")), t.select(F.col("vec_id").alias("b"), F.col("embedding").alias("q"))
-    return spatial.mutual_matches(a, b, 0.95).select("a", "b", "d")
+    return spatial.mutual_matches(t.select(F.col("vec_id").alias("a"), F.col("embedding").alias("p")), None, 0.95).select("a", "b", "d")
 
 
 @query(_INSIDE + "SELECT id, area_id FROM i", p=TWICE, a=AREAS)
